@@ -9,6 +9,7 @@ tokenizer whole.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,32 @@ _ASCII = np.zeros(256, bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
 
 
+#: First bytes of two-byte Latin letters, U+00C0 to U+024F, all letters but two signs.
+_LATIN = np.zeros(256, bool)
+_LATIN[0xC3:0xCA] = True
+
+
 def _cuts(buf: np.ndarray) -> np.ndarray:
+    """Cuts between a letter for certain and a mark, in either order."""
     out = np.zeros(len(buf), bool)
-    m, a = _MARK[buf], _ASCII[buf]
-    out[1:] = (m[1:] & a[:-1]) | (a[1:] & m[:-1])
+    m, starts = _MARK[buf], _ASCII[buf]
+    ends = starts.copy()
+    if len(buf) > 1:
+        two = _LATIN[buf[:-1]] & ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+        starts[:-1] |= two
+        ends[1:] |= two
+    out[1:] = (m[1:] & ends[:-1]) | (starts[1:] & m[:-1])
     return out
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    out = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [out[b] for b in range(256)]
+
+
 class WordEncoder:
     """Ids of many texts at once; keeps the ids of up to ``most`` distinct words."""
 
@@ -44,8 +64,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self._clear()
 
+    def _word(self, text: str) -> list[int]:
+        """Ids of a word: of Latin letters alone without the steps that only cut and clean."""
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        if low.isalpha() and max(low) < "\u0250":
+            if not low.isascii():
+                low = "".join(self.letters[b] for b in low.encode())
+            return [t.id for t in self.model.tokenize(low)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self):
         self.known: dict[int, int] = {}
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -54,16 +84,18 @@ class WordEncoder:
     def _learn(self, keys: list[int], texts: list[str]):
         if len(self.known) + len(keys) > self.most:
             return False
-        for at in range(0, len(texts), 50_000):
-            for key, e in zip(keys[at : at + 50_000], self.tokenizer.encode_batch(texts[at : at + 50_000], add_special_tokens=False)):
-                ids, k = e.ids, len(self.known)
-                if k >= len(self.start):
-                    self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.known[key], self.start[k], self.size[k] = k, self.used, len(ids)
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        got = [self._word(t) for t in texts]
+        k, flat = len(self.known), np.array([i for ids in got for i in ids], np.uint32)
+        size = np.array([len(ids) for ids in got], np.int64)
+        while k + len(got) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.known.update(zip(keys, range(k, k + len(got))))
+        self.size[k : k + len(got)] = size
+        self.start[k : k + len(got)] = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
         return True
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

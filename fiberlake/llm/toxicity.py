@@ -45,9 +45,13 @@ class Model:
     def emission(self, feats: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(feats[0]), self.bias, np.float32)
         if len(self.vocab):
+            maybe = np.zeros(1 << 16, bool)  # most words have no feature: their low bits tell
+            maybe[(self.vocab & U(0xFFFF)).astype(np.int64)] = True
             for f in feats:
-                at = np.minimum(np.searchsorted(self.vocab, f), len(self.vocab) - 1)
-                out += np.where(self.vocab[at] == f, self.weight[at], 0).astype(np.float32)
+                i = np.flatnonzero(maybe[(f & U(0xFFFF)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.vocab, f[i]), len(self.vocab) - 1)
+                hit = self.vocab[at] == f[i]
+                out[i[hit]] += self.weight[at[hit]].astype(np.float32)
         return out
 
     def score(self, expected: np.ndarray, highest: np.ndarray) -> np.ndarray:
@@ -116,7 +120,7 @@ def marginals(psi: np.ndarray, chain: np.ndarray, pair: np.ndarray, pairs: bool
     return m, (q / q.sum((0, 1))).sum(-1), logz
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 60, ratio: float = 20.0, least: int = 5, l2: float = 1e-3, chains: int = 60_000, seed: int = 1) -> Model:
+def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.0, least: int = 5, l2: float = 1e-3, chains: int = 10_000, seed: int = 1) -> Model:
     """Fits the field and the document regression to labelled texts."""
     y = np.array(toxic, bool)
     nothing = Model(np.zeros(0, U), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([-30.0, 0, 0]))
@@ -133,7 +137,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, ratio: float = 20.
         doc, feat = pairs % len(y), pairs // len(y)
         t, c = np.bincount(feat[y[doc]], minlength=len(u)), np.bincount(feat[~y[doc]], minlength=len(u))
         telling = (t >= least) & ((t + 0.5) / (n_toxic + 1) >= ratio * (c + 0.5) / (n_clean + 1))
-        common = telling | (t + c >= max(least, len(y) // 200))
+        common = telling | (t + c >= max(least, len(y) // 20))
         vocab.append(u[common])
         marks.append(u[telling])
         kinds.append(f)
@@ -174,7 +178,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, ratio: float = 20.
         g = g / scale + l2 * theta
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         theta = theta - 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    keep = np.abs(theta[: len(vocab)]) > 1e-3
+    keep = np.abs(theta[: len(vocab)]) > 0.02
     model = Model(vocab[keep], theta[: len(vocab)][keep], float(theta[-5]), theta[-4:].reshape(2, 2).copy(), np.zeros(3))
     p = marginals(model.emission(feats), chain, model.pair)
     expected, highest = per_row(p, row, len(y))
@@ -191,7 +195,9 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 60, ratio: float = 20.
 def per_row(p: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Expected toxic words, beyond the faint marginals of clean ones, and the highest marginal of each row."""
     highest = np.zeros(n)
-    np.maximum.at(highest, row, p)
+    if len(row):
+        at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        highest[row[at]] = np.maximum.reduceat(p, at)
     return np.bincount(row, np.where(p >= 0.05, p, 0), minlength=n).astype(float), highest
 
 
@@ -199,7 +205,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2_000, max_clean: int = 6_000, max_bytes: int = 64 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1_500, max_clean: int = 3_000, max_bytes: int = 64 << 20) -> Model:
     """Fits a model on a bounded sample of the labelled rows that are not held out.
 
     The sample is by a hash of the id, ``max_toxic`` and ``max_clean`` rows at most,
