@@ -26,15 +26,15 @@ def _series(win: DataFrame, keys: tuple[str, ...], nch: int) -> DataFrame:
 
 
 def pair_shift(win: DataFrame, max_lag: int, keys: tuple[str, ...] = KEYS, method=None) -> DataFrame:
-    """(keys, pair, t, shift): samples by which the next channel lags; one value a pair for the built-in method.
+    """(keys, pair, t, shift) with next(t) = previous(t + shift), in samples; one value a pair for the built-in method.
 
-    The built-in method is the lag of the largest cross-correlation. A model of one's own
+    The built-in method is minus the lag of the largest cross-correlation. A model of one's own
     is a function of a (channels x time) array that gives (pairs x time) shifts.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in win.select(*keys).schema.fields) + ", pair int, t int, shift double"
 
     def built_in(m: np.ndarray) -> np.ndarray:
-        lags = [kernels.best_lag(m[i], m[i + 1], max_lag) for i in range(len(m) - 1)]
+        lags = [-kernels.best_lag(m[i], m[i + 1], max_lag) for i in range(len(m) - 1)]
         return np.repeat(np.array(lags, float)[:, None], m.shape[1], 1)
 
     f = method or built_in
@@ -180,7 +180,7 @@ def interval_strain(iv: DataFrame, aligned: DataFrame, keys: tuple[str, ...] = K
     return per.groupBy(*keys, "start_idx", "end_idx").agg(F.avg("p").alias("strain_peak"), F.avg("r").alias("strain_rms"))
 
 
-@F.pandas_udf("struct<n:int,cars:int,trucks:int>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("n", "cars", "trucks")]))
 def _peak_counts(seg: pd.Series, detect: pd.Series, classify: pd.Series, fs: pd.Series) -> pd.DataFrame:
     got = [kernels.count_peaks(np.asarray(s, float), d, c, f) for s, d, c, f in zip(seg, detect, classify, fs)]
     return pd.DataFrame(got, columns=["n", "cars", "trucks"]).astype("int32")

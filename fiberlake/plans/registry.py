@@ -21,7 +21,6 @@ ORACLES: dict[str, str] = {}
 
 T0 = dt.datetime(2024, 1, 1)
 DAY = dt.timedelta(days=1)
-D10, D20 = F.lit("2024-01-10 00:00:00"), F.lit("2024-01-20 00:00:00")
 END_US = T0_US + 3_600_000_000
 
 
@@ -37,6 +36,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def day(text: str):
+    return F.lit(text).cast("timestamp")
+
+
 def lit_us(us: int):
     return F.timestamp_micros(F.lit(us))
 
@@ -97,7 +100,7 @@ def _(v):
 # filters -----------------------------------------------------------------------
 @query("filter_range", "SELECT seq, us, speed FROM detections WHERE ts BETWEEN '2024-01-10' AND '2024-01-20' AND direction = 1 AND ch BETWEEN 10 AND 90 AND fiber_id IN ('click', 'view')")
 def _(v):
-    d = filters.by_fibers(filters.by_channels(filters.by_direction(filters.time_range(v.detections(), D10.cast("timestamp"), D20.cast("timestamp")), 1), 10, 90), ["click", "view"])
+    d = filters.by_fibers(filters.by_channels(filters.by_direction(filters.time_range(v.detections(), day("2024-01-10"), day("2024-01-20")), 1), 10, 90), ["click", "view"])
     return d.select("seq", F.unix_micros("ts").alias("us"), "speed")
 
 
@@ -306,7 +309,7 @@ def _(v):
 
 @query("slice_time", "SELECT fiber_id, seq, (us - min(us) OVER (PARTITION BY fiber_id)) / 1e6::DOUBLE AS t_rel FROM detections WHERE ts BETWEEN '2024-01-10' AND '2024-01-20'")
 def _(v):
-    return history.slice_time(v.detections(), D10.cast("timestamp"), D20.cast("timestamp"), "fiber_id").select("fiber_id", "seq", "t_rel")
+    return history.slice_time(v.detections(), day("2024-01-10"), day("2024-01-20"), "fiber_id").select("fiber_id", "seq", "t_rel")
 
 
 # sources and sinks -----------------------------------------------------------------
@@ -365,7 +368,7 @@ def _(v):
 
 @query("export_detections", "SELECT us, ch, direction, speed FROM detections WHERE ts BETWEEN '2024-01-10' AND '2024-01-20' AND direction = 0 AND fiber_id = 'view' ORDER BY us, ch, direction LIMIT 500000")
 def _(v):
-    d = sinks.export_detections(v.detections(), D10.cast("timestamp"), D20.cast("timestamp"), ["view"], 0)
+    d = sinks.export_detections(v.detections(), day("2024-01-10"), day("2024-01-20"), ["view"], 0)
     return d.select(F.unix_micros("ts").alias("us"), "ch", "direction", "speed")
 
 
@@ -422,7 +425,7 @@ def _(v):
 
 @query("alerts_cooldown", f"""WITH RECURSIVE {_FIRED}, r AS (SELECT *, row_number() OVER (PARTITION BY rule_id, fiber_id, ch ORDER BY ts_ns, detail) AS i FROM fired),
 f AS (SELECT rule_id, fiber_id, ch, ts_ns, i, cooldown_s, true AS go, ts_ns AS last FROM r WHERE i = 1 UNION ALL
-SELECT r.rule_id, r.fiber_id, r.ch, r.ts_ns, r.i, r.cooldown_s, r.cooldown_s <= 0 OR r.ts_ns - f.last > r.cooldown_s * 1000000000, CASE WHEN r.cooldown_s <= 0 OR r.ts_ns - f.last > r.cooldown_s * 1000000000 THEN r.ts_ns ELSE f.last END FROM f JOIN r ON r.rule_id = f.rule_id AND r.fiber_id = f.fiber_id AND r.ch = f.ch AND r.i = f.i + 1)
+SELECT r.rule_id, r.fiber_id, r.ch, r.ts_ns, r.i, r.cooldown_s, r.cooldown_s <= 0 OR r.ts_ns - f.last > r.cooldown_s::BIGINT * 1000000000, CASE WHEN r.cooldown_s <= 0 OR r.ts_ns - f.last > r.cooldown_s::BIGINT * 1000000000 THEN r.ts_ns ELSE f.last END FROM f JOIN r ON r.rule_id = f.rule_id AND r.fiber_id = f.fiber_id AND r.ch = f.ch AND r.i = f.i + 1)
 SELECT rule_id, fiber_id, ch, ts_ns FROM f WHERE go""")
 def _(v):
     return alerts.apply_cooldown(alerts.eval_detection_rules(v.detections_dense(), v.rules(), v.assignments())).select("rule_id", "fiber_id", "ch", "ts_ns")
@@ -950,4 +953,4 @@ SELECT 'speed' AS part, fiber_id AS k1, direction::VARCHAR AS k2, '' AS k3, m AS
 UNION ALL SELECT 'volume', fiber_id, direction::VARCHAR, h::VARCHAR, m, CASE m WHEN 'vehicles' THEN v ELSE n END FROM h, (VALUES ('vehicles'), ('detections')) t(m)
 UNION ALL SELECT 'incidents', incident_type, severity, '', 'n', count(*)::DOUBLE FROM incidents WHERE fiber_id IN ('click', 'view') AND timestamp BETWEEN '2024-01-10' AND '2024-01-20' GROUP BY incident_type, severity""")
 def _(v):
-    return reports.build_report(v.detections(), v.incidents(), D10.cast("timestamp"), D20.cast("timestamp"), ["click", "view"], ["incidents", "speed", "volume"])
+    return reports.build_report(v.detections(), v.incidents(), day("2024-01-10"), day("2024-01-20"), ["click", "view"], ["incidents", "speed", "volume"])

@@ -28,7 +28,7 @@ def read_raw_frames(spark: SparkSession, source: str, streaming: bool = False, f
         rows = reader.load().select("topic", F.from_json(F.col("value").cast("string"), schemas.RAW_FRAME).alias("r"), "offset")
         rows = rows.select("topic", "r.ts_ns", "r.floatData", "r.longData", F.col("offset").alias("frame_seq"))
     else:
-        reader = (spark.readStream if streaming else spark.read).schema(T.StructType([*schemas.RAW_FRAME.fields, T.StructField("frame_seq", T.LongType())]))
+        reader = (spark.readStream if streaming else spark.read).schema(schemas.RAW_FRAME + ", frame_seq bigint")
         rows = reader.format(fmt).load(source)
     return normalize_frames(rows)
 
@@ -125,7 +125,7 @@ def flatten_detections(batches: DataFrame) -> DataFrame:
     """One row a detection; a record without an array but with a time is one detection itself."""
     names = ["timestamp_ns", "channel", "direction", "speed_kmh", "vehicle_count", "n_cars", "n_trucks", "glrt_max", "strain_peak", "strain_rms"]
     lone = set(names) <= set(batches.columns)
-    d = F.coalesce("detections", F.array().cast(schemas.DETECTION_BATCH["detections"].dataType))
+    d = F.coalesce("detections", F.array().cast(f"array<{schemas.DETECTION_STRUCT}>"))
     if lone:
         d = F.when((F.size(d) == 0) & F.col("timestamp_ns").isNotNull(), F.array(F.struct(*names).cast(schemas.DETECTION_STRUCT))).otherwise(d)
     rows = batches.select("fiber_id", F.inline(d))
