@@ -30,7 +30,8 @@ _ASCII = np.zeros(256, bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
 
 
-#: First bytes of two-byte Latin letters, U+00C0 to U+024F, all letters but two signs.
+#: First bytes of two-byte Latin letters, U+00C0 to U+024F: all letters but two signs. U+0130
+#: does not count: its lower case ends in a combining mark, which joins what follows.
 _LATIN = np.zeros(256, bool)
 _LATIN[0xC3:0xCA] = True
 
@@ -41,7 +42,8 @@ def _cuts(buf: np.ndarray) -> np.ndarray:
     m, starts = _MARK[buf], _ASCII[buf]
     ends = starts.copy()
     if len(buf) > 1:
-        two = _LATIN[buf[:-1]] & ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+        a, b = buf[:-1], buf[1:]
+        two = _LATIN[a] & ~((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) & ~((a == 0xC4) & (b == 0xB0))
         starts[:-1] |= two
         ends[1:] |= two
     out[1:] = (m[1:] & ends[:-1]) | (starts[1:] & m[:-1])
