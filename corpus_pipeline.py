@@ -35,9 +35,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    took = mixing.mix(docs).filter("copies > 0").select("id", F.col("source").alias("s"), "size", "copies").distinct()
-    rows = docs.join(took, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")) & (mixing.words(F.col("text")) == F.col("size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    took = mixing.mix(docs).filter("copies > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in ("id", "source", "size", "copies")]).distinct()
+    same = docs["doc_id"].eqNullSafe(took["__mix_id"]) & docs["source"].eqNullSafe(took["__mix_source"]) & (mixing.words(docs["text"]) == took["__mix_size"])
+    rows = docs.join(took, same)
+    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

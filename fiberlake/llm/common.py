@@ -40,7 +40,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], rank: str, per: int = 200_000) -> DataFrame:
+def rank_within(df: DataFrame, key: str, order: list[str], rank: str, per: int = 5_000) -> DataFrame:
     """Number the rows of each key from 0 without a gap, in column ``rank``.
 
     ``key`` must have few values, whatever the number of rows (a ring arc, a length
