@@ -68,7 +68,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
     # blocks by hash: about equal, whatever the ids
     cands = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).alias("cb"))
     cands = cands.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e) * norm2)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e) * norm2) * (1 + 1e-12)  # no rounding may cut the range
     queries = vectors.filter(is_query).select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).alias("qb"), (-F.ceil(length) - 1).cast("long").alias("lo"), (F.ceil(length) + 1).cast("long").alias("hi"))
     queries = queries.withColumn("above", F.lit(0).cast("long"))
 
@@ -110,7 +110,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
         counts = counts.withColumn("upto", F.sum("n").over(down.rowsBetween(W.unboundedPreceding, 0)))
         # the bin of the k-th score, or the lowest that has any
         at = counts.filter(F.col("upto") - F.col("n") < k).groupBy("id").agg(F.min(F.struct("bin", (F.col("upto") - F.col("n")).alias("over"))).alias("x"))
-        width = F.ceil((F.col("hi") - F.col("lo") + 1) / bins).cast("long")
+        width = F.call_function("div", F.col("hi") - F.col("lo") + bins, F.lit(bins))  # rounded up
         low = F.col("lo") + F.col("x.bin") * width
         nxt = open_.join(at, "id").select("id", "v", "qb", low.alias("lo"), F.least(low + width - 1, F.col("hi")).alias("hi"), F.col("x.over").alias("above"))
         nxt = settle(nxt, "thresholds")
