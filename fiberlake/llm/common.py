@@ -55,3 +55,27 @@ def rank_within(df: DataFrame, key: str, order: list[str], rank: str, per: int =
     offsets = sizes.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.row_number().over(W.partitionBy(key, "_salt").orderBy(*order)) - 1
     return salted.join(offsets, [key, "_salt"]).withColumn(rank, F.col("_before") + place).drop("_salts", "_salt", "_before")
+
+
+_BUCKETS = 2048
+
+
+def bitmap(rows: DataFrame, key: str) -> DataFrame:
+    """Bits of hashed keys: 4 kB in each of at most 2048 buckets (8 MB), whatever the number of rows."""
+    h = F.pmod(F.xxhash64(key), F.lit(_BUCKETS * 32768))
+    bits = rows.select(F.floor(h / 32768).cast("int").alias("__bucket"), (h % 32768).alias("__bit"))
+    return bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+
+
+def marked(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: false if the key is surely none of the bitmap's."""
+    h = F.pmod(F.xxhash64(key), F.lit(_BUCKETS * 32768))
+    out = rows.withColumn("__bucket", F.floor(h / 32768).cast("int")).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor((h % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, (h % 8).cast("int"))
+    return out.withColumn("__maybe", F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
+def may_be_in(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be one of the bitmap's, so that a join with those keys shuffles few others."""
+    return marked(rows, key, bits).filter("__maybe").drop("__maybe")

@@ -1,10 +1,11 @@
 """Line dedup: a deletion-neighbourhood join over the words of lines.
 
-A line is what stands between line feeds, without white space at its ends. Of equal
-lines with at least ``min_words`` words, and of lines with at least ``near_words``
-words that one word inserted, deleted or replaced makes equal, only the earliest by
-(doc_id, line number) stays: a line goes if any earlier line is equal or within that
-bound, whether or not that one stays itself.
+A line is what stands between line feeds, without white space at its ends; its words
+are what stands between single spaces. Of equal lines with at least ``min_chars``
+characters, and of lines with at least ``near_words`` words that one word inserted,
+deleted or replaced makes equal, only the earliest by (doc_id, line number) stays: a
+line goes if any earlier line is equal or within that bound, whether or not that one
+stays itself.
 
 How near lines meet:
 
@@ -19,10 +20,13 @@ How near lines meet:
    line is compared with the earliest of its keys and the edit distance verified on
    the words themselves.
 
+Texts are read three times and only those of documents with such lines, or with lines
+to drop, are shuffled: bitmaps of fixed size (8 MB) of hashed keys tell the others.
+
 Only DataFrame functions are used. Nulls: a null text has no lines and stays null;
 rows with a null id stay as they are and take no part. Repeated rows of one id count
 as one document, so they lose the same lines. Empty texts and tables stay empty.
-Blank lines always stay. Columns of the input are kept, whatever their names.
+Blank and short lines always stay. Columns of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,47 +35,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import bitmap, marked, may_be_in, settle
 
-SPACE = r"[\x20\x09-\x0D]+"
-TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: White space of ASCII, as it is cut from the ends of lines.
+BLANK = " \t\n\x0b\x0c\r"
 
 
-def _ends(w: Column, n: Column, c: Column) -> list[Column]:
-    key = lambda side, part: F.struct(F.lit(side).alias("side"), c.alias("c"), F.xxhash64(F.lit(side), c, part).alias("end"))
-    return [key("p", F.slice(w, 1, c)), key("s", F.slice(w, n - c + 1, c))]
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, near_words: int) -> DataFrame:
+    """(doc, no, k, k2, n, ends): each line's hashes, words and, if it has enough, hashed ends."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    line = F.when(F.col("line").rlike(r"^[\x20\x09-\x0D]|[\x20\x09-\x0D]$"), F.regexp_replace("line", TRIM, "")).otherwise(F.col("line"))
-    rows = rows.select("doc", "no", line.alias("line")).filter("line <> ''")
-    return rows.select("doc", "no", "line", F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2"))
+    rows = rows.select("doc", "no", _trimmed(F.col("line")).alias("line")).filter(F.length("line") >= min_chars)
+    n = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
+    rows = rows.select("doc", "no", "line", n.alias("n"), F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2"))
+    half = lambda n: F.expr(f"shiftleft(1, length(bin({n})) - 2)")
+    rows = rows.withColumn("c", half("n")).withColumn("c1", half("n + 1"))
+    first = lambda c: F.xxhash64(F.lit("p"), F.col(c), F.expr(f"substring_index(line, ' ', {c})"))
+    last = lambda c: F.xxhash64(F.lit("s"), F.col(c), F.expr(f"substring_index(line, ' ', -{c})"))
+    ends = F.when(F.col("n") >= near_words, F.when(F.col("c") == F.col("c1"), F.array(first("c"), last("c"))).otherwise(F.array(first("c"), last("c"), first("c1"), last("c1"))))
+    return rows.select("doc", "no", "k", "k2", "n", ends.alias("ends"))
+
+
+#: Kinds of keys: a word replaced, the longer of two lines, the shorter one.
+SAME, LONGER, SHORTER = 0, 1, 2
 
 
 def _variants(near: DataFrame) -> DataFrame:
-    """Hashed keys of ``near(k, k2, at, words, n, end, side, c, least, most)``.
+    """(key, kind, k): hashed keys of ``near(k, words, n, end, side, c, least, most)``.
 
     A sequence's hash is the sum, over its words, of a hash of word and place, as two
     sums of 31-bit halves. A variant's hash follows from running sums over the words.
     """
-    rows = near.select("*", F.posexplode("words").alias("i", "word"))
+    rows = near.select("k", "n", "end", "side", "c", "least", "most", F.posexplode("words").alias("i", "word"))
     for name, place in (("here", F.col("i")), ("back", F.col("i") - 1)):
         h = F.xxhash64("word", place)
         rows = rows.withColumn(f"{name}0", h.bitwiseAND(F.lit(0x7FFFFFFF))).withColumn(f"{name}1", F.shiftrightunsigned(h, 33))
-    one = W.partitionBy("k", "k2", "end")
+    one = W.partitionBy("k", "end", "n")
     upto, after = one.orderBy("i").rowsBetween(W.unboundedPreceding, -1), one.orderBy("i").rowsBetween(1, W.unboundedFollowing)
     some = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0))
     cut = F.xxhash64("end", *[some(f"here{p}", upto) + some(f"back{p}", after) for p in (0, 1)])
     whole = F.xxhash64("end", *[some(f"here{p}", upto) + F.col(f"here{p}") for p in (0, 1)])
-    rows = rows.select("k", "k2", "at", "n", "i", "least", "most", cut.alias("cut"), whole.alias("whole"), F.when(F.col("side") == "p", F.col("i") >= F.col("c")).otherwise(F.col("i") < F.col("n") - F.col("c")).alias("open"))
+    rows = rows.select("k", "n", "i", "least", "most", cut.alias("cut"), whole.alias("whole"), F.when(F.col("side") == "p", F.col("i") >= F.col("c")).otherwise(F.col("i") < F.col("n") - F.col("c")).alias("open"))
     kind = lambda name, on, *parts: F.when(on, F.struct(F.xxhash64(*parts).alias("key"), F.lit(name).alias("kind")))
     keys = F.array(
-        kind("same", F.col("open"), "cut", "n", "i"),
-        kind("longer", F.col("open") & (F.col("n") > F.col("least")), "cut", F.lit(-1)),
-        kind("shorter", (F.col("i") == F.col("n") - 1) & (F.col("n") < F.col("most")), "whole", F.lit(-1)),
+        kind(SAME, F.col("open"), "cut", "n", "i"),
+        kind(LONGER, F.col("open") & (F.col("n") > F.col("least")), "cut", F.lit(-1)),
+        kind(SHORTER, (F.col("i") == F.col("n") - 1) & (F.col("n") < F.col("most")), "whole", F.lit(-1)),
     )
-    return rows.select("k", "k2", "at", F.inline(F.filter(keys, lambda x: x.isNotNull())))
+    return rows.select("k", F.inline(F.filter(keys, lambda x: x.isNotNull()))).select("key", "kind", "k")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -90,53 +104,62 @@ def _one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, near_words: int = 8) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, near_words: int = 8) -> DataFrame:
     """The lines to drop, as (doc, no); ``no`` counts from 0."""
     docs = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col)
     near_words = max(4, near_words)
-    lines = _lines(docs, id_col, text_col)
-    enough = lines.filter(F.col("line").rlike(rf"^(?:[^\x20\x09-\x0D]+{SPACE}){{{max(1, min_words) - 1}}}[^\x20\x09-\x0D]"))
-    firsts = enough.groupBy("k", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), F.count(F.lit(1)).alias("copies"))
+    lines = settle(_lines(docs, id_col, text_col, min_chars, near_words), "lines")
+    firsts = settle(lines.groupBy("k", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), F.count(F.lit(1)).alias("copies")), "line-firsts")
 
-    split = lines.select("k", F.split("line", SPACE).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= near_words)
     half = lambda n: F.expr(f"shiftleft(1, length(bin({n})) - 2)")
-    c, c1 = half("n"), half("n + 1")
-    ends = F.when(c == c1, F.array(*_ends(F.col("w"), F.col("n"), c))).otherwise(F.array(*_ends(F.col("w"), F.col("n"), c), *_ends(F.col("w"), F.col("n"), c1)))
-    ends = settle(split.select("k", "n", F.inline(ends)), "line-ends")
+    ends = lines.filter("ends is not null").select("k", "n", F.posexplode("ends").alias("e", "end"))
     shared = ends.groupBy("end").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).filter("lo <> hi").select("end", "least", "most")
-    open_ends = settle(ends.join(shared, "end").select("k", "end", "side", "c", "least", "most").distinct(), "line-open-ends")
-
-    held = firsts.join(open_ends.select("k").distinct(), "k").select("k", "k2", "at", F.col("at.doc").alias("doc"), F.col("at.no").alias("no"))
-    text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(held, "doc")
-    text = text.select("k", "k2", "at", F.regexp_replace(F.element_at(F.split("text", "\n"), F.col("no") + 1), TRIM, "").alias("line"))
+    shared = settle(shared, "line-shared-ends")
+    side, c = F.when(F.col("e") % 2 == 0, "p").otherwise("s"), F.when(F.col("e") < 2, half("n")).otherwise(half("n + 1"))
+    open_ends = settle(may_be_in(ends, "end", bitmap(shared, "end")).join(shared, "end").select("k", "end", side.alias("side"), c.alias("c"), "least", "most").distinct(), "line-open-ends")
+
+    held = open_ends.select("k").distinct()
+    held = settle(may_be_in(firsts, "k", bitmap(held, "k")).join(held, "k").select("k", "k2", "at"), "line-held")
+    some = marked(docs, id_col, bitmap(held, "at.doc")).filter("__maybe")
+    text = some.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(held.select("k", "k2", "at", F.col("at.doc").alias("doc"), F.col("at.no").alias("no")), "doc")
+    text = text.select("k", "k2", "at", _trimmed(F.get(F.split("text", "\n"), F.col("no"))).alias("line"))
     text = text.filter((F.xxhash64("line") == F.col("k")) & (F.xxhash64(F.lit(1), "line") == F.col("k2")))
-    held = settle(text.select("k", "k2", "at", F.split("line", SPACE).alias("words")).dropDuplicates(["k", "k2"]), "line-words")
+    held = settle(text.select("k", "k2", "at", F.split("line", " ").alias("words")).dropDuplicates(["k", "k2"]), "line-words")
 
     keys = _variants(held.withColumn("n", F.size("words")).join(open_ends, "k"))
     keys = settle(keys, "line-variants")
-    of = lambda cond: F.min(F.when(cond, F.struct("at", "k", "k2")))
-    met = keys.groupBy("key").agg(of(F.col("kind") == "same").alias("same"), of(F.col("kind") == "longer").alias("longer"), of(F.col("kind") == "shorter").alias("shorter"), F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").drop("lo", "hi")
-    other = F.when(F.col("kind") == "same", F.col("same")).when(F.col("kind") == "longer", F.col("shorter")).otherwise(F.col("longer"))
-    pairs = keys.join(met, "key").select("k", "k2", "at", other.alias("o")).filter(F.col("o.at") < F.col("at"))
+    shared = keys.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi").select("key")
+    shared = settle(shared, "line-shared-variants")
+    met = settle(may_be_in(keys, "key", bitmap(shared, "key")).join(shared, "key").join(held.select("k", "k2", "at"), "k"), "line-met")
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("at", "k", "k2"))).alias(f"e{kind}")
+    first = met.groupBy("key").agg(of(SAME), of(LONGER), of(SHORTER))
+    other = F.when(F.col("kind") == SAME, F.col(f"e{SAME}")).when(F.col("kind") == LONGER, F.col(f"e{SHORTER}")).otherwise(F.col(f"e{LONGER}"))
+    pairs = met.join(first, "key").select("k", "k2", "at", other.alias("o")).filter(F.col("o.at") < F.col("at"))
     pairs = pairs.select("k", "k2", F.col("o.k").alias("ok"), F.col("o.k2").alias("ok2")).distinct()
     a, b = held.select("k", "k2", "words"), held.select(F.col("k").alias("ok"), F.col("k2").alias("ok2"), F.col("words").alias("other"))
     near = pairs.join(a, ["k", "k2"]).join(b, ["ok", "ok2"]).filter(_one_edit(F.col("words"), F.col("other"))).select("k", "k2").distinct().withColumn("near", F.lit(True))
 
-    groups = firsts.join(near, ["k", "k2"], "left").filter("copies > 1 or near").select("k", "k2", "at", "near")
-    hit = enough.select("doc", "no", "k", "k2").join(groups, ["k", "k2"])
+    near = settle(near, "line-near")
+    groups = settle(firsts.join(near, ["k", "k2"], "left").filter("copies > 1 or near").select("k", "k2", "at", "near"), "line-groups")
+    hit = may_be_in(lines.select("doc", "no", "k", "k2"), "k", bitmap(groups, "k")).join(groups, ["k", "k2"])
     return hit.filter(F.col("near") | (F.col("at") < F.struct("doc", "no"))).select("doc", "no")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, near_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, near_words: int = 8) -> DataFrame:
     """All rows with their texts without the dropped lines.
 
     Adds ``_lines`` (lines before, 0 for null) and ``_dropped`` (lines that went).
     """
-    gone = dropped_lines(docs, id_col, text_col, min_words, near_words)
-    gone = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_gone"))
-    joined = docs.join(gone, docs[id_col] == gone["_doc"], "left").drop("_doc")
-    split = F.split(docs[text_col], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    counts = {"_lines": F.when(docs[text_col].isNull(), F.lit(0)).otherwise(F.size(split)), "_dropped": F.coalesce(F.size("_gone"), F.lit(0))}
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], *[v.alias(k) for k, v in counts.items()])
+    gone = dropped_lines(docs, id_col, text_col, min_chars, near_words)
+    gone = settle(gone.groupBy(F.col("doc").alias("__ld_doc")).agg(F.collect_set("no").alias("__ld_gone")), "lines-gone")
+    told = marked(docs, id_col, bitmap(gone, "__ld_doc"))
+    text = F.col(text_col)
+    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    clean = told.filter("not __maybe").select(*docs.columns, lines.alias("_lines"), F.lit(0).alias("_dropped"))
+    rows = told.filter("__maybe")
+    rows = rows.join(gone, rows[id_col] == gone["__ld_doc"], "left")
+    split = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__ld_gone"))
+    new = F.when(F.col("__ld_gone").isNull() | text.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    rows = rows.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines.alias("_lines"), F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("_dropped"))
+    return clean.unionByName(rows)

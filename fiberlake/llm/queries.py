@@ -101,14 +101,14 @@ QUALIFY rank <= 20""",
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, no, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, raw
       FROM (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS raw FROM d)),
-u AS (SELECT line, min({'d': doc_id, 'n': no}) AS pos, count(*) AS copies, string_split_regex(line, '[\x20\x09-\x0D]+') AS w FROM l WHERE line <> '' GROUP BY line),
+u AS (SELECT line, min({'d': doc_id, 'n': no}) AS pos, count(*) AS copies, string_split(line, ' ') AS w FROM l WHERE length(line) >= 20 GROUP BY line),
 m AS (SELECT line, pos, w, len(w) AS n, length(bin(len(w))) AS e, length(bin(len(w) + 1)) AS e1 FROM u WHERE len(w) >= 8),
 c AS (SELECT *, (1::BIGINT << (e - 2)) AS c FROM m UNION ALL SELECT *, (1::BIGINT << (e1 - 2)) AS c FROM m WHERE e1 > e),
 k AS (SELECT line, pos, w, n, c, array_to_string(w[1:c], ' ') AS k, 'p' AS side FROM c UNION ALL SELECT line, pos, w, n, c, array_to_string(w[n - c + 1:n], ' '), 's' FROM c),
 p AS (SELECT DISTINCT a.line, a.w AS a, b.w AS b, a.n AS na, b.n AS nb FROM k a JOIN k b ON a.k = b.k AND a.side = b.side AND a.c = b.c AND b.pos < a.pos AND abs(a.n - b.n) <= 1),
 q AS (SELECT *, coalesce(list_position(list_transform(range(1, least(na, nb) + 1), lambda i: a[i] = b[i]), false), least(na, nb) + 1) AS x FROM p),
 near AS (SELECT DISTINCT line FROM q WHERE CASE WHEN na = nb THEN a[x + 1:] = b[x + 1:] WHEN na > nb THEN a[x + 1:] = b[x:] ELSE a[x:] = b[x + 1:] END),
-f AS (SELECT l.doc_id, l.no, l.raw, (u.line IS NOT NULL AND ((len(u.w) >= 4 AND u.pos < {'d': l.doc_id, 'n': l.no}) OR near.line IS NOT NULL)) AS gone
+f AS (SELECT l.doc_id, l.no, l.raw, (u.line IS NOT NULL AND (u.pos < {'d': l.doc_id, 'n': l.no} OR near.line IS NOT NULL)) AS gone
       FROM l LEFT JOIN u USING (line) LEFT JOIN near USING (line))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text FROM f GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
