@@ -10,14 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberlake.llm import line_dedup, mixing, packing, partenum, toxicity
-from fiberlake.llm.common import WORD, settle, table
+from fiberlake.llm.common import WORD, bitmap, marked, settle, table
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the ids; only rows that a bitmap does not clear are shuffled."""
+    ids = settle(ids, name)
+    told = marked(docs, "doc_id", bitmap(ids, "doc_id"))
+    clear = told.filter("not __maybe").select(*docs.columns)
+    return clear.unionByName(told.filter("__maybe").join(ids, "doc_id", "leftanti").select(*docs.columns))
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below a half."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     bad = toxicity.score(docs, model).filter("score >= 0.5").select("doc_id")
-    return docs.join(bad, "doc_id", "leftanti").select(*docs.columns)
+    return _without(docs, bad, "toxic-ids")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +38,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents the one with the smallest id."""
     gone = partenum.near_duplicates(docs).filter("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "leftanti").select(*docs.columns)
+    return _without(docs, gone, "near-ids")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
