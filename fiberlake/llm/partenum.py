@@ -21,9 +21,10 @@ e. The first pass counts this over the smallest hashes of every set, the second
 all elements of those that remain. Both ship packed arrays of hashes by bucket; an
 element that many sets hold leaves each task once.
 
-Within a signature no pairs are emitted as long as a pivot will do: sets are compared
-with one other set of each signature, verified links are merged, and only sets of
-different components that still share a signature are compared further.
+Within a signature no pairs are emitted: sets are compared with the signature's hub (the
+set that shares most signatures), verified links are merged, and only sets of different
+components that still share a signature are compared further, block against block
+inside a task, which gives the links alone.
 
 Equal sets (a 128-bit digest of their sorted hashes) are one node. Elements are 64-bit
 hashes.
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import NOT_SPACE, U, mix, pieces, row_bounds, utf8, words
-from .common import settle
+from .common import bitmap, may_be_in, settle
 from .components import components
 
 NOBODY = np.uint32(0xFFFFFFFF)
@@ -232,12 +233,93 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return sizes.join(x.drop("nx"), "a").join(y.drop("ny"), "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, pivots: int = 3) -> DataFrame:
+def _links_between(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join different components, among two blocks of sets or within one: a forest of them.
+
+    Intersections of all sets of one block with all of the other come from products of
+    0/1 matrices, a few thousand elements at a time.
+    """
+    x = pdf[pdf.blk == pdf.i]
+    y = x if pdf.i.iloc[0] == pdf.j.iloc[0] else pdf[pdf.blk == pdf.j]
+    if not len(x) or not len(y):
+        return []
+    sides = []
+    for d in (x, y):
+        e = np.concatenate([np.frombuffer(b, U) for b in d.elems])
+        sides.append((e, np.repeat(np.arange(len(d)), d.n.to_numpy()), d.n.to_numpy()))
+    common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    cut = []
+    for e, owner, _ in sides:
+        at = np.searchsorted(common, e)
+        ok = at < len(common)
+        ok[ok] = common[at[ok]] == e[ok]
+        order = np.argsort(at[ok], kind="stable")
+        cut.append((at[ok][order], owner[ok][order]))
+    inter = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(common), 4096):
+        m = []
+        for (at, owner), d in zip(cut, (x, y)):
+            i, k = np.searchsorted(at, [lo, lo + 4096])
+            one = np.zeros((len(d), 4096), np.float32)
+            one[owner[i:k], at[i:k] - lo] = 1
+            m.append(one)
+        inter += m[0] @ m[1].T
+    inter = inter.astype(np.int64)
+    near = den * inter >= num * (sides[0][2][:, None] + sides[1][2][None, :] - inter)
+    cx, cy = x.comp.to_numpy(), y.comp.to_numpy()
+    near &= cx[:, None] != cy[None, :]
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out, rx, ry = [], x.rep.to_numpy(), y.rep.to_numpy()
+    for i, j in zip(*np.nonzero(near)):
+        a, b = root(int(cx[i])), root(int(cy[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(rx[i]), int(ry[j])))
+    return out
+
+
+def _blocks(open_: DataFrame, sets: DataFrame, num: int, den: int, block: int = 512) -> DataFrame:
+    """Links across components among the members of open signatures, block against block.
+
+    Sets lie in blocks of about ``block`` by the heaviest hub whose signature they share,
+    so families stay together. Two blocks are compared, in one task that holds these
+    two, only if some signature has members in both; that gives a forest of links.
+    """
+    own = open_.groupBy("rep", "comp").agg(F.max(F.struct("bw", "b")).alias("h")).select("rep", "comp", F.col("h.b").alias("hub"))
+    size = own.groupBy("hub").agg(F.count(F.lit(1)).alias("k"))
+    nb = F.floor((F.col("k") - 1) / block) + 1
+    own = settle(own.join(size, "hub").select("rep", "comp", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), nb)).alias("blk")), "blocks")
+    # a signature's blocks are few; signatures with the same blocks count once
+    held = open_.select("sig", "rep").join(own.select("rep", "blk"), "rep").select("sig", "blk").distinct()
+    held = held.groupBy("sig").agg(F.sort_array(F.collect_set("blk")).alias("blks")).select("blks").distinct()
+    i = held.select("blks", F.posexplode("blks").alias("at", "i"))
+    pairs = settle(i.select("i", F.explode(F.slice("blks", F.col("at") + 1, F.size("blks") - F.col("at"))).alias("j")).distinct(), "block-pairs")
+    sides = pairs.select("i", "j", F.col("i").alias("blk")).unionByName(pairs.filter("i <> j").select("i", "j", F.col("j").alias("blk")))
+    rows = sides.join(own, "blk")
+    tasks = 1 + rows.count() // 1024  # small pairs share tasks
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("i", "j"), F.lit(tasks))).join(sets, "rep")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, one in pdf.groupby(["i", "j"]):
+            out += _links_between(one, num, den)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return rows.select("task", "i", "j", "blk", "rep", "comp", "n", "elems").groupBy("task").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, pivots: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    # a bucket holds a few million elements at most: a partition read gives under a million to each
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions())
+    # as many buckets as keep each at a few million elements, whatever the number of partitions read
+    buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
 
     def first_pass(batches):
         packer = Packer(buckets)
@@ -263,7 +345,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary()))], names=["digest", "n", "elems"])
 
-    texts = docs.join(held.select(F.col("rep").alias("doc")).distinct(), "doc", "leftsemi")
+    reps = held.select(F.col("rep").alias("doc")).distinct()
+    texts = may_be_in(docs, "doc", bitmap(reps, "doc")).join(reps, "doc", "leftsemi")
     sets = texts.mapInArrow(sets_of, "digest binary, n long, elems binary").dropDuplicates(["digest"])
     sets = settle(sets.join(held, "digest").select("rep", "n", "elems"), "shingle-sets")
 
@@ -287,27 +370,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sigs = sets.select("rep", "elems").mapInArrow(sign, "sig long, rep long")
     sigs = settle(sigs, "signatures")
-    multi = sigs.groupBy("sig").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).filter("p <> q")
-    members = settle(sigs.join(multi.select("sig", "p"), "sig").distinct(), "signature-members")
-
-    # first each set with the smallest partner it may have: at most one pair a set
-    tried = settle(members.groupBy(F.col("rep").alias("a")).agg(F.min("p").alias("b")).filter("a <> b"), "pairs")
+    # of signatures with the same members one will do; smallest, largest and a 64-bit sum name the members
+    multi = sigs.groupBy("sig").agg(F.min("rep").alias("p"), F.max("rep").alias("q"), F.bit_xor(F.xxhash64("rep")).alias("x")).filter("p <> q")
+    kept = settle(multi.groupBy("p", "q", "x").agg(F.min("sig").alias("sig")).select("sig"), "signatures-kept")
+    members = settle(may_be_in(sigs, "sig", bitmap(kept, "sig")).join(kept, "sig").distinct(), "signature-members")
+
+    # the heaviest set of a signature, by the candidates it shares all its signatures with, is its hub
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    weight = members.join(sizes, "sig").groupBy("rep").agg(F.sum("size").alias("w"))
+    members = settle(members.select("sig", "rep").join(weight, "rep"), "signature-weights")
+    heaviest = F.max(F.struct("w", (-F.col("rep")).alias("r")))
+    hubs = members.groupBy("sig").agg(heaviest.alias("z")).select("sig", (-F.col("z.r")).alias("b"), F.col("z.w").alias("bw"))
+    hub = members.join(hubs, "sig").filter("rep <> b").groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("bw", (-F.col("b")).alias("r"))).alias("z"))
+    tried = settle(hub.select("a", (-F.col("z.r")).alias("b")), "pairs")
     links = settle(_verified(tried, sets, num, den), "links")
     comps = settle(components(links), "components")
     for turn in range(pivots + 1):
-        named = members.select("sig", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("comp"))
-        split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp")).alias("z")).filter("lo <> hi")
-        open_ = settle(named.join(split.select("sig", F.col("z.rep").alias("b"), F.col("z.comp").alias("b_comp")), "sig"), "open-members")
+        named = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "w", F.coalesce("component", "rep").alias("comp"))
+        split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("w", F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp")).alias("z")).filter("lo <> hi")
+        open_ = settle(named.join(split.select("sig", F.col("z.rep").alias("b"), F.col("z.w").alias("bw"), F.col("z.comp").alias("b_comp")), "sig"), "open-members")
         if open_.isEmpty():
             break
-        if turn < pivots:  # a pivot of each signature with the members of other components
-            new = open_.filter("comp <> b_comp").select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
-        else:  # what pivots leave: all pairs across components
-            x, y = open_.select("sig", F.col("rep").alias("a"), F.col("comp").alias("ca")), open_.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            new = x.join(y, "sig").filter("a > b and ca <> cb").select("a", "b")
-        new = settle(new.distinct().join(tried, ["a", "b"], "leftanti"), "pairs")
-        tried = tried.unionByName(new)
-        more = settle(_verified(new, sets, num, den), "links")
+        if turn < pivots:  # each signature's hub with the members of other components
+            new = open_.filter("comp <> b_comp").select(F.col("rep").alias("a"), "b").distinct().join(tried, ["a", "b"], "leftanti")
+            new = settle(new, "pairs")
+            tried = tried.unionByName(new)
+            more = settle(_verified(new, sets, num, den), "links")
+        else:  # what hubs leave: all sets that still share signatures, in blocks
+            more = settle(_blocks(open_, sets, num, den), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = settle(components(links), "components")

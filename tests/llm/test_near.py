@@ -92,8 +92,9 @@ def test_blocks_find_links(spark):
 
 def test_graph_components(spark):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(e, "a bigint, b bigint")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
+    for few in (0, 1000):
+        got = {r.node: r.component for r in components(spark.createDataFrame(e, "a bigint, b bigint"), few).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}}
 
 
 # lines ---------------------------------------------------------------------------
