@@ -113,10 +113,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     half = lambda n: F.expr(f"shiftleft(1, length(bin({n})) - 2)")
     ends = lines.filter("ends is not null").select("k", "n", F.posexplode("ends").alias("e", "end"))
-    shared = ends.groupBy("end").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).filter("lo <> hi").select("end", "least", "most")
+    shared = ends.groupBy("end").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi").select("end")
     shared = settle(shared, "line-shared-ends")
+    some = may_be_in(ends, "end", bitmap(shared, "end")).join(shared, "end")
+    bounds = some.groupBy("end").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     side, c = F.when(F.col("e") % 2 == 0, "p").otherwise("s"), F.when(F.col("e") < 2, half("n")).otherwise(half("n + 1"))
-    open_ends = settle(may_be_in(ends, "end", bitmap(shared, "end")).join(shared, "end").select("k", "end", side.alias("side"), c.alias("c"), "least", "most").distinct(), "line-open-ends")
+    open_ends = settle(some.join(bounds, "end").select("k", "end", side.alias("side"), c.alias("c"), "least", "most").distinct(), "line-open-ends")
 
     held = open_ends.select("k").distinct()
     held = settle(may_be_in(firsts, "k", bitmap(held, "k")).join(held, "k").select("k", "k2", "at"), "line-held")
