@@ -130,10 +130,12 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
     if not len(row):
         return nothing
     n_toxic, n_clean = int(y.sum()), int((~y).sum())
+    del texts
     vocab, marks, kinds = [], [], []
     for f in feats:
         u, which = np.unique(f, return_inverse=True)
         pairs = np.unique(which.astype(np.int64) * len(y) + row)
+        del which
         doc, feat = pairs % len(y), pairs // len(y)
         t, c = np.bincount(feat[y[doc]], minlength=len(u)), np.bincount(feat[~y[doc]], minlength=len(u))
         telling = (t >= least) & ((t + 0.5) / (n_toxic + 1) >= ratio * (c + 0.5) / (n_clean + 1))
@@ -205,7 +207,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1_500, max_clean: int = 3_000, max_bytes: int = 64 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 700, max_clean: int = 1_500, max_bytes: int = 64 << 20) -> Model:
     """Fits a model on a bounded sample of the labelled rows that are not held out.
 
     The sample is by a hash of the id, ``max_toxic`` and ``max_clean`` rows at most,
@@ -221,7 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if size > max_bytes:
             break
         kept.append(r)
-    return fit([r.text or "" for r in kept], [r.y for r in kept])
+    texts, y = [r.text or "" for r in kept], [r.y for r in kept]
+    del kept
+    return fit(texts, y)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
