@@ -81,7 +81,7 @@ def lacking(n, num: int, den: int):
 class Packer:
     """Collects (element, document) and gives packed rows by bucket, and counts of what meets here."""
 
-    def __init__(self, buckets: int, most: int = 3_000_000):
+    def __init__(self, buckets: int, most: int = 1_200_000):
         self.buckets, self.most = buckets, most
         self.rows, self.elems, self.size = [], [], 0
         self.seen: set[bytes] = set()
@@ -230,7 +230,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     x = sets.select(F.col("rep").alias("a"), F.col("elems").alias("x"), F.col("n").alias("nx"))
     y = sets.select(F.col("rep").alias("b"), F.col("elems").alias("y"), F.col("n").alias("ny"))
     sizes = pairs.join(x.drop("x"), "a").join(y.drop("y"), "b").filter(den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")).select("a", "b")
-    return sizes.join(x.drop("nx"), "a").join(y.drop("ny"), "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    sizes = settle(sizes, "sized-pairs")
+    x, y = may_be_in(x.drop("nx"), "a", bitmap(sizes, "a")), may_be_in(y.drop("ny"), "b", bitmap(sizes, "b"))
+    return sizes.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
 def _links_between(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
@@ -303,7 +305,7 @@ def _blocks(open_: DataFrame, sets: DataFrame, num: int, den: int, block: int =
     sides = pairs.select("i", "j", F.col("i").alias("blk")).unionByName(pairs.filter("i <> j").select("i", "j", F.col("j").alias("blk")))
     rows = sides.join(own, "blk")
     tasks = 1 + rows.count() // 1024  # small pairs share tasks
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("i", "j"), F.lit(tasks))).join(sets, "rep")
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("i", "j"), F.lit(tasks))).join(may_be_in(sets, "rep", bitmap(own, "rep")), "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
