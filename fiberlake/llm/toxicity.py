@@ -130,6 +130,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
     if not len(row):
         return nothing
     n_toxic, n_clean = int(y.sum()), int((~y).sum())
+    least = min(least, 3 if n_toxic < 20 else 4 if n_toxic < 50 else least)  # few labels: fewer documents must agree
     del texts
     vocab, marks, kinds = [], [], []
     for f in feats:
