@@ -101,13 +101,13 @@ class Views:
 
     def live_incidents(self) -> DataFrame:
         """Incidents moved into the hour of the dense detections, whole seconds."""
-        i = self.table("orders").filter("o_orderkey % 50 = 1")
+        i = self.table("orders")
         k = F.col("o_orderkey")
         pick = F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (k % 5 + 1).cast("int"))
         return i.select(F.concat(F.lit("inc-"), k.cast("string")).alias("incident_id"), pick.alias("fiber_id"), (k % 2).cast("int").alias("direction"), F.timestamp_micros(F.lit(T0_US) + (k % 3600) * 1_000_000).alias("timestamp"), (F.col("o_custkey") % 150).cast("int").alias("channel_start"), (F.col("o_custkey") % 150 + k % 10).cast("int").alias("channel_end"), F.lit("accident").alias("incident_type"), F.lit("high").alias("severity"), F.lit("active").alias("status"))
 
     def actions(self) -> DataFrame:
-        o = self.table("orders").filter("o_orderkey % 7 = 0")
+        o = self.table("orders")
         k = F.col("o_orderkey")
         steps = F.array(*[F.struct(F.lit(n).alias("n"), a.alias("from_status"), b.alias("to_status")) for n, a, b in ((0, F.lit("active"), F.lit("acknowledged")), (1, F.when(k % 3 == 0, "active").otherwise("acknowledged"), F.lit("investigating")), (2, F.lit("investigating"), F.when(k % 5 == 0, "acknowledged").otherwise("resolved")))])
         rows = o.select(F.concat(F.lit("inc-"), k.cast("string")).alias("incident_id"), F.col("o_orderdate").cast("timestamp").alias("d"), F.inline(steps))
