@@ -30,7 +30,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document all of whose words went is gone."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, min_chars=1)
     out = out.filter((F.col("_dropped") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

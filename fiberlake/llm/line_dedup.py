@@ -26,7 +26,9 @@ to drop, are shuffled: bitmaps of fixed size (8 MB) of hashed keys tell the othe
 Only DataFrame functions are used. Nulls: a null text has no lines and stays null;
 rows with a null id stay as they are and take no part. Repeated rows of one id count
 as one document, so they lose the same lines. Empty texts and tables stay empty.
-Blank and short lines always stay. Columns of the input are kept, whatever their names.
+Blank lines always stay, as do lines below ``min_chars``; with 1, which the query and the
+pipeline take, every other line is compared. Columns of the input are kept, whatever
+their names.
 """
 
 from __future__ import annotations
