@@ -22,10 +22,8 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below a half."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score(docs, model).filter("score >= 0.5").select("doc_id")
-    return _without(docs, bad, "toxic-ids")
+    """Rows whose own toxicity score is below a half, whatever their ids and other rows of them."""
+    return toxicity.below(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

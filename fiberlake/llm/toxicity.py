@@ -260,3 +260,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, n_toxic long, spans array<struct<start:int,stop:int>>")
+
+
+def below(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose own score is below ``limit``, whatever their ids."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for part in pieces(batch, at):
+                _, _, _, _, feats, row, chain = read_words(part.column(at))
+                expected, highest = per_row(marginals(m.emission(feats), chain, m.pair), row, len(part))
+                yield part.filter(pa.array(m.score(expected, highest) < limit))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@
 import duckdb
 
 import corpus_pipeline
-from fiberlake.llm import queries
+from fiberlake.llm import queries, toxicity
 
 from test_near import brute_lines
 
@@ -25,3 +25,14 @@ def test_lines_match_sql_of_every_length(spark, sf):
     want = {tuple(r) for r in con.sql(f"SELECT doc_id, n_lines, n_dropped, text FROM ({sql})").fetchall()}
     got = {(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in queries.op7_line_dedup(spark, sf).collect()}
     assert got == want
+
+
+def test_toxic_rows_go_by_their_own_score(spark, odd_docs, sf, monkeypatch):
+    clean, toxic = [f"some good words about number {i}" for i in range(40)], [f"vile slurry filth {i}" for i in range(40)]
+    model = toxicity.fit(clean + toxic, [0] * 40 + [1] * 40)
+    monkeypatch.setattr(toxicity, "train", lambda *_: model)
+    rows = [(None, toxic[0]), (None, clean[0]), (1, toxic[1]), (1, clean[1]), (2, toxic[2]), (2, toxic[2]), (3, clean[3]), (3, clean[3]), (4, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.toxic_stage(spark, docs, sf).collect()), key=repr)
+    assert got == sorted(((d, t) for d, t in rows if t not in toxic), key=repr)
+    assert corpus_pipeline.toxic_stage(spark, odd_docs, sf).count() == toxicity.score(odd_docs, model).filter("score < 0.5").count()
