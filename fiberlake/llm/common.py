@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where none is set."""
+    """The folder every executor can reach; a temporary one only where none is set and Spark runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _own_dir[0]
@@ -37,7 +39,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``settle`` that nothing will read again."""
+    for df in tables:
+        spark, path = df.sparkSession, df._settled_at
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def rank_within(df: DataFrame, key: str, order: list[str], rank: str, per: int = 5_000) -> DataFrame:

@@ -10,9 +10,8 @@ stays itself.
 How near lines meet:
 
 1. One edit leaves the first or the last ``c`` words of both lines as they are, where
-   ``c`` is half the greatest power of two up to the longer line's length. Lines that
-   share no such end with another line have no neighbour and go no further. This loses
-   nothing.
+   ``c`` is near half the longer line's length (``_half``). Lines that share no such end
+   with another line have no neighbour and go no further. This loses nothing.
 2. The others emit, for each shared end, every variant with one word of the other part
    deleted, as hashed keys. Replaced words meet at equal variants of the same place;
    an inserted word's variant meets the whole shorter line.
@@ -20,8 +19,11 @@ How near lines meet:
    line is compared with the earliest of its keys and the edit distance verified on
    the words themselves.
 
-Texts are read three times and only those of documents with such lines, or with lines
-to drop, are shuffled: bitmaps of fixed size (8 MB) of hashed keys tell the others.
+Aggregates combine before they shuffle, and joins stand between two exchanges, so Spark
+can split a key that many rows have. Of the texts only lines that have a shared end are
+shuffled, and in the end the texts of documents that lose lines. Bitmaps of fixed size
+(8 MB) of hashed keys leave out most rows that a join would drop. Tables go as soon as
+nothing reads them any more.
 
 Only DataFrame functions are used. Nulls: a null text has no lines and stays null;
 rows with a null id stay as they are and take no part. Repeated rows of one id count
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, may_be_in, settle
+from .common import bitmap, drop, marked, may_be_in, settle
 
 #: White space of ASCII, as it is cut from the ends of lines.
 BLANK = " \t\n\x0b\x0c\r"
@@ -47,14 +49,19 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
+def _half(n: str) -> Column:
+    """Words of an end: at most half of ``n``, the same for some lengths that follow each other."""
+    step = f"shiftleft(1, greatest(length(bin({n})) - 4, 0))"
+    return F.expr(f"cast(({n}) div (2 * {step}) * {step} as int)")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, near_words: int) -> DataFrame:
     """(doc, no, k, k2, n, ends): each line's hashes, words and, if it has enough, hashed ends."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     rows = rows.select("doc", "no", _trimmed(F.col("line")).alias("line")).filter(F.length("line") >= min_chars)
     n = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
     rows = rows.select("doc", "no", "line", n.alias("n"), F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2"))
-    half = lambda n: F.expr(f"shiftleft(1, length(bin({n})) - 2)")
-    rows = rows.withColumn("c", half("n")).withColumn("c1", half("n + 1"))
+    rows = rows.withColumn("c", _half("n")).withColumn("c1", _half("n + 1"))
     first = lambda c: F.xxhash64(F.lit("p"), F.col(c), F.expr(f"substring_index(line, ' ', {c})"))
     last = lambda c: F.xxhash64(F.lit("s"), F.col(c), F.expr(f"substring_index(line, ' ', -{c})"))
     ends = F.when(F.col("n") >= near_words, F.when(F.col("c") == F.col("c1"), F.array(first("c"), last("c"))).otherwise(F.array(first("c"), last("c"), first("c1"), last("c1"))))
@@ -76,10 +83,12 @@ def _variants(near: DataFrame) -> DataFrame:
         h = F.xxhash64("word", place)
         rows = rows.withColumn(f"{name}0", h.bitwiseAND(F.lit(0x7FFFFFFF))).withColumn(f"{name}1", F.shiftrightunsigned(h, 33))
     one = W.partitionBy("k", "end", "n")
-    upto, after = one.orderBy("i").rowsBetween(W.unboundedPreceding, -1), one.orderBy("i").rowsBetween(1, W.unboundedFollowing)
-    some = lambda x, over: F.coalesce(F.sum(x).over(over), F.lit(0))
-    cut = F.xxhash64("end", *[some(f"here{p}", upto) + some(f"back{p}", after) for p in (0, 1)])
-    whole = F.xxhash64("end", *[some(f"here{p}", upto) + F.col(f"here{p}") for p in (0, 1)])
+    upto = one.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    for p in (0, 1):  # the words before a place as they stand, those after it one place back
+        here, back = F.sum(f"here{p}").over(upto), F.sum(f"back{p}").over(one) - F.sum(f"back{p}").over(upto)
+        rows = rows.withColumn(f"upto{p}", here).withColumn(f"after{p}", back)
+    cut = F.xxhash64("end", *[F.col(f"upto{p}") - F.col(f"here{p}") + F.col(f"after{p}") for p in (0, 1)])
+    whole = F.xxhash64("end", "upto0", "upto1")
     rows = rows.select("k", "n", "i", "least", "most", cut.alias("cut"), whole.alias("whole"), F.when(F.col("side") == "p", F.col("i") >= F.col("c")).otherwise(F.col("i") < F.col("n") - F.col("c")).alias("open"))
     kind = lambda name, on, *parts: F.when(on, F.struct(F.xxhash64(*parts).alias("key"), F.lit(name).alias("kind")))
     keys = F.array(
@@ -113,40 +122,52 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = settle(_lines(docs, id_col, text_col, min_chars, near_words), "lines")
     firsts = settle(lines.groupBy("k", "k2").agg(F.min(F.struct("doc", "no")).alias("at"), F.count(F.lit(1)).alias("copies")), "line-firsts")
 
-    half = lambda n: F.expr(f"shiftleft(1, length(bin({n})) - 2)")
     ends = lines.filter("ends is not null").select("k", "n", F.posexplode("ends").alias("e", "end"))
-    shared = ends.groupBy("end").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi").select("end")
-    shared = settle(shared, "line-shared-ends")
-    some = may_be_in(ends, "end", bitmap(shared, "end")).join(shared, "end")
-    bounds = some.groupBy("end").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    side, c = F.when(F.col("e") % 2 == 0, "p").otherwise("s"), F.when(F.col("e") < 2, half("n")).otherwise(half("n + 1"))
-    open_ends = settle(some.join(bounds, "end").select("k", "end", side.alias("side"), c.alias("c"), "least", "most").distinct(), "line-open-ends")
-
-    held = open_ends.select("k").distinct()
-    held = settle(may_be_in(firsts, "k", bitmap(held, "k")).join(held, "k").select("k", "k2", "at"), "line-held")
-    some = marked(docs, id_col, bitmap(held, "at.doc")).filter("__maybe")
-    text = some.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(held.select("k", "k2", "at", F.col("at.doc").alias("doc"), F.col("at.no").alias("no")), "doc")
-    text = text.select("k", "k2", "at", _trimmed(F.get(F.split("text", "\n"), F.col("no"))).alias("line"))
-    text = text.filter((F.xxhash64("line") == F.col("k")) & (F.xxhash64(F.lit(1), "line") == F.col("k2")))
-    held = settle(text.select("k", "k2", "at", F.split("line", " ").alias("words")).dropDuplicates(["k", "k2"]), "line-words")
-
-    keys = _variants(held.withColumn("n", F.size("words")).join(open_ends, "k"))
+    shared = ends.groupBy("end").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).filter("lo <> hi")
+    shared = settle(shared.select("end", "least", "most"), "line-shared-ends")
+    # copies of a line count once before the join
+    some = may_be_in(ends, "end", bitmap(shared, "end")).groupBy("k", "end", "e").agg(F.first("n").alias("n"))
+    side, c = F.when(F.col("e") % 2 == 0, "p").otherwise("s"), F.when(F.col("e") < 2, _half("n")).otherwise(_half("n + 1"))
+    open_ends = settle(some.join(shared, "end").select("k", "end", side.alias("side"), c.alias("c"), "least", "most"), "line-open-ends")
+    drop(shared)
+
+    met = open_ends.select("k").distinct()
+    held = settle(may_be_in(firsts, "k", bitmap(open_ends, "k")).join(met, "k").select("k", "k2", "at"), "line-held")
+    # the lines themselves, found by their place in the texts
+    spot = lambda doc, no: F.xxhash64(doc, no).alias("spot")
+    places = bitmap(held.select(spot("at.doc", "at.no")), "spot")
+    text = marked(docs, id_col, bitmap(held, "at.doc")).filter("__maybe").select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    text = may_be_in(text.select(spot("doc", "no"), _trimmed(F.col("line")).alias("line")), "spot", places)
+    text = text.select(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), "line").alias("k2"), F.split("line", " ").alias("words"))
+    words = settle(text.join(held, ["k", "k2"]).dropDuplicates(["k", "k2"]), "line-words")
+    drop(held)
+
+    keys = _variants(words.select("k", "words", F.size("words").alias("n")).join(open_ends, "k"))
     keys = settle(keys, "line-variants")
+    drop(open_ends)
     shared = keys.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi").select("key")
     shared = settle(shared, "line-shared-variants")
-    met = settle(may_be_in(keys, "key", bitmap(shared, "key")).join(shared, "key").join(held.select("k", "k2", "at"), "k"), "line-met")
+    met = may_be_in(keys, "key", bitmap(shared, "key")).join(shared, "key").select("k", "key", "kind").join(words.select("k", "k2", "at"), "k")
+    met = settle(met, "line-met")
+    drop(keys, shared)
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("at", "k", "k2"))).alias(f"e{kind}")
     first = met.groupBy("key").agg(of(SAME), of(LONGER), of(SHORTER))
     other = F.when(F.col("kind") == SAME, F.col(f"e{SAME}")).when(F.col("kind") == LONGER, F.col(f"e{SHORTER}")).otherwise(F.col(f"e{LONGER}"))
     pairs = met.join(first, "key").select("k", "k2", "at", other.alias("o")).filter(F.col("o.at") < F.col("at"))
-    pairs = pairs.select("k", "k2", F.col("o.k").alias("ok"), F.col("o.k2").alias("ok2")).distinct()
-    a, b = held.select("k", "k2", "words"), held.select(F.col("k").alias("ok"), F.col("k2").alias("ok2"), F.col("words").alias("other"))
+    pairs = settle(pairs.select("k", "k2", F.col("o.k").alias("ok"), F.col("o.k2").alias("ok2")).distinct(), "line-pairs")
+    drop(met)
+    a, b = words.select("k", "k2", "words"), words.select(F.col("k").alias("ok"), F.col("k2").alias("ok2"), F.col("words").alias("other"))
+    a, b = may_be_in(a, "k", bitmap(pairs, "k")), may_be_in(b, "ok", bitmap(pairs, "ok"))
     near = pairs.join(a, ["k", "k2"]).join(b, ["ok", "ok2"]).filter(_one_edit(F.col("words"), F.col("other"))).select("k", "k2").distinct().withColumn("near", F.lit(True))
 
     near = settle(near, "line-near")
+    drop(pairs, words)
     groups = settle(firsts.join(near, ["k", "k2"], "left").filter("copies > 1 or near").select("k", "k2", "at", "near"), "line-groups")
+    drop(firsts, near)
     hit = may_be_in(lines.select("doc", "no", "k", "k2"), "k", bitmap(groups, "k")).join(groups, ["k", "k2"])
-    return hit.filter(F.col("near") | (F.col("at") < F.struct("doc", "no"))).select("doc", "no")
+    gone = settle(hit.filter(F.col("near") | (F.col("at") < F.struct("doc", "no"))).select("doc", "no"), "line-places")
+    drop(lines, groups)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, near_words: int = 8) -> DataFrame:
@@ -154,16 +175,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Adds ``_lines`` (lines before, 0 for null) and ``_dropped`` (lines that went).
     """
-    gone = dropped_lines(docs, id_col, text_col, min_chars, near_words)
-    gone = settle(gone.groupBy(F.col("doc").alias("__ld_doc")).agg(F.collect_set("no").alias("__ld_gone")), "lines-gone")
+    places = dropped_lines(docs, id_col, text_col, min_chars, near_words)
+    gone = places.groupBy(F.col("doc").alias("__ld_doc")).agg(F.sort_array(F.collect_set("no")).alias("__ld_gone"))
+    gone = settle(gone, "lines-gone")
+    drop(places)
+    # a byte for each line up to the last that goes: 1 if it goes
+    run = lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.get("__ld_gone", i - 1)).otherwise(F.lit(-1)) - 1), F.lit("1"))
+    mask = F.array_join(F.transform("__ld_gone", run), "").cast("binary")
+    gone = gone.select("__ld_doc", F.size("__ld_gone").alias("__ld_n"), mask.alias("__ld_mask"))
     told = marked(docs, id_col, bitmap(gone, "__ld_doc"))
     text = F.col(text_col)
     lines = F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     clean = told.filter("not __maybe").select(*docs.columns, lines.alias("_lines"), F.lit(0).alias("_dropped"))
     rows = told.filter("__maybe")
     rows = rows.join(gone, rows[id_col] == gone["__ld_doc"], "left")
-    split = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__ld_gone"))
-    new = F.when(F.col("__ld_gone").isNull() | text.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    rows = rows.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines.alias("_lines"), F.coalesce(F.size("__ld_gone"), F.lit(0)).alias("_dropped"))
+    stays = lambda line, i: F.substring("__ld_mask", i + 1, F.lit(1)) != F.lit(b"1")
+    new = F.when(F.col("__ld_mask").isNull() | text.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+    rows = rows.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines.alias("_lines"), F.coalesce("__ld_n", F.lit(0)).alias("_dropped"))
     return clean.unionByName(rows)
