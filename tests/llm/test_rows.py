@@ -5,6 +5,9 @@ import re
 import zlib
 from fractions import Fraction
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -195,28 +198,36 @@ def test_rollups(spark, odd_docs, no_docs, tmp_path):
 
 # top-k -------------------------------------------------------------------------------
 def brute_top(vecs, k):
+    """For (id, integers) rows, each a candidate of all but itself; scores end where longs do."""
     out = []
-    for q, x in vecs.items():
+    for i, (q, x) in enumerate(vecs):
         if q % 20 == 0:
-            s = sorted((-int(x @ y), c) for c, y in vecs.items() if c != q)[:k]
-            out += [(q, i + 1, c, -v) for i, (v, c) in enumerate(s)]
+            score = lambda y: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y))))
+            s = sorted((-score(y), c) for j, (c, y) in enumerate(vecs) if i != j)[:k]
+            out += [(q, n + 1, c, -v) for n, (v, c) in enumerate(s)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale,n,k", [(0.3, 300, 20), (1000.0, 90, 7), (0.3, 10, 20), (1e8, 45, 5)])
+@pytest.mark.parametrize("scale,n,k", [(0.3, 300, 20), (1000.0, 90, 7), (0.3, 10, 20), (5e6, 60, 4), (1e8, 45, 5), (1e307, 25, 3)])
 def test_top_k(spark, scale, n, k):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(n, 8)) * scale
     x[n // 3 : n // 2] = x[n // 3]  # many equal vectors: ties
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    ids = [0 if i == 3 else 7 if i == 4 else i for i in range(n)]  # repeated ids
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id bigint, embedding array<double>")
     got = topk.top_k(df, F.col("id") % 20 == 0, k=k, query_block=4, block=64)
-    ints = np.clip(np.floor(64 * x), -(2.0**28), 2.0**28).astype(np.int64)
-    assert sorted(map(tuple, got.collect())) == brute_top(dict(enumerate(ints)), k)
+    ints = [[math.floor(64 * Fraction(float(v))) for v in r] for r in x]
+    assert sorted(map(tuple, got.collect())) == brute_top(list(zip(ids, ints)), k)
+
+
+def test_top_k_of_large_components(spark):
+    df = spark.createDataFrame([(0, [5e6, 0.0], "x", 1), (1, [1.0, 0.0], "y", 2)], "vec_id bigint, embedding array<float>, row string, id int")
+    assert [tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0).collect()] == [(0, 1, 1, 20_480_000_000)]
 
 
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (20, [0.5]), (None, [1.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0, 1.0, 1.0]), (8, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = sorted(map(tuple, topk.top_k(df, F.col("id") % 20 == 0, k=2).collect()))
-    assert got == [(0, 1, 8, 64 * 64 * 3), (0, 2, 20, 32 * 64), (20, 1, 0, 32 * 64), (20, 2, 8, 32 * 64)]
+    assert got == [(0, 1, 8, 64 * 64 * 3), (0, 2, 8, 64 * 64 * 3), (20, 1, 0, 32 * 64), (20, 2, 8, 32 * 64)]
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
