@@ -92,16 +92,16 @@ link AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS
 reach AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT reach.d, link.b FROM reach JOIN link ON link.a = reach.r)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.r) AS component_id FROM n JOIN reach ON reach.d = n.doc_id GROUP BY ALL""",
     "op6_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 20""",
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, no, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, raw
       FROM (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS raw FROM d)),
-u AS (SELECT line, min({'d': doc_id, 'n': no}) AS pos, count(*) AS copies, string_split(line, ' ') AS w FROM l WHERE length(line) >= 20 GROUP BY line),
+u AS (SELECT line, min({'d': doc_id, 'n': no}) AS pos, count(*) AS copies, string_split(line, ' ') AS w FROM l WHERE length(line) >= 1 GROUP BY line),
 m AS (SELECT line, pos, w, len(w) AS n, length(bin(len(w))) AS e, length(bin(len(w) + 1)) AS e1 FROM u WHERE len(w) >= 8),
 c AS (SELECT *, (1::BIGINT << (e - 2)) AS c FROM m UNION ALL SELECT *, (1::BIGINT << (e1 - 2)) AS c FROM m WHERE e1 > e),
 k AS (SELECT line, pos, w, n, c, array_to_string(w[1:c], ' ') AS k, 'p' AS side FROM c UNION ALL SELECT line, pos, w, n, c, array_to_string(w[n - c + 1:n], ' '), 's' FROM c),
