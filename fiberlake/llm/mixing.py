@@ -1,27 +1,32 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source is to supply a target number of words. A document's expected copies are
-its source's target over the source's words. The whole part of that is allocated to
-every document; the fraction is the inclusion probability of one more copy. Documents
-are ranked by their random odds u / (1 - u) divided by the inclusion odds
-p / (1 - p), and the first ones are taken until their words meet what is left of the
-target (Rosen's order sampling, with the fixed size counted in words). The document
-at the limit is replaced by the one whose words fit the rest best.
-
-The order within a source is never sorted as a whole: scores fall into ``buckets``
-equal ranges of u, whose words are summed first, and only the range in which the
-target is met is ordered. So a source with a third of all rows is dealt over all
-tasks.
-
-Only DataFrame functions are used. Random numbers come from a hash of the id and the
-seed, so reruns agree. Nulls: a null text has size 0; a null source is a source of
-its own, last in order; a null id has a number of its own. Texts without words are
-never taken. Repeated rows are documents of their own with the same number. The
-table of sources is ordered in one task: it has one row a source, not a document.
+Each source is to supply a target number of words. Within it a document's expected
+copies follow its weight, up to ``most``: the level at which the expected words meet the
+target is found over the words of each weight. The whole part of the expected copies is
+allocated for certain; the fraction is the inclusion probability of one more copy, so
+documents of other weights have other probabilities. They are ranked by their random odds
+u / (1 - u) divided by their inclusion odds p / (1 - p), and the first ones are taken
+until their words meet what is left of the target (Rosen's order sampling, with the fixed
+size counted in words). The document at the limit is replaced by the one whose words fit
+the rest best.
+
+The order within a source is never sorted as a whole: ranks fall into ``buckets``
+ranges, whose words are summed first, and only the range in which the target is met is
+ordered. So a source with a third of all rows is dealt over all tasks.
+
+Only DataFrame functions are used. Random numbers come from a hash of the id, the size
+and the seed, so reruns agree. Nulls: a null text has size 0; a null source is a source
+of its own, last in order; a null id has a number by its size. Texts without words are
+never taken. Repeated rows are documents of their own with the same number; all are
+taken alike but where the target is met among them. An empty table gives no rows. Columns
+of other names are not looked at. The table of sources is ordered in one task: it has one
+row a source, not a document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,22 +67,57 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tupl
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), most: int = 2, seed: int = 1, buckets: int = 4096) -> DataFrame:
-    """(id, source, size, source_size, target, copies) of every row; copies >= 0."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(docs[id_col], seed).alias("u"))
-    rows = settle(rows, "mix-sizes")
+#: Weights are whole numbers from 1 to this.
+HEAVIEST = 64
+
+
+def bits(size: Column) -> Column:
+    """How many binary digits the size has: twice as long a document weighs one more."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def levels(words_of: DataFrame, most: int) -> DataFrame:
+    """Expected copies of ``words_of(source, weight, words, target)``: (source, weight, expected).
+
+    They are ``most`` for the heaviest and proportional to the weight below, so that the
+    words expected of a source sum to its target. One sweep from the heaviest weight: a
+    weight is at the limit if its share of what those before it have left is not below.
+    """
+    down = W.partitionBy("source").orderBy(F.desc("weight"))
+    before, rest, every = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(0, W.unboundedFollowing), down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    s = words_of.select("*", (F.coalesce(F.sum("words").over(before), F.lit(0)) * most).alias("used"), F.sum(F.col("words") * F.col("weight")).over(rest).alias("heavy"))
+    share = (F.col("target") - F.col("used").cast("double")) / F.col("heavy").cast("double")
+    full = F.lit(float(most)) <= share * F.col("weight")
+    level = F.max(F.when(~full, F.struct("weight", share.alias("level")))).over(every)
+    expected = F.when(level.isNull() | full, F.lit(float(most))).otherwise(level["level"] * F.col("weight"))
+    return s.select("source", "weight", F.greatest(expected, F.lit(0.0)).alias("expected"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), most: int = 2, seed: int = 1, buckets: int = 4096, weight: Callable[[Column], Column] = bits) -> DataFrame:
+    """(id, source, size, source_size, target, copies) of every row; copies >= 0.
+
+    ``weights`` are those of the sources in order; ``weight`` gives a document's own from
+    its size, held within 1 to ``HEAVIEST``.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    own = F.least(F.greatest(weight(F.col("size")), F.lit(1)), F.lit(HEAVIEST)).cast("long")
+    rows = settle(rows.select("*", own.alias("weight"), uniform(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string")), seed).alias("u")), "mix-sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
     goal = settle(goal, "mix-targets")
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    # the whole part, and the words that are left to take from one more copy of some
-    goal = goal.select("source", "source_size", "target", F.floor(share).alias("whole")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    p = F.least(F.col("left") / F.col("source_size"), F.lit(1 - 1e-9))
-    odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    d = rows.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumn("open", (F.col("size") > 0) & (F.col("left") >= 0.5))
-    d = d.withColumn("odds", F.when(F.col("open"), odds)).withColumn("bucket", F.when(F.col("open"), F.floor(F.col("u") * buckets)))
-
-    # one source's inclusion odds are equal, so ranges of u are ranges of the ranking
+    sums = rows.filter("size > 0").groupBy("source", "weight").agg(F.sum("size").alias("words"))
+    sums = sums.join(goal.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).select("source", "weight", "words", "target")
+    copies = levels(sums, most).select(F.col("source").alias("s"), F.col("weight").alias("w"), F.floor("expected").alias("whole"), (F.col("expected") - F.floor("expected")).alias("p"))
+    sums = sums.join(copies, F.col("source").eqNullSafe(F.col("s")) & (F.col("weight") == F.col("w")))
+    # the words that are left to take from one more copy of some
+    left = sums.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("left")).select(F.col("source").alias("ls"), "left")
+    plan = settle(sums.join(left, F.col("source").eqNullSafe(F.col("ls"))).select("s", "w", "whole", "p", "left"), "mix-plan")
+    d = rows.join(goal.withColumnRenamed("source", "gs"), F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
+    d = d.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("weight") == F.col("w")) & (F.col("size") > 0), "left").drop("s", "w", "weight")
+    d = d.withColumn("open", F.coalesce((F.col("p") > 0) & (F.col("left") >= 0.5), F.lit(False)))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    d = d.withColumn("odds", F.when(F.col("open"), odds)).withColumn("bucket", F.floor((1 - 1 / (1 + F.col("odds"))) * buckets))
+
+    # buckets follow the ranking, so all of those before the one where the target is met are taken
     sums = d.filter("open").groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("left").alias("left"))
     so_far = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
@@ -100,5 +140,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = extra.select(F.col("source").alias("s"), F.col("x.odds").alias("x_odds"), F.col("x.id").alias("x_id"), F.col("x.size").alias("x_size"))
     d = d.join(extra, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     added = F.coalesce(F.col("open") & ~F.col("taken") & (F.col("odds") == F.col("x_odds")) & F.col("id").eqNullSafe(F.col("x_id")) & (F.col("size") == F.col("x_size")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("taken") | added, F.lit(1)).otherwise(F.lit(0))).otherwise(F.lit(0))
+    copies = F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0)) + F.when(F.col("taken") | added, F.lit(1)).otherwise(F.lit(0))).otherwise(F.lit(0))
     return d.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))

@@ -113,8 +113,8 @@ f AS (SELECT l.doc_id, l.no, l.raw, (u.line IS NOT NULL AND (u.pos < {'d': l.doc
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text FROM f GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
     "op10_mixing": rf"""
-WITH r AS (SELECT doc_id AS id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size,
-                  (('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+WITH r0 AS (SELECT doc_id AS id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
+r AS (SELECT *, greatest(1, least(64, length(bin(size)))) AS wt, (('0x' || substr(md5('1:' || coalesce(id::VARCHAR, 'null') || ':' || size), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM r0),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3) + 1]::BIGINT AS w, source_size * 2 AS lim FROM s),
 t AS (SELECT *, coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left,
@@ -122,9 +122,16 @@ t AS (SELECT *, coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1
 t2 AS (SELECT *, (total - used * 2)::DOUBLE / (w_left * 2)::DOUBLE AS share FROM t),
 t3 AS (SELECT *, arg_min(share, k) FILTER (lim > share * w) OVER () AS level FROM t2),
 g AS (SELECT source, source_size, CASE WHEN level IS NULL OR lim <= share * w THEN lim::DOUBLE ELSE w * level END AS target FROM t3),
-g2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g),
-d AS (SELECT r.id, r.source, size, u, source_size, target, whole, target - whole * source_size AS rest FROM r JOIN g2 ON r.source IS NOT DISTINCT FROM g2.source),
-d2 AS (SELECT *, size > 0 AND rest >= 0.5 AS open, (u / (1 - u)) / (least(rest / source_size, 1 - 1e-9) / (1 - least(rest / source_size, 1 - 1e-9))) AS odds FROM d),
+k0 AS (SELECT r.source, wt, sum(size)::BIGINT AS words, any_value(target) AS target FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE size > 0 GROUP BY r.source, wt),
+k1 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY wt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2 AS used,
+              sum(words * wt) OVER (PARTITION BY source ORDER BY wt DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM k0),
+k2 AS (SELECT *, (target - used::DOUBLE) / heavy::DOUBLE AS share FROM k1),
+k3 AS (SELECT *, arg_max(share, wt) FILTER (2.0 > share * wt) OVER (PARTITION BY source) AS level FROM k2),
+k4 AS (SELECT *, greatest(CASE WHEN level IS NULL OR 2.0 <= share * wt THEN 2.0::DOUBLE ELSE level * wt END, 0.0::DOUBLE) AS expected FROM k3),
+k5 AS (SELECT source, wt, floor(expected) AS whole, expected - floor(expected) AS p, target - sum(floor(expected) * words) OVER (PARTITION BY source) AS rest FROM k4),
+d AS (SELECT r.id, r.source, size, u, source_size, target, coalesce(whole, 0) AS whole, p, coalesce(rest, 0) AS rest
+      FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN k5 ON r.source IS NOT DISTINCT FROM k5.source AND r.wt = k5.wt AND size > 0),
+d2 AS (SELECT *, size > 0 AND coalesce(p, 0) > 0 AND rest >= 0.5 AS open, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM d),
 c AS (SELECT *, sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY NOT open, odds, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM d2),
 e AS (SELECT *, open AND upto <= rest AS took FROM c),
 e2 AS (SELECT *, sum(CASE WHEN took THEN size ELSE 0 END) OVER (PARTITION BY source) AS got FROM e),

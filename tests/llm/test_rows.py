@@ -1,13 +1,12 @@
 """Sharding, packing, mixing, token counts, top-k: laws and brute force."""
 
 import collections
+import hashlib
+import math
 import re
 import zlib
 from fractions import Fraction
 
-import math
-from fractions import Fraction
-
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -15,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fiberlake.llm import bpe, mixing, packing, ring, token_counts, topk
-from fiberlake.llm.common import rank_within
+from fiberlake.llm.common import rank_within, settle
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -160,22 +159,80 @@ def test_targets(spark, sizes):
     assert got == pytest.approx({k: float(v) for k, v in brute_targets(sizes).items()})
 
 
+def brute_mix(rows, most=2):
+    """Copies of (id, size, source) rows, in their order: levels, Pareto ranks and the document that fits best."""
+    out = [0] * len(rows)
+    goal = brute_targets({s: sum(r[1] for r in rows if r[2] == s) for s in {r[2] for r in rows}})
+    for source, target in goal.items():
+        mine = [i for i, r in enumerate(rows) if r[2] == source and r[1]]
+        heavy, words = {i: min(64, rows[i][1].bit_length()) for i in mine}, {}
+        for i in mine:
+            words[heavy[i]] = words.get(heavy[i], 0) + rows[i][1]
+        full: set = set()
+        while len(full) < len(words):
+            level = (target - sum(most * words[w] for w in full)) / sum(w * n for w, n in words.items() if w not in full)
+            over = {w for w in words if w not in full and level * w >= most}
+            if not over:
+                break
+            full |= over
+        expected = {w: Fraction(most) if w in full else level * w for w in words}
+        left, ranks = float(target - sum(math.floor(expected[w]) * n for w, n in words.items())), []
+        for i in mine:
+            out[i], p = math.floor(expected[heavy[i]]), float(expected[heavy[i]] % 1)
+            u = (int(hashlib.md5(f"1:{rows[i][0] if rows[i][0] is not None else 'null'}:{rows[i][1]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if p and left >= 0.5:
+                ranks.append((u / (1 - u) / (p / (1 - p)), rows[i][0], rows[i][1], i))
+        got, upto = 0, 0
+        rest = []
+        for r in sorted(ranks):
+            upto += r[2]
+            if upto <= left:
+                out[r[3]] += 1
+                got = upto
+            else:
+                rest.append((abs(left - got - r[2]), *r))
+        fit = min(((m, *r) for m, *r in rest if m < left - got), default=None)
+        if fit:
+            out[fit[-1]] += 1
+    return out
+
+
 def test_mix(spark, odd_docs, no_docs):
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(["w"] * int(n)), "abc"[int(s)]) for i, (n, s) in enumerate(zip(rng.lognormal(3, 1, 600), rng.integers(0, 3, 600)))]
+    rows = [(i, " ".join(["w"] * int(n)), "abc"[int(s)]) for i, (n, s) in enumerate(zip(rng.lognormal(3, 1.5, 600), rng.integers(0, 3, 600)))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = mixing.mix(df).collect()
     assert sorted(got) == sorted(mixing.mix(df).collect())
+    want = brute_mix([(i, len(t.split()), s) for i, t, s in rows])
+    assert {r.id: r.copies for r in got} == dict(enumerate(want))
+    assert len({r.copies for r in got if r.source == "b" and r["size"]}) > 1
     for s in "abc":
         mine = [r for r in got if r.source == s]
         assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= max(3, 0.01 * mine[0].target)
-        assert len({r.copies for r in mine if r["size"]}) <= 2 and max(r.copies for r in mine) <= 2
+        assert max(r.copies for r in mine) <= 2
     odd = mixing.mix(odd_docs).collect()
     assert len(odd) == odd_docs.count() and all(r.copies == 0 for r in odd if r["size"] == 0)
     assert all(len(WORD.findall(t)) == next(r["size"] for r in odd if r.id == i) for i, t in ((7, odd_docs.filter("doc_id = 7").first().text), (11, odd_docs.filter("doc_id = 11").first().text)))
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_mix_equal_weights_and_repeated_rows(spark):
+    rows = [(7, "a b c", "x")] * 90 + [(None, "a b", None)] * 30 + [(8, "d", "x")] * 50
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df, weight=lambda size: F.lit(1)).collect()
+    assert len(got) == len(rows)
+    for s in ("x", None):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 3 and max(r.copies for r in mine) <= 2
+
+
+def test_mix_plans_have_no_python(spark, odd_docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(mixing, "settle", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or settle(df, name))
+    plans.append(mixing.mix(odd_docs)._jdf.queryExecution().toString())
+    assert len(plans) > 4 and not any(re.search("Python|Pandas|InArrow", p) for p in plans)
+
+
 # token counts ------------------------------------------------------------------------
 def test_rollups(spark, odd_docs, no_docs, tmp_path):
     rows = token_counts.count_tokens(odd_docs, ["doc_id", "source", "lang"]).withColumn("old_tokens", F.lit(7).cast("bigint")).cache()
