@@ -2,49 +2,80 @@
 
 Every stage works on all that its predecessor kept; all but the last return the
 columns of documents. Between stages rows are written as Parquet and read again.
+
+Decisions hold for rows, not for ids: rows are told apart by a hash of all their columns
+(``_key``), so rows with a null id, rows that share an id and rows that repeat each have
+their own. Rows that are equal in every column are interchangeable. Null and empty texts
+are clean, have no lines and no near copies, and are never mixed in. Empty tables stay
+empty through every stage. Columns beside those of documents are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberlake.llm import line_dedup, mixing, packing, partenum, toxicity
-from fiberlake.llm.common import WORD, bitmap, marked, settle, table
+from fiberlake.llm.common import WORD, bitmap, drop, marked, may_be_in, settle, table
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the ids; only rows that a bitmap does not clear are shuffled."""
-    ids = settle(ids, name)
-    told = marked(docs, "doc_id", bitmap(ids, "doc_id"))
-    clear = told.filter("not __maybe").select(*docs.columns)
-    return clear.unionByName(told.filter("__maybe").join(ids, "doc_id", "leftanti").select(*docs.columns))
+def _key(docs: DataFrame) -> Column:
+    """A hash of all columns; nulls and empty strings differ."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own toxicity score is below a half, whatever their ids and other rows of them."""
+    """Rows whose own toxicity score is below a half, whatever their ids and other rows of them; null texts stay."""
     return toxicity.below(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; a document all of whose words went is gone."""
+    """Texts without repeated lines; a document all of whose words went is gone. Rows with a null id keep their lines."""
     out = line_dedup.dedup_lines(docs, min_chars=1)
     out = out.filter((F.col("_dropped") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest id."""
-    gone = partenum.near_duplicates(docs).filter("component_id < doc_id").select("doc_id")
-    return _without(docs, gone, "near-ids")
+    """One row of each group of near-duplicate rows: that with the smallest id, null ids last.
+
+    Rows are compared one by one, so those that share an id or have none are documents of
+    their own; of rows that are equal in every column one stays.
+    """
+    keyed = docs.withColumn("__near_key", _key(docs))
+    rows = keyed.groupBy("__near_key").agg(F.first("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    near = partenum.near_duplicates(keyed, "__near_key").select(F.col("doc_id").alias("__near_key"), "component_id")
+    near = settle(rows.join(near, "__near_key"), "near-rows")
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__near_key")).alias("x")).select("component_id", F.col("x.__near_key").alias("__near_first"))
+    some = near.filter("copies > 1 or component_id <> __near_key").join(first, "component_id")  # a component of one row needs no look
+    some = some.unionByName(near.filter("copies = 1 and component_id = __near_key").join(first, "component_id").filter("__near_key <> __near_first"))
+    some = settle(some.select("__near_key", (F.col("__near_key") == F.col("__near_first")).alias("__near_stays"), "copies"), "near-decisions")
+    drop(near)
+    gone, repeated = some.filter("not __near_stays").select("__near_key"), some.filter("__near_stays and copies > 1").select("__near_key")
+    told = marked(keyed, "__near_key", bitmap(gone, "__near_key"))
+    left = told.filter("not __maybe").drop("__maybe").unionByName(told.filter("__maybe").drop("__maybe").join(gone, "__near_key", "leftanti").select(*keyed.columns))
+    if not repeated.isEmpty():
+        told = marked(left, "__near_key", bitmap(repeated, "__near_key"))  # a row too many in the bitmap has no copy to lose
+        left = told.filter("not __maybe").unionByName(told.filter("__maybe").dropDuplicates(["__near_key"]))
+    return left.select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    took = mixing.mix(docs).filter("copies > 0").select(*[F.col(c).alias(f"__mix_{c}") for c in ("id", "source", "size", "copies")]).distinct()
-    same = docs["doc_id"].eqNullSafe(took["__mix_id"]) & docs["source"].eqNullSafe(took["__mix_source"]) & (mixing.words(docs["text"]) == took["__mix_size"])
-    rows = docs.join(took, same)
-    return rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*docs.columns)
+    """Every row as often as the mix takes it; texts without words go.
+
+    Rows that are equal in every column are taken alike; where the mix takes only some
+    of them, one of them has what is left.
+    """
+    keyed = docs.withColumn("__mix_key", _key(docs))
+    n = F.count(F.lit(1))
+    took = mixing.mix(keyed, "__mix_key").groupBy(F.col("id").alias("__mix_key")).agg(F.min("copies").alias("__mix_each"), (F.sum("copies") - n * F.min("copies")).alias("__mix_more"))
+    took = settle(took.filter("__mix_each > 0 or __mix_more > 0"), "mix-taken")
+    some = took.filter("__mix_more > 0").select("__mix_key", "__mix_more")
+    often = lambda rows, c: rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*docs.columns)
+    all_rows = often(keyed.join(took.filter("__mix_each > 0"), "__mix_key"), "__mix_each")
+    if some.isEmpty():
+        return all_rows
+    return all_rows.unionByName(often(may_be_in(keyed, "__mix_key", bitmap(some, "__mix_key")).join(some, "__mix_key").dropDuplicates(["__mix_key"]), "__mix_more"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +91,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
