@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .filters import in_scope
+from .ordered import fold_sorted
 
 
 def _owned(rules: DataFrame, assign: DataFrame, kind: str) -> DataFrame:
@@ -47,8 +48,8 @@ def fold_cooldown(times, cooldown_s: float, last: int | None = None):
 def apply_cooldown(alerts: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Alerts that are dispatched: by rule, fiber and channel, in order of time.
 
-    The fold is sequential within a key, so it runs by key; ``log`` holds dispatches
-    (rule_id, fiber_id, ch, ts_ns) of before.
+    The fold is sequential within a key; tasks pass once over sorted rows. ``log`` holds
+    dispatches (rule_id, fiber_id, ch, ts_ns) of before.
     """
     keys = ["rule_id", "fiber_id", "ch"]
     rows = alerts
@@ -57,11 +58,18 @@ def apply_cooldown(alerts: DataFrame, log: DataFrame | None = None) -> DataFrame
     else:
         rows = rows.withColumn("_last", F.lit(None).cast("bigint"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ns", "detail"], kind="stable")
-        last = pdf["_last"].iloc[0]
-        keep, _ = fold_cooldown(pdf.ts_ns, float(pdf.cooldown_s.iloc[0]), None if pd.isna(last) else int(last))
-        return pdf[keep].drop(columns="_last")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema.fields)
-    return rows.groupBy(*keys).applyInPandas(fold, schema)
+    names = alerts.columns
+
+    def fold(batches):
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            cols = (batch.column(c).to_pylist() for c in ("ts_ns", "cooldown_s", "_last"))
+            for k, t, cool, before in zip(zip(*(batch.column(c).to_pylist() for c in keys)), *cols):
+                if k != now:
+                    now, last = k, before
+                (go,), last = fold_cooldown((t,), cool or 0, last)
+                keep.append(go)
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return fold_sorted(rows, keys, ["ts_ns", "detail"], fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.schema.fields))

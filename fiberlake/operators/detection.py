@@ -7,22 +7,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from .signals import no_nan
+from .signals import dense_channels, explode_windows, no_nan
 
 KEYS = ("fiber_id", "window")
 
 
-def _series(win: DataFrame, keys: tuple[str, ...], nch: int) -> DataFrame:
-    """One row a window: channels' samples in order, as arrays."""
+def _series(win: DataFrame, keys: tuple[str, ...], nch: int | None) -> DataFrame:
+    """One row a window: channels' samples in order, as arrays; only those of ``nch`` channels if given."""
     ch = win.groupBy(*keys, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("x"))
     out = ch.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda x: x["x"]).alias("m"))
-    return out.filter(F.size("m") == nch)
+    return out if nch is None else out.filter(F.size("m") == nch)
 
 
 def pair_shift(win: DataFrame, max_lag: int, keys: tuple[str, ...] = KEYS, method=None) -> DataFrame:
@@ -37,17 +38,22 @@ def pair_shift(win: DataFrame, max_lag: int, keys: tuple[str, ...] = KEYS, metho
         lags = [-kernels.best_lag(m[i], m[i + 1], max_lag) for i in range(len(m) - 1)]
         return np.repeat(np.array(lags, float)[:, None], m.shape[1], 1)
 
-    f = method or built_in
+    f, names = method or built_in, win.select(*keys).columns
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="pos", columns="t", values="v").to_numpy(float)
-        s = f(m)
-        p, t = np.indices(s.shape)
-        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(s.size))
-        out["pair"], out["t"], out["shift"] = p.ravel().astype("int32"), t.ravel().astype("int32"), s.ravel()
-        return out
+    def apply(batches):
+        for batch in batches:
+            sizes, pairs, times, values = [], [], [], []
+            for m in batch.column(len(names)):
+                shift = f(np.array([np.array(x, np.float64) for x in m.as_py()]))
+                p, t = np.indices(shift.shape, np.int32)
+                sizes.append(shift.size)
+                for c, x in zip((pairs, times, values), (p, t, shift)):
+                    c.append(x.ravel())
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            cols = [batch.column(i).take(row) for i in range(len(names))] + [pa.array(np.concatenate(c), t) for c, t in zip((pairs, times, values), (pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "pair", "t", "shift"])
 
-    return win.select(*keys, "pos", "t", "v").groupBy(*keys).applyInPandas(apply, schema)
+    return _series(win, keys, None).select(*keys, "m").mapInArrow(apply, schema)
 
 
 def channel_shifts(shifts: DataFrame, nch: int = 9, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -80,6 +86,16 @@ def pair_speed(shifts: DataFrame, fs: float, gauge: float) -> DataFrame:
     return shifts.withColumn("speed", F.abs(F.lit(3.6 * fs * gauge) / (F.col("shift") + 1e-8)))
 
 
+def _boxes(rows: DataFrame, line: list[str], t: str, w: int, safety: int | None) -> DataFrame:
+    """Adds ``g``, the box sums of ``p`` along each line; see ``glrt``."""
+    along = W.partitionBy(*line).orderBy(t)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*line)))
+    if safety is None:
+        return rows.withColumn("g", F.sum("p").over(along.rowsBetween(0, w - 1))).filter(F.col(t) < F.col("_n") - w).drop("_n")
+    g = F.sum("p").over(along.rowsBetween(-(w // 2), w - w // 2 - 1))
+    return rows.withColumn("g", F.when((F.col(t) >= safety + w // 2) & (F.col(t) < F.col("_n") - safety - w // 2), g).otherwise(0.0)).drop("_n")
+
+
 def glrt(win: DataFrame, w: int = 20, safety: int | None = 15, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, pair, t, g): box sums of the product of adjacent channels, 0 within the margins.
 
@@ -88,14 +104,21 @@ def glrt(win: DataFrame, w: int = 20, safety: int | None = 15, keys: tuple[str,
     """
     pos = W.partitionBy(*keys, "t").orderBy("pos")
     rows = win.withColumn("p", F.col("v") * F.lead("v").over(pos)).filter("p is not null").withColumnRenamed("pos", "pair")
-    line = W.partitionBy(*keys, "pair").orderBy("t")
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys, "pair"))
-    if safety is None:
-        rows = rows.withColumn("g", F.sum("p").over(line.rowsBetween(0, w - 1))).withColumn("_n", n).filter(F.col("t") < F.col("_n") - w)
-    else:
-        g = F.sum("p").over(line.rowsBetween(-(w // 2), w - w // 2 - 1))
-        rows = rows.withColumn("_n", n).withColumn("g", F.when((F.col("t") >= safety + w // 2) & (F.col("t") < F.col("_n") - safety - w // 2), g).otherwise(0.0))
-    return rows.select(*keys, "pair", "t", "g")
+    return _boxes(rows, [*keys, "pair"], "t", w, safety).select(*keys, "pair", "t", "g")
+
+
+def glrt_windows(sig: DataFrame, nch: int = 9, step: int = 1, w: int = 20, safety: int | None = 15, by: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
+    """``glrt`` of all windows of a signal, computed once for each pair of adjacent channels.
+
+    Products and box sums are a pair's own; only then are pairs dealt to the overlapping
+    windows that hold both channels.
+    """
+    dense = dense_channels(sig, by)
+    rows = sig.join(dense, [*by, "ch"]).select(*by, "_i", "_n", F.col("t_idx").alias("t"), "v")
+    at = W.partitionBy(*by, "t").orderBy("_i")
+    rows = rows.withColumn("p", F.when(F.lead("_i").over(at) == F.col("_i") + 1, F.col("v") * F.lead("v").over(at))).filter("p is not null").withColumnRenamed("_n", "_total")
+    rows = _boxes(rows, [*by, "_i"], "t", w, safety)
+    return explode_windows(rows, F.col("_i"), nch - 1, step, F.col("_total") - 1, pos="pair").select(*by, "window", "pair", "t", "g")
 
 
 def glrt_sum(g: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -142,14 +165,12 @@ def gate_speed(speeds: DataFrame, masked: DataFrame, lo: float = 20, hi: float =
     """
     k = (*keys, "pair")
     rows = speeds.withColumn("speed", no_nan("speed")).join(masked.select(*k, "t", "mask"), [*k, "t"])
-    iv = intervals(rows, k)
-    inside = within(iv, rows.select(*k, "t", "speed"), k)
-    mid = F.floor((F.col("start_idx") + F.col("end_idx")) / 2)
-    rep = F.max(F.when(F.col("t") == F.least(mid, F.col("end_idx") - 1), F.col("speed"))) if mode == "midpoint" else F.median("speed")
-    ok = inside.groupBy(*k, "start_idx", "end_idx").agg(rep.alias("rep")).withColumn("ok", F.coalesce(F.col("rep").between(lo, hi), F.lit(False)))
-    good = within(ok.filter("ok").select(*k, "start_idx", "end_idx"), rows.select(*k, "t"), k).select(*k, "t", F.lit(True).alias("_ok"))
-    out = rows.join(good, [*k, "t"], "left")
-    return out.select(*k, "t", F.when(~F.col("mask"), 0.0).when(F.col("_ok"), F.col("speed")).alias("speed"))
+    # a run of the mask keeps the distance of its times to its row numbers
+    run = F.col("t") - F.row_number().over(W.partitionBy(*k, "mask").orderBy("t"))
+    one = W.partitionBy(*k, "mask", "_run")
+    rows = rows.withColumn("_run", run).withColumn("_end", F.max("t").over(one) + 1).withColumn("_mid", F.least(F.floor((F.min("t").over(one) + F.col("_end")) / 2), F.col("_end") - 1))
+    rep = F.max(F.when(F.col("t") == F.col("_mid"), F.col("speed"))).over(one) if mode == "midpoint" else F.median("speed").over(one)
+    return rows.select(*k, "t", F.when(~F.col("mask"), 0.0).when(rep.between(lo, hi), F.col("speed")).alias("speed"))
 
 
 def fuse_pair_speed(g: DataFrame, s: DataFrame, lo: float = 20, hi: float = 120, positive: bool = True, weighting: str = "glrt", keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -74,7 +74,7 @@ def peaks_query(p: DataFrame, start: Column | None = None, end: Column | None =
     return downsample_rows(rows, most, "ts", "infra_id")
 
 
-def spectra_query(spectra: DataFrame, a: int, b: int, rows_most: int = 5_000, bins_most: int = 2_000, log: bool = True) -> DataFrame:
+def spectra_query(spectra: DataFrame, a: int | Column, b: int | Column, rows_most: int = 5_000, bins_most: int = 2_000, log: bool = True) -> DataFrame:
     """Spectra of an index range, thinned in both directions, on a log scale if asked for."""
     rows = downsample_rows(spectra.filter(F.col("t_idx").between(a, b)), rows_most, "t_idx", "infra_id")
     power = downsample_bins(F.col("power"), bins_most)

@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from . import joins
 from .filters import last
 from .rollups import finalize
+from .signals import join_back
 
 
 def summary_hires(df: DataFrame) -> DataFrame:
@@ -142,7 +143,9 @@ def waterfall_window(det: DataFrame, ms: int = 120_000) -> DataFrame:
 
 def downsample_rows(df: DataFrame, k: int, order: str, *by: str) -> DataFrame:
     """k evenly spaced rows of each group, at indices int(i * (n - 1) / (k - 1)); all if there are no more."""
-    w = W.partitionBy(*(by or [F.lit(0)]))
+    if not by:
+        raise ValueError("rows are numbered within groups: name a key")
+    w = W.partitionBy(*by)
     rows = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     if k < 2:
         return rows.filter(F.col("_i") < k).drop("_i", "_n")
@@ -164,4 +167,5 @@ def slice_time(df: DataFrame, a: Column, b: Column, *by: str) -> DataFrame:
     """Rows of a closed range with ``t_rel`` in seconds from the first of each group."""
     rows = df.filter(F.col("ts").between(a, b))
     us = F.unix_micros("ts")
-    return rows.withColumn("t_rel", (us - F.min(us).over(W.partitionBy(*(by or [F.lit(0)])))) / 1e6)
+    first = rows.groupBy(*by).agg(F.min(us).alias("_first"))
+    return join_back(rows, first, by).withColumn("t_rel", (us - F.col("_first")) / 1e6).drop("_first")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ordered import fold_sorted
 from .rollups import latest
 
 
@@ -158,14 +160,37 @@ class Anomalies:
 EVENTS = "fiber_id string, direction int, ts_ns bigint, ch int, event string, severity string, incident_type string, ema double, drop_pct double"
 
 
+def _events(a: Anomalies, ns: int, ch: int, speed: float):
+    return [(c, e, s, k, m, d) for e, c, s, k, m, d in a.step(ns / 1e9, int(ch), float(speed))]
+
+
 def anomaly_rows(key: tuple, pdf: pd.DataFrame, a: Anomalies) -> pd.DataFrame:
     out = []
     for t, ch, v in pdf.sort_values(["ts_ns", "ch"], kind="stable")[["ts_ns", "ch", "speed"]].itertuples(index=False):
-        out += [(key[0], int(key[1]), int(t), c, e, s, k, m, d) for e, c, s, k, m, d in a.step(t / 1e9, int(ch), float(v))]
+        out += [(key[0], int(key[1]), int(t), *e) for e in _events(a, int(t), ch, v)]
     return pd.DataFrame(out, columns=[x.split()[0] for x in EVENTS.split(", ")])
 
 
+_EVENT_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+
 def detect_incidents(det: DataFrame, free_flow: float) -> DataFrame:
-    """Batch form: incidents opened, escalated and resolved, by (fiber, direction)."""
+    """Batch form: incidents opened, escalated and resolved, by (fiber, direction).
+
+    A fiber and direction is one sequence, whose state lasts; it is read as a stream in
+    order, so memory follows its points and not its detections.
+    """
     rows = det.filter("speed is not null").select("fiber_id", "direction", "ts_ns", "ch", "speed")
-    return rows.groupBy("fiber_id", "direction").applyInPandas(lambda key, pdf: anomaly_rows(key, pdf, Anomalies(free_flow)), EVENTS)
+    names = [x.split()[0] for x in EVENTS.split(", ")]
+
+    def fold(batches):
+        now, a = None, None
+        for batch in batches:
+            out = []
+            for fiber, direction, ns, ch, speed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (fiber, direction) != now:
+                    now, a = (fiber, direction), Anomalies(free_flow)
+                out += [(fiber, int(direction), ns, *e) for e in _events(a, ns, ch, speed)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, _EVENT_TYPES)], names=names)
+
+    return fold_sorted(rows, ["fiber_id", "direction"], ["ts_ns", "ch", "speed"], fold, EVENTS)

@@ -31,8 +31,15 @@ def channel_geo(cables: DataFrame) -> DataFrame:
 
 
 def enrich_geo(det: DataFrame, cables: DataFrame) -> DataFrame:
-    """Detections with their channel's coordinates; null where the cable or channel is unknown."""
-    return det.join(channel_geo(cables), ["fiber_id", "ch"], "left")
+    """Detections with their channel's coordinates; null where the cable or channel is unknown.
+
+    A cable stays one row with its points as an array, so Spark broadcasts the cables as
+    long as they are small and detections need no shuffle.
+    """
+    rows = latest(cables, ["fiber_id"], "updated_at") if "updated_at" in cables.columns else cables
+    out = det.join(rows.select("fiber_id", F.col("coordinates").alias("_points")), "fiber_id", "left")
+    point = F.get("_points", F.col("ch"))
+    return out.withColumn("lng", point["lng"]).withColumn("lat", point["lat"]).drop("_points")
 
 
 def in_sections(det: DataFrame, sections: DataFrame) -> DataFrame:

@@ -5,28 +5,46 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 
+def fold_sorted(df: DataFrame, key: list[str], order: list[str], fold, schema: str) -> DataFrame:
+    """One pass over rows that are sorted by key and order within each task.
+
+    ``fold`` takes the batches of a task as an iterator and keeps what it needs between
+    them, so memory follows its state and not the number of a key's rows, and keys cost
+    no call each.
+    """
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(fold, schema)
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def ema(df: DataFrame, key: list[str], order: str, alpha: float, init: float | None = None, value: str = "speed") -> DataFrame:
-    """``ema`` at every event: alpha * x + (1 - alpha) * before, from ``init`` or the first value.
+    """``ema`` at every event: alpha * x + (1 - alpha) * before, from ``init`` or the first value; a null keeps it.
 
     A fold in order of (order, value) within a key.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", ema double"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, value], kind="stable")
-        x, m, out = pdf[value].to_numpy(float), init, []
-        for v in x:
-            m = v if m is None else m if math.isnan(v) else alpha * v + (1 - alpha) * m
-            out.append(m)
-        return pdf.assign(ema=out)
+    def fold(batches):
+        now, m = None, None
+        for batch in batches:
+            out = []
+            for k, x in zip(zip(*(batch.column(c).to_pylist() for c in key)), batch.column(value).to_pylist()):
+                if k != now:
+                    now, m = k, init
+                if x is not None and x == x:
+                    m = x if m is None else alpha * x + (1 - alpha) * m
+                out.append(m)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "ema"])
 
-    return df.groupBy(*key).applyInPandas(fold, schema)
+    return fold_sorted(df, key, [order, value], fold, _schema(df) + ", ema double")
 
 
 def delay_estimate(df: DataFrame, n: int = 50, margin_ms: float = 15_000.0, by: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
@@ -57,6 +75,9 @@ GATE_SD, GATE_CH, COAST_MS, DEAD_MS, METRES = 3.0, 10.0, 6_000, 10_000, 5.0
 TRACKS = "fiber_id string, direction int, ts_ns bigint, ch int, track bigint, position double, velocity double, hits int, state string"
 
 
+_TRACK_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64())
+
+
 class Tracker:
     """Tracks of one (fiber, direction): constant-velocity Kalman filters, nearest in deviations within a gate.
 
@@ -115,9 +136,35 @@ def track_rows(key: tuple, pdf: pd.DataFrame, tracker: Tracker) -> pd.DataFrame:
 
 
 def track_vehicles(det: DataFrame) -> DataFrame:
-    """Batch form: each detection with the track it belongs to."""
-    rows = det.filter("speed is not null").select("fiber_id", "direction", "ts_ns", "ch", "speed")
-    return rows.groupBy("fiber_id", "direction").applyInPandas(lambda key, pdf: track_rows(key, pdf, Tracker(int(key[1]))), TRACKS)
+    """Batch form: each detection with the track it belongs to.
+
+    After a gap longer than a track lives nothing is left of what was before. Such gaps
+    cut a fiber and direction into sessions that are folded in parallel; tracks are
+    numbered on from one session to the next.
+    """
+    k = ["fiber_id", "direction"]
+    rows = det.filter("speed is not null").select(*k, "ts_ns", "ch", "speed")
+    w = W.partitionBy(*k).orderBy("ts_ns")
+    gap = F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(w) > DEAD_MS * 1_000_000, F.lit(False)).cast("long")
+    rows = rows.withColumn("_gap", gap).withColumn("_session", F.sum("_gap").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_gap")
+    names = [x.split()[0] for x in TRACKS.split(", ")]
+
+    def fold(batches):
+        now, tracker = None, None
+        for batch in batches:
+            out = []
+            for fiber, direction, ns, ch, speed, session in zip(*(c.to_pylist() for c in batch.columns)):
+                if (fiber, direction, session) != now:
+                    now, tracker = (fiber, direction, session), Tracker(int(direction))
+                t = tracker.step(ns / 1e6, float(ch), float(speed))
+                out.append((fiber, int(direction), ns, ch, t["id"], t["x"], t["v"], t["hits"], t["state"], session))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 10, _TRACK_TYPES)], names=[*names, "_session"])
+
+    tracks = fold_sorted(rows, [*k, "_session"], ["ts_ns", "ch", "speed"], fold, TRACKS + ", _session long")
+    own = tracks.groupBy(*k, "_session").agg(F.max("track").alias("_n"))
+    before = W.partitionBy(*k).orderBy("_session").rowsBetween(W.unboundedPreceding, -1)
+    own = own.select(*k, "_session", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return tracks.join(own, [*k, "_session"]).withColumn("track", F.col("track") + F.col("_before")).select(*names)
 
 
 def section_barrier(windows: DataFrame, cfg: DataFrame) -> DataFrame:

@@ -147,6 +147,17 @@ def build_pipeline(steps: list[dict], bounds: tuple[int, int] | None = None, dec
 
 
 # profiles and normalisation ---------------------------------------------------
+def join_back(df: DataFrame, stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``df`` with the columns of ``stats``, one row a group; the null group is one too."""
+    if not by:
+        return df.join(F.broadcast(stats))  # one row
+    stats = stats.select(*[F.col(c).alias(f"_by_{c}") if c in by else F.col(c) for c in stats.columns])
+    same = F.col(by[0]).eqNullSafe(F.col(f"_by_{by[0]}"))
+    for c in by[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return df.join(stats, same).drop(*[f"_by_{c}" for c in by])
+
+
 def channel_profile(sig: DataFrame, dead: float = 1e-6) -> DataFrame:
     rows = sig.groupBy("fiber_id", "ch").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max(F.abs("v")).alias("peak"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
     return rows.withColumn("dead", F.col("std") < dead)
@@ -157,16 +168,20 @@ def demean(sig: DataFrame, *by: str) -> DataFrame:
 
 
 def zscore(sig: DataFrame, by: tuple[str, ...], eps: float = 1e-8) -> DataFrame:
-    w = W.partitionBy(*by)
-    return sig.withColumn("v", (F.col("v") - F.avg("v").over(w)) / (F.stddev_pop("v").over(w) + eps))
+    """Deviations from the group's mean over its standard deviation.
+
+    Groups may be large, so their moments are aggregated and joined back.
+    """
+    stats = sig.groupBy(*by).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    return join_back(sig, stats, by).withColumn("v", (F.col("v") - F.col("_m")) / (F.col("_s") + eps)).select(*sig.columns)
 
 
 def normalize_energy(win: DataFrame, window: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
     """Demeans each channel and scales it to the mean channel energy of its window; silent channels stay."""
-    ch = W.partitionBy(*window, "ch")
-    rows = win.withColumn("v", F.col("v") - F.avg("v").over(ch)).withColumn("_e", F.sum(F.col("v") * F.col("v")).over(ch)).withColumn("_n", F.count(F.lit(1)).over(ch))
-    mean = F.sum(F.col("_e") / F.col("_n")).over(W.partitionBy(*window)) / F.sum(1 / F.col("_n")).over(W.partitionBy(*window))
-    return rows.withColumn("v", F.col("v") * F.when(F.col("_e") > 0, F.sqrt(mean / F.nullif("_e", F.lit(0.0)))).otherwise(1.0)).drop("_e", "_n")
+    ch = win.groupBy(*window, "ch").agg(F.avg("v").alias("_m"), (F.var_pop("v") * F.count("v")).alias("_e"))
+    ch = ch.withColumn("_mean", F.avg("_e").over(W.partitionBy(*window)))  # a row a channel, not a sample
+    gain = F.when(F.col("_e") > 0, F.sqrt(F.col("_mean") / F.nullif("_e", F.lit(0.0)))).otherwise(1.0)
+    return join_back(win, ch.select(*window, "ch", "_m", gain.alias("_k")), (*window, "ch")).withColumn("v", (F.col("v") - F.col("_m")) * F.col("_k")).select(*win.columns)
 
 
 # windows ----------------------------------------------------------------------
@@ -178,10 +193,15 @@ def explode_windows(df: DataFrame, index: Column, size: int, step: int, total: C
     return df.withColumn(window, F.explode(k)).withColumn(pos, (index - F.col(window) * step).cast("int"))
 
 
+def dense_channels(sig: DataFrame, by: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
+    """(by, ch, _i, _n): each channel's place among those there are, and their number."""
+    dense = sig.select(*by, "ch").distinct().withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy("ch")) - 1)
+    return dense.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by)))
+
+
 def spatial_windows(sig: DataFrame, nch: int = 9, step: int = 1, by: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
     """Overlapping groups of ``nch`` adjacent channels; an incomplete tail is dropped."""
-    dense = sig.select(*by, "ch").distinct().withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy("ch")) - 1)
-    dense = dense.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by)))
+    dense = dense_channels(sig, by)
     return explode_windows(sig.join(dense, [*by, "ch"]), F.col("_i"), nch, step, F.col("_n")).drop("_i", "_n")
 
 
@@ -199,8 +219,11 @@ def edge_trim(win: DataFrame, size: int, step: int, least: int = 15, pos: str =
 
 def both_directions(sig: DataFrame, n: Column | None = None) -> DataFrame:
     """The rows as they are (direction 0) and with channels in reverse (direction 1, ``ch`` = n - 1 - ch)."""
-    n = n if n is not None else F.max("ch").over(W.partitionBy("fiber_id")) + 1
-    return sig.withColumn("direction", F.lit(0)).unionByName(sig.withColumn("ch", (n - 1 - F.col("ch")).cast("int")).withColumn("direction", F.lit(1)))
+    back = sig
+    if n is None:
+        back, n = join_back(sig, sig.groupBy("fiber_id").agg(F.max("ch").alias("_top")), ("fiber_id",)), F.col("_top") + 1
+    back = back.withColumn("ch", (n - 1 - F.col("ch")).cast("int")).select(*sig.columns)
+    return sig.withColumn("direction", F.lit(0)).unionByName(back.withColumn("direction", F.lit(1)))
 
 
 def training_windows(sig: DataFrame, nch: int, length: int, step_ch: int, step_t: int, least: float = 1e-8) -> DataFrame:

@@ -52,6 +52,26 @@ class Views:
         point = lambda c: F.struct(F.when(c % 37 != 0, F.lit(7.2) + c * 0.001).alias("lng"), F.when(c % 37 != 0, F.lit(43.7) + c * 0.0005).alias("lat"))
         return ids.select("fiber_id", F.transform(ch, point).alias("coordinates"), F.transform(ch, lambda c: F.when(c % 25 == 0, F.concat(F.lit("L"), c.cast("string")))).alias("labels"))
 
+    def wide_cables(self) -> DataFrame:
+        """A cable of up to 100 channels for each 100 vectors, so their number grows with the data."""
+        e = self.table("embeddings").select(F.concat(F.lit("f"), F.floor(F.col("vec_id") / 100).cast("string")).alias("fiber_id"), (F.col("vec_id") % 100).cast("int").alias("ch"), "embedding")
+        x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+        known = F.col("ch") % 37 != 0
+        rows = e.select("fiber_id", "ch", F.struct(F.when(known, F.lit(7.2) + F.col("ch") * 0.001 + x(0) * 0.0001).alias("lng"), F.when(known, F.lit(43.7) + F.col("ch") * 0.0005 + x(1) * 0.0001).alias("lat")).alias("p"))
+        points = F.sort_array(F.collect_list(F.struct("ch", "p")))
+        rows = rows.groupBy("fiber_id").agg(points.alias("c"))
+        return rows.select("fiber_id", F.transform("c", lambda x: x["p"]).alias("coordinates"), F.transform("c", lambda x: F.when(x["ch"] % 25 == 0, F.concat(F.lit("L"), x["ch"].cast("string")))).alias("labels"))
+
+    def wide_geo(self) -> DataFrame:
+        from ..operators.joins import channel_geo
+
+        return channel_geo(self.wide_cables())
+
+    def wide_sections(self) -> DataFrame:
+        r = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(a).alias("channel_start"), F.lit(b).alias("channel_end")) for k, (a, b) in enumerate(((0, 29), (20, 69), (70, 99)))])
+        rows = self.wide_cables().select("fiber_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("direction")).select("fiber_id", "direction", F.inline(r))
+        return rows.withColumn("section_id", F.format_string("%s-%d-%d", "fiber_id", "direction", "ord")).withColumn("org", F.when(F.substring("fiber_id", -1, 1) == "0", "A").otherwise("B"))
+
     def geo(self) -> DataFrame:
         from ..operators.joins import channel_geo
 
@@ -144,6 +164,11 @@ SQL = {
     "geo": "SELECT fiber_id, c::INT AS ch, CASE WHEN c % 37 <> 0 THEN 7.2::DOUBLE + c * 0.001::DOUBLE END AS lng, CASE WHEN c % 37 <> 0 THEN 43.7::DOUBLE + c * 0.0005::DOUBLE END AS lat FROM fibers, range(150) r(c)",
     "sections": """SELECT fiber_id, d.d::INT AS direction, o::INT AS ord, a AS channel_start, b AS channel_end, fiber_id || '-' || d.d || '-' || o AS section_id, 'A' AS org, 80.0::DOUBLE + o AS green, 60.0::DOUBLE + o AS yellow, 30.0::DOUBLE + o AS orange
         FROM fibers, range(2) d(d), (VALUES (0, 0, 29), (1, 20, 69), (2, 70, 149)) s(o, a, b)""",
+    "wgeo": """SELECT 'f' || (vec_id // 100) AS fiber_id, (vec_id % 100)::INT AS ch, CASE WHEN vec_id % 100 % 37 <> 0 THEN 7.2::DOUBLE + vec_id % 100 * 0.001::DOUBLE + embedding[1]::DOUBLE * 0.0001::DOUBLE END AS lng,
+        CASE WHEN vec_id % 100 % 37 <> 0 THEN 43.7::DOUBLE + vec_id % 100 * 0.0005::DOUBLE + embedding[2]::DOUBLE * 0.0001::DOUBLE END AS lat FROM embeddings""",
+    "wfibers": "SELECT fiber_id, count(*) AS channels FROM wgeo GROUP BY ALL",
+    "wsections": """SELECT fiber_id, d.d::INT AS direction, o::INT AS ord, a AS channel_start, b AS channel_end, fiber_id || '-' || d.d || '-' || o AS section_id, CASE WHEN fiber_id LIKE '%0' THEN 'A' ELSE 'B' END AS org
+        FROM wfibers, range(2) d(d), (VALUES (0, 0, 29), (1, 20, 69), (2, 70, 99)) s(o, a, b)""",
     "assignments": "SELECT * FROM (VALUES ('A', 'click'), ('A', 'view'), ('B', 'view'), ('B', 'purchase'), ('B', 'error')) t(org, fiber_id)",
     "rules": """SELECT * FROM (VALUES ('r1', 'A', 'speed_below', true, []::VARCHAR[], NULL, NULL, 20.0::DOUBLE, []::VARCHAR[], []::VARCHAR[], 0), ('r2', 'A', 'speed_below', true, ['click'], 10, 100, 50.0, [], [], 300),
         ('r3', 'B', 'speed_below', false, [], NULL, NULL, 50.0, [], [], 0), ('r4', 'B', 'speed_below', true, ['view', 'error'], NULL, 80, 5.0, [], [], 300),
@@ -155,10 +180,10 @@ SQL = {
         l_quantity AS duration_seconds, l_discount * 100 AS speed_drop_percent, l_shipdate AS updated_at, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     "incidents": "SELECT * EXCLUDE (l_linenumber, l_partkey, l_suppkey, l_extendedprice) FROM incident_versions QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY updated_at DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1",
     "live_incidents": f"""SELECT 'inc-' || o_orderkey AS incident_id, ['click', 'error', 'purchase', 'signup', 'view'][(o_orderkey % 5) + 1] AS fiber_id, (o_orderkey % 2)::INT AS direction,
-        {T0_US} + (o_orderkey % 3600) * 1000000 AS i_us, (o_custkey % 150)::INT AS channel_start, (o_custkey % 150 + o_orderkey % 10)::INT AS channel_end FROM orders WHERE o_orderkey % 50 = 1""",
+        {T0_US} + (o_orderkey % 3600) * 1000000 AS i_us, (o_custkey % 150)::INT AS channel_start, (o_custkey % 150 + o_orderkey % 10)::INT AS channel_end FROM orders""",
     "actions": """SELECT 'inc-' || o_orderkey AS incident_id, CASE n WHEN 0 THEN 'active' WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'active' ELSE 'acknowledged' END ELSE 'investigating' END AS from_status,
         CASE n WHEN 0 THEN 'acknowledged' WHEN 1 THEN 'investigating' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'acknowledged' ELSE 'resolved' END END AS to_status, epoch_us(o_orderdate) + n * 60000000 AS at_us
-        FROM orders, range(3) r(n) WHERE o_orderkey % 7 = 0""",
+        FROM orders, range(3) r(n)""",
     "sig": "SELECT 'f' || (vec_id // 100) AS fiber_id, (vec_id % 100)::INT AS ch, unnest(range(64))::INT AS t_idx, unnest(embedding)::DOUBLE AS v FROM embeddings",
     "chs": "SELECT fiber_id, ch, row_number() OVER (PARTITION BY fiber_id ORDER BY ch) - 1 AS i, count(*) OVER (PARTITION BY fiber_id) AS n FROM (SELECT DISTINCT fiber_id, ch FROM sig)",
     "win": "SELECT s.fiber_id, (w.w)::INT AS \"window\", (i - w.w * 3)::INT AS pos, t_idx AS t, v FROM sig s JOIN chs USING (fiber_id, ch) JOIN range(1000) w(w) ON w.w * 3 <= i AND i < w.w * 3 + 9 AND w.w * 3 + 9 <= n",
@@ -166,6 +191,7 @@ SQL = {
         FROM (SELECT fiber_id, "window", pos AS pair, t, v * lead(v) OVER (PARTITION BY fiber_id, "window", t ORDER BY pos) AS p FROM win) WHERE p IS NOT NULL)""",
     "gs": 'SELECT fiber_id, "window", t, sum(g) AS g FROM g GROUP BY ALL',
     "iv": 'SELECT fiber_id, "window", min(t)::INT AS start_idx, (max(t) + 1)::INT AS end_idx FROM (SELECT *, t - row_number() OVER (PARTITION BY fiber_id, "window" ORDER BY t) AS r FROM gs WHERE g >= 0.05) GROUP BY fiber_id, "window", r',
+    "si": "SELECT s.fiber_id, i, n, t_idx, v FROM sig s JOIN chs USING (fiber_id, ch)",
     "peak_freqs": "SELECT event_type AS infra_id, ts, us, 1.06::DOUBLE + (value % 10) / 100 AS freq FROM ev",
     "spectra": f"SELECT 'b' || label AS infra_id, vec_id AS t_idx, {T0_US} + vec_id * 1000000 AS ts_us, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS power, list_transform(range(64), lambda i: 0.5::DOUBLE + i * 0.02::DOUBLE) AS freqs FROM embeddings",
     "m1": "SELECT fiber_id, date_trunc('minute', ts) AS ts, ch, direction, max(speed) AS speed_max, sum(speed) AS speed_sum, count(speed) AS speed_n, min(speed) AS speed_min, sum(vehicle_count) AS count_sum, sum(n_cars) AS cars_sum, sum(n_trucks) AS trucks_sum, count(*) AS samples FROM detections GROUP BY ALL",

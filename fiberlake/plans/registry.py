@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import scalars as S
 from ..operators import alerts, calibration, counting, detection, filters, geometry, health, history, incidents, joins, monitors, ordered, paging, reports, rollups, signals
 from ..sources import dimensions, frames, sinks
@@ -360,10 +361,12 @@ def _(v):
     return dimensions.dim_diff(want, c.filter("id % 5 <> 1"), ["id"])
 
 
-@query("default_sections", "SELECT org, 'auto-' || fiber_id || '-' || d || '-0-149' AS section_id FROM assignments, range(2) r(d) WHERE NOT (org = 'A' AND fiber_id = 'click')")
+@query("default_sections", "SELECT o.org, 'auto-' || fiber_id || '-' || d || '-0-' || (channels - 1) AS section_id FROM wfibers, (VALUES ('A'), ('B')) o(org), range(2) r(d) WHERE NOT EXISTS (SELECT 1 FROM wsections s WHERE s.org = o.org AND s.fiber_id = wfibers.fiber_id)")
 def _(v):
-    cover = v.cables().select("fiber_id", F.lit(0).alias("start"), F.lit(149).alias("end"))
-    return dimensions.default_sections(v.assignments(), cover, v.sections().filter("fiber_id = 'click'")).select("org", "section_id")
+    c = v.wide_cables()
+    owners = c.select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("org"), "fiber_id")
+    cover = c.select("fiber_id", F.lit(0).alias("start"), (F.size("coordinates") - 1).alias("end"))
+    return dimensions.default_sections(owners, cover, v.wide_sections()).select("org", "section_id")
 
 
 @query("export_detections", "SELECT us, ch, direction, speed FROM detections WHERE ts BETWEEN '2024-01-10' AND '2024-01-20' AND direction = 0 AND fiber_id = 'view' ORDER BY us, ch, direction LIMIT 500000")
@@ -539,9 +542,20 @@ def _(v):
     return signals.temporal_decimate(v.signal(), 12).select("fiber_id", "ch", "t_idx", "v")
 
 
-@query("bandpass")
+def _filter_sql(sos) -> str:
+    """The cascade of sections as a recursion over time: states z and outputs o of each section."""
+    d, first, step = "CAST({!r} AS DOUBLE)".format, [], []
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
+        for out, x, z in ((first, "v" if k == 0 else f"p{k - 1}", ("0.0::DOUBLE", "0.0::DOUBLE")), (step, "s.v" if k == 0 else f"p{k - 1}", (f"r.y{k}", f"r.z{k}"))):
+            out += [f"{d(b0)} * {x} + {z[0]} AS p{k}", f"{d(b1)} * {x} - {d(a1)} * p{k} + {z[1]} AS q{k}", f"{d(b2)} * {x} - {d(a2)} * p{k} AS w{k}"]
+    names = ", ".join(f"o{k}, y{k}, z{k}" for k in range(len(sos)))
+    return f"""WITH RECURSIVE r(fiber_id, ch, t_idx, {names}) AS (SELECT fiber_id, ch, t_idx, {', '.join(first)} FROM sig WHERE t_idx = 0
+UNION ALL SELECT s.fiber_id, s.ch, s.t_idx, {', '.join(step)} FROM r JOIN sig s ON s.fiber_id = r.fiber_id AND s.ch = r.ch AND s.t_idx = r.t_idx + 1) SELECT fiber_id, ch, t_idx, round_even(o{len(sos) - 1}, 9) AS v FROM r"""
+
+
+@query("bandpass", _filter_sql(kernels.butter_bandpass_sos(0.3, 2.0, 10.4167)))
 def _(v):
-    return signals.bandpass(v.signal(), 0.3, 2.0, 10.4167).select("fiber_id", "ch", "t_idx", "v")
+    return signals.bandpass(v.signal(), 0.3, 2.0, 10.4167).select("fiber_id", "ch", "t_idx", F.bround("v", 9).alias("v"))
 
 
 @query("bandpass_zero_phase")
@@ -588,7 +602,9 @@ def _(v):
     return signals.both_directions(v.signal()).select("fiber_id", "direction", "ch", "t_idx", "v")
 
 
-@query("training_windows")
+@query("training_windows", """WITH w9 AS (SELECT fiber_id, i // 9 AS w, i % 9 AS pos, t_idx, v FROM si WHERE i // 9 * 9 + 9 <= n), x AS (SELECT fiber_id, w, tw.tw, pos, t_idx - tw.tw * 16 AS t, v FROM w9 JOIN range(4) tw(tw) ON tw.tw * 16 <= t_idx AND t_idx < tw.tw * 16 + 32 AND tw.tw * 16 + 32 <= 64),
+s AS (SELECT *, stddev_pop(v) OVER p AS sd, avg(v) OVER p AS m FROM x WINDOW p AS (PARTITION BY fiber_id, w, tw))
+SELECT fiber_id, w::INT AS "window", tw::INT AS t_window, pos::INT AS pos, t::INT AS t, round_even((v - m) / sd, 9) AS v FROM s WHERE sd >= 1e-8""")
 def _(v):
     return signals.training_windows(v.signal(), 9, 32, 9, 16).select("fiber_id", "window", "t_window", "pos", "t", F.bround("v", 9).alias("v"))
 
@@ -606,23 +622,23 @@ def _(v):
 # detection -------------------------------------------------------------------------
 @query("glrt", 'SELECT fiber_id, "window", pair, t, round_even(g, 12) AS g FROM g')
 def _(v):
-    return detection.glrt(v.windows()).withColumn("g", F.bround("g", 12))
+    return detection.glrt_windows(v.signal(), 9, 3).withColumn("g", F.bround("g", 12))
 
 
 @query("glrt_plain", 'SELECT fiber_id, "window", pair, t, round_even(s, 12) AS g FROM (SELECT *, sum(p) OVER (PARTITION BY fiber_id, "window", pair ORDER BY t ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s FROM (SELECT fiber_id, "window", pos AS pair, t, v * lead(v) OVER (PARTITION BY fiber_id, "window", t ORDER BY pos) AS p FROM win) WHERE p IS NOT NULL) WHERE t < 44')
 def _(v):
-    return detection.glrt(v.windows(), 20, None).withColumn("g", F.bround("g", 12))
+    return detection.glrt_windows(v.signal(), 9, 3, 20, None).withColumn("g", F.bround("g", 12))
 
 
 @query("glrt_intervals", "SELECT * FROM iv")
 def _(v):
-    g = detection.glrt_sum(detection.glrt(v.windows()))
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3))
     return detection.intervals(detection.mask(g, 0.05)).select("fiber_id", "window", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"))
 
 
 def _speeds(v):
     """A made displacement by pair and time, so that speeds follow from the data in SQL too."""
-    g = detection.glrt(v.windows())
+    g = detection.glrt_windows(v.signal(), 9, 3)
     return detection.pair_speed(g.withColumn("shift", F.lit(2.0) + F.col("pair") + (F.col("t") % 5) + F.col("g")), 10.4167, 15.3846)
 
 
@@ -634,18 +650,18 @@ def _(v):
     return _speeds(v).select("fiber_id", "window", "pair", "t", F.bround("speed", 7).alias("speed"))
 
 
-@query("gate_speed", f"""WITH {_SPD}, m AS (SELECT *, g >= 0.01 AS mask FROM spd), i AS (SELECT fiber_id, "window", pair, min(t) AS a, max(t) + 1 AS b FROM (SELECT *, t - row_number() OVER (PARTITION BY fiber_id, "window", pair ORDER BY t) AS r FROM m WHERE mask) GROUP BY fiber_id, "window", pair, r),
-j AS (SELECT i.*, coalesce(s.speed BETWEEN 60 AND 120, false) AS ok FROM i JOIN spd s ON i.fiber_id = s.fiber_id AND i."window" = s."window" AND i.pair = s.pair AND s.t = (a + b) // 2)
-SELECT m.fiber_id, m."window", m.pair, m.t, round_even(CASE WHEN NOT mask THEN 0 WHEN ok THEN speed END, 7) AS speed FROM m LEFT JOIN j ON m.fiber_id = j.fiber_id AND m."window" = j."window" AND m.pair = j.pair AND m.t >= a AND m.t < b AND ok""")
+_RUN = 'PARTITION BY fiber_id, "window", pair, mask'
+
+
+@query("gate_speed", f"""WITH {_SPD}, m AS (SELECT *, g >= 0.01 AS mask FROM spd), r AS (SELECT *, t - row_number() OVER ({_RUN} ORDER BY t) AS run FROM m), e AS (SELECT *, min(t) OVER ({_RUN}, run) AS a, max(t) OVER ({_RUN}, run) + 1 AS b FROM r),
+f AS (SELECT *, max(CASE WHEN t = least((a + b) // 2, b - 1) THEN speed END) OVER ({_RUN}, run) AS rep FROM e)
+SELECT fiber_id, "window", pair, t, round_even(CASE WHEN NOT mask THEN 0 WHEN rep BETWEEN 60 AND 120 THEN speed END, 7) AS speed FROM f""")
 def _(v):
     s = _speeds(v)
     gated = detection.gate_speed(s, detection.mask(s, 0.01), 60, 120)
     return gated.withColumn("speed", F.bround("speed", 7))
 
 
-ORACLES["gate_speed"] = ORACLES["gate_speed"].replace("s.t = (a + b) // 2", "s.t = least((a + b) // 2, b - 1)")
-
-
 @query("fuse_pair_speed", f'WITH {_SPD} SELECT fiber_id, "window", t, round_even(CASE WHEN sum(greatest(g, 0)) FILTER (ok) > 0 THEN sum(speed * g) FILTER (ok) / sum(g) FILTER (ok) ELSE median(speed) FILTER (ok) END, 6) AS speed FROM (SELECT *, speed BETWEEN 20 AND 120 AND g > 0 AS ok FROM spd) GROUP BY ALL')
 def _(v):
     s = _speeds(v)
@@ -659,37 +675,39 @@ def _(v):
 
 @query("interval_speed", f'WITH {_SPD} SELECT fiber_id, "window", start_idx, end_idx, round_even(median(m), 6) AS speed FROM (SELECT s.fiber_id, s."window", start_idx, end_idx, pair, median(speed) AS m FROM spd s JOIN iv i ON s.fiber_id = i.fiber_id AND s."window" = i."window" AND t >= start_idx AND t < end_idx WHERE speed > 0 GROUP BY ALL) GROUP BY ALL')
 def _(v):
-    g = detection.glrt_sum(detection.glrt(v.windows()))
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3))
     out = detection.interval_speed(detection.intervals(detection.mask(g, 0.05)), _speeds(v))
     return out.select("fiber_id", "window", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"), F.bround("speed", 6).alias("speed"))
 
 
 @query("interval_strain", 'SELECT fiber_id, "window", start_idx, end_idx, round_even(avg(p), 9) AS strain_peak, round_even(avg(r), 9) AS strain_rms FROM (SELECT w.fiber_id, w."window", start_idx, end_idx, pos, max(abs(v)) AS p, sqrt(avg(v * v)) AS r FROM win w JOIN iv i ON w.fiber_id = i.fiber_id AND w."window" = i."window" AND t >= start_idx AND t < end_idx GROUP BY ALL) GROUP BY ALL')
 def _(v):
-    g = detection.glrt_sum(detection.glrt(v.windows()))
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3))
     out = detection.interval_strain(detection.intervals(detection.mask(g, 0.05)), v.windows())
     return out.select("fiber_id", "window", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"), F.bround("strain_peak", 9).alias("strain_peak"), F.bround("strain_rms", 9).alias("strain_rms"))
 
 
 @query("extract_detections")
 def _(v):
-    w = v.windows()
-    g = detection.glrt(w)
+    w, g = v.windows(), detection.glrt_windows(v.signal(), 9, 3)
     shifts = detection.pair_shift(w, 3)
     aligned = detection.align_shift(w, shifts)
     s = detection.pair_speed(shifts.withColumn("shift", F.abs("shift") + 6), 10.4167, 15.3846)
     return detection.map_channel(detection.extract_detections(detection.glrt_sum(g), s, aligned, 10.4167, 0.05 / 8), 0, 3)
 
 
-@query("align_shift")
+@query("align_shift", """WITH c AS (SELECT a.fiber_id, a.i, l.l AS lag, sum(a.v * b.v) AS s FROM si a JOIN range(-5, 6) l(l) ON true JOIN si b ON b.fiber_id = a.fiber_id AND b.i = a.i + 1 AND b.t_idx = a.t_idx + l.l GROUP BY ALL), k AS (SELECT fiber_id, i, -arg_max(lag, s) AS shift FROM c GROUP BY ALL),
+cs AS (SELECT chs.fiber_id, chs.i, n, coalesce(sum(shift) OVER (PARTITION BY chs.fiber_id ORDER BY chs.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM chs LEFT JOIN k USING (fiber_id, i)),
+m AS (SELECT a.fiber_id, w.w, a.i, b.c - a.c AS shift FROM cs a JOIN range(1000) w(w) ON w.w * 3 <= a.i AND a.i < w.w * 3 + 9 AND w.w * 3 + 9 <= a.n JOIN cs b ON b.fiber_id = a.fiber_id AND b.i = w.w * 3 + 4)
+SELECT m.fiber_id, w::INT AS "window", (m.i - w * 3)::INT AS pos, t.t::INT AS t, round_even(si.v, 9) AS v FROM m JOIN range(64) t(t) ON true JOIN si ON si.fiber_id = m.fiber_id AND si.i = m.i AND si.t_idx = greatest(0, least(63, t.t + shift))""")
 def _(v):
     w = v.windows()
-    return detection.align_shift(w, detection.pair_shift(w, 5))
+    return detection.align_shift(w, detection.pair_shift(w, 5)).withColumn("v", F.bround("v", 9))
 
 
 @query("coupling_mask", 'SELECT fiber_id, "window", t, g * (1 + "window" % 3) AS g, g * (1 + "window" % 3) >= 0.02 * (1 + "window" % 2) AS mask FROM gs')
 def _(v):
-    g = detection.glrt_sum(detection.glrt(v.windows()))
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3))
     c = g.select("fiber_id", F.col("window").alias("section_idx")).distinct().withColumn("correction", (1 + F.col("section_idx") % 3).cast("double")).withColumn("threshold", 0.02 * (1 + F.col("section_idx") % 2))
     return detection.mask_by_section(detection.coupling_correct(g, c), c, 1.0).select("fiber_id", "window", "t", "g", "mask")
 
@@ -718,7 +736,7 @@ def _(v):
 
 @query("threshold_sweep", 'SELECT fiber_id, "window" AS section_idx, x.x::DOUBLE AS threshold, sum((g >= x.x AND NOT coalesce(p >= x.x, false))::INT)::BIGINT AS edges FROM (SELECT *, lag(g) OVER (PARTITION BY fiber_id, "window" ORDER BY t) AS p FROM gs), (VALUES (0.01), (0.05), (0.1)) x(x) GROUP BY ALL')
 def _(v):
-    g = detection.glrt_sum(detection.glrt(v.windows())).withColumnRenamed("window", "section_idx")
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3)).withColumnRenamed("window", "section_idx")
     return calibration.threshold_sweep(g, [0.01, 0.05, 0.1])
 
 
@@ -728,7 +746,7 @@ JOIN (SELECT i.fiber_id AS f, i."window" AS w, start_idx AS s, sum(g - 0.05) AS
 JOIN (SELECT i.fiber_id AS f, i."window" AS w, start_idx AS s, median(speed) AS sp FROM iv i JOIN spd ON spd.fiber_id = i.fiber_id AND spd."window" = i."window" AND t >= start_idx AND t < end_idx GROUP BY ALL) b ON b.f = i.fiber_id AND b.w = i."window" AND b.s = start_idx
 JOIN (SELECT i.fiber_id AS f, i."window" AS w, start_idx AS s, sum(v * v) AS en FROM iv i JOIN win ON win.fiber_id = i.fiber_id AND win."window" = i."window" AND t >= start_idx AND t < end_idx GROUP BY ALL) c ON c.f = i.fiber_id AND c.w = i."window" AND c.s = start_idx""")
 def _(v):
-    g = detection.glrt_sum(detection.glrt(v.windows()))
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3))
     iv = detection.intervals(detection.mask(g, 0.05)).withColumn("detect", F.lit(0.05))
     f = counting.count_features(iv, g, _speeds(v), v.windows(), 3750.0)
     return f.select("fiber_id", "window", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"), "duration", F.bround("glrt_sum", 8).alias("glrt_sum"), F.bround("speed_ms", 7).alias("speed_ms"), "occupancy", F.bround("energy", 8).alias("energy"))
@@ -736,7 +754,7 @@ def _(v):
 
 @query("count_vehicles")
 def _(v):
-    g = detection.glrt_sum(detection.glrt(v.windows())).withColumn("g", F.col("g") * 100)
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3)).withColumn("g", F.col("g") * 100)
     iv = detection.intervals(detection.mask(g, 5.0))
     thr = v.spark.createDataFrame([(0, 5.0, 10.0), (1, 6.0, 12.0)], "section_idx int, detect double, classify double")
     lam = counting.lambda_count(iv, g, thr, 10.4167, 5.0, 10.0)
@@ -763,46 +781,46 @@ def _(v):
 
 
 # geometry --------------------------------------------------------------------------
-@query("offset_polyline", """WITH d AS (SELECT *, lng - lag(lng) OVER w AS dx1, lat - lag(lat) OVER w AS dy1, lead(lng) OVER w - lng AS dx2, lead(lat) OVER w - lat AS dy2 FROM geo, range(2) r(direction) WHERE lng IS NOT NULL WINDOW w AS (PARTITION BY fiber_id, direction ORDER BY ch)),
+@query("offset_polyline", """WITH d AS (SELECT *, lng - lag(lng) OVER w AS dx1, lat - lag(lat) OVER w AS dy1, lead(lng) OVER w - lng AS dx2, lead(lat) OVER w - lat AS dy2 FROM wgeo, range(2) r(direction) WHERE lng IS NOT NULL WINDOW w AS (PARTITION BY fiber_id, direction ORDER BY ch)),
 n AS (SELECT *, coalesce(dy1, 0) + coalesce(dy2, 0) AS nx, -(coalesce(dx1, 0) + coalesce(dx2, 0)) AS ny FROM d), s AS (SELECT *, CASE WHEN direction = 0 THEN 12 ELSE -12 END / sqrt((nx * 111320.0::DOUBLE * cos(radians(lat))) ** 2 + (ny * 111320.0::DOUBLE) ** 2) AS k FROM n)
 SELECT fiber_id, direction::INT AS direction, ch, round_even(lng + nx * k, 9) AS lng, round_even(lat + ny * k, 9) AS lat FROM s""")
 def _(v):
-    g = v.geo().withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
+    g = v.wide_geo().withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
     out = geometry.offset_polyline(g, geometry.direction_offset(F.col("direction")))
     return out.select("fiber_id", "direction", "ch", F.bround("lng", 9).alias("lng"), F.bround("lat", 9).alias("lat"))
 
 
-@query("expand_directions", "SELECT fiber_id, d::INT AS direction, false AS precomputed, 150 AS n FROM fibers, range(2) r(d)")
+@query("expand_directions", "SELECT fiber_id, d::INT AS direction, false AS precomputed, channels::INT AS n FROM wfibers, range(2) r(d)")
 def _(v):
-    return geometry.expand_directions(v.cables()).select("fiber_id", "direction", "precomputed", F.size("coordinates").alias("n"))
+    return geometry.expand_directions(v.wide_cables()).select("fiber_id", "direction", "precomputed", F.size("coordinates").alias("n"))
 
 
-@query("landmarks", "SELECT fiber_id, ch, 'L' || ch AS label FROM geo WHERE ch % 25 = 0")
+@query("landmarks", "SELECT fiber_id, ch, 'L' || ch AS label FROM wgeo WHERE ch % 25 = 0")
 def _(v):
-    return geometry.landmarks(v.cables())
+    return geometry.landmarks(v.wide_cables())
 
 
-@query("section_coords", "SELECT section_id, count(*)::INT AS n, sum(lng) AS x FROM geo JOIN sections s ON s.fiber_id = geo.fiber_id AND ch BETWEEN channel_start AND channel_end WHERE lng IS NOT NULL GROUP BY ALL")
+@query("section_coords", "SELECT section_id, count(*)::INT AS n, round_even(sum(lng), 7) AS x FROM wgeo JOIN wsections s ON s.fiber_id = wgeo.fiber_id AND ch BETWEEN channel_start AND channel_end WHERE lng IS NOT NULL GROUP BY ALL")
 def _(v):
-    p = geometry.section_coords(v.sections(), v.geo())
-    return p.select("section_id", F.size("path").alias("n"), F.aggregate("path", F.lit(0.0), lambda a, q: a + q["lng"]).alias("x"))
+    p = geometry.section_coords(v.wide_sections(), v.wide_geo())
+    return p.select("section_id", F.size("path").alias("n"), F.bround(F.aggregate("path", F.lit(0.0), lambda a, q: a + q["lng"]), 7).alias("x"))
 
 
 @query("simplify_cables")
 def _(v):
-    g = v.geo().withColumn("lat", F.col("lat") + F.when(F.col("ch") % 10 == 5, 0.01).otherwise(0.0))
+    g = v.wide_geo().withColumn("lat", F.col("lat") + F.when(F.col("ch") % 10 == 5, 0.01).otherwise(0.0))
     return geometry.simplify(g, 0.002)
 
 
-@query("coverage_segments", "SELECT fiber_id, 30 AS lo, 80 AS hi, count(*)::INT AS n FROM geo WHERE ch BETWEEN 30 AND 80 AND lng IS NOT NULL GROUP BY ALL")
+@query("coverage_segments", "SELECT fiber_id, 30 AS lo, 80 AS hi, count(*)::INT AS n FROM wgeo WHERE ch BETWEEN 30 AND 80 AND lng IS NOT NULL GROUP BY ALL")
 def _(v):
-    cover = v.cables().select("fiber_id", F.inline(F.array(F.struct(F.lit(30).alias("start"), F.lit(80).alias("end")), F.struct(F.lit(37).alias("start"), F.lit(38).alias("end")))))
-    return geometry.coverage_segments(v.geo(), cover).select("fiber_id", "lo", "hi", F.size("path").alias("n"))
+    cover = v.wide_cables().select("fiber_id", F.inline(F.array(F.struct(F.lit(30).alias("start"), F.lit(80).alias("end")), F.struct(F.lit(37).alias("start"), F.lit(38).alias("end")))))
+    return geometry.coverage_segments(v.wide_geo(), cover).select("fiber_id", "lo", "hi", F.size("path").alias("n"))
 
 
-@query("dense_index", "SELECT fiber_id, ch, (row_number() OVER (PARTITION BY fiber_id ORDER BY ch) - 1)::INT AS idx FROM geo WHERE lng IS NOT NULL")
+@query("dense_index", "SELECT fiber_id, ch, (row_number() OVER (PARTITION BY fiber_id ORDER BY ch) - 1)::INT AS idx FROM wgeo WHERE lng IS NOT NULL")
 def _(v):
-    return geometry.dense_index(v.geo()).select("fiber_id", "ch", "idx")
+    return geometry.dense_index(v.wide_geo()).select("fiber_id", "ch", "idx")
 
 
 # structural health --------------------------------------------------------------------
@@ -854,9 +872,15 @@ def _(v):
     return health.peaks_query(v.peak_freqs()).select("infra_id", F.unix_micros("ts").alias("us"), "freq")
 
 
-@query("spectra_query", "SELECT infra_id, t_idx, list_transform(list_transform(range(10), lambda j: power[floor(j * 63 / 9.0::DOUBLE)::INT + 1]), lambda x: log10(x + 1e-10::DOUBLE)) AS power FROM spectra WHERE t_idx BETWEEN 10 AND 400")
+@query("spectra_query", """WITH b AS (SELECT infra_id, min(t_idx) AS lo, max(t_idx) AS hi FROM spectra GROUP BY ALL), r AS (SELECT s.*, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY infra_id) AS n FROM spectra s JOIN b USING (infra_id) WHERE t_idx BETWEEN lo + (hi - lo) * 0.1::DOUBLE AND hi - (hi - lo) * 0.1::DOUBLE WINDOW w AS (PARTITION BY infra_id ORDER BY t_idx)),
+k AS (SELECT * FROM r WHERE n <= 40 OR list_contains(list_transform(range(40), lambda j: floor(j * ((n - 1) / 39.0::DOUBLE))::BIGINT), i))
+SELECT infra_id, t_idx, list_transform(list_transform(range(10), lambda j: power[floor(j * 63 / 9.0::DOUBLE)::INT + 1]), lambda x: round_even(log10(x + 1e-10::DOUBLE), 9)) AS power FROM k""")
 def _(v):
-    return health.spectra_query(v.spectra(), 10, 400, 5_000, 10).select("infra_id", "t_idx", "power")
+    s = v.spectra()
+    ends = s.groupBy("infra_id").agg(F.min("t_idx").alias("lo"), F.max("t_idx").alias("hi"))
+    cut = (F.col("hi") - F.col("lo")) * 0.1
+    out = health.spectra_query(s.join(ends, "infra_id"), F.col("lo") + cut, F.col("hi") - cut, 40, 10)
+    return out.select("infra_id", "t_idx", F.transform("power", lambda x: F.bround(x, 9)).alias("power"))
 
 
 @query("spectra_summary", "SELECT infra_id, count(*) AS samples, 64 AS bins, min(list_min(freqs)) AS f_min, max(list_max(freqs)) AS f_max, min(ts_us) AS t0_us, max(ts_us) AS end_us, (max(ts_us) - min(ts_us)) / 1e6::DOUBLE AS duration_s FROM spectra GROUP BY ALL")

@@ -150,5 +150,5 @@ def dim_diff(desired: DataFrame, existing: DataFrame, key: list[str]) -> DataFra
 def default_sections(assign: DataFrame, coverage: DataFrame, existing: DataFrame) -> DataFrame:
     """A section for each coverage range and direction of fibers on which the org has none."""
     missing = assign.join(existing.select("org", "fiber_id").distinct(), ["org", "fiber_id"], "leftanti")
-    rows = missing.join(F.broadcast(coverage), "fiber_id").withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = missing.join(coverage, "fiber_id").withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
     return rows.select("org", S.section_id(F.col("fiber_id"), F.col("direction"), F.col("start"), F.col("end")).alias("section_id"), "fiber_id", "direction", F.col("start").alias("channel_start"), F.col("end").alias("channel_end"))
