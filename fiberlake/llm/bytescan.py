@@ -7,6 +7,7 @@ word's start, depends on the word's bytes alone.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -57,7 +58,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def released(run):
+    """A function for ``mapInArrow`` after which the worker gives unused memory back to the system.
+
+    Workers are used again and idle for a while between stages; what they keep would
+    be missing to the next stage.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Slices of a batch, cut between rows at about ``most`` bytes of a string column."""
     if not len(batch):
         return
