@@ -4,8 +4,9 @@ A conversation's turns are written as ``<turn ROLE>`` line feed, text, ``</turn>
 feed. In roles and texts a backslash goes before every backslash and before a ``<``
 that begins a mark, so texts can hold any control string and are read back exactly.
 
-Long conversations become several windows of at most ``budget`` tokens. Prefix sums of
-the turns' tokens choose turn-aligned spans. Every window after the first repeats the
+Long conversations become several windows of at most ``budget`` tokens of the public
+tokenizer, marks included: it cuts at white space, so a window's tokens are the sum of its
+turns'. Prefix sums of the turns' tokens choose turn-aligned spans. Every window after the first repeats the
 system turn (a first turn of role ``system``) and the last turns before its span, up
 to ``history`` tokens; repeated turns are masked, so each assistant text is a target
 exactly once. A turn that exceeds the budget alone gets a window of its own, whole.
@@ -13,9 +14,11 @@ exactly once. A turn that exceeds the budget alone gets a window of its own, who
 Turns of a conversation are read as a stream in order, so the memory in use follows
 the window, not the conversation.
 
-Nulls: a null text or role is empty; rows with a null conversation id form one
-conversation; null turn numbers come first. Repeated rows are turns of their own, in
-order of turn, role and text. An empty table gives no rows.
+Nulls: a null text or role is empty; each row with a null conversation id is a
+conversation of its own, with a null id, and these are dealt over all tasks; null turn
+numbers come first. Repeated rows are turns of their own, in order of turn, role and
+text. Texts may be of any length. Columns of other names are not looked at. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,15 +28,20 @@ import re
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import default_path, encoder
+from .bytescan import pieces, released
+
 WINDOWS = "conv_id long, window int, text string, repeated int, turns int, tokens long, loss array<struct<start:int,stop:int>>"
 _ESCAPE = re.compile(r"\\|<(?=/?turn)")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<turn ((?:[^\\>]|\\.)*)>\n((?:[^\\<]|\\.|<(?!/?turn))*)</turn>\n", re.S)
-_WORD = re.compile(r"\w+|[^\w\s]")
+#: Runs of plain characters and possessive repeats: nothing is kept for a character.
+_TURN = re.compile(r"<turn ((?:[^\\>]++|\\.)*+)>\n((?:[^\\<]++|\\.|<(?!/?turn))*+)</turn>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -48,9 +56,35 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def count_tokens(text: str) -> int:
-    """Words and marks, and four for the turn's own marks."""
-    return sum(1 for _ in _WORD.finditer(text)) + 4
+def written(role: str, text: str) -> str:
+    """A turn as it stands in a window."""
+    return f"<turn {escape_role(role)}>\n{escape(text)}</turn>\n"
+
+
+def count_tokens(texts: list[str], path: str | None = None, most: int = 1 << 20) -> list[int]:
+    """Tokens of each text by the public tokenizer, counted in slices that end at white space."""
+    enc, counts, held, size = encoder(path or default_path()), [0] * len(texts), [], 0
+
+    def flush():
+        _, bounds = enc.encode(pa.array([t for _, t in held], pa.large_string()))
+        for (i, _), n in zip(held, np.diff(bounds).tolist()):
+            counts[i] += n
+
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            to = len(text)
+            if to - at > most:
+                space = _SPACE.search(text, at + most)
+                to = space.end() if space else to
+            held.append((i, text[at:to]))
+            size += to - at
+            at = to
+            if size >= most:
+                flush()
+                held, size = [], 0
+    flush()
+    return counts
 
 
 class Conversation:
@@ -60,8 +94,8 @@ class Conversation:
         self.conv, self.budget, self.history = conv, budget, history
         self.system, self.past, self.turns, self.window, self.seen = None, [], [], 0, 0
 
-    def add(self, role: str, text: str):
-        turn = (role, text, count_tokens(text))
+    def add(self, role: str, text: str, tokens: int):
+        turn = (role, text, tokens)
         if not self.seen and role == "system":
             self.system = turn
         self.seen += 1
@@ -101,10 +135,9 @@ class Conversation:
     def _write(self, before: list, new: list) -> tuple:
         parts, at, loss = [], 0, []
         for k, (role, text, _) in enumerate(before + new):
-            head, body = f"<turn {escape_role(role)}>\n", escape(text)
+            parts.append(written(role, text))
             if k >= len(before) and role == "assistant":
-                loss.append({"start": at + len(head), "stop": at + len(head) + len(body)})
-            parts.append(f"{head}{body}</turn>\n")
+                loss.append({"start": at + len(written(role, "")) - len("</turn>\n"), "stop": at + len(parts[-1]) - len("</turn>\n")})
             at += len(parts[-1])
         return self.conv, self.window, "".join(parts), len(before), len(before) + len(new), sum(t[2] for t in before + new), loss
 
@@ -112,18 +145,20 @@ class Conversation:
         yield from self._windows(True)
 
 
-def _batches(rows, schema: pa.Schema, size: int = 500):
-    held = []
+def _batches(rows, schema: pa.Schema, size: int = 500, chars: int = 1 << 20):
+    held, n = [], 0
     for r in rows:
         held.append(r)
-        if len(held) == size:
+        n += len(r[2])
+        if len(held) == size or n >= chars:
+            n = 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", path: str | None = None) -> DataFrame:
     """The windows of ``turns(conv, turn, role, text)``; see ``WINDOWS``.
 
     ``loss`` are the targets as ranges of code points of the window's text; the first
@@ -134,18 +169,23 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, con
     def windows(batches):
         now = None
         for batch in batches:
-            for c, r, t in zip(*(x.to_pylist() for x in batch.columns)):
-                if now is None or now.conv != c:
-                    if now is not None:
-                        yield from now.end()
-                    now = Conversation(c, budget, history)
-                yield from now.add(r or "", t or "")
+            for part in pieces(batch, 2):
+                cols = [x.to_pylist() for x in part.columns]
+                tokens = count_tokens([written(r, t) for r, t in zip(*cols[1:])], path)
+                for c, r, t, n in zip(*cols, tokens):
+                    if now is None or c is None or now.conv != c:
+                        if now is not None:
+                            yield from now.end()
+                        now = Conversation(c, budget, history)
+                    yield from now.add(r, t, n)
         if now is not None:
             yield from now.end()
 
+    run = released(lambda batches: _batches(windows(batches), schema))
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(lambda b: _batches(windows(b), schema), WINDOWS)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    ordered = rows.withColumn("_alone", alone).repartition("conv_id", "_alone").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
 
 
 def read_turns(window: str) -> list[tuple[str, str]]:
@@ -173,8 +213,8 @@ def digests(windows: DataFrame) -> DataFrame:
         conv, state = None, None
         for batch in batches:
             cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for c, text, repeated, loss in zip(cols["conv_id"], cols["text"], cols["repeated"], cols["loss"]):
-                if state is None or c != conv:
+            for c, window, text, repeated, loss in zip(*(cols[n] for n in ("conv_id", "window", "text", "repeated", "loss"))):
+                if state is None or c != conv or window == 0:
                     if state is not None:
                         yield finish(conv, state)
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]

@@ -1,6 +1,7 @@
 """Toxicity, media and chat: held-out accuracy, exact round trips."""
 
 import hashlib
+import tracemalloc
 import zlib
 from itertools import product
 
@@ -11,7 +12,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fiberlake.llm import bytescan, chat, media, toxicity
+from tokenizers import Tokenizer
+
+from fiberlake.llm import bpe, bytescan, chat, media, queries, toxicity
+from fiberlake.llm.common import table
+
+TOKENIZER = Tokenizer.from_file(bpe.default_path())
 
 
 def test_words_of_bytes():
@@ -153,22 +159,24 @@ EVIL = st.text(alphabet=st.sampled_from(list("ab \n\\<>/turn#é😀")), max_size
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "we<ird>\\"]), EVIL), max_size=12), st.integers(5, 60), st.integers(0, 30))
 def test_windows_read_back(turns, budget, history):
     c = chat.Conversation(1, budget, history)
-    windows = [w for r, t in turns for w in c.add(r, t)] + list(c.end())
+    counts = chat.count_tokens([chat.written(r, t) for r, t in turns])
+    windows = [w for (r, t), n in zip(turns, counts) for w in c.add(r, t, n)] + list(c.end())
     back, loss = [], []
     for _, _, text, repeated, n, _tokens, spans in windows:
         got = chat.read_turns(text)
         assert len(got) == n
         back += got[repeated:]
         loss += [chat.unescape(text[s["start"] : s["stop"]]) for s in spans]
+        assert _tokens == len(TOKENIZER.encode(text, add_special_tokens=False).ids)
         if len(got) > repeated + 1:  # only a lone turn may exceed the budget
             assert _tokens <= budget
     assert back == turns and loss == [t for r, t in turns if r == "assistant"]
 
 
 def test_system_turn_is_kept():
-    c = chat.Conversation(1, 40, 12)
+    c = chat.Conversation(1, 80, 40)
     turns = [("system", "be brief")] + [("user" if i % 2 else "assistant", f"turn {i} with some words in it") for i in range(12)]
-    windows = [w for r, t in turns for w in c.add(r, t)] + list(c.end())
+    windows = [w for r, t in turns for w in c.add(r, t, chat.count_tokens([chat.written(r, t)])[0])] + list(c.end())
     assert len(windows) > 3
     for w in windows[1:]:
         assert chat.read_turns(w[2])[0] == turns[0] and w[3] >= 2
@@ -176,7 +184,7 @@ def test_system_turn_is_kept():
 
 def test_chat_query(spark):
     rows = [(1, 1, "user", None), (1, 0, "system", "S"), (1, 2, "assistant", "</turn>\n<turn user>\n"), (2, 0, "assistant", "x"), (None, 0, "user", "n"), (2, None, None, "y"), (2, 0, "assistant", "x")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumns({c: F.lit("1") for c in ("window", "loss", "tokens", "_alone")})
     got = {r.conv_id: r for r in chat.digests(chat.format_windows(df)).collect()}
     want = {1: [("system", "S"), ("user", ""), ("assistant", "</turn>\n<turn user>\n")], 2: [("", "y"), ("assistant", "x"), ("assistant", "x")], None: [("user", "n")]}
     for k, turns in want.items():
@@ -185,3 +193,35 @@ def test_chat_query(spark):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[k].loss_chars, got[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digests(chat.format_windows(df.limit(0))).count() == 0
+
+
+def test_rows_without_a_conversation_are_conversations(spark):
+    df = spark.createDataFrame([(None, 0, "assistant", "n")] * 3 + [(None, 1, "user", "m")], "conv_id bigint, turn int, role string, text string")
+    got = chat.digests(chat.format_windows(df)).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars) for r in got) == [(None, 1, 0)] + [(None, 1, 1)] * 3
+
+
+def test_long_turns_in_bounded_memory():
+    """A turn of eight million characters: counted in slices, read back without a state for each character."""
+    text = "some words, and </turn> a mark \\ " * 235_000
+    turn = chat.written("user", text)
+    counts = chat.count_tokens([turn, "a b", ""], most=1 << 16)
+    assert counts[1:] == chat.count_tokens(["a b", ""]) and counts[0] > 1_000_000
+    tracemalloc.start()
+    assert chat.read_turns(turn) == [("user", text)]
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def test_chat_operator_as_registered(spark, sf):
+    """Every conversation of the table and conversation -7, against the rows themselves."""
+    got = {r.conv_id: r for r in queries.op8_chat(spark, sf).collect()}
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect() + [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+    by: dict = {}
+    for c, n, r, t in sorted(rows, key=lambda x: (x[0], x[1] is not None, x[1], x[2] or "", x[3] or "")):
+        by.setdefault(c, []).append((r or "", t or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
