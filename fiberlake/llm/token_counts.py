@@ -3,24 +3,29 @@
 Changes to documents are signed deltas: an insert adds a document and its tokens, a
 delete takes them away, a revision adds the difference of two counts. A batch is
 aggregated to one row for each (source, lang, tokenizer) and committed as the
-partition ``batch=<id>`` of the store; committing a batch again replaces that
-partition by the same rows, so retries do not count twice. Totals are sums over all
-batches. ``compact`` folds batches into one without changing totals.
+partition ``batch=<id>`` of the store; committing a batch again replaces that whole
+partition, by fewer rows or none if it has shrunk, so retries do not count twice. Totals
+are sums over all batches. A move to another tokenizer version is one batch that deletes
+under the old and inserts under the new one. ``compact`` folds batches into one without
+changing totals.
 
 Nulls: a null source or language is a group of its own; a null text has 0 tokens; a
 null count is 0. Repeated rows are changes of their own. Groups whose documents and
-tokens are all 0 do not show in totals. An empty batch commits nothing and is no error.
+tokens are all 0 do not show in totals. An empty batch commits no rows and is no error.
+Columns of other names are not looked at; the store's are fixed.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .bytescan import pieces
+from .bytescan import pieces, released
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["docs", "tokens", "chars"]
@@ -40,7 +45,7 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", path:
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(bounds), pa.int64())], names=[*part.schema.names[1:], "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", tokens long"
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(released(count), schema)
 
 
 def changes(rows: DataFrame, op: Column, tokenizer: Column) -> DataFrame:
@@ -55,9 +60,9 @@ def changes(rows: DataFrame, op: Column, tokenizer: Column) -> DataFrame:
 
 
 def commit(deltas: DataFrame, store: str, batch: str) -> None:
-    """Adds a batch of deltas to the store; the same batch again changes nothing."""
-    rows = deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).withColumn("batch", F.lit(batch))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store)
+    """Makes ``deltas`` all that the batch has in the store; the same again changes nothing."""
+    rows = deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+    rows.write.mode("overwrite").parquet(f"{store}/batch={quote(batch, safe='')}")
 
 
 def totals(spark: SparkSession, store: str, batches: list[str] | None = None) -> DataFrame:
