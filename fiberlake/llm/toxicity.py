@@ -10,13 +10,18 @@ Forward-backward marginals of the tags aggregate to a document's features (expec
 toxic words, highest marginal), which a logistic regression turns into the score.
 Spans are runs of words whose marginal is at least a half, as code-point offsets.
 
-The model is fitted on at most ``max_toxic`` + ``max_clean`` labelled rows, chosen by a
-hash of the id, whole texts each; that is all that reaches the driver. Scoring reads
-every whole text.
+The model is fitted on at most ``max_toxic`` + ``max_clean`` labelled rows of
+``max_bytes`` bytes together, chosen by a hash of the id, whole texts each; that is all
+that reaches the driver. A text that no longer fits in is passed over. Of the sample's
+chains all with a toxic word train the field and about ``chains`` others. A feature is
+telling if a ``share`` of the toxic documents has it, three at least, and ``ratio`` times
+the share of clean ones. Scoring reads every whole
+text.
 
 Nulls: a null or empty text has no words and gets the score of that; rows without a
 label are only scored; a null id is never learned from. Repeated rows are scored alike.
-An empty table gives no rows. Without labels of both kinds all scores are 0.
+Columns of other names are not looked at. An empty table gives no rows. Without labels of
+both kinds all scores are the same, near 0.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LETTERS, U, pieces, utf8, words
+from .bytescan import LETTERS, U, pieces, released, utf8, words
 
 CHAIN = 128
 PREFIXES = (4, 5, 6)
@@ -120,7 +125,7 @@ def marginals(psi: np.ndarray, chain: np.ndarray, pair: np.ndarray, pairs: bool
     return m, (q / q.sum((0, 1))).sum(-1), logz
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.0, least: int = 5, l2: float = 1e-3, chains: int = 10_000, seed: int = 1) -> Model:
+def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.0, share: float = 1 / 140, l2: float = 1e-3, chains: int = 10_000, seed: int = 1) -> Model:
     """Fits the field and the document regression to labelled texts."""
     y = np.array(toxic, bool)
     nothing = Model(np.zeros(0, U), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([-30.0, 0, 0]))
@@ -130,7 +135,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
     if not len(row):
         return nothing
     n_toxic, n_clean = int(y.sum()), int((~y).sum())
-    least = min(least, 3 if n_toxic < 20 else 4 if n_toxic < 50 else least)  # few labels: fewer documents must agree
+    least = max(3, round(share * n_toxic))
     del texts
     vocab, marks, kinds = [], [], []
     for f in feats:
@@ -211,8 +216,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 700, max_clean: int = 1_500, max_bytes: int = 64 << 20) -> Model:
     """Fits a model on a bounded sample of the labelled rows that are not held out.
 
-    The sample is by a hash of the id, ``max_toxic`` and ``max_clean`` rows at most,
-    and ends before ``max_bytes`` bytes of text.
+    The sample is by a hash of the id, ``max_toxic`` and ``max_clean`` rows at most, as
+    far as they fit in ``max_bytes`` bytes of text.
     """
     lab = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     h = F.xxhash64("id", F.lit(7))
@@ -220,10 +225,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").filter(~held_out("id"))
     kept, size = [], 0
     for r in rows.orderBy(h, "id").limit(2 * (max_toxic + max_clean)).toLocalIterator():
-        size += len((r.text or "").encode("utf-8", "replace"))
-        if size > max_bytes:
-            break
-        kept.append(r)
+        n = len((r.text or "").encode("utf-8", "replace"))
+        if size + n <= max_bytes:
+            size += n
+            kept.append(r)
     texts, y = [r.text or "" for r in kept], [r.y for r in kept]
     del kept
     return fit(texts, y)
@@ -259,7 +264,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(expected, highest), pa.float64()), pa.array(n, pa.int64()), pa.array(spans, span)], names=["doc_id", "score", "n_toxic", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, n_toxic long, spans array<struct<start:int,stop:int>>")
+    return rows.mapInArrow(released(run), "doc_id long, score double, n_toxic long, spans array<struct<start:int,stop:int>>")
 
 
 def below(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -274,4 +279,4 @@ def below(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "te
                 expected, highest = per_row(marginals(m.emission(feats), chain, m.pair), row, len(part))
                 yield part.filter(pa.array(m.score(expected, highest) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
