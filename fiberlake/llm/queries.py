@@ -33,19 +33,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four commits: inserts with estimated counts, revisions to the
-    tokenizer's counts, the same revisions again, and deletes of documents labelled toxic."""
+    """Totals after five commits: inserts with estimated counts, revisions to the
+    tokenizer's counts, the same revisions again, a move of the documents labelled of low
+    quality to another version (which counts words) and deletes of those labelled toxic."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    toxic = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     rows = docs.withColumn("estimate", mixing.words(F.col("text")))
     rows = settle(token_counts.count_tokens(rows, ["doc_id", "source", "lang", "estimate"]), "token-counts")
-    store, version = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}", F.lit("word_bpe_49k")
+    store, version, other = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}", F.lit("word_bpe_49k"), F.lit("words")
     token_counts.commit(token_counts.changes(rows.withColumn("tokens", F.col("estimate")), F.lit("insert"), version), store, "ingest")
     revised = token_counts.changes(rows.withColumn("old_tokens", F.col("estimate")), F.lit("revise"), version)
     for _ in range(2):
         token_counts.commit(revised, store, "recount")
-    gone = rows.join(toxic.filter("toxic = 1"), "doc_id", "leftsemi")
-    token_counts.commit(token_counts.changes(gone, F.lit("delete"), version), store, "toxic")
+    rows = rows.join(told, "doc_id", "left").withColumn("low", F.coalesce(F.col("quality") == 0, F.lit(False)))
+    moved = rows.filter("low")
+    token_counts.commit(token_counts.changes(moved, F.lit("delete"), version).unionByName(token_counts.changes(moved.withColumn("tokens", F.col("estimate")), F.lit("insert"), other)), store, "move")
+    gone = rows.filter("toxic = 1").withColumn("tokens", F.when(F.col("low"), F.col("estimate")).otherwise(F.col("tokens")))
+    token_counts.commit(token_counts.changes(gone, F.lit("delete"), F.when(F.col("low"), other).otherwise(version)), store, "toxic")
     return token_counts.totals(spark, store)
 
 
