@@ -59,9 +59,12 @@ def byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Ids of many texts at once; keeps the ids of up to ``most`` distinct words."""
+    """Ids of many texts at once; keeps the ids of up to ``most`` distinct words.
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    Words are known by sorted arrays of their hashes, at about 30 bytes each.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -79,45 +82,41 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self):
-        self.known: dict[int, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: list[int], texts: list[str]):
-        if len(self.known) + len(keys) > self.most:
-            return False
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Adds words that are not known yet."""
         got = [self._word(t) for t in texts]
-        k, flat = len(self.known), np.array([i for ids in got for i in ids], np.uint32)
-        size = np.array([len(ids) for ids in got], np.int64)
-        while k + len(got) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.known.update(zip(keys, range(k, k + len(got))))
-        self.size[k : k + len(got)] = size
-        self.start[k : k + len(got)] = self.used + np.cumsum(size) - size
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        return True
+        size = np.array([len(ids) for ids in got], np.int32)
+        start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        self.ids = np.concatenate([self.ids, np.array([i for ids in got for i in ids], np.uint32)])
+        known = np.concatenate([self.known, keys])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.start, self.size = (np.concatenate([a, b.astype(np.int32)])[order] for a, b in ((self.start, start), (self.size, size)))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys stand among the known ones, and whether they do."""
+        at = np.searchsorted(self.known, keys)
+        ok = at < len(self.known)
+        ok[ok] = self.known[at[ok]] == keys[ok]
+        return at, ok
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, and the rows' bounds in them."""
         buf, offs = utf8(column)
         starts, ends, h = words(buf, offs, NOT_SPACE, breaks=_cuts)
         unique, first, which = np.unique(h, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
         raw = buf.tobytes()
-        texts = [raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in new]
-        if not self._learn([keys[i] for i in new], texts):
+        new = np.flatnonzero(~self._find(unique)[1])
+        if len(self.known) + len(new) > self.most:
             self._clear()
-            texts = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first]
-            most, self.most = self.most, max(self.most, len(keys))
-            self._learn(keys, texts)
-            self.most = most
-        known = self.known
-        at = np.fromiter((known[k] for k in keys), np.int64, len(keys))[which]
-        size = self.size[at]
+            new = np.arange(len(unique))
+        if len(new):
+            self._learn(unique[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
+        at = self._find(unique)[0][which]
+        size = self.size[at].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
         bounds = total[row_bounds(offs, starts)]

@@ -93,52 +93,105 @@ def levels(words_of: DataFrame, most: int) -> DataFrame:
     return s.select("source", "weight", F.greatest(expected, F.lit(0.0)).alias("expected"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), most: int = 2, seed: int = 1, buckets: int = 4096, weight: Callable[[Column], Column] = bits) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Callable[[Column], Column], keep: bool = False) -> DataFrame:
+    """(id, source, size, weight, u) of every row, and with ``keep`` the row itself."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *row)
+    own = F.least(F.greatest(weight(F.col("size")), F.lit(1)), F.lit(HEAVIEST)).cast("long")
+    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string"))
+    return rows.select("*", own.alias("weight"), uniform(name, seed).alias("u"))
+
+
+def _same(column: str, other: str) -> Column:
+    return F.col(column).eqNullSafe(F.col(other))
+
+
+class Mix:
+    """What a mix takes: tables of a few rows a source, and the rows at the edges of the ranking."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), budget: tuple[int, int] = (3, 2), most: int = 2, seed: int = 1, buckets: int = 4096, weight: Callable[[Column], Column] = bits):
+        self.docs, self.columns, self.own, self.buckets = docs, (id_col, text_col, source_col), (seed, weight), buckets
+        self.rows = settle(_rows(docs, *self.columns, *self.own), "mix-sizes")
+        self.goal = settle(targets(self.rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most), "mix-targets")
+        self.plan = self._copies(most)
+        d = self._ranked(self.rows)
+        # buckets follow the ranking, so all of those before the one where the target is met are taken
+        sums = d.filter("open").groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("left").alias("left"))
+        so_far = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        sums = settle(sums.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))), "mix-buckets")
+        self.edge = sums.filter((F.col("before") <= F.col("left")) & (F.col("before") + F.col("n") > F.col("left"))).select(F.col("source").alias("es"), F.col("bucket").alias("edge"), "before")
+        self.edge = settle(self.edge, "mix-edges")
+        order = W.partitionBy("source").orderBy("odds", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+        at_edge = self._placed(self.rows).filter("open and bucket = edge").withColumn("upto", F.col("before") + F.sum("size").over(order))
+        at_edge = settle(at_edge.withColumn("taken", F.col("upto") <= F.col("left")).drop("upto"), "mix-at-edges")
+        # of those not taken, the one whose words come nearest to what is missing
+        got = sums.join(self.edge, _same("source", "es"), "left").filter(F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))).select("source", F.col("n").alias("got"))
+        got = got.unionByName(at_edge.filter("taken").select("source", F.col("size").alias("got"))).groupBy(F.col("source").alias("s")).agg(F.sum("got").alias("got"))
+        rest = self._placed(self.rows).filter("open and bucket > edge").withColumn("taken", F.lit(False)).unionByName(at_edge.filter("not taken"))
+        rest = rest.join(got, _same("source", "s"), "left").withColumn("gap", F.col("left") - F.coalesce("got", F.lit(0)))
+        miss = F.abs(F.col("gap") - F.col("size"))
+        rest = rest.filter(miss < F.col("gap")).groupBy("source", "odds", "id", "size").agg(F.min(miss).alias("miss"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+        x = rest.groupBy("source").agg(F.min(F.struct("miss", "odds", "id", "size")).alias("x"))
+        self.extra = settle(x.select(F.col("source").alias("xs"), F.col("x.odds").alias("x_odds"), F.col("x.id").alias("x_id"), F.col("x.size").alias("x_size")), "mix-extra")
+        self.at_edge = settle(self._with_extra(at_edge), "mix-at-edges")
+
+    def _copies(self, most: int) -> DataFrame:
+        """(s, w, whole, p, left): copies for certain and the chance of one more, by source and weight, and the words left to those."""
+        sums = self.rows.filter("size > 0").groupBy("source", "weight").agg(F.sum("size").alias("words"))
+        sums = sums.join(self.goal.select(F.col("source").alias("s"), "target"), _same("source", "s")).select("source", "weight", "words", "target")
+        copies = levels(sums, most).select(F.col("source").alias("s"), F.col("weight").alias("w"), F.floor("expected").alias("whole"), (F.col("expected") - F.floor("expected")).alias("p"))
+        sums = sums.join(copies, _same("source", "s") & (F.col("weight") == F.col("w")))
+        left = sums.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("left")).select(F.col("source").alias("ls"), "left")
+        return settle(sums.join(left, _same("source", "ls")).select("s", "w", "whole", "p", "left"), "mix-plan")
+
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their copies for certain and, if one more is open to chance, their odds and bucket."""
+        d = rows.join(self.plan, _same("source", "s") & (F.col("weight") == F.col("w")) & (F.col("size") > 0), "left").drop("s", "w", "weight")
+        d = d.withColumn("open", F.coalesce((F.col("p") > 0) & (F.col("left") >= 0.5), F.lit(False)))
+        odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+        return d.withColumn("odds", F.when(F.col("open"), odds)).withColumn("bucket", F.floor((1 - 1 / (1 + F.col("odds"))) * self.buckets))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return self._ranked(rows).join(self.edge, _same("source", "es"), "left").drop("es")
+
+    def _with_extra(self, d: DataFrame) -> DataFrame:
+        """``d`` with ``copies``, of rows for which ``taken`` is known."""
+        d = d.join(self.extra, _same("source", "xs"), "left")
+        added = F.coalesce(F.col("open") & ~F.col("taken") & (F.col("odds") == F.col("x_odds")) & _same("id", "x_id") & (F.col("size") == F.col("x_size")), F.lit(False))
+        more = F.when(F.col("taken") | added, F.lit(1)).otherwise(F.lit(0))
+        return d.withColumn("copies", F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0)) + more).otherwise(F.lit(0)).cast("long")).drop("xs", "x_odds", "x_id", "x_size")
+
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        """Rows that are not at an edge, with ``copies``."""
+        d = self._placed(rows).filter(F.coalesce(~F.col("open") | (F.col("bucket") != F.col("edge")), F.lit(True)))
+        return self._with_extra(d.withColumn("taken", F.col("open") & F.coalesce(F.col("bucket") < F.col("edge"), F.lit(True))))
+
+    def copies(self) -> DataFrame:
+        """(id, source, size, source_size, target, copies) of every row; copies >= 0."""
+        names = ["id", "source", "size", "copies"]
+        d = self._settled(self.rows).select(*names).unionByName(self.at_edge.select(*names))
+        goal = self.goal.withColumnRenamed("source", "gs")
+        return d.join(goal, _same("source", "gs")).select("id", "source", "size", "source_size", "target", "copies")
+
+    def taken(self) -> DataFrame:
+        """Every row as often as the mix takes it; only rows at the edges are shuffled.
+
+        ``id`` must tell rows apart that are not equal. Where the mix takes some of equal
+        rows, one of them is repeated instead.
+        """
+        wide = _rows(self.docs, *self.columns, *self.own, keep=True)
+        key = ["id", "source", "size"]
+        edge = self.at_edge.groupBy(*[F.col(c).alias(f"e_{c}") for c in key]).agg(F.min("copies").alias("each"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("more"))
+        at = self._placed(wide).filter("open and bucket = edge").join(edge, _same("id", "e_id") & _same("source", "e_source") & (F.col("size") == F.col("e_size")))
+        out = self._settled(wide).select("row", "copies").unionByName(at.select("row", F.col("each").alias("copies")))
+        out = out.unionByName(at.filter("more > 0").dropDuplicates(key).select("row", F.col("more").alias("copies")))
+        return out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """(id, source, size, source_size, target, copies) of every row; copies >= 0.
 
     ``weights`` are those of the sources in order; ``weight`` gives a document's own from
-    its size, held within 1 to ``HEAVIEST``.
+    its size, held within 1 to ``HEAVIEST``; see ``Mix`` for the other options.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    own = F.least(F.greatest(weight(F.col("size")), F.lit(1)), F.lit(HEAVIEST)).cast("long")
-    rows = settle(rows.select("*", own.alias("weight"), uniform(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("size").cast("string")), seed).alias("u")), "mix-sizes")
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    goal = settle(goal, "mix-targets")
-    sums = rows.filter("size > 0").groupBy("source", "weight").agg(F.sum("size").alias("words"))
-    sums = sums.join(goal.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).select("source", "weight", "words", "target")
-    copies = levels(sums, most).select(F.col("source").alias("s"), F.col("weight").alias("w"), F.floor("expected").alias("whole"), (F.col("expected") - F.floor("expected")).alias("p"))
-    sums = sums.join(copies, F.col("source").eqNullSafe(F.col("s")) & (F.col("weight") == F.col("w")))
-    # the words that are left to take from one more copy of some
-    left = sums.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("left")).select(F.col("source").alias("ls"), "left")
-    plan = settle(sums.join(left, F.col("source").eqNullSafe(F.col("ls"))).select("s", "w", "whole", "p", "left"), "mix-plan")
-    d = rows.join(goal.withColumnRenamed("source", "gs"), F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
-    d = d.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("weight") == F.col("w")) & (F.col("size") > 0), "left").drop("s", "w", "weight")
-    d = d.withColumn("open", F.coalesce((F.col("p") > 0) & (F.col("left") >= 0.5), F.lit(False)))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    d = d.withColumn("odds", F.when(F.col("open"), odds)).withColumn("bucket", F.floor((1 - 1 / (1 + F.col("odds"))) * buckets))
-
-    # buckets follow the ranking, so all of those before the one where the target is met are taken
-    sums = d.filter("open").groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("left").alias("left"))
-    so_far = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-    edge = settle(sums.filter((F.col("before") <= F.col("left")) & (F.col("before") + F.col("n") > F.col("left"))).select(F.col("source").alias("s"), F.col("bucket").alias("edge"), "before"), "mix-edges")
-    d = d.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    d = d.withColumn("taken", F.when(~F.col("open"), False).otherwise(F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))))
-    at_edge = d.filter(F.col("open") & (F.col("bucket") == F.col("edge")))
-    order = W.partitionBy("source").orderBy("odds", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at_edge = at_edge.withColumn("upto", F.col("before") + F.sum("size").over(order))
-    at_edge = at_edge.withColumn("taken", F.col("upto") <= F.col("left"))
-    rest = d.filter(~F.col("open") | F.col("edge").isNull() | (F.col("bucket") != F.col("edge")))
-    d = settle(rest.unionByName(at_edge.drop("upto")), "mix-chosen")
-
-    # of those not taken, the one whose words come nearest to what is missing
-    got = d.groupBy("source").agg(F.sum(F.when(F.col("taken"), F.col("size")).otherwise(F.lit(0))).alias("got"))
-    gap = d.filter(F.col("open") & ~F.col("taken")).join(got.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    miss = F.abs(F.col("left") - F.col("got") - F.col("size"))
-    gap = gap.filter(miss < F.col("left") - F.col("got")).groupBy("source", "odds", "id", "size").agg(F.min(miss).alias("miss"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    extra = gap.groupBy("source").agg(F.min(F.struct("miss", "odds", "id", "size")).alias("x"))
-    extra = extra.select(F.col("source").alias("s"), F.col("x.odds").alias("x_odds"), F.col("x.id").alias("x_id"), F.col("x.size").alias("x_size"))
-    d = d.join(extra, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    added = F.coalesce(F.col("open") & ~F.col("taken") & (F.col("odds") == F.col("x_odds")) & F.col("id").eqNullSafe(F.col("x_id")) & (F.col("size") == F.col("x_size")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0)) + F.when(F.col("taken") | added, F.lit(1)).otherwise(F.lit(0))).otherwise(F.lit(0))
-    return d.select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return Mix(docs, id_col, text_col, source_col, **options).copies()

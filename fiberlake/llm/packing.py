@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
 from .bytescan import pieces as slices
+from .bytescan import released
 from .common import rank_within, settle
 
 
@@ -51,7 +52,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds)], names=names[:n])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(cut), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
