@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberlake.llm import line_dedup, mixing, packing, partenum, toxicity
-from fiberlake.llm.common import WORD, bitmap, drop, marked, may_be_in, settle, table
+from fiberlake.llm.common import WORD, bitmap, drop, marked, settle, table
 
 
 def _key(docs: DataFrame) -> Column:
@@ -66,16 +66,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that are equal in every column are taken alike; where the mix takes only some
     of them, one of them has what is left.
     """
-    keyed = docs.withColumn("__mix_key", _key(docs))
-    n = F.count(F.lit(1))
-    took = mixing.mix(keyed, "__mix_key").groupBy(F.col("id").alias("__mix_key")).agg(F.min("copies").alias("__mix_each"), (F.sum("copies") - n * F.min("copies")).alias("__mix_more"))
-    took = settle(took.filter("__mix_each > 0 or __mix_more > 0"), "mix-taken")
-    some = took.filter("__mix_more > 0").select("__mix_key", "__mix_more")
-    often = lambda rows, c: rows.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*docs.columns)
-    all_rows = often(keyed.join(took.filter("__mix_each > 0"), "__mix_key"), "__mix_each")
-    if some.isEmpty():
-        return all_rows
-    return all_rows.unionByName(often(may_be_in(keyed, "__mix_key", bitmap(some, "__mix_key")).join(some, "__mix_key").dropDuplicates(["__mix_key"]), "__mix_more"))
+    return mixing.Mix(docs.withColumn("__mix_key", _key(docs)), "__mix_key").taken().select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
