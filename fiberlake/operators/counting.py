@@ -36,9 +36,9 @@ def count_features(iv: DataFrame, g: DataFrame, speeds: DataFrame, data: DataFra
     return rows.withColumn("duration", (F.col("end_idx") - F.col("start_idx")).cast("double"))
 
 
-def lambda_count(iv: DataFrame, g: DataFrame, thr: DataFrame, fs: float, detect: float, classify: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Peak counts with each section's thresholds."""
-    rows = interval_thresholds(iv, thr, detect, classify)
+def lambda_count(iv: DataFrame, g: DataFrame, thr: DataFrame, fs: float, detect: float, classify: float, keys: tuple[str, ...] = KEYS, n_sections: int | None = None) -> DataFrame:
+    """Peak counts with each section's thresholds; the uniform pair if the table is not of ``n_sections`` rows."""
+    rows = interval_thresholds(iv, thr, detect, classify, n_sections)
     return detection.count_peaks(rows, g, F.col("detect"), F.col("classify"), fs, keys)
 
 

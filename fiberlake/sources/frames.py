@@ -13,10 +13,6 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import scalars as S
 
-#: Sources Spark may lack here; the reader then needs the connector's jar.
-TOPICS = "das\\.raw\\..*"
-
-
 def read_raw_frames(spark: SparkSession, source: str, streaming: bool = False, fmt: str = "json", servers: str | None = None) -> DataFrame:
     """Frames from files (``fmt``) or, with ``servers``, from all topics matching ``source``.
 

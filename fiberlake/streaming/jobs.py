@@ -8,9 +8,12 @@ output through the checkpoint.
 from __future__ import annotations
 
 import pickle
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,19 +49,32 @@ def rollup_stream(hires: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return rollups.state_agg(rows, ["fiber_id", "w", "ch", "direction"]).withColumn("ts", F.col("w.start")).drop("w")
 
 
-def upsert_batches(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that runs each batch id once: replays find it in the table of done ids.
+def _is_done(spark: SparkSession, done: str, batch: int) -> bool:
+    try:
+        return not spark.read.schema("at timestamp, batch_id long").parquet(done).filter(F.col("batch_id") == batch).isEmpty()
+    except AnalysisException:  # no batch has been written yet
+        return False
+
+
+def upsert_batches(write: Callable[[DataFrame, int], None], done: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that runs each batch id once: replays find it in the table of done ids at ``done``.
 
     ``write`` must itself be idempotent by batch id (overwrite its partition), as the
-    process can end between the write and the commit.
+    process can end between the write and the note that it is done. Without ``done``
+    every replay writes again.
     """
 
     def run(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        if done and _is_done(spark, done, batch):
+            return
         df.persist()
         try:
             write(df, batch)
         finally:
             df.unpersist()
+        if done:
+            spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{done}/batch_id={batch}")
 
     return run
 
@@ -80,7 +96,7 @@ def static_refresh(load: Callable[[SparkSession], DataFrame], use: Callable[[Dat
     return run
 
 
-def split_to_dlq(checks: dict, source, payload, ok_path: str, dlq_path: str) -> Callable[[DataFrame, int], None]:
+def split_to_dlq(checks: dict, source, payload, ok_path: str, dlq_path: str, done: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that stores good rows and dead letters, each by batch id."""
 
     def write(df: DataFrame, batch: int) -> None:
@@ -88,7 +104,14 @@ def split_to_dlq(checks: dict, source, payload, ok_path: str, dlq_path: str) ->
         overwrite_batch(ok_path)(ok, batch)
         overwrite_batch(dlq_path)(dlq, batch)
 
-    return upsert_batches(write)
+    return upsert_batches(write, done)
+
+
+def capture_stream(raw: DataFrame, out: str, checkpoint: str, **trigger):
+    """Stores each micro-batch's frames of their fiber's most frequent length, by batch id."""
+    write = overwrite_batch(out)
+    run = lambda df, batch: write(frames.modal_frames(df), batch)
+    return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 # stateful by key ---------------------------------------------------------------
@@ -115,23 +138,35 @@ def _stateful(df: DataFrame, keys: list[str], schema: str, step: Callable, timeo
     return df.groupBy(*keys).applyInPandasWithState(run, schema, BLOB, "append", timeout)
 
 
-def bandpass_stream(sig: DataFrame, low: float, high: float, fs: float) -> DataFrame:
+def bandpass_stream(sig: DataFrame, low: float, high: float, fs: float, timeout_ms: int = 3_600_000) -> DataFrame:
     """Causal band-pass with the filter's state carried by (fiber, section) between micro-batches.
 
-    A changed number of channels resets the state. Rows of a key must come in order of
-    t_idx between batches; within one they are sorted.
+    Channels carry their own state, so a micro-batch may lack samples of some or have
+    more of others. A channel that was not there before resets all of its key. A key that
+    is silent for ``timeout_ms`` is forgotten, which bounds the fibers held. Rows of a key
+    must come in order of t_idx between batches; within one they are sorted.
     """
     sos = kernels.butter_bandpass_sos(low, high, fs)
     schema = "fiber_id string, section string, ch int, t_idx bigint, v double"
 
     def step(key, pdf, held):
-        pdf = pdf.sort_values(["ch", "t_idx"], kind="stable")
-        chans = pdf.ch.drop_duplicates().to_list()
-        x = pdf.v.to_numpy(float).reshape(len(chans), -1)
-        y, z = kernels.sosfilt(sos, x, held["z"] if held and held["ch"] == chans else None)
-        return pdf.assign(v=y.ravel())[["fiber_id", "section", "ch", "t_idx", "v"]], {"ch": chans, "z": z}
+        if pdf is None:
+            return None, None
+        pdf = pdf.sort_values(["ch", "t_idx"], kind="stable").reset_index(drop=True)
+        size = pdf.groupby("ch", sort=True).size()
+        held = held or {}
+        if set(size.index) - set(held):
+            held = {c: np.zeros((len(sos), 2)) for c in size.index}
+        v, start = pdf.v.to_numpy(float).copy(), size.cumsum() - size
+        for n in size.unique():  # channels with as many samples go together
+            chans = size.index[size == n]
+            at = start[chans].to_numpy()[:, None] + np.arange(n)
+            y, z = kernels.sosfilt(sos, v[at], np.stack([held[c] for c in chans], 1))
+            v[at] = y
+            held |= {c: z[:, i] for i, c in enumerate(chans)}
+        return pdf.assign(v=v)[["fiber_id", "section", "ch", "t_idx", "v"]], held
 
-    return _stateful(sig.select("fiber_id", "section", "ch", "t_idx", "v"), ["fiber_id", "section"], schema, step)
+    return _stateful(sig.select("fiber_id", "section", "ch", "t_idx", "v"), ["fiber_id", "section"], schema, step, GroupStateTimeout.ProcessingTimeTimeout, timeout_ms)
 
 
 def detect_incidents_stream(det: DataFrame, free_flow: float) -> DataFrame:
@@ -184,32 +219,42 @@ def count_buffer(df: DataFrame, key: str, n: int, timeout_ms: int = 60_000) -> D
     return rolling_windows(df, key, n, n, timeout_ms)
 
 
-def section_barrier_stream(windows: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
-    """(fiber_id, window) as soon as all of the fiber's sections have shown it."""
+def section_barrier_stream(windows: DataFrame, sections: dict[str, list[str]], timeout_ms: int = 60_000) -> DataFrame:
+    """(fiber_id, window) as soon as all of the fiber's sections have shown it.
+
+    A window that is not complete ``timeout_ms`` after its first section is given up.
+    """
 
     def step(key, pdf, held):
-        held = held or {}
+        if pdf is None:
+            return None, None
+        now = time.time() * 1000
+        held = {w: x for w, x in (held or {}).items() if now - x[0] <= timeout_ms}
         need, out = set(sections.get(key[0], [])), []
         for w, s in pdf[["window", "section"]].itertuples(index=False, name=None):
-            held.setdefault(int(w), set()).add(s)
-            if need and held[int(w)] >= need:
+            held.setdefault(int(w), (now, set()))[1].add(s)
+            if need and held[int(w)][1] >= need:
                 out.append((key[0], int(w)))
                 del held[int(w)]
-        return pd.DataFrame(out, columns=["fiber_id", "window"]), held
+        return pd.DataFrame(out, columns=["fiber_id", "window"]), held or None
 
-    return _stateful(windows.select("fiber_id", "window", "section"), ["fiber_id"], "fiber_id string, window bigint", step)
+    return _stateful(windows.select("fiber_id", "window", "section"), ["fiber_id"], "fiber_id string, window bigint", step, GroupStateTimeout.ProcessingTimeTimeout, timeout_ms)
 
 
-def alert_stream(det: DataFrame, rules: DataFrame, assign: DataFrame) -> DataFrame:
-    """Dispatched alerts of a stream: static rules, cooldown state by (rule, fiber, channel)."""
+def alert_stream(det: DataFrame, rules: DataFrame, assign: DataFrame, timeout_ms: int = 86_400_000) -> DataFrame:
+    """Dispatched alerts of a stream: static rules, cooldown state by (rule, fiber, channel).
+
+    A key that nothing fires for ``timeout_ms`` is forgotten; that must be longer than the
+    longest cooldown.
+    """
     fired = alerts.eval_detection_rules(det, rules, assign)
     schema = "rule_id string, fiber_id string, ch int, ts_ns bigint, speed double, detail string, cooldown_s int"
 
     def step(key, pdf, held):
+        if pdf is None:
+            return None, None
         pdf = pdf.sort_values(["ts_ns", "detail"], kind="stable")
         keep, last = alerts.fold_cooldown(pdf.ts_ns.tolist(), float(pdf.cooldown_s.iloc[0]), held)
         return pdf[keep], last
 
-    return _stateful(fired, ["rule_id", "fiber_id", "ch"], schema, step)
-
-
+    return _stateful(fired, ["rule_id", "fiber_id", "ch"], schema, step, GroupStateTimeout.ProcessingTimeTimeout, timeout_ms)

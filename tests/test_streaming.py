@@ -1,6 +1,7 @@
 """Streams give the batch's rows, whatever the chunks."""
 
 import datetime as dt
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,10 +32,18 @@ def chunked(spark, df, order, path, chunks=4):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
 
 
-def run(df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+def run(df, name, mode="append", n=None):
+    """All rows through a query. Where state can time out the query never ends by itself: it is stopped after ``n`` rows."""
+    writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
+    q = (writer if n else writer.trigger(availableNow=True)).start()
+    if n is None:
+        q.awaitTermination(120)
+    seen, until = {}, time.time() + 90
+    while n and sum(seen.values()) < n and time.time() < until and q.isActive:
+        seen |= {p["batchId"]: p["numInputRows"] for p in q.recentProgress if p["numInputRows"]}
+        time.sleep(0.2)
     assert q.exception() is None
+    q.stop()
     return df.sparkSession.table(name)
 
 
@@ -61,18 +70,68 @@ def test_bandpass_stream(spark, tmp_path):
     x = np.random.default_rng(9).normal(size=(3, 96))
     c, t = np.indices(x.shape)
     df = spark.createDataFrame([("f", "s", int(a), int(b), float(v)) for a, b, v in zip(c.ravel(), t.ravel(), x.ravel())], "fiber_id string, section string, ch int, t_idx bigint, v double")
-    out = run(jobs.bandpass_stream(chunked(spark, df, "t_idx", tmp_path / "in"), 0.3, 2.0, 10.4167), "bp").toPandas()
+    out = run(jobs.bandpass_stream(chunked(spark, df, "t_idx", tmp_path / "in"), 0.3, 2.0, 10.4167), "bp", n=288).toPandas()
     got = out.pivot(index="ch", columns="t_idx", values="v").to_numpy(float)
     assert np.abs(got - kernels.sosfilt(kernels.butter_bandpass_sos(0.3, 2.0, 10.4167), x)[0]).max() < 1e-12
 
 
+def test_bandpass_stream_of_ragged_batches(spark, tmp_path):
+    """A channel's samples come late: each channel carries its own state."""
+    x = np.random.default_rng(10).normal(size=(2, 40))
+    order = [(c, t) for t in range(40) for c in (0, 1) if not (c == 1 and t >= 15)] + [(1, t) for t in range(15, 40)]
+    df = spark.createDataFrame([("f", "s", c, t, float(x[c, t]), i) for i, (c, t) in enumerate(order)], "fiber_id string, section string, ch int, t_idx bigint, v double, i int")
+    out = run(jobs.bandpass_stream(chunked(spark, df, "i", tmp_path / "in", 5), 0.3, 2.0, 10.4167), "bpr", n=80).toPandas()
+    got = out.pivot(index="ch", columns="t_idx", values="v").to_numpy(float)
+    assert np.abs(got - kernels.sosfilt(kernels.butter_bandpass_sos(0.3, 2.0, 10.4167), x)[0]).max() < 1e-12
+
+
+def test_state_goes_after_silence():
+    """Steps forget a key on a time-out, and a barrier gives up old windows."""
+    steps = {}
+    real, jobs._stateful = jobs._stateful, lambda df, keys, schema, step, *_: steps.setdefault(schema, step)
+    try:
+        class Any:
+            def select(self, *_):
+                return self
+
+        step = jobs.section_barrier_stream(Any(), {"f": ["a", "b"]}, timeout_ms=0)
+    finally:
+        jobs._stateful = real
+    import pandas as pd
+
+    _, held = step(("f",), pd.DataFrame({"window": [1], "section": ["a"]}), None)
+    assert list(held) == [1] and step(("f",), None, held) == (None, None)
+    held = {1: (held[1][0] - 10, held[1][1])}
+    out, held = step(("f",), pd.DataFrame({"window": [1], "section": ["b"]}), held)
+    assert not len(out) and held[1][1] == {"b"}
+
+
+def test_done_batches_are_not_written_again(spark, tmp_path):
+    seen = []
+    f = jobs.upsert_batches(lambda df, b: seen.append((b, df.count())), str(tmp_path / "done"))
+    for b in (0, 0, 1, 0, 1):
+        f(spark.range(3 + b), b)
+    assert seen == [(0, 3), (1, 4)]
+    again = jobs.upsert_batches(lambda df, b: seen.append((b, df.count())), str(tmp_path / "done"))  # after a restart
+    again(spark.range(9), 1)
+    again(spark.range(9), 2)
+    assert seen == [(0, 3), (1, 4), (2, 9)]
+
+
+def test_capture_stream(spark, tmp_path):
+    df = spark.createDataFrame([("f", i, i, [0.0] * (4 if i % 5 else 3)) for i in range(20)], "fiber_id string, frame_seq bigint, ts_ns bigint, values array<double>")
+    jobs.capture_stream(chunked(spark, df, "frame_seq", tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.frame_seq for r in got} == {i for i in range(20) if i % 5} and all(len(r["values"]) == 4 for r in got)
+
+
 def test_rolling_windows_and_barrier(spark, tmp_path):
     df = spark.createDataFrame([("k", i, float(i)) for i in range(40)], "k string, t_idx bigint, v double")
-    got = run(jobs.rolling_windows(chunked(spark, df, "t_idx", tmp_path / "a"), "k", 16, 12), "rw")
+    got = run(jobs.rolling_windows(chunked(spark, df, "t_idx", tmp_path / "a"), "k", 16, 12), "rw", n=40)
     want = {(w, t) for w in range(3) for t in range(w * 12, w * 12 + 16)}
     assert {(r.window, r.t_idx) for r in got.filter("not partial").collect()} == want
     w = spark.createDataFrame([("f", i // 2, "ab"[i % 2]) for i in range(7)], "fiber_id string, window bigint, section string").withColumn("i", F.col("window") * 2)
-    got = run(jobs.section_barrier_stream(chunked(spark, w, "i", tmp_path / "b", 3), {"f": ["a", "b"]}), "bar")
+    got = run(jobs.section_barrier_stream(chunked(spark, w, "i", tmp_path / "b", 3), {"f": ["a", "b"]}), "bar", n=7)
     assert rows(got, "fiber_id", "window") == [("f", 0), ("f", 1), ("f", 2)]
 
 
@@ -83,7 +142,7 @@ def test_alert_stream(spark, tmp_path):
     rules = spark.createDataFrame([("r", "A", "speed_below", True, [], None, None, 8.0, [], [], 20)], schemas.RULE)
     assign = spark.createDataFrame([("A", "f0"), ("A", "f1")], schemas.ASSIGNMENT)
     cols = ("rule_id", "fiber_id", "ch", "ts_ns")
-    got = run(jobs.alert_stream(chunked(spark, d, "seq", tmp_path / "in"), rules, assign), "al")
+    got = run(jobs.alert_stream(chunked(spark, d, "seq", tmp_path / "in"), rules, assign), "al", n=240)
     assert rows(got, *cols) == rows(alerts.apply_cooldown(alerts.eval_detection_rules(d, rules, assign)), *cols)
 
 
