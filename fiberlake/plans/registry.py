@@ -687,24 +687,46 @@ def _(v):
     return out.select("fiber_id", "window", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"), F.bround("strain_peak", 9).alias("strain_peak"), F.bround("strain_rms", 9).alias("strain_rms"))
 
 
-@query("extract_detections")
-def _(v):
-    w, g = v.windows(), detection.glrt_windows(v.signal(), 9, 3)
-    shifts = detection.pair_shift(w, 3)
-    aligned = detection.align_shift(w, shifts)
-    s = detection.pair_speed(shifts.withColumn("shift", F.abs("shift") + 6), 10.4167, 15.3846)
-    return detection.map_channel(detection.extract_detections(detection.glrt_sum(g), s, aligned, 10.4167, 0.05 / 8), 0, 3)
+#: Vehicles of intervals ``ivs(fiber_id, window, start_idx, end_idx, detect, classify)``: strict maxima of ``gs`` inside that reach a height and stand out; else the highest sample.
+_PEAKS = """seg AS (SELECT i.*, t, g, lag(g) OVER o AS g0, lead(g) OVER o AS g1 FROM ivs i JOIN gs USING (fiber_id, "window") WHERE t >= start_idx AND t < end_idx WINDOW o AS (PARTITION BY fiber_id, "window", start_idx ORDER BY t)),
+top AS (SELECT * FROM seg WHERE g > g0 AND g > g1 AND g >= detect),
+edge AS (SELECT p.fiber_id, p."window", p.start_idx, p.t, any_value(p.g) AS g, coalesce(max(q.t) FILTER (q.t < p.t AND q.g > p.g), -1) AS lo, coalesce(min(q.t) FILTER (q.t > p.t AND q.g > p.g), 1000000) AS hi FROM top p JOIN seg q ON p.fiber_id = q.fiber_id AND p."window" = q."window" AND p.start_idx = q.start_idx GROUP BY ALL),
+low AS (SELECT e.fiber_id, e."window", e.start_idx, e.t, any_value(e.g) AS g, min(q.g) FILTER (q.t <= e.t AND q.t > lo) AS a, min(q.g) FILTER (q.t >= e.t AND q.t < hi) AS b FROM edge e JOIN seg q ON e.fiber_id = q.fiber_id AND e."window" = q."window" AND e.start_idx = q.start_idx GROUP BY e.fiber_id, e."window", e.start_idx, e.t, lo, hi),
+found AS (SELECT i.fiber_id, i."window", i.start_idx, count(l.t) AS n, count(l.t) FILTER (l.g >= classify) AS trucks FROM ivs i LEFT JOIN low l ON i.fiber_id = l.fiber_id AND i."window" = l."window" AND i.start_idx = l.start_idx AND l.g - greatest(a, b) >= greatest(1, 0.1::DOUBLE * detect) GROUP BY ALL),
+high AS (SELECT fiber_id, "window", start_idx, max(g) AS m FROM seg GROUP BY ALL),
+counted AS (SELECT i.*, m AS glrt_max, CASE WHEN n > 0 THEN n WHEN m >= detect THEN 1 ELSE 0 END AS n, CASE WHEN n > 0 THEN n - trucks WHEN m >= detect AND m < classify THEN 1 ELSE 0 END AS cars, CASE WHEN n > 0 THEN trucks WHEN m >= detect AND m >= classify THEN 1 ELSE 0 END AS trucks
+FROM ivs i JOIN found USING (fiber_id, "window", start_idx) JOIN high USING (fiber_id, "window", start_idx))"""
 
 
-@query("align_shift", """WITH c AS (SELECT a.fiber_id, a.i, l.l AS lag, sum(a.v * b.v) AS s FROM si a JOIN range(-5, 6) l(l) ON true JOIN si b ON b.fiber_id = a.fiber_id AND b.i = a.i + 1 AND b.t_idx = a.t_idx + l.l GROUP BY ALL), k AS (SELECT fiber_id, i, -arg_max(lag, s) AS shift FROM c GROUP BY ALL),
-cs AS (SELECT chs.fiber_id, chs.i, n, coalesce(sum(shift) OVER (PARTITION BY chs.fiber_id ORDER BY chs.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM chs LEFT JOIN k USING (fiber_id, i)),
-m AS (SELECT a.fiber_id, w.w, a.i, b.c - a.c AS shift FROM cs a JOIN range(1000) w(w) ON w.w * 3 <= a.i AND a.i < w.w * 3 + 9 AND w.w * 3 + 9 <= a.n JOIN cs b ON b.fiber_id = a.fiber_id AND b.i = w.w * 3 + 4)
-SELECT m.fiber_id, w::INT AS "window", (m.i - w * 3)::INT AS pos, t.t::INT AS t, round_even(si.v, 9) AS v FROM m JOIN range(64) t(t) ON true JOIN si ON si.fiber_id = m.fiber_id AND si.i = m.i AND si.t_idx = greatest(0, least(63, t.t + shift))""")
+def _aligned_sql(lag: int) -> str:
+    """Views shift (a channel pair's displacement in samples) and al (windows moved by them)."""
+    return f"""c AS (SELECT a.fiber_id, a.i, l.l AS lag, sum(a.v * b.v) AS s FROM si a JOIN range(-{lag}, {lag + 1}) l(l) ON true JOIN si b ON b.fiber_id = a.fiber_id AND b.i = a.i + 1 AND b.t_idx = a.t_idx + l.l GROUP BY ALL), shift AS (SELECT fiber_id, i, -arg_max(lag, s) AS shift FROM c GROUP BY ALL),
+cs AS (SELECT chs.fiber_id, chs.i, n, coalesce(sum(shift) OVER (PARTITION BY chs.fiber_id ORDER BY chs.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM chs LEFT JOIN shift USING (fiber_id, i)),
+moved AS (SELECT a.fiber_id, w.w, a.i, b.c - a.c AS shift FROM cs a JOIN range(1000) w(w) ON w.w * 3 <= a.i AND a.i < w.w * 3 + 9 AND w.w * 3 + 9 <= a.n JOIN cs b ON b.fiber_id = a.fiber_id AND b.i = w.w * 3 + 4),
+al AS (SELECT moved.fiber_id, w::INT AS "window", (moved.i - w * 3)::INT AS pos, t.t::INT AS t, si.v FROM moved JOIN range(64) t(t) ON true JOIN si ON si.fiber_id = moved.fiber_id AND si.i = moved.i AND si.t_idx = greatest(0, least(63, t.t + moved.shift)))"""
+
+
+@query("align_shift", f'WITH {_aligned_sql(5)} SELECT fiber_id, "window", pos, t, round_even(v, 9) AS v FROM al')
 def _(v):
     w = v.windows()
     return detection.align_shift(w, detection.pair_shift(w, 5)).withColumn("v", F.bround("v", 9))
 
 
+@query("extract_detections", f"""WITH {_aligned_sql(3)}, ivs AS (SELECT fiber_id, "window", start_idx, end_idx, 0.05::DOUBLE AS detect, 0.1::DOUBLE AS classify FROM iv WHERE end_idx - start_idx >= 3), {_PEAKS},
+sp AS (SELECT fiber_id, w.w::INT AS "window", median(abs((3.6::DOUBLE * 10.4167::DOUBLE * 15.3846::DOUBLE) / (abs(shift) + 6 + 1e-8::DOUBLE))) AS speed FROM shift JOIN chs USING (fiber_id, i) JOIN range(1000) w(w) ON w.w * 3 <= i AND i < w.w * 3 + 8 AND w.w * 3 + 9 <= n GROUP BY ALL),
+st AS (SELECT fiber_id, "window", start_idx, avg(p) AS strain_peak, avg(r) AS strain_rms FROM (SELECT a.fiber_id, a."window", start_idx, pos, max(abs(v)) AS p, sqrt(avg(v * v)) AS r FROM al a JOIN ivs USING (fiber_id, "window") WHERE t >= start_idx AND t < end_idx GROUP BY ALL) GROUP BY ALL)
+SELECT fiber_id, "window", start_idx, end_idx, ((start_idx + end_idx) // 2)::BIGINT AS t_mid, round_even(speed, 6) AS speed, round_even(glrt_max, 9) AS glrt_max, greatest(1, n)::DOUBLE AS vehicle_count, cars::DOUBLE AS n_cars, trucks::DOUBLE AS n_trucks, round_even(strain_peak, 9) AS strain_peak, round_even(strain_rms, 9) AS strain_rms, ("window" * 3)::INT AS ch
+FROM counted JOIN sp USING (fiber_id, "window") JOIN st USING (fiber_id, "window", start_idx) WHERE speed BETWEEN 20 AND 120""")
+def _(v):
+    w, g = v.windows(), detection.glrt_windows(v.signal(), 9, 3)
+    shifts = detection.pair_shift(w, 3)
+    aligned = detection.align_shift(w, shifts)
+    s = detection.pair_speed(shifts.withColumn("shift", F.abs("shift") + 6), 10.4167, 15.3846)
+    out = detection.map_channel(detection.extract_detections(detection.glrt_sum(g), s, aligned, 10.4167, 0.05 / 8), 0, 3)
+    ints, rounded = ("start_idx", "end_idx"), {"speed": 6, "glrt_max": 9, "strain_peak": 9, "strain_rms": 9}
+    return out.select(*[F.col(c).cast("int").alias(c) if c in ints else F.bround(c, rounded[c]).alias(c) if c in rounded else c for c in out.columns])
+
+
 @query("coupling_mask", 'SELECT fiber_id, "window", t, g * (1 + "window" % 3) AS g, g * (1 + "window" % 3) >= 0.02 * (1 + "window" % 2) AS mask FROM gs')
 def _(v):
     g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3))
@@ -752,19 +774,39 @@ def _(v):
     return f.select("fiber_id", "window", F.col("start_idx").cast("int").alias("start_idx"), F.col("end_idx").cast("int").alias("end_idx"), "duration", F.bround("glrt_sum", 8).alias("glrt_sum"), F.bround("speed_ms", 7).alias("speed_ms"), "occupancy", F.bround("energy", 8).alias("energy"))
 
 
-@query("count_vehicles")
+_NORM = [(20.0, 10.0), (50.0, 30.0), (20.0, 8.0), (0.01, 0.01), (5.0, 3.0)]
+_NET = [([[0.1 * ((i * 5 + j) % 7 - 3) for j in range(5)] for i in range(10)], [0.1] * 10), ([[0.1 * ((i * 10 + j) % 5 - 1) for j in range(10)] for i in range(5)], [0.1] * 5), ([[0.5, 0.4, 0.3, 0.2, 0.1]], [0.2])]
+
+
+def _net_sql(table: str) -> str:
+    """The dense net as nested selects over ``table``, with its output as raw."""
+    d = "CAST({!r} AS DOUBLE)".format
+    x, sql = [f"(({c} - {d(m)}) / {d(s)})" for c, (m, s) in zip(counting.FEATURES, _NORM)], table
+    for k, (w, b) in enumerate(_NET):
+        rows = [" + ".join([d(bi), *(f"{xi} * {d(wi)}" for xi, wi in zip(x, row))]) for row, bi in zip(w, b)]
+        last = k == len(_NET) - 1
+        cols = [f"{r} AS raw" if last else f"greatest(0, {r}) AS h{k}_{i}" for i, r in enumerate(rows)]
+        sql, x = f"(SELECT *, {', '.join(cols)} FROM {sql})", [f"h{k}_{i}" for i in range(len(rows))]
+    return sql
+
+
+@query("count_vehicles", f"""WITH {_SPD}, gh AS (SELECT fiber_id, "window", t, g * 100 AS g FROM gs), ih AS (SELECT fiber_id, "window", min(t)::INT AS start_idx, (max(t) + 1)::INT AS end_idx FROM (SELECT *, t - row_number() OVER (PARTITION BY fiber_id, "window" ORDER BY t) AS r FROM gh WHERE g >= 5.0) GROUP BY fiber_id, "window", r),
+ivs AS (SELECT *, CASE "window" WHEN 1 THEN 6.0::DOUBLE ELSE 5.0 END AS detect, CASE "window" WHEN 1 THEN 12.0::DOUBLE ELSE 10.0 END AS classify FROM ih), {_PEAKS.replace("JOIN gs USING", "JOIN gh USING")},
+a1 AS (SELECT fiber_id, "window", start_idx, sum(g - 5.0) AS glrt_sum FROM gh JOIN ih USING (fiber_id, "window") WHERE t >= start_idx AND t < end_idx GROUP BY ALL), a2 AS (SELECT fiber_id, "window", start_idx, coalesce(median(speed), 0) / 3.6::DOUBLE AS speed_ms FROM spd JOIN ih USING (fiber_id, "window") WHERE t >= start_idx AND t < end_idx GROUP BY ALL),
+a3 AS (SELECT fiber_id, "window", start_idx, sum(v * v) AS energy FROM win JOIN ih USING (fiber_id, "window") WHERE t >= start_idx AND t < end_idx GROUP BY ALL), a4 AS (SELECT fiber_id, "window", sum(end_idx - start_idx) / 3750.0::DOUBLE AS occupancy FROM ih GROUP BY ALL),
+f AS (SELECT c.fiber_id, c."window", c.start_idx, c.end_idx, n AS lambda_n, (end_idx - start_idx)::DOUBLE AS duration, glrt_sum, speed_ms, occupancy, energy FROM counted c JOIN a1 USING (fiber_id, "window", start_idx) JOIN a2 USING (fiber_id, "window", start_idx) JOIN a3 USING (fiber_id, "window", start_idx) JOIN a4 USING (fiber_id, "window")),
+r AS (SELECT *, max((raw <> 0)::INT) OVER (PARTITION BY fiber_id, "window") AS live FROM {_net_sql("f")})
+SELECT fiber_id, "window", start_idx, end_idx, lambda_n::INT AS lambda_n, round_even(raw, 6) AS raw, round_even(CASE WHEN live = 0 THEN raw WHEN speed_ms = 0 THEN 0 ELSE least(greatest(raw, 0), greatest(1, ceil(duration / 10.4167::DOUBLE)), greatest(1, lambda_n * 3 + 2)) END, 6) AS count FROM r""")
 def _(v):
     g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3)).withColumn("g", F.col("g") * 100)
     iv = detection.intervals(detection.mask(g, 5.0))
     thr = v.spark.createDataFrame([(0, 5.0, 10.0), (1, 6.0, 12.0)], "section_idx int, detect double, classify double")
     lam = counting.lambda_count(iv, g, thr, 10.4167, 5.0, 10.0)
     feats = counting.count_features(iv.withColumn("detect", F.lit(5.0)), g, _speeds(v), v.windows(), 3750.0)
-    norm = [(20.0, 10.0), (50.0, 30.0), (20.0, 8.0), (0.01, 0.01), (5.0, 3.0)]
-    w1 = [[0.1 * ((i * 5 + j) % 7 - 3) for j in range(5)] for i in range(10)]
-    w2 = [[0.1 * ((i * 10 + j) % 5 - 1) for j in range(10)] for i in range(5)]
-    raw = counting.score_counts(feats, norm, [(w1, [0.1] * 10), (w2, [0.1] * 5), ([[0.5, 0.4, 0.3, 0.2, 0.1]], [0.2])])
+    raw = counting.score_counts(feats, _NORM, _NET)
     rows = raw.join(lam.select("fiber_id", "window", "start_idx", F.col("n").alias("lambda_n")), ["fiber_id", "window", "start_idx"])
-    return counting.cap_counts(rows, 10.4167).select("fiber_id", "window", "start_idx", "end_idx", "lambda_n", F.bround("raw", 6).alias("raw"), F.bround("count", 6).alias("count"))
+    ints = [F.col(c).cast("int").alias(c) for c in ("start_idx", "end_idx", "lambda_n")]
+    return counting.cap_counts(rows, 10.4167).select("fiber_id", "window", *ints, F.bround("raw", 6).alias("raw"), F.bround("count", 6).alias("count"))
 
 
 @query("collapse_sections", f'WITH {_SPD} SELECT fiber_id, t, round_even(avg(g), 9) AS g, round_even(median(speed), 6) AS speed, round_even(avg(v), 9) AS v FROM spd JOIN win w USING (fiber_id, "window", t) WHERE w.pos = pair GROUP BY ALL')
@@ -978,3 +1020,40 @@ UNION ALL SELECT 'volume', fiber_id, direction::VARCHAR, h::VARCHAR, m, CASE m W
 UNION ALL SELECT 'incidents', incident_type, severity, '', 'n', count(*)::DOUBLE FROM incidents WHERE fiber_id IN ('click', 'view') AND timestamp BETWEEN '2024-01-10' AND '2024-01-20' GROUP BY incident_type, severity""")
 def _(v):
     return reports.build_report(v.detections(), v.incidents(), day("2024-01-10"), day("2024-01-20"), ["click", "view"], ["incidents", "speed", "volume"])
+
+
+# extension points --------------------------------------------------------------------------
+@query("map_records", "SELECT seq, speed * 2 AS speed FROM detections")
+def _(v):
+    def twice(batches):
+        for pdf in batches:
+            yield pdf.assign(speed=pdf["speed"] * 2)
+
+    return signals.map_records(v.detections().select("seq", "speed"), twice, "seq bigint, speed double")
+
+
+@query("map_windows", 'SELECT fiber_id, "window", pos, t, round_even(v - avg(v) OVER (PARTITION BY fiber_id, "window"), 9) AS v FROM win')
+def _(v):
+    w = v.windows()
+    out = signals.map_windows(w, ["fiber_id", "window"], lambda pdf: pdf.assign(v=pdf["v"] - pdf["v"].mean()), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in w.schema.fields))
+    return out.withColumn("v", F.bround("v", 9))
+
+
+@query("score_by_model", "SELECT seq, CASE WHEN direction = 0 THEN speed * 0.5::DOUBLE + 1 ELSE speed - 1 END AS score FROM detections")
+def _(v):
+    line = lambda a, b: lambda pdf: pdf.assign(score=pdf["speed"] * a + b)[["seq", "score"]]
+    return detection.score_by_model(v.detections().select("seq", "direction", "speed"), "direction", {0: line(0.5, 1.0)}, "seq bigint, score double", line(1.0, -1.0))
+
+
+@query("count_windows", "SELECT fiber_id, ch, w.w::INT AS t_window, (t_idx - w.w * 12)::INT AS t, v FROM sig JOIN range(20) w(w) ON w.w * 12 <= t_idx AND t_idx < w.w * 12 + 16 AND w.w * 12 + 16 <= 64")
+def _(v):
+    return counting.count_windows(v.signal(), 10.0, 1.6, 12).select("fiber_id", "ch", "t_window", "t", "v")
+
+
+@query("interval_thresholds", 'SELECT fiber_id, "window", start_idx, k.k::INT AS n_sections, CASE WHEN k.k = 3 THEN 5.0::DOUBLE WHEN "window" = 0 THEN 4.0 WHEN "window" = 1 THEN 6.0 ELSE 5.0 END AS detect, CASE WHEN k.k = 3 THEN 10.0::DOUBLE WHEN "window" = 0 THEN 8.0 WHEN "window" = 1 THEN 12.0 ELSE 10.0 END AS classify FROM iv, range(2, 4) k(k)')
+def _(v):
+    g = detection.glrt_sum(detection.glrt_windows(v.signal(), 9, 3))
+    iv = detection.intervals(detection.mask(g, 0.05)).select("fiber_id", "window", F.col("start_idx").cast("int").alias("start_idx"))
+    thr = v.spark.createDataFrame([(0, 4.0, 8.0), (1, 6.0, 12.0)], "section_idx int, detect double, classify double")
+    two, three = (counting.interval_thresholds(iv, thr, 5.0, 10.0, n).withColumn("n_sections", F.lit(n)) for n in (2, 3))
+    return two.unionByName(three).select("fiber_id", "window", "start_idx", "n_sections", "detect", "classify")
