@@ -43,6 +43,6 @@ def test_matches_sql(spark, sf, con, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))  # their rows: test_by_hand.py
 def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
