@@ -58,8 +58,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def released(run):
-    """A function for ``mapInArrow`` after which the worker gives unused memory back to the system.
+    """A function for ``mapInArrow`` after which the worker gives unused memory back.
 
     Workers are used again and idle for a while between stages; what they keep would
     be missing to the next stage.
@@ -67,10 +75,7 @@ def released(run):
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return wrapped
 

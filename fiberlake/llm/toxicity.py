@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LETTERS, U, pieces, released, utf8, words
+from .bytescan import LETTERS, U, give_back, pieces, released, utf8, words
 
 CHAIN = 128
 PREFIXES = (4, 5, 6)
@@ -230,8 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             size += n
             kept.append(r)
     texts, y = [r.text or "" for r in kept], [r.y for r in kept]
-    del kept
-    return fit(texts, y)
+    del kept, rows
+    model = fit(texts, y)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
