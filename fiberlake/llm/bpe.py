@@ -3,7 +3,7 @@
 The tokenizer of ``word_bpe_49k.json`` drops white space and merges within words only,
 so a text's ids are those of its words. Each distinct word of a task is encoded once;
 the rest is array work. Texts that may hold a special token's string go through the
-tokenizer whole.
+tokenizer whole. A null text counts as empty and has no ids; an empty column has none.
 """
 
 from __future__ import annotations

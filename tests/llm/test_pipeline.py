@@ -29,6 +29,8 @@ def test_odd_documents_pass_every_stage(spark, odd_docs, no_docs, sf):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, sf).columns == odd_docs.columns, name
             stage(spark, docs, sf).count()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()} and all(r.length > 0 for r in pieces)
 
 
 ROWS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
