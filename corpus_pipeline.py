@@ -47,9 +47,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near = partenum.near_duplicates(keyed, "__near_key").select(F.col("doc_id").alias("__near_key"), "component_id")
     near = settle(rows.join(near, "__near_key"), "near-rows")
     first = near.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__near_key")).alias("x")).select("component_id", F.col("x.__near_key").alias("__near_first"))
-    some = near.filter("copies > 1 or component_id <> __near_key").join(first, "component_id")  # a component of one row needs no look
-    some = some.unionByName(near.filter("copies = 1 and component_id = __near_key").join(first, "component_id").filter("__near_key <> __near_first"))
-    some = settle(some.select("__near_key", (F.col("__near_key") == F.col("__near_first")).alias("__near_stays"), "copies"), "near-decisions")
+    stays = F.col("__near_key") == F.col("__near_first")
+    some = near.join(first, "component_id").select("__near_key", stays.alias("__near_stays"), "copies").filter("not __near_stays or copies > 1")
+    some = settle(some, "near-decisions")
     drop(near)
     gone, repeated = some.filter("not __near_stays").select("__near_key"), some.filter("__near_stays and copies > 1").select("__near_key")
     told = marked(keyed, "__near_key", bitmap(gone, "__near_key"))
