@@ -11,8 +11,8 @@ toxic words, highest marginal), which a logistic regression turns into the score
 Spans are runs of words whose marginal is at least a half, as code-point offsets.
 
 The model is fitted on at most ``max_toxic`` + ``max_clean`` labelled rows of
-``max_bytes`` bytes together, chosen by a hash of the id, whole texts each; that is all
-that reaches the driver. A text that no longer fits in is passed over. Of the sample's
+``max_bytes`` bytes together, chosen by a hash of the id, whole texts each, in one task; only the
+model reaches the driver. A text that no longer fits in is passed over. Of the sample's
 chains all with a toxic word train the field and about ``chains`` others. A feature is
 telling if a ``share`` of the toxic documents has it, three at least, and ``ratio`` times
 the share of clean ones. Scoring reads every whole
@@ -26,6 +26,7 @@ both kinds all scores are the same, near 0.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LETTERS, U, give_back, pieces, released, utf8, words
+from .bytescan import LETTERS, U, pieces, released, utf8, words
 
 CHAIN = 128
 PREFIXES = (4, 5, 6)
@@ -120,9 +121,13 @@ def marginals(psi: np.ndarray, chain: np.ndarray, pair: np.ndarray, pairs: bool
     m = a1 * b1 / (a0 * b0 + a1 * b1)
     if not pairs:
         return m.astype(np.float32)
-    j = np.flatnonzero(chain[1:] == chain[:-1]) if n > 1 else np.zeros(0, int)
-    q = np.stack([np.stack([a0[j] * T[0, 0] * b0[j + 1], a0[j] * T[0, 1] * e[j + 1] * b1[j + 1]]), np.stack([a1[j] * T[1, 0] * b0[j + 1], a1[j] * T[1, 1] * e[j + 1] * b1[j + 1]])])
-    return m, (q / q.sum((0, 1))).sum(-1), logz
+    both, step = np.zeros((2, 2)), 1 << 17  # a part of the neighbouring words at a time
+    for lo in range(0, n - 1, step):
+        j = lo + np.flatnonzero(chain[lo + 1 : lo + step + 1] == chain[lo : min(lo + step, n - 1)])
+        x0, x1 = b0[j + 1], b1[j + 1] * e[j + 1]
+        q = np.stack([a0[j] * T[0, 0] * x0, a0[j] * T[0, 1] * x1, a1[j] * T[1, 0] * x0, a1[j] * T[1, 1] * x1])
+        both += (q / q.sum(0)).sum(1).reshape(2, 2)
+    return m, both, logz
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.0, share: float = 1 / 140, l2: float = 1e-3, chains: int = 10_000, seed: int = 1) -> Model:
@@ -131,13 +136,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
     nothing = Model(np.zeros(0, U), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([-30.0, 0, 0]))
     if not len(y) or y.all() or not y.any():
         return nothing
-    _, _, _, _, feats, row, chain = read_words(pa.array(texts, pa.large_string()))
+    feats, row, chain = read_words(pa.array(texts, pa.large_string()))[4:]
     if not len(row):
         return nothing
     n_toxic, n_clean = int(y.sum()), int((~y).sum())
     least = max(3, round(share * n_toxic))
     del texts
-    vocab, marks, kinds = [], [], []
+    vocab, marks = [], []
     for f in feats:
         u, which = np.unique(f, return_inverse=True)
         pairs = np.unique(which.astype(np.int64) * len(y) + row)
@@ -148,11 +153,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
         common = telling | (t + c >= max(least, len(y) // 20))
         vocab.append(u[common])
         marks.append(u[telling])
-        kinds.append(f)
     vocab, marks = np.unique(np.concatenate(vocab)), np.unique(np.concatenate(marks))
-    label = np.zeros(len(row), bool)
-    for f in feats:
+    label, index = np.zeros(len(row), bool), []
+    while feats:  # a feature's place in the vocabulary is all that is needed from here; unknown ones have the last
+        f = feats.pop(0)
         label |= np.isin(f, marks)
+        at = np.minimum(np.searchsorted(vocab, f), max(len(vocab) - 1, 0)).astype(np.int32)
+        index.append(np.where(vocab[at] == f, at, np.int32(len(vocab))) if len(vocab) else np.zeros(len(f), np.int32))
     label &= y[row]
     # all chains with toxic words, and others by chance
     count = int(chain[-1]) + 1
@@ -161,8 +168,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
     rng = np.random.default_rng(seed)
     use = hot | (rng.random(count) < chains / count)
     w = use[chain]
-    psi_at = [np.searchsorted(vocab, f[w]) for f in feats]
-    known = [(np.minimum(a, len(vocab) - 1), vocab[np.minimum(a, len(vocab) - 1)] == f[w]) for a, f in zip(psi_at, feats)]
+    known = [a[w] for a in index]
     lab, ch = label[w], np.unique(chain[w], return_inverse=True)[1]
     nxt = np.flatnonzero(ch[1:] == ch[:-1])
     seen_pairs = np.bincount(lab[nxt] * 2 + lab[nxt + 1], minlength=4).reshape(2, 2).astype(float)
@@ -173,14 +179,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
     n = len(lab)
     for step in range(1, rounds + 1):
         weight, bias, pair = theta[: len(vocab)], theta[-5], theta[-4:].reshape(2, 2)
-        psi = np.full(n, bias)
-        for a, ok in known:
-            psi += np.where(ok, weight[a], 0)
+        psi, padded = np.full(n, bias), np.append(weight, 0.0)
+        for a in known:
+            psi += padded[a]
         m, q, _ = marginals(psi, ch, pair, pairs=True)
         r = m - lab
         g = np.zeros_like(theta)
-        for a, ok in known:
-            g[: len(vocab)] += np.bincount(a[ok], r[ok], minlength=len(vocab))
+        for a in known:
+            g[: len(vocab)] += np.bincount(a, r, minlength=len(vocab) + 1)[:-1]
         g[-5], g[-4:] = r.sum(), (q - seen_pairs).ravel()
         scale = max(1.0, lab.sum())
         g = g / scale + l2 * theta
@@ -188,7 +194,10 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
         theta = theta - 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     keep = np.abs(theta[: len(vocab)]) > 0.02
     model = Model(vocab[keep], theta[: len(vocab)][keep], float(theta[-5]), theta[-4:].reshape(2, 2).copy(), np.zeros(3))
-    p = marginals(model.emission(feats), chain, model.pair)
+    padded, psi = np.append(np.where(keep, theta[: len(vocab)], 0.0), 0.0), np.full(len(row), model.bias)
+    for a in index:
+        psi += padded[a]
+    p = marginals(psi, chain, model.pair)
     expected, highest = per_row(p, row, len(y))
     x = np.stack([np.ones(len(y)), np.log1p(expected), highest], 1)
     beta = np.array([-2.0, 1.0, 1.0])
@@ -217,24 +226,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a model on a bounded sample of the labelled rows that are not held out.
 
     The sample is by a hash of the id, ``max_toxic`` and ``max_clean`` rows at most, as
-    far as they fit in ``max_bytes`` bytes of text.
+    far as they fit in ``max_bytes`` bytes of text. One task fits it, whatever the tables' size.
     """
     lab = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     h = F.xxhash64("id", F.lit(7))
     some = lab.filter("y = 1").orderBy(h, "id").limit(max_toxic).unionByName(lab.filter("y = 0").orderBy(h, "id").limit(max_clean))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").filter(~held_out("id"))
-    kept, size = [], 0
-    for r in rows.orderBy(h, "id").limit(2 * (max_toxic + max_clean)).toLocalIterator():
-        n = len((r.text or "").encode("utf-8", "replace"))
-        if size + n <= max_bytes:
-            size += n
-            kept.append(r)
-    texts, y = [r.text or "" for r in kept], [r.y for r in kept]
-    del kept, rows
-    model = fit(texts, y)
-    del texts
-    give_back()
-    return model
+
+    def run(batches):
+        texts, y, size = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = len((text or "").encode("utf-8", "replace"))
+                if size + n <= max_bytes:
+                    texts.append(text or "")
+                    y.append(label)
+                    size += n
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], names=["model"])
+
+    sample = rows.orderBy(h, "id").limit(2 * (max_toxic + max_clean)).select("text", "y")
+    model = sample.coalesce(1).mapInArrow(released(run), "model binary").first()
+    return pickle.loads(model[0]) if model else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
