@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, settle
+from .common import WORD, bitmap, may_be_in, settle
 
 
 def words(text: Column | str) -> Column:
@@ -182,7 +182,8 @@ class Mix:
         wide = _rows(self.docs, *self.columns, *self.own, keep=True)
         key = ["id", "source", "size"]
         edge = self.at_edge.groupBy(*[F.col(c).alias(f"e_{c}") for c in key]).agg(F.min("copies").alias("each"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("more"))
-        at = self._placed(wide).filter("open and bucket = edge").join(edge, _same("id", "e_id") & _same("source", "e_source") & (F.col("size") == F.col("e_size")))
+        near = _rows(may_be_in(self.docs, self.columns[0], bitmap(self.at_edge, "id")), *self.columns, *self.own, keep=True)
+        at = self._placed(near).filter("open and bucket = edge").join(edge, _same("id", "e_id") & _same("source", "e_source") & (F.col("size") == F.col("e_size")))
         out = self._settled(wide).select("row", "copies").unionByName(at.select("row", F.col("each").alias("copies")))
         out = out.unionByName(at.filter("more > 0").dropDuplicates(key).select("row", F.col("more").alias("copies")))
         return out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
