@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, media, mixing, packing, partenum, ring, token_counts, topk, toxicity
+from . import chat, crosspoly, fim, line_dedup, media, mixing, packing, partenum, prefix_tree, ring, token_counts, topk, toxicity
 from .common import settle, shared_dir, table
 
 
@@ -78,8 +78,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.trie(prefix_tree.regrafted(prefix_tree.turn_ids(table(spark, sf_dir, "conversations"))))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_media, op4_sharding, op5_token_counts, op6_topk, op7_line_dedup, op8_chat, op9_packing, op10_mixing)
+    f.__name__: f
+    for f in (
+        *(op1_toxicity, op2_ngram_jaccard, op3_media, op4_sharding, op5_token_counts, op6_topk, op7_line_dedup, op8_chat, op9_packing, op10_mixing),
+        *(op11_prefix_trie, op12_fim, op13_near_vectors),
+    )
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -142,4 +159,34 @@ e2 AS (SELECT *, sum(CASE WHEN took THEN size ELSE 0 END) OVER (PARTITION BY sou
 x AS (SELECT source, min({{'m': abs(rest - got - size), 'o': odds, 'i': id, 's': size}}) AS x FROM e2 WHERE open AND NOT took AND abs(rest - got - size) < rest - got GROUP BY source)
 SELECT e2.id AS doc_id, size, source_size, target, (size * CASE WHEN size > 0 THEN whole + CASE WHEN took OR (open AND coalesce(x.x.i = e2.id AND x.x.o = odds AND x.x.s = size, false)) THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS taken
 FROM e2 LEFT JOIN x ON e2.source IS NOT DISTINCT FROM x.source""",
+    "op11_prefix_trie": """
+WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(x ORDER BY i) AS xs FROM t GROUP BY c),
+h AS (SELECT c, xs, c - (c % 5 + 5) % 5 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+        lambda crc, y: list_reduce(list_prepend(xor(crc, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda z, k: xor(z >> 1, 3988292384 * (z & 1)))), 4294967295) % 9 AS h FROM o),
+r AS (SELECT h.c, list_concat(coalesce(o.xs[1:h], []), h.xs[h + 1:]) AS xs FROM h LEFT JOIN o ON o.c = h.b),
+n AS (SELECT c, len(xs) AS l, d, xs[1:d] AS p FROM (SELECT c, xs, unnest(range(len(xs) + 1)) AS d FROM r)),
+g AS (SELECT p, d, min(c) AS conv, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (l = d), '') AS ends, coalesce(octet_length(encode(p[d].t)), 0) AS size FROM n GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS kids FROM g WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT g.*, coalesce(kids, 0) AS kids FROM g LEFT JOIN k USING (p, d)),
+u AS (SELECT p, d, (kids = 0)::BIGINT AS leaf, (n - 1) * size AS saved FROM f UNION ALL SELECT p[1:d - 1], d - 1, leaf, saved FROM (SELECT p, d, leaf, saved FROM u) WHERE d > 0),
+s AS (SELECT p, d, sum(leaf)::BIGINT AS leaves, sum(saved)::BIGINT AS saved FROM u GROUP BY p, d)
+SELECT f.conv AS conv_id, f.d::BIGINT AS depth, q.conv AS parent_conv_id, f.n AS n_convs, f.kids::BIGINT AS n_children, leaves AS n_leaves, s.saved AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s USING (p, d) LEFT JOIN g q ON f.d > 0 AND q.d = f.d - 1 AND q.p = f.p[1:f.d - 1]""",
+    "op12_fim": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, len(w) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN x ELSE pre || mid || suf END) AS restored_sha256 FROM p""",
+    "op13_near_vectors": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label::VARCHAR AS label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT r, vec_id, label, e FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+c AS (SELECT r AS a, r AS z FROM v UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.z)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.r) AS n_links, min(w.vec_id) AS component_id, v.vec_id IS NOT DISTINCT FROM min(w.vec_id) AS kept
+FROM v JOIN c ON c.a = v.r JOIN v w ON w.r = c.z GROUP BY v.r, v.vec_id""",
 }
