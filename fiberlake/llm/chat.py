@@ -120,7 +120,9 @@ class Conversation:
                 n = bisect_right(sums, self.budget - sum(t[2] for t in before))
             n = n or 1
             yield self._write(before, self.turns[:n])
-            self.past = (self.past + self.turns[:n])[-64:]
+            self.past += self.turns[:n]
+            sums = list(accumulate(t[2] for t in reversed(self.past)))
+            self.past = self.past[len(self.past) - bisect_right(sums, self.history) - 1 if sums[-1] > self.history else 0 :]  # what history can repeat, and one more
             self.turns = self.turns[n:]
             self.window += 1
 

@@ -79,15 +79,26 @@ def bitmap(rows: DataFrame, key: str) -> DataFrame:
     return bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
 
 
-def marked(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """``rows`` with ``__maybe``: false if the key is surely none of the bitmap's."""
+def free(rows: DataFrame, name: str) -> str:
+    """``name``, or one like it that ``rows`` has no column of; Spark takes names without regard to case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def marked(rows: DataFrame, key: str, bits: DataFrame, name: str = "__maybe") -> DataFrame:
+    """``rows`` with ``name``, which they must not have: false if the key is surely none of the bitmap's."""
     h = F.pmod(F.xxhash64(key), F.lit(_BUCKETS * 32768))
-    out = rows.withColumn("__bucket", F.floor(h / 32768).cast("int")).join(F.broadcast(bits), "__bucket", "left")
-    byte = F.conv(F.hex(F.substring("__bits", F.floor((h % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bucket, held = free(rows, "__bucket"), free(rows, "__bits")
+    bits = bits.select(F.col("__bucket").alias(bucket), F.col("__bits").alias(held))
+    out = rows.withColumn(bucket, F.floor(h / 32768).cast("int")).join(F.broadcast(bits), bucket, "left")
+    byte = F.conv(F.hex(F.substring(held, F.floor((h % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.getbit(byte, (h % 8).cast("int"))
-    return out.withColumn("__maybe", F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits")
+    return out.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(bucket, held)
 
 
 def may_be_in(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
     """Rows whose key may be one of the bitmap's, so that a join with those keys shuffles few others."""
-    return marked(rows, key, bits).filter("__maybe").drop("__maybe")
+    name = free(rows, "__maybe")
+    return marked(rows, key, bits, name).filter(name).drop(name)

@@ -9,7 +9,7 @@
    number of differing bits (six deviations) in a bucket stay; most go here.
 4. What stays meets in its buckets with its numbers: cosines are computed in double
    precision by matrix products, block against block. A pair that shares several buckets
-   counts in the smallest only. A task emits for each of its vectors the number of links and
+   counts in the first table's smallest only. A task emits for each of its vectors the number of links and
    the smallest vector it is joined with there, so no table of pairs arises.
 5. Components by stars.
 
@@ -198,10 +198,14 @@ def _linked(unit: pa.RecordBatch, dim: int, cosine: float, shape: tuple[int, int
     ia, ib = a[ia], b[ib]
     keys = np.frombuffer(b"".join(unit.column("keys").to_pylist()), U).reshape(len(unit), *shape)
     here, links = U(unit.column("bucket").to_numpy().view(U)[0]), np.zeros(len(unit), np.int64)
+    own = int(np.nonzero((keys[0] == here).any(1))[0][0])  # the table that the bucket is of
     for at in range(0, len(ia), step):
         p, q = ia[at : at + step], ib[at : at + step]
-        shared = (keys[p][:, :, :, None] == keys[q][:, :, None, :]).any(-1)
-        first = np.where(shared, keys[p], ~U(0)).reshape(len(p), -1).min(1) == here
+        for t in range(own + 1):
+            shared = (keys[p, t][:, :, None] == keys[q, t][:, None, :]).any(2)
+            if t < own:
+                p, q = p[~shared.any(1)], q[~shared.any(1)]
+        first = np.where(shared, keys[p, own], ~U(0)).min(1) == here
         np.add.at(links, p[first], w[q[first]])
         np.add.at(links, q[first], w[p[first]])
     whole = np.zeros((len(unit), len(unit)), bool)

@@ -26,11 +26,14 @@ shuffled, and in the end the texts of documents that lose lines. Bitmaps of fixe
 nothing reads them any more.
 
 Only DataFrame functions are used. Nulls: a null text has no lines and stays null;
-rows with a null id stay as they are and take no part. Repeated rows of one id count
-as one document, so they lose the same lines. Empty texts and tables stay empty.
+rows with a null id stay as they are and take no part. A document is an id with a text
+(its 64-bit hash): rows of one id with different texts are documents of their own, which
+follow each other by that hash; rows equal in both are one document, so they lose the
+same lines. Empty texts and tables stay empty.
 Blank lines always stay, as do lines below ``min_chars``; with 1, which the query and the
-pipeline take, every other line is compared. Columns of the input are kept, whatever
-their names.
+pipeline take, every other line is compared. A line of very many words is one window
+over them. Columns of the input are kept, whatever their names, but for two that have
+the names of the columns added.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, drop, marked, may_be_in, settle
+from .common import bitmap, drop, free, marked, may_be_in, settle
 
 #: White space of ASCII, as it is cut from the ends of lines.
 BLANK = " \t\n\x0b\x0c\r"
@@ -116,7 +119,7 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, near_words: int = 8) -> DataFrame:
-    """The lines to drop, as (doc, no); ``no`` counts from 0."""
+    """The lines to drop, as (doc, no); ``no`` counts from 0. ``id_col`` may be a struct; it must tell texts apart."""
     docs = docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col)
     near_words = max(4, near_words)
     lines = settle(_lines(docs, id_col, text_col, min_chars, near_words), "lines")
@@ -170,26 +173,31 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, near_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, near_words: int = 8, lines: str = "_lines", dropped: str = "_dropped") -> DataFrame:
     """All rows with their texts without the dropped lines.
 
-    Adds ``_lines`` (lines before, 0 for null) and ``_dropped`` (lines that went).
+    Adds the columns ``lines`` (lines before, 0 for null) and ``dropped`` (lines that went).
     """
-    places = dropped_lines(docs, id_col, text_col, min_chars, near_words)
-    gone = places.groupBy(F.col("doc").alias("__ld_doc")).agg(F.sort_array(F.collect_set("no")).alias("__ld_gone"))
+    columns = [c for c in docs.columns if c.lower() not in (lines.lower(), dropped.lower())]
+    doc, maybe = free(docs, "__ld_doc"), free(docs, "__ld_maybe")
+    num, mask_ = free(docs, "__ld_n"), free(docs, "__ld_mask")
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
+    named = kept.withColumn(doc, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))))
+    places = dropped_lines(named, doc, text_col, min_chars, near_words)
+    gone = places.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     gone = settle(gone, "lines-gone")
     drop(places)
     # a byte for each line up to the last that goes: 1 if it goes
-    run = lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.get("__ld_gone", i - 1)).otherwise(F.lit(-1)) - 1), F.lit("1"))
-    mask = F.array_join(F.transform("__ld_gone", run), "").cast("binary")
-    gone = gone.select("__ld_doc", F.size("__ld_gone").alias("__ld_n"), mask.alias("__ld_mask"))
-    told = marked(docs, id_col, bitmap(gone, "__ld_doc"))
+    run = lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.get("gone", i - 1)).otherwise(F.lit(-1)) - 1), F.lit("1"))
+    mask = F.array_join(F.transform("gone", run), "").cast("binary")
+    gone = gone.select(F.col("doc").alias(doc), F.size("gone").alias(num), mask.alias(mask_))
+    told = marked(named, doc, bitmap(gone, doc), maybe)
     text = F.col(text_col)
-    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    clean = told.filter("not __maybe").select(*docs.columns, lines.alias("_lines"), F.lit(0).alias("_dropped"))
-    rows = told.filter("__maybe")
-    rows = rows.join(gone, rows[id_col] == gone["__ld_doc"], "left")
-    stays = lambda line, i: F.substring("__ld_mask", i + 1, F.lit(1)) != F.lit(b"1")
-    new = F.when(F.col("__ld_mask").isNull() | text.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
-    rows = rows.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], lines.alias("_lines"), F.coalesce("__ld_n", F.lit(0)).alias("_dropped"))
+    count = F.when(text.isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    own = [F.col(f"`{c}`") for c in columns]
+    clean = told.filter(~F.col(maybe)).select(*own, count.alias(lines), F.lit(0).alias(dropped))
+    rows = told.filter(maybe).join(gone, doc, "left")
+    stays = lambda line, i: F.substring(mask_, i + 1, F.lit(1)) != F.lit(b"1")
+    new = F.when(F.col(mask_).isNull() | text.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+    rows = rows.select(*[new.alias(c) if c == text_col else x for c, x in zip(columns, own)], count.alias(lines), F.coalesce(num, F.lit(0)).alias(dropped))
     return clean.unionByName(rows)

@@ -8,7 +8,8 @@ low-frequency cosine-transform coefficients against their median.
 
 Nulls and empty texts are pictures of one row of zero bytes. Texts of any length make
 pictures of as many rows. Equal payloads give equal media and features. A picture that
-fails a test raises ``ValueError``.
+fails a test raises ``ValueError``. Repeated rows give repeated rows, null ids stay null, an
+empty table gives no rows, and columns of other names are not looked at.
 """
 
 from __future__ import annotations

@@ -37,9 +37,9 @@ hashes.
 
 Nulls: a null text, an empty text or one without words has an empty set, size 0, and
 is its own component; a row with a null id takes no part, has a row of its own in the
-result and a null component. Repeated rows of one id are one document with one row in the
-result; if their texts differ, its set is that with most shingles (ties: the greatest
-digest). Texts may have any length. An empty table gives an empty result. Columns other
+result and a null component. Rows of one id are one document with one row in the
+result; if their texts differ, each text links on its own, the document is linked with all
+that any of them is, and ``n_shingles`` is the size of its largest set. Texts may have any length. An empty table gives an empty result. Columns other
 than id and text are not looked at.
 """
 
@@ -369,6 +369,20 @@ def _blocks(open_: DataFrame, sets: DataFrame, least: DataFrame, num: int, den:
     return rows.select(task, "i", "j", "blk", "rep", "comp", "n", "elems").groupBy("task").applyInPandas(lambda pdf: _links(pdf, num, den), "a long, b long")
 
 
+def _by_texts(docs: DataFrame, width: int, num: int, den: int, pivots: int) -> DataFrame:
+    """``near_duplicates`` of ``docs(doc, text)`` where an id has several texts: texts are compared, and those of an id joined."""
+    texts = docs.filter("doc is not null").withColumn("key", F.xxhash64("doc", "text"))
+    near = near_duplicates(texts, "key", "text", width, num, den, pivots).withColumnRenamed("doc_id", "key")
+    near = settle(texts.select("doc", "key").distinct().join(near, "key"), "shingle-texts-near")
+    first = near.groupBy("doc").agg(F.min("component_id").alias("a"))
+    joined = components(near.join(first, "doc").select("a", F.col("component_id").alias("b"))).withColumnRenamed("node", "component_id")
+    near = near.join(joined, "component_id", "left").select("doc", "n_shingles", F.coalesce("component", "component_id").alias("comp"))
+    near = settle(near, "shingle-texts-joined")
+    least = near.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    out = near.join(least, "comp").groupBy(F.col("doc").alias("doc_id")).agg(F.max("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"))
+    return out.unionByName(near_duplicates(docs.filter("doc is null"), "doc", "text", width, num, den, pivots))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, pivots: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -388,8 +402,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield from packer.flush()
 
     marks = _marks(docs, released(first_pass), buckets, "shingle-marks")
-    info = marks.filter("doc is not null").groupBy("doc").agg(F.max(F.struct("n", "digest")).alias("s"), F.count(F.lit(1)).alias("rows")).select("doc", "s.n", "s.digest", "rows")
+    info = marks.filter("doc is not null").groupBy("doc").agg(F.max(F.struct("n", "digest")).alias("s"), F.count(F.lit(1)).alias("rows"), (F.min("digest") != F.max("digest")).alias("several")).select("doc", "s.n", "s.digest", "rows", "several")
     info = settle(info, "shingle-info")
+    if not info.filter("several").isEmpty():
+        return _by_texts(docs, width, num, den, pivots)
+    info = info.drop("several")
     canon = info.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc", "rows")).alias("r")).select("digest", F.col("r.doc").alias("rep"), "r.rows")
     held = marks.filter("enough").groupBy("digest").agg(F.lit(True).alias("held")).select("digest")
     held = settle(canon.join(held, "digest"), "shingle-candidates")

@@ -2,10 +2,13 @@
 
 Changes to documents are signed deltas: an insert adds a document and its tokens, a
 delete takes them away, a revision adds the difference of two counts. A batch is
-aggregated to one row for each (source, lang, tokenizer) and committed as the
-partition ``batch=<id>`` of the store; committing a batch again replaces that whole
-partition, by fewer rows or none if it has shrunk, so retries do not count twice. Totals
-are sums over all batches. A move to another tokenizer version is one batch that deletes
+aggregated to one row for each (source, lang, tokenizer), written as a try of its own
+(``tries/batch=<id>/try=<name>``), and committed by a row of the log that names the try
+(``log``, one small file, which appears as a whole). Of a batch the try that was
+committed last counts, be its rows fewer or none, so retries do not count twice; a job that dies
+before its row is written has changed nothing, and readers see the batch as it was. Tries
+that no longer count go when the batch is next committed. Totals
+are sums over the tries that count; a store without batches has none. A move to another tokenizer version is one batch that deletes
 under the old and inserts under the new one. ``compact`` folds batches into one without
 changing totals.
 
@@ -17,6 +20,8 @@ Columns of other names are not looked at; the store's are fixed.
 
 from __future__ import annotations
 
+import time
+import uuid
 from urllib.parse import quote
 
 import numpy as np
@@ -29,6 +34,7 @@ from .bytescan import pieces, released
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["docs", "tokens", "chars"]
+LOG = "no long, batch string, try string"
 DELTAS = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 
 
@@ -59,16 +65,40 @@ def changes(rows: DataFrame, op: Column, tokenizer: Column) -> DataFrame:
     return rows.select("source", "lang", tokenizer.alias("tokenizer"), sign.cast("long").alias("docs"), F.when(op == "revise", tokens - old).otherwise(sign * tokens).cast("long").alias("tokens"), (sign * F.coalesce("chars", F.lit(0))).cast("long").alias("chars"))
 
 
+def _committed(spark: SparkSession, store: str) -> DataFrame:
+    """(batch, try) that count: of each batch the one committed last. A few bytes for each commit."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/log")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LOG).select("batch", "try")
+    log = spark.read.schema(LOG).parquet(f"{store}/log")
+    return log.groupBy("batch").agg(F.max(F.struct("no", "try")).alias("x")).select("batch", F.col("x.try").alias("try"))
+
+
 def commit(deltas: DataFrame, store: str, batch: str) -> None:
-    """Makes ``deltas`` all that the batch has in the store; the same again changes nothing."""
+    """Makes ``deltas`` all that the batch has in the store; the same again changes nothing.
+
+    One job at a time may commit to a store.
+    """
+    spark, name, own = deltas.sparkSession, uuid.uuid4().hex, quote(batch, safe="")
     rows = deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-    rows.write.mode("overwrite").parquet(f"{store}/batch={quote(batch, safe='')}")
+    rows.write.parquet(f"{store}/tries/batch={own}/try={name}")
+    before = _committed(spark, store).filter(F.col("batch") == batch).collect()
+    no = time.time_ns()
+    spark.createDataFrame([(no, batch, name)], LOG).coalesce(1).write.mode("append").parquet(f"{store}/log")
+    for old in before:  # at most one: what counted until now
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/tries/batch={own}/try={old['try']}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def totals(spark: SparkSession, store: str, batches: list[str] | None = None) -> DataFrame:
-    rows = spark.read.schema(DELTAS + ", batch string").parquet(store)
+    """(source, lang, tokenizer, docs, tokens, chars) over all batches, or those given."""
+    told = _committed(spark, store)
     if batches is not None:
-        rows = rows.filter(F.col("batch").isin(batches))
+        told = told.filter(F.col("batch").isin(batches))
+    if told.isEmpty():
+        return spark.createDataFrame([], DELTAS)
+    rows = spark.read.schema(DELTAS + ", batch string, try string").parquet(f"{store}/tries")
+    rows = rows.join(told, ["batch", "try"], "leftsemi")
     return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).filter("docs <> 0 or tokens <> 0 or chars <> 0")
 
 

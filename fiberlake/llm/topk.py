@@ -18,8 +18,8 @@ Nulls: a vector that is null, or holds null or a non-finite component, and a row
 null id take no part. Shorter vectors count as filled with zeros. Rows that repeat an
 id are rows of their own, as queries and as candidates; a query's candidates are all rows
 but itself. Components may be of any finite size and scores are exact; those beyond the
-range of a long count as its ends. Fewer than k candidates give all of them. An empty
-table gives no rows.
+range of a long count as its ends. Fewer than k candidates give all of them. Columns of
+other names are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Prefix trie, fill-in-middle, near vectors: plain definitions, laws and odd input."""
+"""Prefix trie, fill-in-middle, near vectors: plain definitions, laws and odd input; what rows of one id, clashing names and dying jobs do."""
 
 import hashlib
 import re
@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fiberlake.llm import crosspoly, fim, prefix_tree, queries
+import corpus_pipeline
+from fiberlake.llm import chat, crosspoly, fim, line_dedup, partenum, prefix_tree, queries, token_counts
 from fiberlake.llm.common import table
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
@@ -244,3 +245,60 @@ def test_hadamard_keeps_lengths_and_angles():
     x = np.random.default_rng(1).normal(size=(20, 32))
     y = crosspoly.hadamard(x) / np.sqrt(32)
     assert np.allclose(x @ x.T, y @ y.T) and np.allclose(crosspoly.hadamard(y) / np.sqrt(32), x)
+
+
+# repeated ids, clashing names, histories, commits -----------------------------------------
+NAMES = ("__bucket", "__bits", "__maybe", "__ld_doc", "__ld_n", "__ld_mask", "__ld_maybe", "_lines", "_dropped", "__near_key", "__near_maybe", "__mix_key", "row", "key", "copies", "es", "ids")
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(1, "first line here\nshared boilerplate line"), (3, "alpha own line\nshared boilerplate line"), (3, "beta own line\nunique precious line"), (3, "beta own line\nunique precious line"), (None, "shared boilerplate line")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(c) for c in NAMES})
+    out = line_dedup.dedup_lines(df, min_chars=1, lines="a", dropped="b")
+    assert set(out.columns) == {*df.columns, "a", "b"} and all(r[c] == c for r in out.collect() for c in NAMES)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, rows[0][1]), (3, "alpha own line"), (3, rows[2][1]), (3, rows[2][1]), (None, "shared boilerplate line")], key=repr)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, odd_docs):
+    df = odd_docs.withColumns({c: F.lit(c) for c in NAMES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns and all(r[c] == c for r in out.collect() for c in NAMES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count() > 0
+
+
+def test_every_text_of_an_id_links(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(2) + " and some more words"), (2, text(1)), (3, text(2) + " and some more words"), (4, text(4)), (5, ""), (5, None), (None, text(1)), (5, text(5))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {(d, c) for d, _, c in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None)}
+    assert {n for d, n, _ in got if d == 1} == {40} and {n for d, n, _ in got if d == 5} == {36}
+
+
+def test_history_repeats_all_turns_it_has_tokens_for(spark):
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", f"a b c d {i}") for i in range(800)], TURNS)
+    out = {r.window: r for r in chat.format_windows(turns, budget=4096, history=2048).collect()}
+    one = chat.count_tokens([chat.written("user", "a b c d 500")])[0]
+    assert out[1].repeated >= 2048 // (one + 2) > 64
+    first = chat.count_tokens([chat.written(r, t) for r, t in chat.read_turns(out[0].text)])
+    assert sum(first[-out[1].repeated :]) <= 2048 < sum(first[-out[1].repeated - 1 :])
+
+
+def test_a_commit_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", "en", 5, 9)], "source string, lang string, tokens bigint, chars bigint")
+    store, ins = str(tmp_path / "s"), token_counts.changes(rows, F.lit("insert"), F.lit("v"))
+    total = lambda: [(r.docs, r.tokens) for r in token_counts.totals(spark, store).collect()]
+    assert total() == []
+    token_counts.commit(ins, store, "one")
+    assert total() == [(1, 5)]
+    twice = ins.unionByName(ins)
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "_committed", lambda *a: 1 / 0)  # between the try and its row of the log
+        with pytest.raises(ZeroDivisionError):
+            token_counts.commit(twice, store, "one")
+    assert total() == [(1, 5)]
+    token_counts.commit(twice, store, "one")
+    token_counts.commit(twice, store, "one")
+    assert total() == [(2, 10)]
+    assert len(list((tmp_path / "s" / "tries" / "batch=one").iterdir())) <= 3  # the one that counts and the dead one

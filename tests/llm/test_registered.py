@@ -25,7 +25,7 @@ def norm(x):
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 
