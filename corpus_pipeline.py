@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberlake.llm import line_dedup, mixing, packing, partenum, toxicity
-from fiberlake.llm.common import WORD, bitmap, drop, marked, settle, table
+from fiberlake.llm.common import WORD, bitmap, drop, free, marked, settle, table
 
 
 def _key(docs: DataFrame) -> Column:
@@ -24,6 +24,10 @@ def _key(docs: DataFrame) -> Column:
     return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own toxicity score is below a half, whatever their ids and other rows of them; null texts stay."""
     return toxicity.below(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -31,9 +35,10 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document all of whose words went is gone. Rows with a null id keep their lines."""
-    out = line_dedup.dedup_lines(docs, min_chars=1)
-    out = out.filter((F.col("_dropped") == 0) | F.col("text").rlike(WORD))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    lines, dropped = free(docs, "_lines"), free(docs, "_dropped")
+    out = line_dedup.dedup_lines(docs, min_chars=1, lines=lines, dropped=dropped)
+    out = out.filter((F.col(dropped) == 0) | F.col("text").rlike(WORD))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*_own(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,22 +47,22 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are compared one by one, so those that share an id or have none are documents of
     their own; of rows that are equal in every column one stays.
     """
-    keyed = docs.withColumn("__near_key", _key(docs))
-    rows = keyed.groupBy("__near_key").agg(F.first("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    near = partenum.near_duplicates(keyed, "__near_key").select(F.col("doc_id").alias("__near_key"), "component_id")
-    near = settle(rows.join(near, "__near_key"), "near-rows")
-    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__near_key")).alias("x")).select("component_id", F.col("x.__near_key").alias("__near_first"))
-    stays = F.col("__near_key") == F.col("__near_first")
-    some = near.join(first, "component_id").select("__near_key", stays.alias("__near_stays"), "copies").filter("not __near_stays or copies > 1")
+    key, maybe = free(docs, "__near_key"), free(docs, "__near_maybe")
+    keyed = docs.withColumn(key, _key(docs))
+    rows = keyed.groupBy(F.col(key).alias("key")).agg(F.first("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    near = partenum.near_duplicates(keyed, key).select(F.col("doc_id").alias("key"), "component_id")
+    near = settle(rows.join(near, "key"), "near-rows")
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("x")).select("component_id", F.col("x.key").alias("first"))
+    some = near.join(first, "component_id").select("key", (F.col("key") == F.col("first")).alias("stays"), "copies").filter("not stays or copies > 1")
     some = settle(some, "near-decisions")
     drop(near)
-    gone, repeated = some.filter("not __near_stays").select("__near_key"), some.filter("__near_stays and copies > 1").select("__near_key")
-    told = marked(keyed, "__near_key", bitmap(gone, "__near_key"))
-    left = told.filter("not __maybe").drop("__maybe").unionByName(told.filter("__maybe").drop("__maybe").join(gone, "__near_key", "leftanti").select(*keyed.columns))
+    gone, repeated = some.filter("not stays").select(F.col("key").alias(key)), some.filter("stays and copies > 1").select(F.col("key").alias(key))
+    told = marked(keyed, key, bitmap(gone, key), maybe)
+    left = told.filter(~F.col(maybe)).drop(maybe).unionByName(told.filter(maybe).drop(maybe).join(gone, key, "leftanti").select(*_own(keyed)))
     if not repeated.isEmpty():
-        told = marked(left, "__near_key", bitmap(repeated, "__near_key"))  # a row too many in the bitmap has no copy to lose
-        left = told.filter("not __maybe").unionByName(told.filter("__maybe").dropDuplicates(["__near_key"]))
-    return left.select(*docs.columns)
+        told = marked(left, key, bitmap(repeated, key), maybe)  # a row too many in the bitmap has no copy to lose
+        left = told.filter(~F.col(maybe)).unionByName(told.filter(maybe).dropDuplicates([key]))
+    return left.select(*_own(docs))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +71,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that are equal in every column are taken alike; where the mix takes only some
     of them, one of them has what is left.
     """
-    return mixing.Mix(docs.withColumn("__mix_key", _key(docs)), "__mix_key").taken().select(*docs.columns)
+    key = free(docs, "__mix_key")
+    return mixing.Mix(docs.withColumn(key, _key(docs)), key).taken().select(*_own(docs))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
