@@ -53,6 +53,37 @@ def sosfilt(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) ->
     return y, state
 
 
+def state_table(sos: np.ndarray, n: int) -> np.ndarray:
+    """Row j: the state (sections x 2, flat) that a 1 leaves j steps later; so ``x @ state_table(sos, n)[::-1]`` is the state after x."""
+    out, z, y = np.zeros((n, len(sos), 2)), np.zeros((len(sos), 1, 2)), np.ones((1, 1))
+    for j in range(n):
+        z = sosfilt(sos, y, z)[1]
+        out[j], y = z[:, 0], np.zeros((1, 1))
+    return out.reshape(n, -1)
+
+
+def state_step(sos: np.ndarray) -> np.ndarray:
+    """What a state (flat, as a row) becomes in one step without input: ``z @ state_step(sos)``."""
+    m = 2 * len(sos)
+    z = np.eye(m).reshape(m, len(sos), 2).transpose(1, 0, 2)
+    return sosfilt(sos, np.zeros((m, 1)), z)[1].transpose(1, 0, 2).reshape(m, m)
+
+
+def by_section(z: np.ndarray, sections: int) -> np.ndarray:
+    """Flat states of channels (rows) as ``sosfilt`` takes them."""
+    return z.reshape(len(z), sections, 2).transpose(1, 0, 2)
+
+
+def padding(sos: np.ndarray) -> int:
+    """Samples that the zero-phase filter adds at both ends, if there are as many."""
+    return int(3 * (2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())))
+
+
+def steady(sos: np.ndarray) -> np.ndarray:
+    """The flat state for a constant input of 1."""
+    return _steady(sos).ravel()
+
+
 def _steady(sos: np.ndarray) -> np.ndarray:
     """State of each section for a constant input of 1 (sections x 2)."""
     out, scale = np.zeros((len(sos), 2)), 1.0
@@ -68,7 +99,7 @@ def sosfiltfilt(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Zero-phase filter: forwards and backwards over an odd extension at both ends."""
     x = np.array(x, np.float64)
     x[~np.isfinite(x)] = 0.0
-    pad = min(3 * (2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())), x.shape[1] - 1)
+    pad = min(padding(sos), x.shape[1] - 1)
     if pad > 0:
         x = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1)
     zi = _steady(sos)[:, None, :]

@@ -9,11 +9,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .ordered import fold_sorted
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -66,38 +68,222 @@ def warmup_drop(sig: DataFrame, seconds: float, fs: float) -> DataFrame:
     return sig.join(warm, ["fiber_id", "frame_seq"], "leftsemi")
 
 
-def _by_channel_block(sig: DataFrame, run: Callable[[np.ndarray], np.ndarray], keys: list[str], block: int = 64) -> DataFrame:
-    """Applies a (channels x time) function to blocks of channels; time order by t_idx."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sig.schema.fields)
+#: Samples of a channel that one task filters at a time.
+SPAN = 4096
+
+
+def _same_length(pdf: pd.DataFrame):
+    """(rows sorted by channel and time, [(channels, places in the rows)]): channels with as many samples go together."""
+    pdf = pdf.sort_values(["ch", "t_idx"], kind="stable").reset_index(drop=True)
+    size = pdf.groupby("ch", sort=True).size()
+    start = size.cumsum() - size
+    return pdf, [(c := size.index[size == n].to_numpy(), start[c].to_numpy()[:, None] + np.arange(n)) for n in size.unique()]
+
+
+def _finite(v) -> np.ndarray:
+    return np.nan_to_num(np.asarray(v, np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def _stack(column) -> np.ndarray:
+    return np.stack([np.asarray(x, np.float64) for x in column])
+
+
+class _Carry:
+    """Adds states up over chunks: what a state becomes after a number of samples, and the steps between."""
+
+    def __init__(self, sos: np.ndarray):
+        self.step, self.known = kernels.state_step(sos), {}
+
+    def over(self, state: np.ndarray, n: int, own) -> np.ndarray:
+        if n not in self.known:
+            self.known[n] = np.linalg.matrix_power(self.step, n)
+        return state @ self.known[n] + np.asarray(own)
+
+
+def _fold_chunks(rows: DataFrame, key: list[str], order: str, begin: Callable, names: str) -> DataFrame:
+    """Folds the chunks of each channel in order: ``begin()`` gives (add(row) -> rows, end() -> rows) for a channel."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key, "_block", "_chunk").schema.fields) + f", {names}"
+    types = {"array<double>": pa.list_(pa.float64())}
+    added = [(n.split()[0], types[n.split()[1]]) for n in names.split(", ")]
+
+    def fold(batches):
+        now = add = end = None
+        for batch in batches:
+            kinds = [batch.schema.field(c) for c in (*key, "_block", "_chunk")]
+            out = []
+            for row in batch.to_pylist():
+                k = tuple(row[c] for c in key)
+                if k != now:
+                    out += end() if end else []
+                    now, (add, end) = k, begin()
+                out += add(row)
+            yield _arrow(out, kinds, added)
+        if end:
+            yield _arrow(end(), kinds, added)
+
+    return fold_sorted(rows, key, [order], fold, schema)
+
+
+def _arrow(rows: list[dict], kinds: list, added: list) -> pa.RecordBatch:
+    fields = [(f.name, f.type) for f in kinds] + added
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in fields], names=[n for n, _ in fields])
+
+
+def _chunks(sig: DataFrame, block: int, span: int) -> DataFrame:
+    return sig.withColumn("_block", F.floor(F.col("ch") / block)).withColumn("_chunk", F.floor(F.col("t_idx") / span))
+
+
+def _with_states(dealt: DataFrame, states: DataFrame, group: list[str], run: Callable, schema: str) -> DataFrame:
+    """``run(rows, states by channel)`` for each chunk of samples and its channels' states."""
+
+    def apply(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf, own.set_index("ch"))
+
+    return dealt.groupBy(*group).cogroup(states.groupBy(*group)).applyInPandas(apply, schema)
+
+
+def _ends(dealt: DataFrame, sos: np.ndarray, group: list[str], edge: int = 0) -> DataFrame:
+    """What each chunk does to its channels' states: (.., ch, n, z), and its first and last ``edge`` samples."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*group, "ch").schema.fields) + ", n bigint, z array<double>, head array<double>, tail array<double>"
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ch", "t_idx"], kind="stable").reset_index(drop=True)
-        sizes = pdf.groupby("ch", sort=True).size()
-        v = pdf["v"].to_numpy(np.float64).copy()
-        if sizes.nunique() == 1:
-            v[:] = run(v.reshape(len(sizes), -1)).ravel()
-        else:
-            at = 0
-            for n in sizes:
-                v[at : at + n] = run(v[None, at : at + n])[0]
-                at += n
-        pdf["v"] = v
-        return pdf
-
-    dealt = sig.withColumn("_block", F.floor(F.col("ch") / block))
-    return dealt.groupBy(*keys, "_block").applyInPandas(lambda pdf: apply(pdf.drop(columns="_block")), schema)
-
-
-def bandpass(sig: DataFrame, low: float, high: float, fs: float, keys: tuple[str, ...] = ("fiber_id", "section")) -> DataFrame:
-    """Causal Butterworth band-pass of order 4 along time; non-finite samples count as 0."""
+        pdf, parts = _same_length(pdf)
+        v, out = _finite(pdf["v"]), []
+        for chans, at in parts:
+            x = v[at]
+            z = x @ kernels.state_table(sos, x.shape[1])[::-1]
+            own = {"ch": chans, "n": x.shape[1], "z": list(z), "head": [r[:edge] for r in x], "tail": [r[max(0, len(r) - edge) :] for r in x]}
+            out.append(pd.DataFrame(own | {g: pdf[g].iloc[0] for g in group}))
+        return pd.concat(out)[[*group, "ch", "n", "z", "head", "tail"]]
+
+    return dealt.groupBy(*group).applyInPandas(apply, schema)
+
+
+def _filtered(sos: np.ndarray, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return kernels.sosfilt(sos, x, kernels.by_section(start, len(sos)))[0]
+
+
+def bandpass(sig: DataFrame, low: float, high: float, fs: float, keys: tuple[str, ...] = ("fiber_id", "section"), block: int = 64, span: int = SPAN) -> DataFrame:
+    """Causal Butterworth band-pass of order 4 along time; non-finite samples count as 0.
+
+    Tasks hold ``block`` channels over ``span`` of t_idx. What a chunk adds to its channels'
+    states is linear, so all chunks tell it at once; a fold over chunks, not samples, gives
+    each its true start, from which it is filtered.
+    """
     sos = kernels.butter_bandpass_sos(low, high, fs)
-    return _by_channel_block(sig, lambda x: kernels.sosfilt(sos, x)[0], list(keys))
+    dealt, group, key, columns = _chunks(sig, block, span), [*keys, "_block", "_chunk"], [*keys, "ch"], sig.columns
+
+    def begin():
+        carry, state = _Carry(sos), [np.zeros(2 * len(sos))]
+
+        def add(row):
+            own, state[0] = state[0], carry.over(state[0], row["n"], row["z"])
+            return [row | {"start": own}]
+
+        return add, lambda: []
+
+    starts = _fold_chunks(_ends(dealt, sos, group), key, "_chunk", begin, "start array<double>")
 
+    def run(pdf, own):
+        pdf, parts = _same_length(pdf)
+        v = _finite(pdf["v"])
+        for chans, at in parts:
+            v[at] = _filtered(sos, v[at], _stack(own.start[chans]))
+        return pdf.assign(v=v)[columns]
 
-def bandpass_zero_phase(sig: DataFrame, low: float, high: float, fs: float, keys: tuple[str, ...] = ("fiber_id", "section")) -> DataFrame:
-    """Forward-backward band-pass; the high cut is at most 0.95 of the Nyquist rate."""
+    return _with_states(dealt, starts, group, run, sig.schema.simpleString()[7:-1])
+
+
+def bandpass_zero_phase(sig: DataFrame, low: float, high: float, fs: float, keys: tuple[str, ...] = ("fiber_id", "section"), block: int = 64, span: int = SPAN) -> DataFrame:
+    """Forward-backward band-pass; the high cut is at most 0.95 of the Nyquist rate.
+
+    Chunks as in ``bandpass``, folded forwards and then, over the forward output, backwards.
+    The odd extension at a channel's ends is made in the first fold from its outer samples.
+    """
     sos = kernels.butter_bandpass_sos(low, min(high, 0.95 * fs / 2), fs)
-    return _by_channel_block(sig, lambda x: kernels.sosfiltfilt(sos, x), list(keys))
+    dealt, group, key, columns = _chunks(sig, block, span), [*keys, "_block", "_chunk"], [*keys, "ch"], sig.columns
+    most, calm = kernels.padding(sos), kernels.steady(sos)
+    pass_ = lambda x, z: [r[0] for r in (lambda y, s: (y, s.transpose(1, 0, 2).reshape(1, -1)))(*kernels.sosfilt(sos, x[None], kernels.by_section(z[None], len(sos))))]
+
+    def forward():
+        carry, held, state, tail = _Carry(sos), [], [None], [np.zeros(0)]
+
+        def begun(pad):
+            """The chunks that waited for enough samples to extend the channel's begin."""
+            x = np.concatenate([np.asarray(r["head"]) for r in held])[: pad + 1]
+            before = 2 * x[0] - x[pad:0:-1]
+            first = before[0] if pad else x[0]
+            state[0] = pass_(before, calm * first)[1] if pad else calm * first
+            waited, held[:] = list(held), []
+            return [y for r in waited for y in go(r)]
+
+        def go(row):
+            own, state[0] = state[0], carry.over(state[0], row["n"], row["z"])
+            tail[0] = np.concatenate([tail[0], row["tail"]])[-most - 1 :]
+            last.update(row | {"start": own})
+            return [row | {"start": own}]
+
+        last: dict = {}
+        kept: list = []  # a row waits for the next, as the last one also has the backward start
+
+        def add(row):
+            if state[0] is not None:
+                out = go(row)
+            else:
+                held.append(row)
+                out = begun(most) if sum(r["n"] for r in held) > most else []
+            kept.extend(out)
+            out, kept[:] = kept[:-1], kept[-1:]
+            return out
+
+        def end():
+            if state[0] is None:
+                kept.extend(begun(sum(r["n"] for r in held) - 1))
+            pad = min(most, len(tail[0]) - 1)
+            after = 2 * tail[0][-1] - tail[0][-2 : -pad - 2 : -1]
+            if pad:
+                y = pass_(after, state[0])[0]
+                back = pass_(y[::-1], calm * y[-1])[1]
+            else:
+                back = calm * pass_(tail[0][-1:], last["start"])[0][-1]
+            return [*kept[:-1], kept[-1] | {"back": back}]
+
+        return add, end
+
+    starts = _fold_chunks(_ends(dealt, sos, group, most + 1), key, "_chunk", forward, "start array<double>, back array<double>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*group, "ch").schema.fields) + ", n bigint, z array<double>, start array<double>, back array<double>, _turn bigint"
+
+    def ends_back(pdf, own):
+        pdf, parts = _same_length(pdf)
+        v, out = _finite(pdf["v"]), []
+        for chans, at in parts:
+            y = _filtered(sos, v[at], _stack(own.start[chans]))
+            z = y @ kernels.state_table(sos, y.shape[1])
+            mine = {"ch": chans, "n": y.shape[1], "z": list(z), "start": list(own.start[chans]), "back": list(own.back[chans]), "_turn": -int(pdf["_chunk"].iloc[0])}
+            out.append(pd.DataFrame(mine | {g: pdf[g].iloc[0] for g in group}))
+        return pd.concat(out)[[*group, "ch", "n", "z", "start", "back", "_turn"]]
+
+    def backward():
+        carry, state = _Carry(sos), [None]
+
+        def add(row):
+            own = np.asarray(row["back"]) if state[0] is None else state[0]
+            state[0] = carry.over(own, row["n"], row["z"])
+            return [row | {"back": own}]
+
+        return add, lambda: []
+
+    both = _fold_chunks(_with_states(dealt, starts, group, ends_back, schema), key, "_turn", backward, "start array<double>, back array<double>")
+
+    def run(pdf, own):
+        pdf, parts = _same_length(pdf)
+        v = _finite(pdf["v"])
+        for chans, at in parts:
+            y = _filtered(sos, v[at], _stack(own.start[chans]))
+            v[at] = _filtered(sos, y[:, ::-1], _stack(own.back[chans]))[:, ::-1]
+        return pdf.assign(v=v)[columns]
+
+    return _with_states(dealt, both, group, run, sig.schema.simpleString()[7:-1])
 
 
 def temporal_decimate(sig: DataFrame, n: int, dense: bool = True) -> DataFrame:
