@@ -101,15 +101,21 @@ class Anomalies:
     The tick is the time between consecutive events, at most a second. A point whose
     mean has dropped by 40 % of free flow for 8 s opens an incident unless an open one
     is within 120 channels; a mean of at least 75 % held for 20 s closes it. A drop that
-    deepens raises the severity.
+    deepens raises the severity. Only points that something is the matter with are
+    looked at; the others cannot change but by a detection of their own.
+
+    With a clock (``advance``) an incident is closed as soon as its 20 s are over, without
+    a further detection, and a sequence that is silent for ``silence_s`` ends: its open
+    incidents expire and its state goes.
     """
 
-    def __init__(self, free_flow: float, state: dict | None = None):
+    def __init__(self, free_flow: float, state: dict | None = None, silence_s: float = 3600.0):
         s = state or {}
-        self.free = free_flow
+        self.free, self.silence = free_flow, silence_s
         self.points: dict[int, list] = s.get("points", {})  # channel: [mean, seconds of anomaly, last seen, incident, recovering since]
         self.open: dict[int, dict] = s.get("open", {})
         self.now: float | None = s.get("now")
+        self.active = {c for c, q in self.points.items() if self._matters(q)}
 
     def dump(self) -> dict:
         return {"points": self.points, "open": self.open, "now": self.now}
@@ -117,6 +123,9 @@ class Anomalies:
     def drop(self, mean: float) -> float:
         return max(0.0, (1 - mean / self.free) * 100) if self.free > 0 else 0.0
 
+    def _matters(self, q: list) -> bool:
+        return q[1] > 0 or q[3] or self.drop(q[0]) >= DROP
+
     def step(self, now: float, ch: int, speed: float):
         """Events (kind, channel, severity, type, mean, drop) after one detection."""
         dt = 0.0 if self.now is None else min(1.0, max(0.0, now - self.now))
@@ -124,14 +133,19 @@ class Anomalies:
         at = int(np.floor(ch / STEP + 0.5)) * STEP
         p = self.points.setdefault(at, [self.free, 0.0, now, False, None])
         p[0], p[2] = ALPHA * speed + (1 - ALPHA) * p[0], now
-        for c, q in self.points.items():
+        if self._matters(p):
+            self.active.add(at)
+        look = sorted(self.active)
+        for c in look:
+            q = self.points[c]
             if now - q[2] > QUIET_S:
                 q[1] = max(0.0, q[1] - dt)
             elif self.drop(q[0]) >= DROP:
                 q[1] += dt
             else:
                 q[1] = max(0.0, q[1] - 2 * dt)
-        for c, q in sorted(self.points.items()):
+        for c in look:
+            q = self.points[c]
             mean, drop = q[0], self.drop(q[0])
             if not q[3]:
                 if q[1] < ANOMALY_S or drop < DROP or any(abs(o - c) < SPACING for o in self.open):
@@ -145,9 +159,7 @@ class Anomalies:
                 if q[4] is None:
                     q[4] = now
                 elif now - q[4] >= RECOVER_S:
-                    o = self.open.pop(c)
-                    q[1], q[3], q[4] = 0.0, False, None
-                    yield "resolved", c, o["severity"], o["kind"], mean, drop
+                    yield self._closed(c, "resolved")
             else:
                 q[4] = None
                 o = self.open[c]
@@ -155,13 +167,50 @@ class Anomalies:
                 if up:
                     o["severity"] = up
                     yield "escalated", c, up, o["kind"], mean, drop
+        self.active = {c for c in look if self._matters(self.points[c])}
+
+    def _closed(self, c: int, event: str) -> tuple:
+        q, o = self.points[c], self.open.pop(c)
+        q[1], q[3], q[4] = 0.0, False, None
+        return event, c, o["severity"], o["kind"], q[0], self.drop(q[0])
+
+    def due(self) -> float | None:
+        """When the clock has something to do, if no detection comes before."""
+        if self.now is None:
+            return None
+        return min([self.now + self.silence, *(self.points[c][4] + RECOVER_S for c in self.open if self.points[c][4] is not None)])
+
+    def advance(self, now: float):
+        """Events (seconds, event) of the clock up to ``now``, in order."""
+        while (at := self.due()) is not None and at <= now:
+            ended = at >= self.now + self.silence
+            for c in sorted(self.open):
+                if ended or (self.points[c][4] is not None and self.points[c][4] + RECOVER_S <= at):
+                    yield at, self._closed(c, "expired" if ended else "resolved")
+            if ended:
+                self.points, self.open, self.active, self.now = {}, {}, set(), None
 
 
 EVENTS = "fiber_id string, direction int, ts_ns bigint, ch int, event string, severity string, incident_type string, ema double, drop_pct double"
 
 
+def _event(e: tuple) -> tuple:
+    kind, c, severity, what, mean, drop = e
+    return c, kind, severity, what, mean, drop
+
+
 def _events(a: Anomalies, ns: int, ch: int, speed: float):
-    return [(c, e, s, k, m, d) for e, c, s, k, m, d in a.step(ns / 1e9, int(ch), float(speed))]
+    return [_event(e) for e in a.step(ns / 1e9, int(ch), float(speed))]
+
+
+def clock_events(a: Anomalies, now: float) -> list[tuple]:
+    """(ts_ns, ..) of what the clock does up to ``now`` seconds."""
+    return [(round(at * 1000) * 1_000_000, *_event(e)) for at, e in a.advance(now)]
+
+
+def clocked_events(a: Anomalies, ns: int, ch: int, speed: float) -> list[tuple]:
+    """(ts_ns, ..) of a detection and, before it, of the clock."""
+    return clock_events(a, ns / 1e9) + [(ns, *e) for e in _events(a, ns, ch, speed)]
 
 
 def anomaly_rows(key: tuple, pdf: pd.DataFrame, a: Anomalies) -> pd.DataFrame:
@@ -174,23 +223,32 @@ def anomaly_rows(key: tuple, pdf: pd.DataFrame, a: Anomalies) -> pd.DataFrame:
 _EVENT_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
 
-def detect_incidents(det: DataFrame, free_flow: float) -> DataFrame:
+def detect_incidents(det: DataFrame, free_flow: float, clock: bool = False, silence_s: float = 3600.0) -> DataFrame:
     """Batch form: incidents opened, escalated and resolved, by (fiber, direction).
 
     A fiber and direction is one sequence, whose state lasts; it is read as a stream in
-    order, so memory follows its points and not its detections.
+    order, so memory follows its points and not its detections. With ``clock`` incidents
+    resolve and expire by time, as in ``streaming.processors``, to the end of each sequence.
     """
     rows = det.filter("speed is not null").select("fiber_id", "direction", "ts_ns", "ch", "speed")
     names = [x.split()[0] for x in EVENTS.split(", ")]
 
     def fold(batches):
         now, a = None, None
+        rest = lambda: [(now[0], int(now[1]), *e) for e in clock_events(a, np.inf)] if clock and a else []
         for batch in batches:
             out = []
             for fiber, direction, ns, ch, speed in zip(*(c.to_pylist() for c in batch.columns)):
                 if (fiber, direction) != now:
-                    now, a = (fiber, direction), Anomalies(free_flow)
-                out += [(fiber, int(direction), ns, *e) for e in _events(a, ns, ch, speed)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, _EVENT_TYPES)], names=names)
+                    out += rest()
+                    now, a = (fiber, direction), Anomalies(free_flow, silence_s=silence_s)
+                found = clocked_events(a, ns, ch, speed) if clock else [(ns, *e) for e in _events(a, ns, ch, speed)]
+                out += [(fiber, int(direction), *e) for e in found]
+            yield _event_batch(out, names)
+        yield _event_batch(rest(), names)
 
     return fold_sorted(rows, ["fiber_id", "direction"], ["ts_ns", "ch", "speed"], fold, EVENTS)
+
+
+def _event_batch(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, _EVENT_TYPES)], names=names)

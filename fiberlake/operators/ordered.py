@@ -78,6 +78,11 @@ TRACKS = "fiber_id string, direction int, ts_ns bigint, ch int, track bigint, po
 _TRACK_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64())
 
 
+def _life(track: dict) -> int:
+    """Milliseconds that a track lives without a detection."""
+    return 1_000 if track["state"] == "tentative" else DEAD_MS
+
+
 class Tracker:
     """Tracks of one (fiber, direction): constant-velocity Kalman filters, nearest in deviations within a gate.
 
@@ -95,6 +100,17 @@ class Tracker:
     def dump(self) -> dict:
         return {"tracks": self.tracks, "count": self.count, "now": self.now}
 
+    def due(self) -> float | None:
+        """When the first track ends, if no detection comes before (ms)."""
+        return min((t["seen"] + _life(t) for t in self.tracks), default=None)
+
+    def advance(self, now_ms: float):
+        """(ms, track) of the tracks that have ended by ``now_ms``, in order; they are gone."""
+        ended = sorted((t for t in self.tracks if t["seen"] + _life(t) < now_ms), key=lambda t: (t["seen"] + _life(t), t["id"]))
+        self.tracks = [t for t in self.tracks if t["seen"] + _life(t) >= now_ms]
+        for t in ended:
+            yield t["seen"] + _life(t), t | {"state": "ended"}
+
     def step(self, now_ms: float, ch: float, speed: float) -> dict:
         dt = 0.0 if self.now is None else max(0.0, now_ms - self.now)
         self.now = now_ms if self.now is None else max(self.now, now_ms)
@@ -104,7 +120,7 @@ class Tracker:
             t["pv"] += Q_VEL * dt
             idle = now_ms - t["seen"]
             t["state"] = "coasting" if t["state"] == "confirmed" and idle > COAST_MS else t["state"]
-        self.tracks = [t for t in self.tracks if now_ms - t["seen"] <= (1_000 if t["state"] == "tentative" else DEAD_MS)]
+        self.tracks = [t for t in self.tracks if now_ms - t["seen"] <= _life(t)]
         best, at = None, math.inf
         for t in self.tracks:
             sd, off = math.sqrt(t["px"]), abs(ch - t["x"])
@@ -135,6 +151,49 @@ def track_rows(key: tuple, pdf: pd.DataFrame, tracker: Tracker) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in TRACKS.split(", ")])
 
 
+def _track_row(key: tuple, ns: int, ch: int, t: dict) -> tuple:
+    return key[0], int(key[1]), ns, ch, t["id"], t["x"], t["v"], t["hits"], t["state"]
+
+
+def end_rows(key: tuple, tracker: Tracker, now_ms: float) -> list[tuple]:
+    """Rows as ``TRACKS`` of the tracks that have ended by ``now_ms``, at the channel they were last at."""
+    return [_track_row(key, round(at) * 1_000_000, round(t["x"]), t) for at, t in tracker.advance(now_ms)]
+
+
+def timed_rows(key: tuple, tracker: Tracker, ns: int, ch: int, speed: float) -> list[tuple]:
+    """Rows of a detection and, before it, of the tracks that had ended."""
+    out = end_rows(key, tracker, ns / 1e6)
+    return [*out, _track_row(key, int(ns), int(ch), tracker.step(ns / 1e6, float(ch), float(speed)))]
+
+
+def track_ends(det: DataFrame) -> DataFrame:
+    """``track_vehicles`` with a row of state ``ended`` for each track, when its time is over.
+
+    One pass over a fiber and direction; as the stream with timers gives it.
+    """
+    names = [x.split()[0] for x in TRACKS.split(", ")]
+
+    def fold(batches):
+        now, tracker = None, None
+        for batch in batches:
+            out = []
+            for fiber, direction, ns, ch, speed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (fiber, direction) != now:
+                    out += end_rows(now, tracker, math.inf) if tracker else []
+                    now, tracker = (fiber, direction), Tracker(int(direction))
+                out += timed_rows(now, tracker, ns, ch, speed)
+            yield _track_batch(out, names)
+        if tracker:
+            yield _track_batch(end_rows(now, tracker, math.inf), names)
+
+    rows = det.filter("speed is not null").select("fiber_id", "direction", "ts_ns", "ch", "speed")
+    return fold_sorted(rows, ["fiber_id", "direction"], ["ts_ns", "ch", "speed"], fold, TRACKS)
+
+
+def _track_batch(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, _TRACK_TYPES)], names=names)
+
+
 def track_vehicles(det: DataFrame) -> DataFrame:
     """Batch form: each detection with the track it belongs to.
 
