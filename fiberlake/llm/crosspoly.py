@@ -132,24 +132,42 @@ def _in_units(rows: DataFrame, block: int) -> DataFrame:
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "blk", "node")
 
 
-def _units(batches, names=("bucket", "i", "j")):
-    """The rows of each unit as one record batch; rows of a unit follow each other."""
+def _units(batches, least: int = 0, names=("bucket", "i", "j")):
+    """Whole units as record batches, each of one unit or, with ``least``, of as many as have that many rows.
+
+    Rows of a unit follow each other.
+    """
     held: list[pa.RecordBatch] = []
-    last = None
+    last, size = None, 0
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         if not len(batch):
             continue
         key = np.stack([batch.column(n).to_numpy() for n in names])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
-            now = tuple(key[:, a].tolist())
-            if now != last and held:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            last = now
-            held.append(batch.slice(a, b - a))
+        alone = np.zeros(len(batch), bool)
+        alone[cuts[:-1][np.diff(cuts) == 1]] = True  # the first and the last unit may go on in other batches
+        begins = np.concatenate([[0], cuts])
+        at = 0
+        if tuple(key[:, 0].tolist()) == last:  # goes on
+            begins = begins[1:]
+        ends = [x for x in begins.tolist() if not least or not alone[x]]
+        for x in ends:
+            if x > at:
+                held.append(batch.slice(at, x - at))
+                size += x - at
+            if size > least:
+                yield whole()
+                held, size = [], 0
+            at = x
+        held.append(batch.slice(at))
+        size += len(batch) - at
+        last = tuple(key[:, -1].tolist())
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield whole()
 
 
 def _sides(unit: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -158,15 +176,19 @@ def _sides(unit: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(blk == i), np.flatnonzero(blk == j)
 
 
-def _close(unit: pa.RecordBatch, most: int, step: int = 512) -> np.ndarray:
-    """Which rows of a unit have another one within ``most`` differing bits."""
-    a, b = _sides(unit)
-    bits, hit = unit.column("sketch").to_numpy().view(U), np.zeros(len(unit), bool)
-    for at in range(0, len(a), step):
-        rows = a[at : at + step]
-        near = np.bitwise_count(bits[rows][:, None] ^ bits[b][None, :]) <= most
-        near &= rows[:, None] != b[None, :]
-        hit[rows] |= near.any(1)
+def _close(units: pa.RecordBatch, most: int, step: int = 256) -> np.ndarray:
+    """Which rows of some whole units have another one of their unit, of the other block if it has two, within ``most`` differing bits."""
+    i, j, blk, bits = (units.column(c).to_numpy() for c in ("i", "j", "blk", "sketch"))
+    key = np.stack([units.column("bucket").to_numpy(), i, j])
+    unit = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
+    hit, bits = np.zeros(len(units), bool), bits.view(U)
+    for at in range(0, len(units), step):
+        a = np.arange(at, min(at + step, len(units)))
+        b = np.arange(at, np.searchsorted(unit, unit[a[-1]], "right"))  # pairs with rows before are seen from there
+        near = np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]) <= most
+        near &= (unit[a][:, None] == unit[b][None, :]) & (a[:, None] < b[None, :])
+        near &= (i == j)[a][:, None] | (blk[a][:, None] != blk[b][None, :])
+        hit[a] |= near.any(1)
         hit[b] |= near.any(0)
     return hit
 
@@ -248,7 +270,7 @@ def near_vectors(
     most = _bits_within(cosine)
 
     def candidates(batches):
-        for unit in _units(batches):
+        for unit in _units(batches, 512):
             hit = _close(unit, most)
             if hit.any():
                 yield pa.RecordBatch.from_arrays([unit.column("bucket").filter(pa.array(hit)), unit.column("node").filter(pa.array(hit))], names=["bucket", "node"])
@@ -271,6 +293,8 @@ def near_vectors(
 
     def verify(batches):
         for unit in _units(batches):
+            if len(unit) < 2:
+                continue
             node, root, links = _linked(unit, dim, cosine, shape)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, root, links)], names=["a", "b", "links"])
 

@@ -5,6 +5,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -302,3 +303,19 @@ def test_a_commit_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
     token_counts.commit(twice, store, "one")
     assert total() == [(2, 10)]
     assert len(list((tmp_path / "s" / "tries" / "batch=one").iterdir())) <= 3  # the one that counts and the dead one
+
+
+@pytest.mark.parametrize("batch, least", [(1, 0), (3, 0), (7, 5), (100, 0), (100, 12)])
+def test_units_are_whole(batch, least):
+    rng = np.random.default_rng(batch)
+    key = np.repeat(np.arange(40), rng.integers(1, 5, 40))
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(key * 0), pa.array(key * 0), pa.array(np.arange(len(key)))], names=["bucket", "i", "j", "n"])
+    out = [x.to_pydict() for x in crosspoly._units((rows.slice(a, batch) for a in range(0, len(rows), batch)), least)]
+    seen = [n for x in out for n in x["n"]]
+    assert seen == list(range(len(key)))
+    homes = [set(x["bucket"]) for x in out]
+    assert sum(map(len, homes)) == len(set().union(*homes))  # no unit is in two
+    if not least:
+        assert all(len(h) == 1 for h in homes)
+    elif batch == 100:
+        assert len(out) < 20
