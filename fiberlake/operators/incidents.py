@@ -14,44 +14,49 @@ from .ordered import fold_sorted
 from .rollups import latest
 
 
-def latest_incidents(versions: DataFrame, ties: list[Column] | None = None) -> DataFrame:
+def latest_incidents(versions: DataFrame, ties: list[str] | None = None) -> DataFrame:
     return latest(versions, ["incident_id"], "updated_at", ties)
 
 
-def incident_by_id(versions: DataFrame, incident: str, ties: list[Column] | None = None) -> DataFrame:
+def incident_by_id(versions: DataFrame, incident: str, ties: list[str] | None = None) -> DataFrame:
     return latest(versions.filter(F.col("incident_id") == incident), ["incident_id"], "updated_at", ties)
 
 
 def incident_window(inc: DataFrame, det: DataFrame, around: int = 50, seconds: int = 60) -> DataFrame:
     """Detections of the same fiber and direction within so many channels and seconds of each incident.
 
-    An equi-join on (fiber, direction, time cell): cells are as long as the window, so
-    an incident lies in two or three of them.
+    An equi-join on (fiber, direction, cell of time, cell of channels). Cells are half as
+    long and wide as the window, so an incident lies in up to nine and, where detections are
+    evenly spread, 2.25 rows meet for each that is within.
     """
-    cell = 2 * seconds
+    long, wide = seconds * 1_000_000, max(1, around)
+    cells = lambda a, b, n: F.explode(F.sequence(F.floor(a / n), F.floor(b / n)))
     centre = F.floor((F.col("channel_start") + F.col("channel_end")) / 2)
     i = inc.select("incident_id", "fiber_id", "direction", F.unix_micros("timestamp").alias("i_us"), F.greatest(F.lit(0), centre - around).alias("lo"), (centre + around).alias("hi"))
-    i = i.withColumn("cell", F.explode(F.sequence(F.floor((F.col("i_us") - seconds * 1_000_000) / (cell * 1_000_000)), F.floor((F.col("i_us") + seconds * 1_000_000) / (cell * 1_000_000)))))
-    d = det.withColumn("d_us", F.unix_micros("ts")).withColumn("cell", F.floor(F.col("d_us") / (cell * 1_000_000)))
-    return d.join(i, ["fiber_id", "direction", "cell"]).filter(F.col("ch").between(F.col("lo"), F.col("hi")) & (F.abs(F.col("d_us") - F.col("i_us")) <= seconds * 1_000_000)).drop("cell", "lo", "hi")
+    i = i.filter("lo <= hi").withColumn("t_cell", cells(F.col("i_us") - long, F.col("i_us") + long, long)).withColumn("c_cell", cells(F.col("lo"), F.col("hi"), wide))
+    d = det.withColumn("d_us", F.unix_micros("ts")).withColumn("t_cell", F.floor(F.col("d_us") / long)).withColumn("c_cell", F.floor(F.col("ch") / wide))
+    return d.join(i, ["fiber_id", "direction", "t_cell", "c_cell"]).filter(F.col("ch").between(F.col("lo"), F.col("hi")) & (F.abs(F.col("d_us") - F.col("i_us")) <= long)).drop("t_cell", "c_cell", "lo", "hi")
 
 
 def incident_snapshot(inc: DataFrame, det: DataFrame, norm: bool = False, seconds: int = 60) -> DataFrame:
     """120 points a second apart around each incident, null where nothing passed.
 
     The window starts at the whole second. ``norm`` gives flow in vehicles per hour over
-    +-30 channels instead of the second's count over +-50.
+    +-30 channels instead of the second's count over +-50. An incident stays one row, with its
+    seconds as a map of at most 121, until the end.
     """
     around = 30 if norm else 50
     rows = incident_window(inc, det, around, seconds)
     agg = rows.groupBy("incident_id", F.floor(F.col("d_us") / 1_000_000).alias("sec")).agg(F.bround(F.avg(F.abs("speed"))).alias("speed"), F.sum("vehicle_count").alias("n"))
     flow = F.bround(F.col("n") * 3600 / (2 * around + 1)) if norm else F.col("n").cast("double")
     occ = S.occupancy(F.col("speed"), flow) if norm else S.occupancy(F.col("speed"), flow, "snapshot")
-    agg = agg.select("incident_id", "sec", F.col("speed").alias("speed"), flow.alias("flow"), occ.alias("occupancy"))
+    value = F.struct(F.col("speed").alias("speed"), flow.alias("flow"), occ.alias("occupancy"))
+    held = agg.groupBy("incident_id").agg(F.map_from_entries(F.collect_list(F.struct("sec", value.alias("v")))).alias("seconds"))
     start = F.floor(F.unix_micros("timestamp") / 1_000_000) - seconds
-    spine = inc.select("incident_id", F.explode(F.sequence(start, start + 2 * seconds - 1)).alias("sec"))
-    out = spine.join(agg, ["incident_id", "sec"], "left")
-    return out.select("incident_id", (F.col("sec") * 1000).alias("time_ms"), "speed", "flow", "occupancy")
+    out = inc.select("incident_id", start.alias("start")).join(held, "incident_id", "left")
+    out = out.select("incident_id", "seconds", F.explode(F.sequence(F.col("start"), F.col("start") + 2 * seconds - 1)).alias("sec"))
+    at = F.try_element_at("seconds", F.col("sec"))
+    return out.select("incident_id", (F.col("sec") * 1000).alias("time_ms"), *[at[c].alias(c) for c in ("speed", "flow", "occupancy")])
 
 
 def incident_calendar(inc: DataFrame, month: str | None = None) -> DataFrame:

@@ -11,10 +11,14 @@ from ..functions import scalars as S
 KEYS = ["fiber_id", "ts", "ch", "direction"]
 
 
-def latest(df: DataFrame, keys: list[str], version: str, ties: list[Column] | None = None) -> DataFrame:
-    """One row a key, the highest version first and then the ties' order."""
-    order = [F.desc_nulls_last(version), *(ties or [])]
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+def latest(df: DataFrame, keys: list[str], version: str, ties: list[str] | None = None) -> DataFrame:
+    """One row a key: that of the highest version, and among those of the greatest ties, in their order; nulls are lowest.
+
+    An aggregate with partial combination, not a window: a hot key leaves each task once.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(version, *(ties or [])))
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def dedup_hires(df: DataFrame, seq: str = "seq") -> DataFrame:

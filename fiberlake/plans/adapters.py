@@ -117,7 +117,7 @@ class Views:
     def incidents(self) -> DataFrame:
         from ..operators.incidents import latest_incidents
 
-        return latest_incidents(self.incident_versions(), [F.desc(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]).drop("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        return latest_incidents(self.incident_versions(), ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).drop("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
     def live_incidents(self) -> DataFrame:
         """Incidents moved into the hour of the dense detections, whole seconds."""

@@ -173,7 +173,7 @@ def _(v):
 
 @query("incident_by_id", "SELECT incident_id, status, epoch_us(updated_at) AS updated_us FROM incidents WHERE incident_id = 'inc-7'")
 def _(v):
-    ties = [F.desc(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    ties = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     return incidents.incident_by_id(v.incident_versions(), "inc-7", ties).select("incident_id", "status", F.unix_micros("updated_at").alias("updated_us"))
 
 

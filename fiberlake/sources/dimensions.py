@@ -135,7 +135,7 @@ def read_feature_norm(spark: SparkSession, path: str) -> list[tuple[float, float
 def upsert_dim(target: DataFrame, updates: DataFrame, key: list[str], version: str) -> DataFrame:
     """Target and updates with one row a key: the latest version, the update on a tie."""
     both = target.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
-    return latest(both, key, version, [F.desc("_new")]).drop("_new")
+    return latest(both, key, version, ["_new"]).drop("_new")
 
 
 def dim_diff(desired: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:

@@ -43,10 +43,25 @@ def ingest_stream(batches: DataFrame, cables: DataFrame, out: str, checkpoint: s
     return rows.writeStream.format("parquet").partitionBy("fiber_id", "date").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def rollup_stream(hires: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Continuous minute states; hours follow from the stored minutes (``rollup_1h``)."""
+def _minutes(hires: DataFrame, delay: str) -> DataFrame:
     rows = watermark(hires, delay).withColumn("w", F.window("ts", "1 minute"))
-    return rollups.state_agg(rows, ["fiber_id", "w", "ch", "direction"]).withColumn("ts", F.col("w.start")).drop("w")
+    return rollups.state_agg(rows, ["fiber_id", "w", "ch", "direction"])
+
+
+def rollup_stream(hires: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Continuous minute states."""
+    return _minutes(hires, delay).withColumn("ts", F.col("w.start")).drop("w")
+
+
+def rollup_hours_stream(hires: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Continuous hour states from minute states in one query: two aggregates, one after the other.
+
+    A minute goes into its hour when the watermark closes it, an hour comes out when the
+    watermark has passed it (append mode). Rows behind the watermark are dropped and counted in the
+    query's progress; ``sources.corrections`` keeps them and mends the tiers.
+    """
+    hour = F.window(F.window_time("w"), "1 hour")
+    return rollups.merge_states(_minutes(hires, delay), ["fiber_id", hour.alias("h"), "ch", "direction"]).withColumn("ts", F.col("h.start")).drop("h")
 
 
 def _is_done(spark: SparkSession, done: str, batch: int) -> bool:

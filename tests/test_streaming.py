@@ -58,6 +58,21 @@ def test_rollup_stream_in_update_mode(spark, tmp_path):
     assert rows(final, "fiber_id", "ts", "ch", "samples") == rows(rollups.rollup_1m(d), "fiber_id", "ts", "ch", "samples")
 
 
+def test_hours_follow_minutes_in_one_stream(spark, tmp_path):
+    d = detections(spark, 400).withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000) + F.col("seq") * 40_000_000)).withColumn("ts_ns", F.unix_micros("ts") * 1000)
+    last = d.agg(F.max("ts")).first()[0]
+    late = d.orderBy("seq").limit(1).withColumn("seq", F.lit(10_000))
+    far = late.withColumn("ts", F.lit(last) + F.expr("interval 5 hours")).withColumn("seq", F.lit(9_999))
+    src = chunked(spark, d.unionByName(far).unionByName(late.coalesce(1)), "seq", tmp_path / "in", 6)
+    q = jobs.rollup_hours_stream(src).writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+    cols = ("fiber_id", "ts", "ch", "direction", "samples", "speed_max", "speed_sum")
+    got = rows(spark.table("hours"), *cols)
+    want = rows(rollups.rollup_1h(rollups.rollup_1m(d)), *cols)
+    assert got == want and len({r[1] for r in got}) > 3 and dropped >= 1
+
+
 def test_incidents_and_tracks(spark, tmp_path):
     d = detections(spark)
     cols = ("fiber_id", "ts_ns", "ch", "event", "severity")
