@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters
@@ -30,13 +32,31 @@ def select_tier(start: datetime, end: datetime, explicit: str = "auto") -> str:
     return next((t for t, most in SERVED.items() if span <= most), "1h")
 
 
+def partition_day(tier: str, ts: str = "ts") -> Column:
+    """The value of a tier's partition column: the day, of the hour tier the month's first."""
+    return F.to_date(ts) if tier != "1h" else F.trunc(ts, "month")
+
+
 def write_tier(df: DataFrame, tier: str, path: str) -> None:
-    """Partitioned by fiber and day (1h: by month), sorted so that row groups skip by time."""
-    part = F.to_date("ts") if tier != "1h" else F.trunc("ts", "month")
-    rows = df.withColumn("date", part).repartition("fiber_id", "date").sortWithinPartitions("ts", "ch", "direction")
+    """Partitioned by fiber and day (1h: by month), sorted so that row groups skip by time.
+
+    Tasks take ranges of (fiber, day, time), so a day of a fiber with very many rows is several
+    files that follow each other in time, not one task.
+    """
+    rows = df.withColumn("date", partition_day(tier)).repartitionByRange("fiber_id", "date", "ts").sortWithinPartitions("fiber_id", "date", "ts", "ch", "direction")
     rows.write.mode("append").partitionBy("fiber_id", "date").parquet(f"{path}/{tier}")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below that of ``spark.checkpoint.dir``, which all executors share; a temporary one only where Spark runs in one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_tier(spark: SparkSession, path: str, tier: str, start: datetime, end: datetime) -> DataFrame:
     """A tier's rows of a closed range; days outside are pruned as partitions."""
     rows = spark.read.parquet(f"{path}/{tier}")
