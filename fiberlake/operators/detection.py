@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from .signals import dense_channels, explode_windows, no_nan
+from .signals import dense_channels, explode_windows, no_nan, spatial_windows
 
 KEYS = ("fiber_id", "window")
 
@@ -245,6 +245,26 @@ def map_channel(df: DataFrame, start: int, step: int) -> DataFrame:
     return df.withColumn("ch", (F.lit(start) + F.col("window") * step).cast("int"))
 
 
+def detect_windows(win: DataFrame, fs: float, gauge: float, corr: float, nch: int = 9, step: int = 1, max_lag: int = 32, size: int = 312, hop: int = 234, lo: float = 20, hi: float = 120, truck: float = 2.0, start: int = 0) -> DataFrame:
+    """Detections of windows in time ``win(fiber_id, section, t_window, ch, t, v)`` (see ``signals.time_windows``).
+
+    Each window in time is split into groups of ``nch`` channels; shifts of their pairs give
+    speeds and alignment, products of aligned pairs the statistic, its intervals the detections.
+    Of overlapping windows each keeps the middle (as ``edge_trim``), so they tile and nothing
+    counts twice. ``t_idx`` is the sample of the signal, ``ch`` the first channel of the group.
+    """
+    by = ("fiber_id", "section", "t_window")
+    keys, rows = (*by, "window"), win.select(*by, "ch", F.col("t").alias("t_idx"), "v")
+    groups = spatial_windows(rows, nch, step, by).select(*keys, "pos", F.col("t_idx").alias("t"), "v")
+    shifts = pair_shift(groups, max_lag, keys)
+    aligned = align_shift(groups, shifts, nch, keys)
+    g = glrt_sum(glrt(aligned, keys=keys), keys)
+    out = extract_detections(g, pair_speed(shifts, fs, gauge), aligned, fs, corr, nch, lo, hi, truck, keys)
+    trim = max((size - hop) // 2, 15)
+    out = map_channel(out.filter(F.col("t_mid").between(trim, size - trim - 1)), start, step)
+    return out.withColumn("t_idx", (F.col("t_window") * hop + F.col("t_mid")).cast("long"))
+
+
 def score_by_model(df: DataFrame, hint: str, models: dict, schema: str, default=None) -> DataFrame:
     """Applies to each group of ``hint`` its model: a function of a pandas frame."""
 

@@ -1,4 +1,4 @@
-"""Stateful processors: incidents and tracks with typed state, event-time timers and state that ends.
+"""Stateful processors: windows, incidents and tracks with typed state, event-time timers and state that ends.
 
 State lives in RocksDB (``use_rocksdb``) as typed maps and lists, so only what a batch
 touches is written, and it can be read and evolved as tables. A key has one timer: when the
@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import incidents, ordered
+from ..operators import detection, incidents, ordered
+from .jobs import overwrite_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -176,6 +177,72 @@ class Tracks(_Timed):
         return tracker.due()
 
 
+class Windows(StatefulProcessor):
+    """Windows of channels x time by (fiber, section): blocks of samples as they come, until no window needs them.
+
+    A window is out as soon as its last sample has come; the samples of a time must come in one
+    micro-batch (a frame holds all its channels) and times in order. Blocks are written once and
+    removed once; those of a key that falls silent go by their time to live.
+    """
+
+    def __init__(self, size: int, step: int, ttl_ms: int):
+        self.size, self.step, self.ttl = size, step, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocks = handle.getMapState("blocks", "first long", "ch array<int>, t_idx array<bigint>, v array<double>", self.ttl)
+        self.next = handle.getValueState("next", "window long", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        k = self.next.get()[0] if self.next.exists() else None
+        held = {b[0]: pd.DataFrame(dict(zip(("ch", "t_idx", "v"), v))) for b, v in self.blocks.iterator()} if k is not None else {}
+        new = pd.concat(list(rows), ignore_index=True)[["ch", "t_idx", "v"]]
+        if k is None:  # the first whole window there is
+            k = max(0, -(-int(new.t_idx.min()) // self.step))
+        first, out = int(new.t_idx.min()), []
+        fresh = held.keys() | set()
+        held[first] = new if first not in held else pd.concat([held[first], new], ignore_index=True)
+        top = int(new.t_idx.max())
+        while top >= k * self.step + self.size - 1:
+            start = k * self.step
+            win = pd.concat([b[(b.t_idx >= start) & (b.t_idx < start + self.size)] for b in held.values()], ignore_index=True)
+            if len(win):
+                out.append(pd.DataFrame({"fiber_id": key[0], "section": key[1], "t_window": k, "ch": win.ch, "t": win.t_idx - start, "v": win.v}))
+            k += 1
+        for b, x in held.items():
+            if int(x.t_idx.max()) < k * self.step:
+                if b in fresh:
+                    self.blocks.removeKey((b,))
+            elif b == first:
+                self.blocks.updateValue((b,), (x.ch.astype(int).tolist(), x.t_idx.astype(int).tolist(), x.v.astype(float).tolist()))
+        self.next.update((k,))
+        yield from out
+
+    def close(self) -> None:
+        pass
+
+
+WINDOWS = "fiber_id string, section string, t_window long, ch int, t int, v double"
+
+
+def windows_stream(sig: DataFrame, size: int = 312, step: int = 234, ttl_ms: int = 3_600_000) -> DataFrame:
+    """Windows in time of a stream of samples (``WINDOWS``), as ``signals.time_windows`` gives them of a table."""
+    rows = sig.select("fiber_id", "section", "ch", "t_idx", "v")
+    return rows.groupBy("fiber_id", "section").transformWithStateInPandas(Windows(size, step, ttl_ms), WINDOWS, "Append", "ProcessingTime")
+
+
+def detections_stream(sig: DataFrame, out: str, checkpoint: str, fs: float, gauge: float, corr: float, size: int = 312, hop: int = 234, trigger: dict | None = None, **how):
+    """From samples to stored detections in one query: windows by state, then ``detection.detect_windows`` on each micro-batch.
+
+    Each micro-batch replaces its own partition at ``out``, so replays store nothing twice.
+    """
+    store = overwrite_batch(out)
+
+    def run(win: DataFrame, batch: int) -> None:
+        store(detection.detect_windows(win, fs, gauge, corr, size=size, hop=hop, **how), batch)
+
+    return windows_stream(sig, size, hop).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def _run(det: DataFrame, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
     rows = det.filter("speed is not null").select("fiber_id", "direction", "ts", "ts_ns", "ch", "speed").withWatermark("ts", delay)
     return rows.groupBy("fiber_id", "direction").transformWithStateInPandas(processor, schema, "Append", "EventTime")
