@@ -182,7 +182,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc, maybe = free(docs, "__ld_doc"), free(docs, "__ld_maybe")
     num, mask_ = free(docs, "__ld_n"), free(docs, "__ld_mask")
     kept = docs.select(*[F.col(f"`{c}`") for c in columns])
-    named = kept.withColumn(doc, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))))
+    # the id alone names a document, in fewer bytes, where no id has several texts
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).filter("id is not null").groupBy("id").agg((F.min("text") != F.max("text")).alias("several"))
+    both = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    named = kept.withColumn(doc, F.col(id_col) if texts.filter("several").isEmpty() else both)
     places = dropped_lines(named, doc, text_col, min_chars, near_words)
     gone = places.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     gone = settle(gone, "lines-gone")
