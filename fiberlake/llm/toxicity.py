@@ -7,7 +7,8 @@ toxic one, a word with a feature that is far more frequent in toxic documents th
 clean ones is toxic; every other word is clean.
 
 Forward-backward marginals of the tags aggregate to a document's features (expected
-toxic words, highest marginal), which a logistic regression turns into the score.
+toxic words, highest marginal), which a logistic regression turns into the score; it is
+fitted to marginals of texts that their field was not fitted on (four folds).
 Spans are runs of words whose marginal is at least a half, as code-point offsets.
 
 The model is fitted on at most ``max_toxic`` + ``max_clean`` labelled rows of
@@ -130,8 +131,12 @@ def marginals(psi: np.ndarray, chain: np.ndarray, pair: np.ndarray, pairs: bool
     return m, both, logz
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.0, share: float = 1 / 140, l2: float = 1e-3, chains: int = 10_000, seed: int = 1) -> Model:
-    """Fits the field and the document regression to labelled texts."""
+def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.0, share: float = 1 / 140, l2: float = 1e-3, chains: int = 10_000, seed: int = 1, folds: int = 4) -> Model:
+    """Fits the field and the document regression to labelled texts.
+
+    The regression learns from marginals of texts that the field has not seen: each fold's
+    come from a field of the other folds, as marginals of its own texts would flatter it.
+    """
     y = np.array(toxic, bool)
     nothing = Model(np.zeros(0, U), np.zeros(0), -5.0, np.zeros((2, 2)), np.array([-30.0, 0, 0]))
     if not len(y) or y.all() or not y.any():
@@ -139,9 +144,39 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
     feats, row, chain = read_words(pa.array(texts, pa.large_string()))[4:]
     if not len(row):
         return nothing
-    n_toxic, n_clean = int(y.sum()), int((~y).sum())
-    least = max(3, round(share * n_toxic))
     del texts
+    # both kinds of texts are dealt to the folds in turn
+    fold = np.where(y, np.cumsum(y), np.cumsum(~y)) % folds
+    settings = {"rounds": rounds, "ratio": ratio, "share": share, "l2": l2, "chains": chains, "seed": seed}
+    expected, highest = np.zeros(len(y)), np.zeros(len(y))
+    told = np.zeros(len(y), bool)
+    for k in range(folds):
+        out = fold == k
+        if not out.any() or not y[~out].any() or y[~out].all():
+            continue
+        w = out[row]
+        model = fit_field([f[~w] for f in feats], row[~w], chain[~w], y, ~out, **settings)
+        e, h = per_row(marginals(model.emission([f[w] for f in feats]), chain[w], model.pair), row[w], len(y))
+        expected[out], highest[out], told[out] = e[out], h[out], True
+    model = fit_field(feats, row, chain, y, np.ones(len(y), bool), **settings)
+    if not told.all():  # too few texts for folds
+        expected, highest = per_row(marginals(model.emission(feats), chain, model.pair), row, len(y))
+    x = np.stack([np.ones(len(y)), np.log1p(expected), highest], 1)
+    beta = np.array([-2.0, 1.0, 1.0])
+    for _ in range(50):  # Newton's method with a small ridge
+        z = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        h = (x * (z * (1 - z))[:, None]).T @ x + 0.1 * np.eye(3)
+        beta = beta - np.linalg.solve(h, x.T @ (z - y) + 0.1 * beta * [0, 1, 1])
+    model.doc = beta
+    return model
+
+
+def fit_field(feats: list[np.ndarray], row: np.ndarray, chain: np.ndarray, y: np.ndarray, rows: np.ndarray, rounds: int, ratio: float, share: float, l2: float, chains: int, seed: int) -> Model:
+    """The field of the words of the texts marked by ``rows``; its document regression is not set."""
+    if not len(row):
+        return Model(np.zeros(0, U), np.zeros(0), -5.0, np.zeros((2, 2)), np.zeros(3))
+    n_toxic, n_clean = int(y[rows].sum()), int((~y[rows]).sum())
+    least = max(3, round(share * n_toxic))
     vocab, marks = [], []
     for f in feats:
         u, which = np.unique(f, return_inverse=True)
@@ -150,23 +185,23 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
         doc, feat = pairs % len(y), pairs // len(y)
         t, c = np.bincount(feat[y[doc]], minlength=len(u)), np.bincount(feat[~y[doc]], minlength=len(u))
         telling = (t >= least) & ((t + 0.5) / (n_toxic + 1) >= ratio * (c + 0.5) / (n_clean + 1))
-        common = telling | (t + c >= max(least, len(y) // 20))
+        common = telling | (t + c >= max(least, (n_toxic + n_clean) // 20))
         vocab.append(u[common])
         marks.append(u[telling])
     vocab, marks = np.unique(np.concatenate(vocab)), np.unique(np.concatenate(marks))
     label, index = np.zeros(len(row), bool), []
-    while feats:  # a feature's place in the vocabulary is all that is needed from here; unknown ones have the last
-        f = feats.pop(0)
+    for f in feats:  # a feature's place in the vocabulary is all that is needed from here; unknown ones have the last
         label |= np.isin(f, marks)
         at = np.minimum(np.searchsorted(vocab, f), max(len(vocab) - 1, 0)).astype(np.int32)
         index.append(np.where(vocab[at] == f, at, np.int32(len(vocab))) if len(vocab) else np.zeros(len(f), np.int32))
     label &= y[row]
     # all chains with toxic words, and others by chance
     count = int(chain[-1]) + 1
+    whole = len(np.unique(chain))
     hot = np.zeros(count, bool)
     hot[chain[label]] = True
     rng = np.random.default_rng(seed)
-    use = hot | (rng.random(count) < chains / count)
+    use = hot | (rng.random(count) < chains / whole)
     w = use[chain]
     known = [a[w] for a in index]
     lab, ch = label[w], np.unique(chain[w], return_inverse=True)[1]
@@ -193,20 +228,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, ratio: float = 20.
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         theta = theta - 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     keep = np.abs(theta[: len(vocab)]) > 0.02
-    model = Model(vocab[keep], theta[: len(vocab)][keep], float(theta[-5]), theta[-4:].reshape(2, 2).copy(), np.zeros(3))
-    padded, psi = np.append(np.where(keep, theta[: len(vocab)], 0.0), 0.0), np.full(len(row), model.bias)
-    for a in index:
-        psi += padded[a]
-    p = marginals(psi, chain, model.pair)
-    expected, highest = per_row(p, row, len(y))
-    x = np.stack([np.ones(len(y)), np.log1p(expected), highest], 1)
-    beta = np.array([-2.0, 1.0, 1.0])
-    for _ in range(50):  # Newton's method with a small ridge
-        z = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (z * (1 - z))[:, None]).T @ x + 0.1 * np.eye(3)
-        beta = beta - np.linalg.solve(h, x.T @ (z - y) + 0.1 * beta * [0, 1, 1])
-    model.doc = beta
-    return model
+    return Model(vocab[keep], theta[: len(vocab)][keep], float(theta[-5]), theta[-4:].reshape(2, 2).copy(), np.zeros(3))
 
 
 def per_row(p: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -96,6 +96,23 @@ def test_held_out_rows_are_never_learned(spark):
     assert all((got[i] >= 0.5) == bool(i % 2) for i in got)  # wrong labels of held-out rows had no part
 
 
+def test_regression_is_fitted_out_of_fold():
+    """Words that only one text has are telling by chance; the regression must not trust its field on them."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda: "".join(rng.choice(letters, 9))
+    common = [word() for _ in range(40)]
+    rare = [word() for _ in range(60)]  # no telling words at all: labels are chance
+    texts = [" ".join([*rng.choice(common, 30), *rng.choice(rare, 3)]) for _ in range(600)]
+    toxic = [int(i % 8 == 0) for i in range(600)]
+    model = toxicity.fit(texts[:400], toxic[:400], ratio=3.0)
+    feats, row, chain = toxicity.read_words(pa.array(texts[400:], pa.large_string()))[4:]
+    score = model.score(*toxicity.per_row(toxicity.marginals(model.emission(feats), chain, model.pair), row, 200))
+    assert (score >= 0.5).mean() <= 0.05
+    again = toxicity.fit(texts[:400], toxic[:400], ratio=3.0)
+    assert (again.doc == model.doc).all() and (again.weight == model.weight).all()
+
+
 # media ---------------------------------------------------------------------------------
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=3000))
