@@ -88,7 +88,7 @@ def apply_counts(det: DataFrame, iv: DataFrame, window_samples: int, by: str = "
     counting window; ``iv`` is (by, idx, start_idx, end_idx, count).
     """
     size = det.groupBy(by).agg((F.max("t_mid") + 1).alias("_batch"))
-    rows = det.join(F.broadcast(size), by).withColumn("_t", F.lit(window_samples) - F.col("_batch") + F.col("t_mid"))
+    rows = det.join(size, by).withColumn("_t", F.lit(window_samples) - F.col("_batch") + F.col("t_mid"))
     per = iv.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("idx", "start_idx", "end_idx", "count"))).alias("_iv"))
     rows = rows.join(per, by, "left")
     hit = F.get(F.filter("_iv", lambda x: (x["start_idx"] <= F.col("_t")) & (F.col("_t") < x["end_idx"])), F.lit(0))["count"]

@@ -132,14 +132,14 @@ def mask(df: DataFrame, thr: float | Column, col: str = "g") -> DataFrame:
 def mask_by_section(g: DataFrame, calib: DataFrame, default: float) -> DataFrame:
     """Mask by each section's own threshold, the default where it has none."""
     c = calib.select(F.col("section_idx").alias("window"), F.col("threshold").alias("_thr"), *[x for x in ("fiber_id",) if x in calib.columns])
-    rows = g.join(F.broadcast(c), [x for x in ("fiber_id", "window") if x in c.columns], "left")
+    rows = g.join(c, [x for x in ("fiber_id", "window") if x in c.columns], "left")
     return rows.withColumn("mask", F.col("g") >= F.coalesce("_thr", F.lit(default))).drop("_thr")
 
 
 def coupling_correct(g: DataFrame, calib: DataFrame, forward_only: bool = True) -> DataFrame:
     """The statistic times the section's factor (missing: 1); only direction 0 unless told otherwise."""
     c = calib.select("fiber_id", F.col("section_idx").alias("window"), F.col("correction").alias("_c"))
-    rows = g.join(F.broadcast(c), ["fiber_id", "window"], "left")
+    rows = g.join(c, ["fiber_id", "window"], "left")
     f = F.coalesce("_c", F.lit(1.0))
     if forward_only and "direction" in g.columns:
         f = F.when(F.col("direction") == 0, f).otherwise(1.0)
@@ -265,10 +265,24 @@ def detect_windows(win: DataFrame, fs: float, gauge: float, corr: float, nch: in
     return out.withColumn("t_idx", (F.col("t_window") * hop + F.col("t_mid")).cast("long"))
 
 
-def score_by_model(df: DataFrame, hint: str, models: dict, schema: str, default=None) -> DataFrame:
-    """Applies to each group of ``hint`` its model: a function of a pandas frame."""
+def score_by_model(df: DataFrame, hint: str, models, schema: str, default=None, tasks: int | None = None) -> DataFrame:
+    """Applies to the rows of each ``hint`` its model: a function of a pandas frame that scores rows one by one.
 
-    def apply(key, pdf):
-        return models.get(key[0], default)(pdf)
+    ``models`` is a dictionary or a function that loads the model of a hint (null: None), called
+    once a task and hint. Rows stay where they are (or are dealt evenly over ``tasks``), so a
+    hint that most rows have is as many tasks as they fill; each batch is split by hint.
+    A hint without a model takes ``default``; without that it is an error.
+    """
 
-    return df.groupBy(hint).applyInPandas(apply, schema)
+    def run(batches):
+        loaded: dict = {}
+        for pdf in batches:
+            for h, part in pdf.groupby(hint, dropna=False, sort=False):
+                h = None if pd.isna(h) else h
+                if h not in loaded:
+                    loaded[h] = (models(h) if callable(models) else models.get(h)) or default
+                    if loaded[h] is None:
+                        raise ValueError(f"no model for {hint} = {h!r}")
+                yield loaded[h](part.reset_index(drop=True))
+
+    return (df.repartition(tasks) if tasks else df).mapInPandas(run, schema)

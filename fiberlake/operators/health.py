@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .detection import _peaks
 from .history import downsample_bins, downsample_rows
+from .ordered import trailing
 
 
 def spectral_peaks(spectra: DataFrame, freqs: Column | str = "freqs", prominence: float = 0.4, span_hz: float = 0.1) -> DataFrame:
@@ -55,12 +56,14 @@ def shm_trend(p: DataFrame, dt: float = 1.0) -> DataFrame:
     return a.select("infra_id", *_trend(F.col("s"), r2, F.col("k")))
 
 
-def shm_trend_sliding(p: DataFrame, n: int, dt: float = 1.0) -> DataFrame:
-    """The trend of the last n samples at every sample."""
-    w = W.partitionBy("infra_id").orderBy("ts")
-    rows = p.filter("freq is not null").withColumn("x", (F.row_number().over(w) - 1) * F.lit(dt))
-    last = w.rowsBetween(-(n - 1), 0)
-    rows = rows.withColumn("_s", F.regr_slope("freq", "x").over(last)).withColumn("_r", F.regr_r2("freq", "x").over(last)).withColumn("_k", F.count("freq").over(last))
+def shm_trend_sliding(p: DataFrame, n: int, dt: float = 1.0, cell_s: int = 86_400) -> DataFrame:
+    """The trend of the last n samples at every sample; a structure's samples are dealt by ranges of ``cell_s`` seconds."""
+
+    def new(frame, rank):
+        x = rank * F.lit(dt)
+        return {"_s": F.regr_slope("freq", x).over(frame), "_r": F.regr_r2("freq", x).over(frame), "_k": F.count("freq").over(frame)}
+
+    rows = trailing(p.filter("freq is not null"), ["infra_id"], ["ts"], F.floor(F.unix_seconds("ts") / cell_s), n, new)
     return rows.select("infra_id", "ts", *_trend(F.col("_s"), F.col("_r"), F.col("_k")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .rollups import quantile_of, quantile_states
 
 
 def window_metrics(windows: DataFrame, det: DataFrame) -> DataFrame:
@@ -36,22 +37,36 @@ def quality_vs_yesterday(metrics: DataFrame, share: float = 0.2) -> DataFrame:
     return rows.withColumn("degraded", (F.col("m") > 0) & (F.col("m_before") > 0) & (F.col("m") < share * F.col("m_before")))
 
 
-def speed_shift(metrics: DataFrame, short_min: int = 15, long_min: int = 120, most: float = 15.0) -> DataFrame:
+def speed_shift(metrics: DataFrame, short_min: int = 15, long_min: int = 120, most: float = 15.0, exact: bool = False, k: int = 800) -> DataFrame:
     """At every quarter of an hour: medians of the last 15 and 120 minutes, and whether they differ by over 15 km/h.
 
-    Each row is dealt to the quarters whose trailing window holds it, so both medians
-    come from one aggregate.
+    Each quarter's speeds become one sketch, and the sketches of the last quarters are merged
+    (see ``rollups.quantile_states`` for their error). With ``exact`` each row is dealt to the
+    quarters whose trailing window holds it and the medians are exact.
     """
-    step = short_min * 60
-    k = F.floor(F.unix_seconds("ts") / step)
-    rows = metrics.filter("speed is not null").select("fiber_id", k.alias("k"), "speed").withColumn("at", F.explode(F.sequence(F.col("k"), F.col("k") + long_min // short_min - 1)))
-    m = rows.groupBy("fiber_id", "at").agg(F.median(F.when(F.col("at") == F.col("k"), F.col("speed"))).alias("short"), F.median("speed").alias("long"))
+    step, n = short_min * 60, long_min // short_min
+    rows = metrics.filter("speed is not null").select("fiber_id", F.floor(F.unix_seconds("ts") / step).alias("k"), "speed")
+    if exact:
+        rows = rows.withColumn("at", F.explode(F.sequence(F.col("k"), F.col("k") + n - 1)))
+        m = rows.groupBy("fiber_id", "at").agg(F.median(F.when(F.col("at") == F.col("k"), F.col("speed"))).alias("short"), F.median("speed").alias("long"))
+    else:
+        quarters = quantile_states(rows, ["fiber_id", "k"], "speed", k)
+        # sketches, not rows, are dealt to the windows
+        dealt = quarters.withColumn("at", F.explode(F.sequence(F.col("k"), F.col("k") + n - 1)))
+        own = F.max(F.when(F.col("at") == F.col("k"), F.col("sketch")))
+        m = dealt.groupBy("fiber_id", "at").agg(own.alias("own"), F.kll_merge_agg_double("sketch", k).alias("all"))
+        m = m.filter("own is not null").select("fiber_id", "at", quantile_of("own", 0.5).alias("short"), quantile_of("all", 0.5).alias("long"))
     m = m.filter("short is not null")
     return m.select("fiber_id", ((F.col("at") + 1) * step).alias("sec"), "short", "long", ((F.abs(F.col("short") - F.col("long")) > most) & (F.col("short") > 10) & (F.col("long") > 10)).alias("shifted"))
 
 
-def stage_percentiles(timings: DataFrame) -> DataFrame:
-    return timings.groupBy("fiber_id", "stage").agg(F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.95).alias("p95"), F.count(F.lit(1)).alias("n"))
+def stage_percentiles(timings: DataFrame, exact: bool = False, k: int = 800) -> DataFrame:
+    """Medians and 95th percentiles of each stage's times, from sketches unless ``exact``."""
+    n = F.count(F.lit(1)).alias("n")
+    if exact:
+        return timings.groupBy("fiber_id", "stage").agg(F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.95).alias("p95"), n)
+    s = timings.groupBy("fiber_id", "stage").agg(F.kll_sketch_agg_double(F.when(~F.isnan("ms"), F.col("ms").cast("double")), k).alias("sketch"), n)
+    return s.select("fiber_id", "stage", quantile_of("sketch", 0.5).alias("p50"), quantile_of("sketch", 0.95).alias("p95"), "n")
 
 
 def dlq_stats(dlq: DataFrame) -> DataFrame:

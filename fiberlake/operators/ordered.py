@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,13 +48,44 @@ def ema(df: DataFrame, key: list[str], order: str, alpha: float, init: float | N
     return fold_sorted(df, key, [order, value], fold, _schema(df) + ", ema double")
 
 
-def delay_estimate(df: DataFrame, n: int = 50, margin_ms: float = 15_000.0, by: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
+def trailing(df: DataFrame, key: list[str], order: list[str], cell: Column, n: int, new: Callable, block: int = 20_000) -> DataFrame:
+    """``df`` with the columns of ``new(frame, rank)``, whose frame is each row and the n - 1 before it in its key.
+
+    A key's rows are not one task. ``cell`` grows with the order (a range of time): rows are
+    numbered within cells and, by running sums of the cells' counts, within the key. Blocks
+    of ``block`` rows then each get the last n - 1 rows of the block before, as a halo that
+    goes again after the frames are computed. ``rank`` counts a key's rows from 0. Rows with
+    equal keys and order follow each other in any order; nulls are lowest and keys of their own.
+    """
+    block = max(block, n)
+    rows = df.withColumn("_cell", cell)
+    before = F.sum("_m").over(W.partitionBy(*key).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
+    cells = rows.groupBy(*key, "_cell").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    names = [*key, "_cell"]
+    cells = cells.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_before")
+    place = F.row_number().over(W.partitionBy(*names).orderBy(*order)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
+    rows = rows.withColumn("_place", place).join(cells, same).withColumn("_rank", F.col("_before") + F.col("_place"))
+    at = lambda by, halo: F.struct((F.floor(F.col("_rank") / block) + by).alias("block"), F.lit(halo).alias("halo"))
+    near = F.col("_rank") % block >= block - (n - 1)
+    rows = rows.withColumn("_in", F.explode(F.when(near, F.array(at(0, False), at(1, True))).otherwise(F.array(at(0, False)))))
+    rows = rows.withColumn("_block", F.col("_in.block")).withColumn("_halo", F.col("_in.halo"))
+    frame = W.partitionBy(*key, "_block").orderBy("_rank").rowsBetween(-(n - 1), 0)
+    made = new(frame, F.col("_rank"))
+    own = [c for c in df.columns if c not in made]
+    return rows.select(*[F.col(f"`{c}`") for c in own], *[c.alias(name) for name, c in made.items()], "_halo").filter("not _halo").drop("_halo")
+
+
+def delay_estimate(df: DataFrame, n: int = 50, margin_ms: float = 15_000.0, by: tuple[str, ...] = ("fiber_id",), cell_ms: int = 600_000) -> DataFrame:
     """``delay_ms``: the 90th percentile (index int(0.9 n)) of the last n delays plus a margin; negative delays do not count."""
-    w = W.partitionBy(*by).orderBy("arrival_ms", "ts_ms").rowsBetween(-(n - 1), 0)
     rows = df.withColumn("_d", F.col("arrival_ms") - F.col("ts_ms")).filter("_d >= 0")
-    s = F.sort_array(F.collect_list("_d").over(w))
-    k = F.least(F.floor(F.size(s) * 0.9), F.size(s) - 1).cast("int")
-    return rows.withColumn("delay_ms", F.get(s, k) + margin_ms).drop("_d")
+
+    def new(frame, _):
+        s = F.sort_array(F.collect_list("_d").over(frame))
+        k = F.least(F.floor(F.size(s) * 0.9), F.size(s) - 1).cast("int")
+        return {"delay_ms": F.get(s, k) + margin_ms}
+
+    return trailing(rows, list(by), ["arrival_ms", "ts_ms"], F.floor(F.col("arrival_ms") / cell_ms), n, new).drop("_d")
 
 
 def release_schedule(det: DataFrame, batch_ms: int = 100) -> DataFrame:
@@ -63,10 +95,16 @@ def release_schedule(det: DataFrame, batch_ms: int = 100) -> DataFrame:
     return rows.withColumn("release_ms", (F.ceil(at / batch_ms) * batch_ms).cast("bigint"))
 
 
-def smooth_counts(df: DataFrame, key: list[str], order: str, n: int = 5) -> DataFrame:
-    """Middle element of the last n sorted counts."""
-    s = F.sort_array(F.collect_list("vehicle_count").over(W.partitionBy(*key).orderBy(order).rowsBetween(-(n - 1), 0)))
-    return df.withColumn("smooth", F.get(s, F.floor(F.size(s) / 2).cast("int")))
+def smooth_counts(df: DataFrame, key: list[str], order: str, n: int = 5, cell: Column | None = None) -> DataFrame:
+    """Middle element of the last n sorted counts; with a ``cell`` (see ``trailing``) a key is not one task."""
+
+    def new(frame, _=None):
+        s = F.sort_array(F.collect_list("vehicle_count").over(frame))
+        return {"smooth": F.get(s, F.floor(F.size(s) / 2).cast("int"))}
+
+    if cell is not None:
+        return trailing(df, key, [order], cell, n, new)
+    return df.withColumns(new(W.partitionBy(*key).orderBy(order).rowsBetween(-(n - 1), 0)))
 
 
 # tracks -----------------------------------------------------------------------

@@ -64,6 +64,36 @@ def finalize(tier: DataFrame, by: list[str | Column]) -> DataFrame:
     return m.select(*names, (F.col("speed_sum") / F.nullif("speed_n", F.lit(0))).alias("speed_avg"), "speed_min", "speed_max", F.col("count_sum").alias("vehicles"), F.col("cars_sum").alias("cars"), F.col("trucks_sum").alias("trucks"), "samples")
 
 
+def quantile_states(df: DataFrame, keys: list[str | Column], value: str = "speed", k: int = 800) -> DataFrame:
+    """A quantile sketch of each key's values as column ``sketch``, which merges as the other states do.
+
+    Its size is bounded by ``k`` (some kB), whatever the number of rows; a quantile's rank is off
+    by about 2.3 / k of the rows, and exact up to ``k`` rows. Nulls and NaN do not count.
+    """
+    x = F.col(value).cast("double")
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.when(~F.isnan(x), x), k).alias("sketch"))
+
+
+def merge_quantiles(tier: DataFrame, keys: list[str | Column], k: int = 800) -> DataFrame:
+    """Sketches of sketches: hours of minutes, ranges of hours."""
+    return tier.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def quantile_of(sketch: str, p: float) -> Column:
+    """The quantile of a sketch, null if it holds no value."""
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(float(p))))
+
+
+def quantiles_1m(hires: DataFrame, keys: tuple[str, ...] = ("fiber_id", "direction"), k: int = 800) -> DataFrame:
+    """The minute tier of speed sketches."""
+    return quantile_states(hires.withColumn("ts", F.date_trunc("minute", "ts")), [*keys, "ts"], "speed", k)
+
+
+def quantiles_1h(tier_1m: DataFrame, keys: tuple[str, ...] = ("fiber_id", "direction"), k: int = 800) -> DataFrame:
+    """The hour tier, from the minute tier."""
+    return merge_quantiles(tier_1m.withColumn("ts", F.date_trunc("hour", "ts")), [*keys, "ts"], k)
+
+
 def two_level_rollup(det: DataFrame) -> DataFrame:
     """Per minute: mean of the second means, maximum, sum."""
     sec = det.groupBy("fiber_id", "ch", "direction", F.date_trunc("second", "ts").alias("s")).agg(F.avg("speed").alias("a"), F.max("speed").alias("m"), F.sum("vehicle_count").alias("n"))

@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import kernels
 from .ordered import fold_sorted
+from .rollups import quantile_of, quantile_states
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -427,18 +429,74 @@ def waterfall(sig: DataFrame, gauge: float, bin_ch: int = 1, bin_t: int = 1) ->
     return rows.join(F.broadcast(spread), "fiber_id").withColumn("km", F.col("d") * bin_ch * gauge / 1000)
 
 
-def waterfall_marks(det: DataFrame, gauge: float) -> DataFrame:
-    """Detections on the grid, with the speed scale from the 2nd to the 98th percentile."""
-    p = det.groupBy("fiber_id").agg(F.percentile("speed", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    rows = det.join(F.broadcast(p), "fiber_id")
+def waterfall_marks(det: DataFrame, gauge: float, exact: bool = False, k: int = 800) -> DataFrame:
+    """Detections on the grid, with the speed scale from the 2nd to the 98th percentile, of sketches unless ``exact``."""
+    if exact:
+        p = det.groupBy("fiber_id").agg(F.percentile("speed", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
+    else:
+        p = quantile_states(det, ["fiber_id"], "speed", k).select("fiber_id", F.array(quantile_of("sketch", 0.02), quantile_of("sketch", 0.98)).alias("p"))
+    rows = det.join(p, "fiber_id")
     return rows.withColumn("km", F.col("ch") * gauge / 1000).withColumn("colour", F.greatest(F.get("p", F.lit(0)), F.least(F.get("p", F.lit(1)), F.col("speed")))).drop("p")
 
 
-def map_records(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """Per-record transform: ``fn`` takes and gives iterators of pandas batches."""
-    return df.mapInPandas(fn, schema)
+def map_records(df: DataFrame, fn: Callable, schema: str, tag_errors: bool = False) -> DataFrame:
+    """Per-record transform, one to one or one to many: ``fn`` takes and gives iterators of pandas batches.
 
+    With ``tag_errors`` a record that makes ``fn`` fail does not end the job: batches that fail
+    are halved until the record stands alone, which then is one row of nulls with ``_error``
+    (what was raised) and ``_record`` (the record as JSON); ``fn`` must treat records one by one.
+    """
+    if not tag_errors:
+        return df.mapInPandas(fn, schema)
+
+    def told(pdf):
+        try:
+            yield from [x.assign(_error=None, _record=None) for x in fn(iter([pdf]))]
+        except Exception as e:  # noqa: BLE001 what a record's transform raises is its own affair
+            if len(pdf) > 1:
+                yield from told(pdf.iloc[: len(pdf) // 2].reset_index(drop=True))
+                yield from told(pdf.iloc[len(pdf) // 2 :].reset_index(drop=True))
+            elif len(pdf):
+                yield pd.DataFrame({"_error": [f"{type(e).__name__}: {e}"[:1000]], "_record": [pdf.to_json(orient="records", lines=True, date_format="iso").strip()]})
+
+    def run(batches):
+        for pdf in batches:
+            for out in told(pdf):
+                yield out.reindex(columns=names)
+
+    out = StructType.fromDDL(f"{schema}, _error string, _record string")
+    names = out.names
+    return df.mapInPandas(run, out)
+
+
+def map_windows(df: DataFrame, key: list[str], fn: Callable, schema: str, order: list[str] | None = None) -> DataFrame:
+    """Per-window transform, many to many: ``fn`` takes and gives a pandas frame for each key, its rows by ``order``.
+
+    Rows are sorted by Spark and a task reads them as a stream, so it holds one window and
+    one batch at a time, however many windows it has. Nulls in the key are a key of their own.
+    """
 
-def map_windows(df: DataFrame, key: list[str], fn: Callable, schema: str) -> DataFrame:
-    """Per-window transform: ``fn`` takes and gives a pandas frame for each key."""
-    return df.groupBy(*key).applyInPandas(fn, schema)
+    def run(batches):
+        held, now = [], None
+
+        def whole():
+            return pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[key]
+            before = keys.shift()
+            cuts = np.flatnonzero(((keys != before) & ~(keys.isna() & before.isna())).any(axis=1).to_numpy()[1:]) + 1
+            for part in np.split(np.arange(len(pdf)), cuts):
+                part = pdf.iloc[part]
+                mine = tuple(None if pd.isna(x) else x for x in part[key].iloc[0])
+                if held and mine != now:
+                    yield fn(whole())
+                    held = []
+                now = mine
+                held.append(part)
+        if held:
+            yield fn(whole())
+
+    return df.repartition(*key).sortWithinPartitions(*key, *(order or [])).mapInPandas(run, schema)

@@ -624,7 +624,7 @@ def _(v):
 
 @query("waterfall_marks", "SELECT seq, ch * 15.3846::DOUBLE / 1000 AS km, greatest(lo, least(hi, speed)) AS colour FROM detections_dense JOIN (SELECT fiber_id, quantile_cont(speed, 0.02) AS lo, quantile_cont(speed, 0.98) AS hi FROM detections_dense GROUP BY ALL) USING (fiber_id)")
 def _(v):
-    return signals.waterfall_marks(v.detections_dense(), 15.3846).select("seq", "km", "colour")
+    return signals.waterfall_marks(v.detections_dense(), 15.3846, exact=True).select("seq", "km", "colour")
 
 
 # detection -------------------------------------------------------------------------
@@ -1007,6 +1007,19 @@ def _(v):
     return monitors.rate_monitor(v.detections_dense(), lit_us(T0_US), lit_us(T0_US + 7_200_000_000), 10, F.col("speed") > 200)
 
 
+@query("tier_quantiles", "SELECT fiber_id, direction, epoch_us(date_trunc('hour', ts)) AS us, count(*) AS n, true AS p05, true AS p50, true AS p95 FROM detections_dense GROUP BY ALL")
+def _(v):
+    """Hours of sketches, merged from minutes, against the ranks of all rows: off by 2 % at most."""
+    det, keys = v.detections_dense(), ["fiber_id", "direction", "ts"]
+    tier = rollups.quantiles_1h(rollups.quantiles_1m(det))
+    ps = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    q = tier.select(*keys, *[rollups.quantile_of("sketch", p).alias(f"q{c}") for c, p in ps.items()])
+    rows = det.select("fiber_id", "direction", F.date_trunc("hour", "ts").alias("ts"), "speed").join(q, keys)
+    share = lambda on: F.count_if(on) / F.count("speed")
+    near = [((share(F.col("speed") < F.col(f"q{c}")) <= p + 0.02) & (share(F.col("speed") <= F.col(f"q{c}")) >= p - 0.02)).alias(c) for c, p in ps.items()]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *near).select("fiber_id", "direction", F.unix_micros("ts").alias("us"), "n", *ps)
+
+
 @query("quality_vs_yesterday", "WITH h AS (SELECT fiber_id, us // 3600000000 AS hour, median(glrt_max) AS m FROM detections GROUP BY ALL) SELECT a.fiber_id, a.hour, a.m, b.m AS m_before, a.m > 0 AND b.m > 0 AND a.m < 0.2 * b.m AS degraded FROM h a JOIN h b ON a.fiber_id = b.fiber_id AND a.hour = b.hour + 24")
 def _(v):
     return monitors.quality_vs_yesterday(v.detections())
@@ -1014,12 +1027,12 @@ def _(v):
 
 @query("speed_shift", "WITH r AS (SELECT fiber_id, us // 900000000 AS k, speed FROM detections), x AS (SELECT fiber_id, k, k + j AS q, speed FROM r, range(8) t(j)), m AS (SELECT fiber_id, q, median(speed) FILTER (q = k) AS short, median(speed) AS long FROM x GROUP BY ALL) SELECT fiber_id, (q + 1) * 900 AS sec, short, long, abs(short - long) > 15 AND short > 10 AND long > 10 AS shifted FROM m WHERE short IS NOT NULL")
 def _(v):
-    return monitors.speed_shift(v.detections())
+    return monitors.speed_shift(v.detections(), exact=True)
 
 
 @query("stage_percentiles", "SELECT fiber_id, 'd' || direction AS stage, quantile_cont(speed, 0.5) AS p50, quantile_cont(speed, 0.95) AS p95, count(*) AS n FROM detections GROUP BY ALL")
 def _(v):
-    return monitors.stage_percentiles(v.detections().select("fiber_id", F.concat(F.lit("d"), F.col("direction").cast("string")).alias("stage"), F.col("speed").alias("ms")))
+    return monitors.stage_percentiles(v.detections().select("fiber_id", F.concat(F.lit("d"), F.col("direction").cast("string")).alias("stage"), F.col("speed").alias("ms")), exact=True)
 
 
 @query("report", """WITH d AS (SELECT * FROM detections WHERE fiber_id IN ('click', 'view') AND ts BETWEEN '2024-01-10' AND '2024-01-20'), s AS (SELECT fiber_id, direction, round_even(avg(abs(speed)), 1) AS a, round_even(min(abs(speed)), 1) AS b, round_even(max(abs(speed)), 1) AS c, count(*)::DOUBLE AS n FROM d GROUP BY ALL), h AS (SELECT fiber_id, direction, epoch_ms(date_trunc('hour', ts)) AS h, sum(vehicle_count)::DOUBLE AS v, count(*)::DOUBLE AS n FROM d GROUP BY ALL)
@@ -1040,6 +1053,18 @@ def _(v):
     return signals.map_records(v.detections().select("seq", "speed"), twice, "seq bigint, speed double")
 
 
+@query("map_records_tagged", "SELECT CASE WHEN seq % 5000 <> 0 THEN seq END AS seq, CASE WHEN seq % 5000 <> 0 THEN speed * 2 END AS speed, CASE WHEN seq % 5000 = 0 THEN 'ValueError: bad record' END AS error, CASE WHEN seq % 5000 = 0 THEN seq END AS of FROM detections")
+def _(v):
+    def twice(batches):
+        for pdf in batches:
+            if (pdf["seq"] % 5000 == 0).any():
+                raise ValueError("bad record")
+            yield pdf.assign(speed=pdf["speed"] * 2)
+
+    rows = signals.map_records(v.detections().select("seq", "speed"), twice, "seq bigint, speed double", tag_errors=True)
+    return rows.select("seq", "speed", F.col("_error").alias("error"), S.json_in(F.col("_record"), "seq bigint")["seq"].alias("of"))
+
+
 @query("map_windows", 'SELECT fiber_id, "window", pos, t, round_even(v - avg(v) OVER (PARTITION BY fiber_id, "window"), 9) AS v FROM win')
 def _(v):
     w = v.windows()
