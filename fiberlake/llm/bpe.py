@@ -139,3 +139,8 @@ def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
+
+
+def forget(path: str) -> None:
+    """Frees this process's encoder, some 60 MB with its words, which an idle worker would keep."""
+    _encoders.pop(path, None)

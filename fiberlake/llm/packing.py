@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import default_path, encoder
+from .bpe import default_path, encoder, forget
 from .bytescan import pieces as slices
 from .bytescan import released
 from .common import rank_within, settle
@@ -52,6 +52,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path:
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 n = 6 if with_ids else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds)], names=names[:n])
+        forget(path)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(cut), schema)

@@ -109,6 +109,8 @@ def test_regression_is_fitted_out_of_fold():
     feats, row, chain = toxicity.read_words(pa.array(texts[400:], pa.large_string()))[4:]
     score = model.score(*toxicity.per_row(toxicity.marginals(model.emission(feats), chain, model.pair), row, 200))
     assert (score >= 0.5).mean() <= 0.05
+    flattered = toxicity.fit(texts[:400], toxic[:400], ratio=3.0, folds=1)  # marginals of the texts that the field was fitted on
+    assert (flattered.weight == model.weight).all() and model.doc[1] < 0.5 < 1.0 < flattered.doc[1]
     again = toxicity.fit(texts[:400], toxic[:400], ratio=3.0)
     assert (again.doc == model.doc).all() and (again.weight == model.weight).all()
 
