@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from .signals import dense_channels, explode_windows, no_nan, spatial_windows
+from .signals import dense_channels, explode_windows, no_nan
 
 KEYS = ("fiber_id", "window")
 
@@ -69,7 +69,11 @@ def channel_shifts(shifts: DataFrame, nch: int = 9, keys: tuple[str, ...] = KEYS
 def align_shift(win: DataFrame, shifts: DataFrame, nch: int = 9, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Windows with each channel moved by its shift, by linear interpolation held at the ends."""
     ch = win.groupBy(*keys, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("x"))
-    rows = ch.join(channel_shifts(shifts, nch, keys), [*keys, "pos"])
+    return _moved(ch.join(channel_shifts(shifts, nch, keys), [*keys, "pos"]), keys)
+
+
+def _moved(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, pos, t, v) of channels ``rows(keys, pos, x, shift)``, each moved by its shift."""
     n = F.size("x")
 
     def moved(t):
@@ -81,6 +85,43 @@ def align_shift(win: DataFrame, shifts: DataFrame, nch: int = 9, keys: tuple[str
     return rows.select(*keys, "pos", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), moved)).alias("t", "v"))
 
 
+def _channels(sig: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, _i, _n, x): each channel's samples in order, gathered once; see ``dense_channels``."""
+    rows = sig.join(dense_channels(sig, by), [*by, "ch"]).groupBy(*by, "_i", "_n")
+    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("t_idx", "v"))), lambda x: x["v"]).alias("x"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _lag(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([float(-kernels.best_lag(np.asarray(x, float), np.asarray(y, float), m)) for x, y, m in zip(a, b, most)], dtype=float)
+
+
+def pair_lags(sig: DataFrame, max_lag: int, nch: int = 9, step: int = 1, by: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
+    """(by, window, pair, n, shift): ``pair_shift`` of all windows of a signal, one row a pair of ``n`` samples.
+
+    A shift is a pair's own, so it is computed once and then dealt to the overlapping windows
+    that hold both channels. ``over_time`` gives a row for each sample.
+    """
+    # a channel goes to its pair with the next channel and to that with the one before
+    ends = F.array(F.struct(F.col("_i").alias("pair"), F.lit(0).alias("side")), F.struct((F.col("_i") - 1).alias("pair"), F.lit(1).alias("side")))
+    two = _channels(sig, by).select(*by, "_n", "x", F.inline(ends)).groupBy(*by, "_n", "pair").agg(F.sort_array(F.collect_list(F.struct("side", "x"))).alias("s"))
+    two = two.filter(F.size("s") == 2).select(*by, "_n", "pair", F.col("s")[0]["x"].alias("a"), F.col("s")[1]["x"].alias("b"))
+    lags = two.select(*by, "_n", F.col("pair").alias("_i"), F.size("a").alias("n"), _lag("a", "b", F.lit(max_lag)).alias("shift"))
+    return explode_windows(lags, F.col("_i"), nch - 1, step, F.col("_n") - 1, pos="pair").select(*by, "window", "pair", "n", "shift")
+
+
+def over_time(lags: DataFrame) -> DataFrame:
+    """A row of ``pair_lags`` for each sample ``t``."""
+    return lags.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+
+def align_windows(sig: DataFrame, shifts: DataFrame, nch: int = 9, step: int = 1, by: tuple[str, ...] = ("fiber_id",)) -> DataFrame:
+    """``align_shift`` of all windows of a signal: channels are gathered once and dealt to windows as arrays."""
+    keys = (*by, "window")
+    ch = explode_windows(_channels(sig, by), F.col("_i"), nch, step, F.col("_n")).select(*keys, "pos", "x")
+    return _moved(ch.join(channel_shifts(shifts, nch, keys), [*keys, "pos"]), keys)
+
+
 def pair_speed(shifts: DataFrame, fs: float, gauge: float) -> DataFrame:
     """km/h of each pair and time from the displacement in samples."""
     return shifts.withColumn("speed", F.abs(F.lit(3.6 * fs * gauge) / (F.col("shift") + 1e-8)))
@@ -255,11 +296,10 @@ def detect_windows(win: DataFrame, fs: float, gauge: float, corr: float, nch: in
     """
     by = ("fiber_id", "section", "t_window")
     keys, rows = (*by, "window"), win.select(*by, "ch", F.col("t").alias("t_idx"), "v")
-    groups = spatial_windows(rows, nch, step, by).select(*keys, "pos", F.col("t_idx").alias("t"), "v")
-    shifts = pair_shift(groups, max_lag, keys)
-    aligned = align_shift(groups, shifts, nch, keys)
+    lags = pair_lags(rows, max_lag, nch, step, by)
+    aligned = align_windows(rows, lags, nch, step, by)
     g = glrt_sum(glrt(aligned, keys=keys), keys)
-    out = extract_detections(g, pair_speed(shifts, fs, gauge), aligned, fs, corr, nch, lo, hi, truck, keys)
+    out = extract_detections(g, pair_speed(over_time(lags), fs, gauge), aligned, fs, corr, nch, lo, hi, truck, keys)
     trim = max((size - hop) // 2, 15)
     out = map_channel(out.filter(F.col("t_mid").between(trim, size - trim - 1)), start, step)
     return out.withColumn("t_idx", (F.col("t_window") * hop + F.col("t_mid")).cast("long"))

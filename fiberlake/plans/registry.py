@@ -716,8 +716,8 @@ al AS (SELECT moved.fiber_id, w::INT AS "window", (moved.i - w * 3)::INT AS pos,
 
 @query("align_shift", f'WITH {_aligned_sql(5)} SELECT fiber_id, "window", pos, t, round_even(v, 9) AS v FROM al')
 def _(v):
-    w = v.windows()
-    return detection.align_shift(w, detection.pair_shift(w, 5)).withColumn("v", F.bround("v", 9))
+    s = v.signal()
+    return detection.align_windows(s, detection.pair_lags(s, 5, 9, 3), 9, 3).withColumn("v", F.bround("v", 9))
 
 
 @query("extract_detections", f"""WITH {_aligned_sql(3)}, ivs AS (SELECT fiber_id, "window", start_idx, end_idx, 0.05::DOUBLE AS detect, 0.1::DOUBLE AS classify FROM iv WHERE end_idx - start_idx >= 3), {_PEAKS},
@@ -726,10 +726,10 @@ st AS (SELECT fiber_id, "window", start_idx, avg(p) AS strain_peak, avg(r) AS st
 SELECT fiber_id, "window", start_idx, end_idx, ((start_idx + end_idx) // 2)::BIGINT AS t_mid, round_even(speed, 6) AS speed, round_even(glrt_max, 9) AS glrt_max, greatest(1, n)::DOUBLE AS vehicle_count, cars::DOUBLE AS n_cars, trucks::DOUBLE AS n_trucks, round_even(strain_peak, 9) AS strain_peak, round_even(strain_rms, 9) AS strain_rms, ("window" * 3)::INT AS ch
 FROM counted JOIN sp USING (fiber_id, "window") JOIN st USING (fiber_id, "window", start_idx) WHERE speed BETWEEN 20 AND 120""")
 def _(v):
-    w, g = v.windows(), detection.glrt_windows(v.signal(), 9, 3)
-    shifts = detection.pair_shift(w, 3)
-    aligned = detection.align_shift(w, shifts)
-    s = detection.pair_speed(shifts.withColumn("shift", F.abs("shift") + 6), 10.4167, 15.3846)
+    s, g = v.signal(), detection.glrt_windows(v.signal(), 9, 3)
+    lags = detection.pair_lags(s, 3, 9, 3)
+    aligned = detection.align_windows(s, lags, 9, 3)
+    s = detection.pair_speed(detection.over_time(lags).withColumn("shift", F.abs("shift") + 6), 10.4167, 15.3846)
     out = detection.map_channel(detection.extract_detections(detection.glrt_sum(g), s, aligned, 10.4167, 0.05 / 8), 0, 3)
     ints, rounded = ("start_idx", "end_idx"), {"speed": 6, "glrt_max": 9, "strain_peak": 9, "strain_rms": 9}
     return out.select(*[F.col(c).cast("int").alias(c) if c in ints else F.bround(c, rounded[c]).alias(c) if c in rounded else c for c in out.columns])

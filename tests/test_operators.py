@@ -202,6 +202,18 @@ def test_alignment_undoes_a_shift(spark):
     assert np.abs(a[:, 20:80] - a[4, 20:80]).max() < 1e-9
 
 
+@pytest.mark.parametrize("nch,step", [(4, 1), (5, 3), (12, 1), (13, 1)])
+def test_shifts_once_a_pair_are_those_of_the_windows(spark, nch, step):
+    x = np.cumsum(np.random.default_rng(8).normal(size=(12, 40)), 1)
+    s = sig(spark, x)
+    w = signals.spatial_windows(s, nch, step).select("fiber_id", "window", "pos", F.col("t_idx").cast("int").alias("t"), "v")
+    shifts, lags = detection.pair_shift(w, 6), detection.pair_lags(s, 6, nch, step)
+    told = lambda df, *c: sorted(tuple(round(r[k], 9) if isinstance(r[k], float) else r[k] for k in ("fiber_id", "window", *c)) for r in df.collect())
+    assert told(detection.over_time(lags), "pair", "t", "shift") == told(shifts, "pair", "t", "shift")
+    assert told(detection.align_windows(s, lags, nch, step), "pos", "t", "v") == told(detection.align_shift(w, shifts, nch), "pos", "t", "v")
+    assert (lags.count() > 0) == (nch <= 12)
+
+
 def test_glrt_margins_and_box(spark):
     x = np.random.default_rng(7).normal(size=(3, 64))
     g = grid(detection.glrt(win(spark, x)), "pair", "t", "g")
