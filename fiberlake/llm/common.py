@@ -58,15 +58,27 @@ def rank_within(df: DataFrame, key: str, order: list[str], rank: str, per: int =
     ``key`` must have few values, whatever the number of rows (a ring arc, a length
     up to a capacity). A key with many rows is dealt over several salts, so no task
     gets all rows of a hot key: the rank is the offset of the salt plus the place
-    within the salt.
+    within the salt. Rows that are equal in all columns are counted before that, take
+    part as one row and become several again at the end, without a sort.
     """
-    salts = df.groupBy(key).agg((F.floor((F.count(F.lit(1)) - 1) / per) + 1).alias("_salts"))
-    salted = df.join(F.broadcast(salts), key).withColumn("_salt", F.pmod(F.xxhash64(*order), "_salts"))
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    salts = rows.groupBy(key).agg((F.floor((F.count(F.lit(1)) - 1) / per) + 1).alias("_salts"))
+    salted = rows.join(F.broadcast(salts), key).withColumn("_salt", F.pmod(F.xxhash64(*order), "_salts"))
     before = W.partitionBy(key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
-    sizes = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = salted.groupBy(key, "_salt").agg(F.sum("_copies").alias("_n"))
     offsets = sizes.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy(key, "_salt").orderBy(*order)) - 1
-    return salted.join(offsets, [key, "_salt"]).withColumn(rank, F.col("_before") + place).drop("_salts", "_salt", "_before")
+    within = W.partitionBy(key, "_salt").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranked = salted.withColumn("_place", F.coalesce(F.sum("_copies").over(within), F.lit(0))).join(offsets, [key, "_salt"])
+    ranked = ranked.withColumn("_first", F.col("_before") + F.col("_place"))
+    # in parts, so that no array follows the number of copies
+    part = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(_PART)))
+    ranked = ranked.select(*df.columns, "_first", "_copies", part.alias("_part"))
+    each = F.explode(F.sequence(F.col("_part"), F.least(F.col("_part") + (_PART - 1), F.col("_copies") - 1)))
+    return ranked.select(*df.columns, "_first", each.alias("_copy")).select(*df.columns, (F.col("_first") + F.col("_copy")).alias(rank))
+
+
+#: Copies of a row that are written from one array.
+_PART = 4096
 
 
 _BUCKETS = 2048

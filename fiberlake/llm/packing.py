@@ -13,7 +13,7 @@ hot lengths are dealt over many tasks.
 
 Nulls: a null text is an empty one, whose only token is the end id. A null id is kept.
 Repeated rows are documents of their own; pieces that are equal in id, place, length and
-checksum are numbered in one task. Columns of other names are not looked at. An empty
+checksum are counted before they are numbered. Columns of other names are not looked at. An empty
 table gives no rows.
 """
 

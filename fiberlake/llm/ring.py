@@ -13,8 +13,8 @@ number of rows, and gives each arc's ranks as ranges to shards.
 Nulls: a null id is a key like any other; a null text has no bytes. Equal texts are keys
 of their own, so a group of copies is spread over the ring by its ids. Repeated rows are
 keys of their own too, ordered by id, size and checksum; rows that are equal in all three
-are numbered in one task. Columns of other names are not looked at. An empty table gives
-no rows.
+are counted before they are numbered. Columns of other names are not looked at. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -59,12 +59,59 @@ def test_a_text_that_does_not_fit_is_passed_over(spark):
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
 
 
+def read_by_hand(data):
+    """Samples of a grey 8-bit picture, by the definition of the format: a byte at a time."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, body, kinds = 8, b"", []
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        part = data[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            w, h = int.from_bytes(part[:4], "big"), int.from_bytes(part[4:8], "big")
+            assert part[8:] == bytes([8, 0, 0, 0, 0])
+        body += part if kind == b"IDAT" else b""
+        kinds.append(kind)
+        at += 12 + n
+    assert at == len(data) and kinds[0] == b"IHDR" and kinds[-1] == b"IEND"
+    raw, above, out = zlib.decompress(body), bytes(w), []
+    assert len(raw) == h * (w + 1)
+    for y in range(h):
+        f, row = raw[y * (w + 1)], bytearray(raw[y * (w + 1) + 1 : (y + 1) * (w + 1)])
+        assert f in (0, 1, 2)
+        for x in range(w):
+            row[x] = (row[x] + (0 if f == 0 else above[x] if f == 2 else row[x - 1] if x else 0)) & 255
+        above = bytes(row)
+        out.append(above)
+    return b"".join(out), w, h
+
+
 def test_media_columns(spark, sf, documents):
+    stored = {r.doc_id: bytes(r.media) for r in media.to_media(table(spark, sf, "documents")).collect()}
     got = {r.doc_id: r for r in queries.op3_media(spark, sf).collect()}
-    for r in documents[:100]:
-        raw = (r.text or "").encode()
-        p = media.payload(raw)
-        assert (got[r.doc_id].n_bytes, got[r.doc_id].payload_bytes, got[r.doc_id].payload_sha256, got[r.doc_id].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert sorted(got) == sorted(r.doc_id for r in documents)
+    for r in documents:
+        raw, m = (r.text or "").encode(), stored[r.doc_id]
+        p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        samples, w, h = read_by_hand(m)
+        assert samples == p and w == 64
+        x = got[r.doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (x.media_bytes, x.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+
+
+def test_media_feature_is_the_cosine_transform(spark, sf, documents):
+    got = {r.doc_id: r.feature for r in queries.op3_media(spark, sf).collect()}
+    cos = lambda n: np.cos(np.pi / n * np.outer(np.arange(8), np.arange(n) + 0.5))
+    near = 0
+    for r in documents:
+        x = np.frombuffer(media.payload((r.text or "").encode()), np.uint8).reshape(-1, 64).astype(float)
+        c = np.rint((cos(len(x)) @ x @ cos(64).T) * 16 / len(x)).ravel()
+        want = np.packbits(c > np.median(c[1:])).tobytes().hex()
+        off = bin(int(want, 16) ^ int(got[r.doc_id], 16)).count("1")
+        assert off <= 4  # of 64: single precision may round a coefficient at the median the other way
+        near += off == 0
+    assert near >= 0.95 * len(documents)
 
 
 def test_sharding_law_and_ring(spark, sf, documents):
@@ -128,6 +175,7 @@ def test_packing_holds_every_token_once(spark, sf, documents):
     ids: dict = {}
     for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
         ids.setdefault(r.doc_id, []).append(r)
-    for d in documents[:150]:
+    assert sorted(ids) == sorted(d.doc_id for d in documents)
+    for d in documents:
         want = np.array([*tok.encode(d.text or "", add_special_tokens=False).ids, 0], "<u4")
         assert [(r.start, r.length, r.ids_crc32) for r in ids[d.doc_id]] == [(i, len(want[i : i + 2048]), zlib.crc32(want[i : i + 2048].tobytes())) for i in range(0, len(want), 2048)]

@@ -27,6 +27,21 @@ def test_rank_within(spark):
     assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 3000
 
 
+def test_rank_within_of_equal_rows(spark):
+    """Copies beyond a part, nulls too; ranks of a key have no gap and copies stand together."""
+    rows = [("a", 1), ("a", None), ("b", 2)]
+    df = spark.createDataFrame(rows, "k string, id bigint").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9000)))).drop("n")
+    df = df.unionByName(spark.range(100, 700).select(F.lit("a").alias("k"), "id"))
+    got = collections.defaultdict(list)
+    for r in rank_within(df, "k", ["id"], "r", per=100).collect():
+        got[r.k].append((r.r, r.id))
+    assert {k: sorted(r for r, _ in v) for k, v in got.items()} == {"a": list(range(18_600)), "b": list(range(9000))}
+    for id_ in (1, None):
+        at = sorted(r for r, i in got["a"] if i == id_)
+        assert at == list(range(at[0], at[0] + 9000))
+    assert rank_within(df.limit(0), "k", ["id"], "r").count() == 0
+
+
 def test_ring_law_rows(spark, odd_docs, no_docs):
     df = spark.range(1001).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     rows = ring.assign(df, shards=24).collect()
