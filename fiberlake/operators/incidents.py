@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -106,8 +109,12 @@ class Anomalies:
     The tick is the time between consecutive events, at most a second. A point whose
     mean has dropped by 40 % of free flow for 8 s opens an incident unless an open one
     is within 120 channels; a mean of at least 75 % held for 20 s closes it. A drop that
-    deepens raises the severity. Only points that something is the matter with are
-    looked at; the others cannot change but by a detection of their own.
+    deepens raises the severity.
+
+    A detection changes its own point; the others' seconds of anomaly run evenly with the
+    sum of the ticks until a moment that is known beforehand: when they fall quiet, reach
+    8 s, or have recovered for 20 s. Those moments wait in heaps, so a detection costs no
+    look at other points, however many there are. Times are kept as whole microseconds.
 
     With a clock (``advance``) an incident is closed as soon as its 20 s are over, without
     a further detection, and a sequence that is silent for ``silence_s`` ends: its open
@@ -117,10 +124,30 @@ class Anomalies:
     def __init__(self, free_flow: float, state: dict | None = None, silence_s: float = 3600.0):
         s = state or {}
         self.free, self.silence = free_flow, silence_s
-        self.points: dict[int, list] = s.get("points", {})  # channel: [mean, seconds of anomaly, last seen, incident, recovering since]
         self.open: dict[int, dict] = s.get("open", {})
-        self.now: float | None = s.get("now")
-        self.active = {c for c, q in self.points.items() if self._matters(q)}
+        self._us: int | None = None if s.get("now") is None else _us(s["now"])
+        self._sum = 0  # of the ticks
+        self._points: dict[int, list] = {}  # channel: see the places below
+        self._quiet: list[tuple[int, int]] = []  # (last seen, channel)
+        self._full: list[tuple[int, int]] = []  # (sum of the ticks at 8 s of anomaly, channel)
+        self._well: list[tuple[int, int]] = []  # (recovering since, channel)
+        self._again: set[int] = set()  # points to look at with the next detection
+        for c, (mean, anomaly, seen, incident, since) in s.get("points", {}).items():
+            p = self._points[c] = [mean, _us(anomaly), 0, 0, _us(seen), incident, None if since is None else _us(since), None]
+            silent = self._us is not None and self._us - p[_SEEN] > QUIET_US
+            self._run(c, p, -1 if silent else 1 if self.drop(mean) >= DROP else -2)
+            if since is not None:
+                heappush(self._well, (p[_SINCE], c))
+            self._again.add(c)
+
+    @property
+    def now(self) -> float | None:
+        return None if self._us is None else self._us / 1e6
+
+    @property
+    def points(self) -> dict[int, list]:
+        """channel: [mean, seconds of anomaly, last seen, incident, recovering since], as of now."""
+        return {c: [p[_MEAN], self._anomaly(p) / 1e6, p[_SEEN] / 1e6, p[_OPEN], None if p[_SINCE] is None else p[_SINCE] / 1e6] for c, p in self._points.items()}
 
     def dump(self) -> dict:
         return {"points": self.points, "open": self.open, "now": self.now}
@@ -128,72 +155,126 @@ class Anomalies:
     def drop(self, mean: float) -> float:
         return max(0.0, (1 - mean / self.free) * 100) if self.free > 0 else 0.0
 
-    def _matters(self, q: list) -> bool:
-        return q[1] > 0 or q[3] or self.drop(q[0]) >= DROP
+    def _anomaly(self, p: list) -> int:
+        """Microseconds of anomaly by now."""
+        return max(0, p[_ANOMALY] + p[_SLOPE] * (self._sum - p[_FROM]))
+
+    def _run(self, c: int, p: list, slope: int) -> None:
+        """From now on the point's anomaly grows by ``slope`` times the ticks."""
+        p[_ANOMALY], p[_FROM], p[_SLOPE] = self._anomaly(p), self._sum, slope
+        full = self._sum + ANOMALY_US - p[_ANOMALY] if slope > 0 else None
+        if full is not None and full != p[_FULL]:
+            heappush(self._full, (full, c))
+        p[_FULL] = full
+        if slope != -1 and (slope > 0 or p[_ANOMALY] > 0):
+            heappush(self._quiet, (p[_SEEN], c))
 
     def step(self, now: float, ch: int, speed: float):
         """Events (kind, channel, severity, type, mean, drop) after one detection."""
-        dt = 0.0 if self.now is None else min(1.0, max(0.0, now - self.now))
-        self.now = now if self.now is None else max(self.now, now)
-        at = int(np.floor(ch / STEP + 0.5)) * STEP
-        p = self.points.setdefault(at, [self.free, 0.0, now, False, None])
-        p[0], p[2] = ALPHA * speed + (1 - ALPHA) * p[0], now
-        if self._matters(p):
-            self.active.add(at)
-        look = sorted(self.active)
-        for c in look:
-            q = self.points[c]
-            if now - q[2] > QUIET_S:
-                q[1] = max(0.0, q[1] - dt)
-            elif self.drop(q[0]) >= DROP:
-                q[1] += dt
-            else:
-                q[1] = max(0.0, q[1] - 2 * dt)
-        for c in look:
-            q = self.points[c]
-            mean, drop = q[0], self.drop(q[0])
-            if not q[3]:
-                if q[1] < ANOMALY_S or drop < DROP or any(abs(o - c) < SPACING for o in self.open):
-                    continue
-                kind = "accident" if mean < 5 else "congestion" if drop > 70 else "slowdown" if drop > 50 else "anomaly"
-                severity = "critical" if drop > 80 or mean < 5 else "high" if drop > 60 else "medium" if drop > 50 else "low"
-                q[3], q[4] = True, None
-                self.open[c] = {"severity": severity, "kind": kind}
-                yield "detected", c, severity, kind, mean, drop
-            elif mean >= self.free * RECOVER / 100:
-                if q[4] is None:
-                    q[4] = now
-                elif now - q[4] >= RECOVER_S:
-                    yield self._closed(c, "resolved")
-            else:
-                q[4] = None
-                o = self.open[c]
-                up = "critical" if drop > 80 and o["severity"] != "critical" else "high" if drop > 60 and o["severity"] in ("low", "medium") else None
-                if up:
-                    o["severity"] = up
-                    yield "escalated", c, up, o["kind"], mean, drop
-        self.active = {c for c in look if self._matters(self.points[c])}
+        us = _us(now)
+        tick = 0 if self._us is None else min(1_000_000, max(0, us - self._us))
+        self._us = us if self._us is None else max(self._us, us)
+        at = math.floor(ch / STEP + 0.5) * STEP
+        p = self._points.get(at)
+        if p is None:
+            p = self._points[at] = [self.free, 0, self._sum, 0, us, False, None, None]
+        p[_MEAN], p[_SEEN] = ALPHA * speed + (1 - ALPHA) * p[_MEAN], us
+        self._run(at, p, 1 if self.drop(p[_MEAN]) >= DROP else -2)
+        if tick:
+            quiet = self._quiet
+            while quiet and us - quiet[0][0] > QUIET_US:
+                seen, c = heappop(quiet)
+                q = self._points[c]
+                if q[_SEEN] == seen and q[_SLOPE] != -1:
+                    self._run(c, q, -1)
+        self._sum += tick
+        look = [at]
+        if self._again:
+            look, self._again = [at, *self._again], set()
+        while self._full and self._full[0][0] <= self._sum:
+            look.append(heappop(self._full)[1])
+        while self._well and us - self._well[0][0] >= RECOVER_US:
+            look.append(heappop(self._well)[1])
+        heapify(look)
+        last = None
+        while look:
+            c = heappop(look)
+            if c == last:
+                continue
+            last = c
+            e = self._look(c, us)
+            if e is None:
+                continue
+            yield e
+            if e[0] == "resolved":  # points after it in order are looked at in this step, those before it in the next
+                for o in self._near(c):
+                    if o > c:
+                        heappush(look, o)
+                    else:
+                        self._again.add(o)
+
+    def _near(self, c: int) -> list[int]:
+        return [o for k in range(STEP, SPACING, STEP) for o in (c - k, c + k) if o in self._points]
+
+    def _look(self, c: int, us: int):
+        """The event of one point, if any."""
+        q = self._points[c]
+        mean, drop = q[_MEAN], self.drop(q[_MEAN])
+        if not q[_OPEN]:
+            if drop < DROP or self._anomaly(q) < ANOMALY_US or any(o in self.open for o in range(c - SPACING + STEP, c + SPACING, STEP)):
+                return None
+            kind = "accident" if mean < 5 else "congestion" if drop > 70 else "slowdown" if drop > 50 else "anomaly"
+            severity = "critical" if drop > 80 or mean < 5 else "high" if drop > 60 else "medium" if drop > 50 else "low"
+            q[_OPEN], q[_SINCE] = True, None
+            self.open[c] = {"severity": severity, "kind": kind}
+            return "detected", c, severity, kind, mean, drop
+        if mean >= self.free * RECOVER / 100:
+            if q[_SINCE] is None:
+                q[_SINCE] = us
+                heappush(self._well, (us, c))
+            elif us - q[_SINCE] >= RECOVER_US:
+                return self._closed(c, "resolved")
+            return None
+        q[_SINCE] = None
+        o = self.open[c]
+        up = "critical" if drop > 80 and o["severity"] != "critical" else "high" if drop > 60 and o["severity"] in ("low", "medium") else None
+        if up:
+            o["severity"] = up
+            return "escalated", c, up, o["kind"], mean, drop
+        return None
 
     def _closed(self, c: int, event: str) -> tuple:
-        q, o = self.points[c], self.open.pop(c)
-        q[1], q[3], q[4] = 0.0, False, None
-        return event, c, o["severity"], o["kind"], q[0], self.drop(q[0])
+        q, o = self._points[c], self.open.pop(c)
+        q[_ANOMALY], q[_FROM], q[_OPEN], q[_SINCE] = 0, self._sum, False, None
+        return event, c, o["severity"], o["kind"], q[_MEAN], self.drop(q[_MEAN])
 
     def due(self) -> float | None:
         """When the clock has something to do, if no detection comes before."""
-        if self.now is None:
+        if self._us is None:
             return None
-        return min([self.now + self.silence, *(self.points[c][4] + RECOVER_S for c in self.open if self.points[c][4] is not None)])
+        since = (self._points[c][_SINCE] for c in self.open)
+        return min([self.now + self.silence, *(x / 1e6 + RECOVER_S for x in since if x is not None)])
 
     def advance(self, now: float):
         """Events (seconds, event) of the clock up to ``now``, in order."""
         while (at := self.due()) is not None and at <= now:
             ended = at >= self.now + self.silence
             for c in sorted(self.open):
-                if ended or (self.points[c][4] is not None and self.points[c][4] + RECOVER_S <= at):
+                since = self._points[c][_SINCE]
+                if ended or (since is not None and since / 1e6 + RECOVER_S <= at):
                     yield at, self._closed(c, "expired" if ended else "resolved")
+                    self._again.update(self._near(c))
             if ended:
-                self.points, self.open, self.active, self.now = {}, {}, set(), None
+                self.__init__(self.free, None, self.silence)
+
+
+#: Places in a point's list; ANOMALY is as of FROM, a sum of ticks, and changes by SLOPE from there.
+_MEAN, _ANOMALY, _FROM, _SLOPE, _SEEN, _OPEN, _SINCE, _FULL = range(8)
+QUIET_US, ANOMALY_US, RECOVER_US = (int(x * 1_000_000) for x in (QUIET_S, ANOMALY_S, RECOVER_S))
+
+
+def _us(seconds: float) -> int:
+    return round(seconds * 1e6)
 
 
 EVENTS = "fiber_id string, direction int, ts_ns bigint, ch int, event string, severity string, incident_type string, ema double, drop_pct double"

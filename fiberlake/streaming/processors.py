@@ -124,9 +124,10 @@ class Incidents(_Timed):
             self.incidents.clear()
             self.now.clear()
             return
-        for c in points.keys() - a.points.keys():
+        now = a.points
+        for c in points.keys() - now.keys():
             self.points.removeKey((c,))
-        for c, q in a.points.items():
+        for c, q in now.items():
             if points.get(c) != tuple(q):
                 self.points.updateValue((c,), tuple(q))
         for c in open_.keys() - a.open.keys():
