@@ -477,7 +477,9 @@ def _(v):
     return incidents.incident_breakdown(v.incidents())
 
 
-@query("lookup_thresholds", """SELECT seq, coalesce(a.green, 80)::DOUBLE AS green, coalesce(a.yellow, 60)::DOUBLE AS yellow FROM detections d LEFT JOIN (SELECT seq, arg_min(green, ord) AS green, arg_min(yellow, ord) AS yellow FROM detections d JOIN sections s ON d.fiber_id = s.fiber_id AND d.direction = s.direction AND ch BETWEEN channel_start AND channel_end GROUP BY seq) a USING (seq)""")
+@query("lookup_thresholds", """SELECT seq, CASE WHEN a.green IS NOT NULL THEN a.green WHEN h.fiber_id IS NOT NULL THEN 70 ELSE 80 END::DOUBLE AS green, CASE WHEN a.yellow IS NOT NULL THEN a.yellow WHEN h.fiber_id IS NOT NULL THEN 50 ELSE 60 END::DOUBLE AS yellow FROM detections d
+LEFT JOIN (SELECT d.fiber_id, d.direction, ch, arg_min(green, ord) AS green, arg_min(yellow, ord) AS yellow FROM (SELECT DISTINCT fiber_id, direction, ch FROM detections) d JOIN sections s ON d.fiber_id = s.fiber_id AND d.direction = s.direction AND ch BETWEEN channel_start AND channel_end GROUP BY ALL) a ON d.fiber_id = a.fiber_id AND d.direction = a.direction AND d.ch = a.ch
+LEFT JOIN (SELECT DISTINCT fiber_id, direction FROM sections) h ON d.fiber_id = h.fiber_id AND d.direction = h.direction""")
 def _(v):
     fallback = v.cables().select("fiber_id", F.lit(70.0).alias("green"), F.lit(50.0).alias("yellow"), F.lit(20.0).alias("orange"))
     return joins.lookup_thresholds(v.detections(), v.sections(), fallback).select("seq", "green", "yellow")
