@@ -141,7 +141,7 @@ def waterfall_window(det: DataFrame, ms: int = 120_000) -> DataFrame:
     return det.join(F.broadcast(top), "fiber_id").filter(F.col("ts_ns") >= F.col("_top") - ms * 1_000_000).drop("_top")
 
 
-def downsample_rows(df: DataFrame, k: int, order: str, *by: str) -> DataFrame:
+def downsample_rows(df: DataFrame, k: int, order: str | list[str], *by: str) -> DataFrame:
     """k evenly spaced rows of each group, at indices int(i * (n - 1) / (k - 1)); all if there are no more."""
     if not by:
         raise ValueError("rows are numbered within groups: name a key")

@@ -41,3 +41,15 @@ def both(spark, path, name):
 def test_channels_of_no_section_have_the_fibers_thresholds(spark, wide):
     got, want = both(spark, wide, "lookup_thresholds")
     assert got == want and {r[0] for r in got} == {70.0, 80.0, 81.0, 82.0}
+
+
+def test_a_days_peaks_are_whole(spark, wide):
+    """The reference thins peaks only if it is asked to; the day itself bounds them."""
+    got, want = both(spark, wide, "peaks_query")
+    assert got == want and len(got) == 12_000
+
+
+def test_thinned_peaks_do_not_depend_on_the_order_of_rows(spark, wide):
+    e = spark.read.parquet(f"{wide}/events.parquet").select(F.col("event_type").alias("infra_id"), "ts", F.col("value").alias("freq"))
+    found = [sorted(map(tuple, health.peaks_query(x.coalesce(1), most=1000).collect())) for x in (e.orderBy("freq"), e.orderBy(F.desc("freq")))]
+    assert found[0] == found[1] and len(found[0]) == 2000
