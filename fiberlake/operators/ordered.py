@@ -265,9 +265,8 @@ def track_vehicles(det: DataFrame) -> DataFrame:
 
 
 def section_barrier(windows: DataFrame, cfg: DataFrame) -> DataFrame:
-    """(fiber_id, window) whose every configured section is there."""
-    need = cfg.groupBy("fiber_id").agg(F.countDistinct("section").alias("need"))
-    got = windows.groupBy("fiber_id", "window").agg(F.countDistinct("section").alias("got"))
-    return got.join(F.broadcast(need), "fiber_id").filter("got >= need").select("fiber_id", "window")
-
-
+    """(fiber_id, window) whose every configured section is there; sections that are not configured do not count."""
+    cfg = cfg.select("fiber_id", "section").distinct()
+    need = cfg.groupBy("fiber_id").agg(F.count("section").alias("need"))
+    got = windows.join(F.broadcast(cfg), ["fiber_id", "section"]).groupBy("fiber_id", "window").agg(F.countDistinct("section").alias("got"))
+    return got.join(F.broadcast(need), "fiber_id").filter("got = need").select("fiber_id", "window")

@@ -989,7 +989,7 @@ def _(v):
     return incidents.detect_incidents(v.detections_dense().withColumn("speed", F.col("speed") / 5), 90.0)
 
 
-@query("section_barrier", "SELECT fiber_id, us // 60000000 AS \"window\" FROM detections_dense GROUP BY ALL HAVING count(DISTINCT ch // 50) = 3")
+@query("section_barrier", "SELECT fiber_id, us // 60000000 AS \"window\" FROM detections_dense GROUP BY ALL HAVING count(DISTINCT floor(ch / 50)) FILTER (floor(ch / 50) IN (0, 1, 2)) = 3")
 def _(v):
     w = v.detections_dense().select("fiber_id", F.floor(F.unix_micros("ts") / 60_000_000).alias("window"), F.floor(F.col("ch") / 50).cast("string").alias("section"))
     cfg = v.cables().select("fiber_id", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))).alias("section"))

@@ -50,6 +50,17 @@ def test_a_days_peaks_are_whole(spark, wide):
 
 
 def test_thinned_peaks_do_not_depend_on_the_order_of_rows(spark, wide):
-    e = spark.read.parquet(f"{wide}/events.parquet").select(F.col("event_type").alias("infra_id"), "ts", F.col("value").alias("freq"))
+    e = spark.read.parquet(f"{wide}/events.parquet").select(F.col("event_type").alias("infra_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("freq"))
     found = [sorted(map(tuple, health.peaks_query(x.coalesce(1), most=1000).collect())) for x in (e.orderBy("freq"), e.orderBy(F.desc("freq")))]
     assert found[0] == found[1] and len(found[0]) == 2000
+
+
+def test_barrier_with_more_sections_than_are_configured(spark, wide):
+    got, want = both(spark, wide, "section_barrier")
+    assert got == want and len(got) > 1
+
+
+def test_a_section_that_is_not_configured_does_not_stand_for_another(spark):
+    w = spark.createDataFrame([("f", 0, "a"), ("f", 0, "x"), ("f", 1, "a"), ("f", 1, "b"), ("f", 1, "x"), ("g", 0, "a")], "fiber_id string, window bigint, section string")
+    cfg = spark.createDataFrame([("f", "a"), ("f", "b"), ("f", "b")], "fiber_id string, section string")
+    assert [tuple(r) for r in ordered.section_barrier(w, cfg).collect()] == [("f", 1)]
