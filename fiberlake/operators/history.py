@@ -152,8 +152,9 @@ def downsample_rows(df: DataFrame, k: int, order: str | list[str], *by: str) ->
     # index i is chosen if some j has floor(j * step) = i: the first j at or after i / step
     step = (F.col("_n") - 1) / F.lit(float(k - 1))
     j = F.ceil(F.col("_i") / F.nullif(step, F.lit(0.0)))
-    hit = (F.floor(j * step) == F.col("_i")) | (F.floor((j - 1) * step) == F.col("_i"))
-    return rows.filter((F.col("_n") <= k) | ((j < k) & hit)).drop("_i", "_n")
+    # by rounding the last row's may be k
+    hit = ((j < k) & (F.floor(j * step) == F.col("_i"))) | (F.floor((j - 1) * step) == F.col("_i"))
+    return rows.filter((F.col("_n") <= k) | hit).drop("_i", "_n")
 
 
 def downsample_bins(arr: Column, k: int) -> Column:

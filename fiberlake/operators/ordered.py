@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
@@ -116,9 +117,15 @@ TRACKS = "fiber_id string, direction int, ts_ns bigint, ch int, track bigint, po
 _TRACK_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64())
 
 
-def _life(track: dict) -> int:
-    """Milliseconds that a track lives without a detection."""
-    return 1_000 if track["state"] == "tentative" else DEAD_MS
+_FIELDS = ("id", "x", "v", "px", "pv", "seen", "hits", "state")
+#: Places in a track's list: the fields; the time they are of, with the sums at that time; the cell.
+_ID, _X, _V, _PX, _PV, _SEEN, _HITS, _STATE, _AT, _S2, _S3, _CELL = range(12)
+CELL = 64.0
+
+
+def _end(t: list) -> float:
+    """The last moment of a track without a further detection (ms)."""
+    return t[_SEEN] + (1_000 if t[_STATE] == "tentative" else DEAD_MS)
 
 
 class Tracker:
@@ -126,59 +133,139 @@ class Tracker:
 
     A track is confirmed by its second detection, coasts after 6 s without one and is
     gone after 10 s; one that was never confirmed is gone after a second.
+
+    All tracks are predicted at every detection. Between two detections of its own a track
+    moves evenly and its variances depend only on sums over the sequence (of the steps' squares,
+    and of those times the time before them), so it is predicted when it is looked at. Tracks lie
+    in cells of channels; a detection looks at the cells that a gate can reach. All tracks are
+    brought to the present, and those bounds anew, after twice as many detections as there are tracks.
     """
 
     def __init__(self, direction: int, state: dict | None = None):
         s = state or {}
         self.sign = 1 if direction == 0 else -1
-        self.tracks: list[dict] = s.get("tracks", [])
         self.count: int = s.get("count", 0)
         self.now: float | None = s.get("now")
+        self._live = {t["id"]: [*(t[f] for f in _FIELDS), self.now, 0.0, 0.0, 0] for t in s.get("tracks", [])}
+        self._ends = [(_end(t), i) for i, t in self._live.items()]
+        heapify(self._ends)
+        self._base, self._s2, self._s3 = self.now, 0.0, 0.0
+        self._rebase()
+
+    @property
+    def tracks(self) -> list[dict]:
+        """Live tracks as of the last detection, oldest first."""
+        return [self._dict(t) for _, t in sorted(self._live.items())]
 
     def dump(self) -> dict:
         return {"tracks": self.tracks, "count": self.count, "now": self.now}
 
+    def _predict(self, t: list) -> None:
+        """Brings a track to the present."""
+        d, s2 = self.now - t[_AT], self._s2 - t[_S2]
+        t[_X] += t[_V] * d
+        t[_PX] += t[_PV] * s2 + Q_VEL * (self._s3 - t[_S3] - (t[_AT] - self._base) * s2) + Q_POS * d
+        t[_PV] += Q_VEL * d
+        t[_AT], t[_S2], t[_S3] = self.now, self._s2, self._s3
+
+    def _dict(self, t: list) -> dict:
+        t = list(t)
+        self._predict(t)
+        if t[_STATE] == "confirmed" and self.now - t[_SEEN] > COAST_MS:
+            t[_STATE] = "coasting"
+        return dict(zip(_FIELDS, t))
+
+    def _rebase(self) -> None:
+        """Brings all tracks to the present; the sums start anew."""
+        self._cells: dict[int, dict[int, list]] = {}
+        self._px, self._pv, self._fast = R_POS, P_VEL, 0.0  # no track has more, as of the base; a detection leaves less than these
+        for i, t in self._live.items():
+            self._predict(t)
+            t[_S2] = t[_S3] = 0.0
+            self._px, self._pv, self._fast = max(self._px, t[_PX]), max(self._pv, t[_PV]), max(self._fast, abs(t[_V]))
+            t[_CELL] = int(t[_X] // CELL)
+            self._cells.setdefault(t[_CELL], {})[i] = t
+        self._base, self._s2, self._s3 = self.now, 0.0, 0.0
+        self._left = max(64, 2 * len(self._live))
+
+    def _gone(self, t: list) -> None:
+        del self._live[t[_ID]]
+        cell = self._cells[t[_CELL]]
+        del cell[t[_ID]]
+        if not cell:
+            del self._cells[t[_CELL]]
+
     def due(self) -> float | None:
         """When the first track ends, if no detection comes before (ms)."""
-        return min((t["seen"] + _life(t) for t in self.tracks), default=None)
+        ends = self._ends
+        while ends:
+            t = self._live.get(ends[0][1])
+            if t is not None and _end(t) == ends[0][0]:
+                return ends[0][0]
+            heappop(ends)
+        return None
 
     def advance(self, now_ms: float):
         """(ms, track) of the tracks that have ended by ``now_ms``, in order; they are gone."""
-        ended = sorted((t for t in self.tracks if t["seen"] + _life(t) < now_ms), key=lambda t: (t["seen"] + _life(t), t["id"]))
-        self.tracks = [t for t in self.tracks if t["seen"] + _life(t) >= now_ms]
-        for t in ended:
-            yield t["seen"] + _life(t), t | {"state": "ended"}
+        while (at := self.due()) is not None and at < now_ms:
+            t = self._live[heappop(self._ends)[1]]
+            self._gone(t)
+            yield at, self._dict(t) | {"state": "ended"}
 
     def step(self, now_ms: float, ch: float, speed: float) -> dict:
-        dt = 0.0 if self.now is None else max(0.0, now_ms - self.now)
-        self.now = now_ms if self.now is None else max(self.now, now_ms)
-        for t in self.tracks:
-            t["x"] += t["v"] * dt
-            t["px"] += t["pv"] * dt * dt + Q_POS * dt
-            t["pv"] += Q_VEL * dt
-            idle = now_ms - t["seen"]
-            t["state"] = "coasting" if t["state"] == "confirmed" and idle > COAST_MS else t["state"]
-        self.tracks = [t for t in self.tracks if now_ms - t["seen"] <= _life(t)]
+        if self.now is None:
+            self.now = self._base = now_ms
+        elif now_ms > self.now:
+            dt = now_ms - self.now
+            self._s2 += dt * dt
+            self._s3 += (self.now - self._base) * dt * dt
+            self.now = now_ms
+        ends, live, cells = self._ends, self._live, self._cells
+        while ends and ends[0][0] < now_ms:
+            end, i = heappop(ends)
+            t = live.get(i)
+            if t is not None and _end(t) == end:
+                self._gone(t)
+        now, base, s2, s3 = self.now, self._base, self._s2, self._s3
+        gate = GATE_SD * math.sqrt(self._px + self._pv * s2 + Q_VEL * s3 + Q_POS * (now - base)) + 1e-6
+        reach = gate + self._fast * (now - base)
+        lo, hi = int((ch - reach) // CELL), int((ch + reach) // CELL)
         best, at = None, math.inf
-        for t in self.tracks:
-            sd, off = math.sqrt(t["px"]), abs(ch - t["x"])
-            d = off / max(sd, 1.0)
-            if d < GATE_SD and d < at and off < max(GATE_SD * sd, GATE_CH):
-                best, at = t, d
+        for look in (cells.values() if hi - lo >= len(cells) else [cells[c] for c in range(lo, hi + 1) if c in cells]):
+            for t in look.values():
+                d = now - t[_AT]
+                off = abs(ch - (t[_X] + t[_V] * d))
+                if off < gate:
+                    k = s2 - t[_S2]
+                    sd = math.sqrt(t[_PX] + t[_PV] * k + Q_VEL * (s3 - t[_S3] - (t[_AT] - base) * k) + Q_POS * d)
+                    d = off / max(sd, 1.0)
+                    if d < GATE_SD and off < max(GATE_SD * sd, GATE_CH) and (d < at or d == at and t[_ID] < best[_ID]):
+                        best, at = t, d
         v = self.sign * speed / 3.6 / 1000 / METRES
         if best is None:
             self.count += 1
-            best = {"id": self.count, "x": float(ch), "v": v, "px": P_POS, "pv": P_VEL, "seen": now_ms, "hits": 1, "state": "tentative"}
-            self.tracks.append(best)
+            best = live[self.count] = [self.count, float(ch), v, P_POS, P_VEL, now_ms, 1, "tentative", now, s2, s3, int(ch // CELL)]
+            cells.setdefault(best[_CELL], {})[self.count] = best
         else:
-            k = best["px"] / (best["px"] + R_POS)
-            best["x"] += k * (ch - best["x"])
-            best["px"] *= 1 - k
-            k = best["pv"] / (best["pv"] + R_VEL)
-            best["v"] += k * (v - best["v"])
-            best["pv"] *= 1 - k
-            best["seen"], best["hits"], best["state"] = now_ms, best["hits"] + 1, "confirmed"
-        return best
+            self._predict(best)
+            k = best[_PX] / (best[_PX] + R_POS)
+            best[_X] += k * (ch - best[_X])
+            best[_PX] *= 1 - k
+            k = best[_PV] / (best[_PV] + R_VEL)
+            best[_V] += k * (v - best[_V])
+            best[_PV] *= 1 - k
+            best[_SEEN], best[_HITS], best[_STATE] = now_ms, best[_HITS] + 1, "confirmed"
+            cell = int(best[_X] // CELL)
+            if cell != best[_CELL]:
+                self._gone(best)
+                best[_CELL] = cell
+                live[best[_ID]] = cells.setdefault(cell, {})[best[_ID]] = best
+        heappush(ends, (_end(best), best[_ID]))
+        self._fast = max(self._fast, abs(best[_V]))
+        self._left -= 1
+        if self._left <= 0:
+            self._rebase()
+        return dict(zip(_FIELDS, best))
 
 
 def track_rows(key: tuple, pdf: pd.DataFrame, tracker: Tracker) -> pd.DataFrame:

@@ -162,8 +162,9 @@ class Tracks(_Timed):
         return ordered.Tracker(int(key[1]), {"tracks": [dict(zip(self.fields, t)) for t in self.tracks.get()], "count": count, "now": now})
 
     def save(self, tracker) -> None:
-        if tracker.tracks:
-            self.tracks.put([tuple(t[f] for f in self.fields) for t in tracker.tracks])
+        live = tracker.tracks
+        if live:
+            self.tracks.put([tuple(t[f] for f in self.fields) for t in live])
         else:
             self.tracks.clear()
         self.clocked.update((tracker.count, tracker.now))

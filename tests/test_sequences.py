@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from fiberlake.operators import incidents
+from fiberlake.operators import incidents, ordered
 
 
 class EveryPoint:
@@ -80,3 +80,66 @@ def test_a_detection_looks_at_its_own_point_alone():
             list(a.step(i * 0.001, i % points * 30, 10.0))
         looks.append(a.looks)
     assert max(looks) < 3 * 6000 + 2000
+
+
+class EveryTrack:
+    """The rule of tracks with every track predicted at each detection."""
+
+    def __init__(self):
+        self.tracks, self.count, self.now = [], 0, None
+
+    def step(self, now, ch, speed):
+        dt = 0.0 if self.now is None else now - self.now
+        self.now = now
+        for t in self.tracks:
+            t["x"] += t["v"] * dt
+            t["px"] += t["pv"] * dt * dt + 0.001 * dt
+            t["pv"] += 0.00001 * dt
+        self.tracks = [t for t in self.tracks if now - t["seen"] <= (1_000 if t["hits"] == 1 else 10_000)]
+        near = []
+        for t in self.tracks:
+            sd, off = math.sqrt(t["px"]), abs(ch - t["x"])
+            if off / max(sd, 1.0) < 3 and off < max(3 * sd, 10):
+                near.append((off / max(sd, 1.0), t["id"], t))
+        v = speed / 3.6 / 1000 / 5
+        if not near:
+            self.count += 1
+            self.tracks.append({"id": self.count, "x": ch, "v": v, "px": 36.0, "pv": 0.0005, "seen": now, "hits": 1})
+            return self.tracks[-1]
+        t = min(near)[2]
+        a, b = t["px"] / (t["px"] + 64), t["pv"] / (t["pv"] + 0.0004)
+        t["x"], t["px"], t["v"], t["pv"] = t["x"] + a * (ch - t["x"]), t["px"] * (1 - a), t["v"] + b * (v - t["v"]), t["pv"] * (1 - b)
+        t["seen"], t["hits"] = now, t["hits"] + 1
+        return t
+
+
+@pytest.mark.parametrize("seed, gap, span", [(0, 2, 5000), (1, 30, 900), (2, 300, 90), (3, 2000, 900)])
+def test_tracks_are_those_of_every_track(seed, gap, span):
+    rng = np.random.default_rng(seed)
+    tracker, plain, now = ordered.Tracker(0), EveryTrack(), 1_704_067_200_000.0
+    for i in range(2500):
+        now += round(rng.exponential(gap), 3) + (8000 if rng.random() < 0.003 else 0)
+        ch, speed = float(rng.integers(0, span)), float(rng.choice([0, 20, 90, 400]))
+        got, want = tracker.step(now, ch, speed), plain.step(now, ch, speed)
+        assert (got["id"], got["hits"]) == (want["id"], want["hits"]) and abs(got["x"] - want["x"]) < 1e-6 and abs(got["v"] - want["v"]) < 1e-9
+        if i % 997 == 0:  # a stream's state goes on from what it has kept
+            tracker = ordered.Tracker(0, tracker.dump())
+
+
+def test_a_detection_looks_at_tracks_near_it(monkeypatch):
+    """A fiber ten times as long with ten times the traffic costs no more looks a detection."""
+    looks = [0]
+
+    def counted(x):
+        looks[0] += 1
+        return abs(x)
+
+    monkeypatch.setattr(ordered, "abs", counted, raising=False)
+    found = []
+    for channels in (2_000, 20_000):
+        rng, tracker, looks[0] = np.random.default_rng(5), ordered.Tracker(0), 0
+        n = channels // 5
+        for i in range(n):
+            tracker.step(1_704_067_200_000.0 + i * 2_000_000 / channels / 10, float(rng.integers(0, channels)), 90.0)
+        found.append(looks[0] / n)
+    assert found[1] < 3 * found[0]
