@@ -27,7 +27,9 @@ def range_join(left: DataFrame, right: DataFrame, value: str, lo: str, hi: str,
 def channel_geo(cables: DataFrame) -> DataFrame:
     """(fiber_id, ch, lng, lat) of the latest version of each cable."""
     rows = latest(cables, ["fiber_id"], "updated_at") if "updated_at" in cables.columns else cables
-    return rows.select("fiber_id", F.posexplode("coordinates").alias("ch", "p")).select("fiber_id", "ch", F.col("p.lng").alias("lng"), F.col("p.lat").alias("lat"))
+    # outer: for the inner form Spark would test every row for an empty array below a distinct, building the array for each
+    points = rows.select("fiber_id", F.posexplode_outer("coordinates").alias("ch", "p")).filter("ch is not null")
+    return points.select("fiber_id", "ch", F.col("p.lng").alias("lng"), F.col("p.lat").alias("lat"))
 
 
 def enrich_geo(det: DataFrame, cables: DataFrame) -> DataFrame:
@@ -84,13 +86,19 @@ def lookup_thresholds(det: DataFrame, sections: DataFrame, fiber_thresholds: Dat
 
 
 def nearest_channel(points: DataFrame, channels: DataFrame, r: float) -> DataFrame:
-    """(point_id, fiber_id, ch, dist): the nearest channel within r degrees, by grid cells of size r."""
-    cell = lambda c: F.floor(F.col(c) / r)
-    p = points.select("point_id", F.col("lng").alias("px"), F.col("lat").alias("py"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("lng") / r) + i)).alias("cx"))
-    p = p.withColumn("cy", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col("py") / r) + i)))
-    c = channels.filter("lng is not null and lat is not null").withColumn("cx", cell("lng")).withColumn("cy", cell("lat"))
-    rows = p.join(c, ["cx", "cy"]).withColumn("dist", F.sqrt((F.col("lng") - F.col("px")) ** 2 + (F.col("lat") - F.col("py")) ** 2)).filter(F.col("dist") <= r)
-    best = rows.groupBy("point_id").agg(F.min(F.struct("dist", "fiber_id", "ch")).alias("b"))
+    """(point_id, fiber_id, ch, dist): the nearest channel within r degrees, by grid cells of size r.
+
+    Channels are dealt to their cell and the eight around it and gathered there, so a point
+    stays one row that finds its nearest in one array; pairs are no rows.
+    """
+    cells = lambda c: F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col(c) / r) + i))
+    c = channels.filter("lng is not null and lat is not null").withColumn("cx", cells("lng")).withColumn("cy", cells("lat"))
+    c = c.groupBy("cx", "cy").agg(F.collect_list(F.struct("lng", "lat", "fiber_id", "ch")).alias("near"))
+    p = points.select("point_id", F.col("lng").alias("px"), F.col("lat").alias("py"), F.floor(F.col("lng") / r).alias("cx"), F.floor(F.col("lat") / r).alias("cy"))
+    off = lambda x: F.sqrt((x["lng"] - F.col("px")) ** 2 + (x["lat"] - F.col("py")) ** 2)
+    first = F.array_min(F.filter(F.transform("near", lambda x: F.struct(off(x).alias("dist"), x["fiber_id"].alias("fiber_id"), x["ch"].alias("ch"))), lambda x: x["dist"] <= r))
+    rows = p.join(c, ["cx", "cy"]).select("point_id", first.alias("b")).filter("b is not null")
+    best = rows.groupBy("point_id").agg(F.min("b").alias("b"))
     return best.select("point_id", "b.fiber_id", "b.ch", "b.dist")
 
 
