@@ -45,19 +45,23 @@ def incident_snapshot(inc: DataFrame, det: DataFrame, norm: bool = False, second
     """120 points a second apart around each incident, null where nothing passed.
 
     The window starts at the whole second. ``norm`` gives flow in vehicles per hour over
-    +-30 channels instead of the second's count over +-50. An incident stays one row, with its
-    seconds as a map of at most 121, until the end.
+    +-30 channels instead of the second's count over +-50. Incidents of one fiber, direction,
+    middle channel and time share a window, which is computed once; an incident stays one row,
+    with its window's seconds as a map of at most 121, until the end.
     """
     around = 30 if norm else 50
-    rows = incident_window(inc, det, around, seconds)
+    centre = F.floor((F.col("channel_start") + F.col("channel_end")) / 2)
+    inc = inc.select("incident_id", F.struct("fiber_id", "direction", "timestamp", centre.alias("centre")).alias("_w"))
+    shared = inc.select("_w").distinct().select(F.col("_w").alias("incident_id"), "_w.fiber_id", "_w.direction", "_w.timestamp", F.col("_w.centre").alias("channel_start"), F.col("_w.centre").alias("channel_end"))
+    rows = incident_window(shared, det, around, seconds)
     agg = rows.groupBy("incident_id", F.floor(F.col("d_us") / 1_000_000).alias("sec")).agg(F.bround(F.avg(F.abs("speed"))).alias("speed"), F.sum("vehicle_count").alias("n"))
     flow = F.bround(F.col("n") * 3600 / (2 * around + 1)) if norm else F.col("n").cast("double")
     occ = S.occupancy(F.col("speed"), flow) if norm else S.occupancy(F.col("speed"), flow, "snapshot")
     value = F.struct(F.col("speed").alias("speed"), flow.alias("flow"), occ.alias("occupancy"))
-    held = agg.groupBy("incident_id").agg(F.map_from_entries(F.collect_list(F.struct("sec", value.alias("v")))).alias("seconds"))
-    start = F.floor(F.unix_micros("timestamp") / 1_000_000) - seconds
-    out = inc.select("incident_id", start.alias("start")).join(held, "incident_id", "left")
-    out = out.select("incident_id", "seconds", F.explode(F.sequence(F.col("start"), F.col("start") + 2 * seconds - 1)).alias("sec"))
+    held = agg.groupBy(F.col("incident_id").alias("_w")).agg(F.map_from_entries(F.collect_list(F.struct("sec", value.alias("v")))).alias("seconds"))
+    out = inc.join(held, "_w", "left")
+    start = F.floor(F.unix_micros("_w.timestamp") / 1_000_000) - seconds
+    out = out.select("incident_id", "seconds", F.explode(F.sequence(start, start + 2 * seconds - 1)).alias("sec"))
     at = F.try_element_at("seconds", F.col("sec"))
     return out.select("incident_id", (F.col("sec") * 1000).alias("time_ms"), *[at[c].alias(c) for c in ("speed", "flow", "occupancy")])
 
